@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from gatehouse.llm import fingerprints
+from gatehouse.llm import chat, fingerprints, neardup, packing
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op5_minhash": neardup.op5_minhash,
+    "op8_packing": packing.op8_packing,
+    "op9_chat": chat.op9_chat,
 }
 
 #: Hashes, models, tokenizers and packing are beyond SQL; those queries are tested against brute force in tests/llm.
