@@ -8,10 +8,11 @@ How links are found. Equal sets collapse to one class first. Then `TREES` indepe
 tokens: the root of a tree chooses one of `COORDINATES` minhash coordinates, its children hold the classes that agree
 there, and a node that is still large chooses two more coordinates for children of its own. A pair of similarity s stays
 together in a child with probability s, and with two branches at each level (2s > 1) it survives to any depth: at
-s = 0.8 a tree separates it with probability below 0.26, all eight trees below 3e-5. In every node, classes are compared with the node's first;
-nodes of at most `SMALL` are then compared exhaustively where classes aren't yet connected; larger ones branch.
-Nodes that are one component already are settled. Nodes still large after `LEVELS` levels are compared with several
-members each. Minhash estimates far below the threshold are not confirmed on full sets.
+s = 0.8 a tree separates it with probability below 0.26, all eight trees below 3e-5. In every first node the classes are
+compared with the node's first one, and connected components are formed. Nodes that are one component are settled.
+Others that are small enough for a task (`LEAF_ROWS` classes, `LEAF_SHINGLES` shingles) are compared exhaustively between
+components: on minhash signatures first, where what is far below the threshold drops out, then on full sets as bit rows.
+Larger nodes branch; those still large after `LEVELS` levels are compared with several of their members each.
 
 A null text counts as empty, repeated rows are equal documents, extra columns are ignored, an empty table gives no rows.
 A row without doc_id takes part in no link: its component is null and it is kept only by near_duplicates' caller.
@@ -20,6 +21,7 @@ A row without doc_id takes part in no link: its component is null and it is kept
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from gatehouse.llm import common
 
 WORDS, THRESHOLD = 5, 80
-COORDINATES, TREES, SMALL, LEVELS = 40, 8, 24, 6
+COORDINATES, TREES, LEVELS = 40, 8, 6
+LEAF_ROWS, LEAF_SHINGLES = 4096, 2_000_000
 #: Minhash agreement below the threshold by this share is not confirmed (over four standard deviations).
 SLACK = 0.27
 SIGNATURES = "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>"
@@ -145,6 +148,88 @@ def _confirm(words: int, threshold: int):
     return run
 
 
+def _by_node(solve):
+    """Applies solve to the rows of each node; rows come ordered by node, the first column."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            nodes = np.asarray(batch.column(0))
+            cuts = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), len(nodes)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if now is not None and nodes[a] != now:
+                    yield from solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held = []
+                now = nodes[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return run
+
+
+def _similar(threshold: int):
+    """Members of a node with one in another component whose size and signature don't rule a link out. Rows: node, rep, comp, n_shingles, sig."""
+    least = int(COORDINATES * (threshold / 100 - SLACK))
+
+    def solve(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = b.num_rows
+        comp, size = np.asarray(b.column(2)), np.asarray(b.column(3))
+        sig = np.asarray(b.column(4).flatten()).reshape(n, COORDINATES)
+        some = np.zeros(n, bool)
+        for lo in range(0, n, 128):
+            agree = np.zeros((min(128, n - lo), n), np.uint8)
+            for k in range(COORDINATES):
+                agree += sig[lo : lo + 128, k, None] == sig[None, :, k]
+            x = size[lo : lo + 128, None]
+            near = (agree >= least) & (comp[lo : lo + 128, None] != comp) & (100 * np.minimum(x, size) >= threshold * np.maximum(x, size))
+            some[lo : lo + 128] |= near.any(axis=1)
+        if some.any():
+            yield b.select(["node", "rep", "comp"]).filter(pa.array(some))
+
+    return _by_node(solve)
+
+
+def _leaf(words: int, threshold: int):
+    """Links between components of a node, on full sets: pairs (a, b) that connect whatever links connect. Rows: node, rep, comp, text."""
+    from gatehouse.llm.vectors import merge
+
+    def solve(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rep = np.asarray(b.column(1))
+        n = len(rep)
+        label = np.unique(np.asarray(b.column(2)), return_inverse=True)[1]
+        first = np.full(label.max() + 1, n)
+        np.minimum.at(first, label, np.arange(n))
+        label = first[label]  # members of one component begin with one label
+        data, offsets = common.utf8(b.column(3))
+        sets = []
+        for lo, hi in common.passes(offsets):
+            h, off = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
+            sets += [h[i:j] for i, j in zip(off, off[1:], strict=False)]
+        size = np.array([len(x) for x in sets])
+        tokens, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(df > 1)
+        number = np.full(len(tokens), -1)
+        number[shared] = np.arange(len(shared))
+        column, row = number[inverse], np.repeat(np.arange(n), size)
+        row, column = row[column >= 0], column[column >= 0]
+        bits = np.zeros((n, max(1, -(-len(shared) // 64))), np.uint64)
+        np.bitwise_or.at(bits, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+        start = label.copy()
+        for i in range(n - 1):
+            inter = np.bitwise_count(bits[i] & bits[i + 1 :]).sum(axis=1, dtype=np.int64)
+            j = np.flatnonzero(100 * inter >= threshold * (size[i] + size[i + 1 :] - inter)) + i + 1
+            if len(j):
+                label = merge(label, np.full(len(j), i), j)
+        new = np.flatnonzero(label != start)
+        if len(new):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[new]), pa.array(rep[label[new]])], names=["a", "b"])
+
+    return _by_node(solve)
+
+
 class _Join:
     """The classes of a corpus, their signatures and the texts that candidates need."""
 
@@ -169,23 +254,31 @@ class _Join:
         t = self.texts
         return common.cut(pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(self.words, self.threshold), "a long, b long"))
 
+    def leaf_links(self, members: DataFrame) -> DataFrame:
+        """Links between components within nodes, from members (node, rep, comp)."""
+        n = common.partitions(members.sparkSession)
+        signed = members.join(self.classes.select("rep", "n_shingles", "sig"), "rep").select("node", "rep", "comp", "n_shingles", "sig")
+        near = common.cut(signed.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_similar(self.threshold), "node long, rep long, comp long"))
+        full = near.join(self.texts.toDF("rep", "text"), "rep").select("node", "rep", "comp", "text")
+        return common.cut(full.repartition(n, "node").sortWithinPartitions("node", "rep").mapInArrow(_leaf(self.words, self.threshold), "a long, b long"))
+
     def nodes(self, members: DataFrame) -> DataFrame:
         """Members (node, rep) of nodes of two or more, with the node's size and first member."""
         # two aggregations would read members twice; a node's size and first member are combined before the shuffle
-        sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lead")).where("size > 1")
-        return common.cut(members.join(common.cut(sizes), "node"))
+        sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lead"), F.sum("n_shingles").alias("total")).where("size > 1")
+        return common.cut(members.drop("n_shingles").join(common.cut(sizes), "node"))
 
 
 def _trees(classes: DataFrame) -> DataFrame:
     roots = F.array(*[F.xxhash64(F.lit(t), F.col("sig")[t * (COORDINATES // TREES)]) for t in range(TREES)])
-    return classes.select("rep", F.explode(roots).alias("node"))
+    return classes.select("rep", "n_shingles", F.explode(roots).alias("node"))
 
 
 def _branches(large: DataFrame, classes: DataFrame, level: int) -> DataFrame:
     """Two children of each node: each chooses a coordinate by the node's path."""
-    rows = large.select("node", "rep").join(classes.select("rep", "sig"), "rep")
+    rows = large.select("node", "rep").join(classes.select("rep", "n_shingles", "sig"), "rep")
     child = [F.xxhash64("node", F.lit(j), F.element_at("sig", (F.pmod(F.xxhash64("node", F.lit(level), F.lit(j)), F.lit(COORDINATES)) + 1).cast("int"))) for j in (0, 1)]
-    return rows.select("rep", F.explode(F.array(*child)).alias("node")).distinct()
+    return rows.select("rep", "n_shingles", F.explode(F.array(*child)).alias("node")).distinct()
 
 
 def _in_nodes(multi: DataFrame, comps: DataFrame) -> DataFrame:
@@ -195,13 +288,6 @@ def _in_nodes(multi: DataFrame, comps: DataFrame) -> DataFrame:
     return m.join(open_, "node", "left_semi")
 
 
-def _exhaustive(small: DataFrame) -> DataFrame:
-    """Pairs of different components within nodes of at most SMALL members."""
-    lists = small.groupBy("node").agg(F.collect_list(F.struct("rep", "comp")).alias("m"))
-    one = lists.select("m", F.explode("m").alias("x"))
-    return one.select(F.col("x.rep").alias("a"), F.explode(F.filter("m", lambda y: (y["rep"] < F.col("x.rep")) & (y["comp"] != F.col("x.comp")))).alias("y")).select("a", F.col("y.rep").alias("b"))
-
-
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept for every row of docs."""
     join = _Join(docs, words, threshold)
@@ -210,23 +296,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     join.texts = common.cut(join.text.join(wanted, "doc_id", "left_semi"))
     links = join.links(join.candidates(multi.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))))
     comps = common.components(links)
-    found = []
+    leaves, more = [], []
     for level in range(LEVELS):
         held = common.cut(_in_nodes(multi, comps))
-        found.append(_exhaustive(held.where(F.col("size") <= SMALL)))
-        large = held.where(F.col("size") > SMALL)
+        fits = (F.col("size") <= LEAF_ROWS) & (F.col("total") <= LEAF_SHINGLES)
+        leaves.append(held.where(fits).select("node", "rep", "comp"))
+        large = held.where(~fits)
         if not large.limit(1).count():
             break
         if level == LEVELS - 1:
-            first = large.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-            more = [large.join(large.groupBy("node").agg(F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias("other")), "node").select(F.col("rep").alias("a"), F.col("other").alias("b")) for k in range(4)]
-            found += [first, *more]
+            others = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias("other") for k in range(4)]
+            more = [large.join(large.groupBy("node").agg(o), "node").select(F.col("rep").alias("a"), F.col("other").alias("b")) for o in [F.min("rep").alias("other"), *others]]
         else:
             multi = join.nodes(_branches(large, join.classes, level))
-    pairs = found[0]
-    for p in found[1:]:
-        pairs = pairs.unionByName(p)
-    links = links.unionByName(join.links(join.candidates(pairs)))
+    links = links.unionByName(join.leaf_links(reduce(DataFrame.unionByName, leaves)))
+    if more:
+        links = links.unionByName(join.links(join.candidates(reduce(DataFrame.unionByName, more))))
     comps = common.components(links)
     member = join.sigs.select("doc_id", "n_shingles", "h1", "h2").join(join.classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"], "left")
     out = member.join(comps.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
