@@ -112,10 +112,11 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, in partitions and files that follow the mixed order."""
-    marked = docs.withColumn("_row", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))))
-    places = mix(docs, **options).select("doc_id", "position").withColumn("_row", F.row_number().over(W.partitionBy("doc_id").orderBy("position")))
-    placed = marked.join(places.toDF("_id", "position", "_at"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_at")))
-    return placed.repartitionByRange(common.partitions(docs.sparkSession), "position").sortWithinPartitions("position").select(*docs.columns)
+    marked = docs.withColumn("__row", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))))
+    places = mix(docs, **options).select(F.col("doc_id").alias("__id"), F.col("position").alias("__position"))
+    places = places.withColumn("__at", F.row_number().over(W.partitionBy("__id").orderBy("__position")))
+    placed = marked.join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__at")))
+    return placed.repartitionByRange(common.partitions(docs.sparkSession), "__position").sortWithinPartitions("__position").select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
