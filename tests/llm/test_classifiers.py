@@ -18,7 +18,7 @@ def tables(spark, toxic_words=("scumlike", "idiotes")):
                 t.insert(rng.randrange(len(t)), rng.choice(toxic_words))
         t = [w.upper() + "!!" for w in t] if junk else t
         rows.append((i, " ".join(t), "en", "s", 1))
-        if i % 3:
+        if i % 4 != 3:
             labels.append((i, int(not junk), int(toxic)))
     rows += [(400, "", "en", "s", 0), (401, None, "en", "s", 0)]
     return spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
