@@ -4,10 +4,10 @@ Grades are ordered: 0 harmless, 1 mild, 2 severe. P(grade > k) = sigmoid(w . x -
 thresholds; the expected severity is the sum of these over k. Features are words (letter runs, ASCII lower-cased) and their
 beginnings of 5 and 7 bytes, since inflected languages vary endings, known by 64-bit hash. A text has, or hasn't, at least
 1, 2 or 4 of each, or at least 2 that are 1/300 or 1/100 of its words. Features are kept that occur in enough labelled texts and
-lean to one class.
+lean to toxic ones.
 
-Labels mark texts as toxic or not. Among toxic ones the grade is 2 where the share of words that lean to the toxic class
-is above its median, else 1. The model is fitted on at most `FIT_ROWS` labelled rows, drawn by a hash of doc_id, a
+Labels mark texts as toxic or not. Among toxic ones the grade is 2 where the number of toxic-leaning features is above its
+median, else 1. The model is fitted on at most `FIT_ROWS` labelled rows, drawn by a hash of doc_id, a
 documented bound; scoring reads every text whole. Without labels, or with one class only, the model has no words and
 rejects nothing.
 
@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 
 from gatehouse.llm import common
 
-FIT_ROWS, FEATURES, REJECT = 8_000, 4096, 0.5
+FIT_ROWS, FEATURES = 8_000, 4096
+#: A text is rejected from this probability of any toxicity on: below even odds, since a missed toxic text costs more.
+REJECT = 0.3
 BEGINNINGS = (5, 7)
 #: Levels of a feature: least count, and least share of the words as one of so many (0: any).
 LEVELS = ((1, 0), (2, 0), (4, 0), (2, 300), (2, 100))
-#: A feature occurs in so many fitted texts at least, and its share differs between classes by so many standard errors.
-MIN_TEXTS, MIN_Z = 3, 4.0
+#: A feature occurs in so many fitted texts at least, its share is higher among toxic ones by so many standard errors, and of the texts
+#: that have it so many are toxic: words that are merely more frequent in long texts, or in one often copied, stay out.
+MIN_TEXTS, MIN_Z, MIN_SHARE = 3, 4.0, 0.7
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -101,8 +104,9 @@ def _none() -> Ordinal:
     return Ordinal(np.zeros(0, np.uint64), np.zeros((0, len(LEVELS))), np.array([20.0, 21.0]))
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray, int]], steps: int = 400, decay: float = 1e-5) -> Ordinal:
-    """rows: 0 or 1, sorted distinct hashes, their counts and the number of words, of each labelled text."""
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray, int]], steps: int = 800, decay: float = 1e-5) -> Ordinal:
+    """rows: 0 or 1, sorted distinct hashes, their counts and the number of words, of each labelled text. Copies count once."""
+    rows = list({(r[0], r[1].tobytes(), r[2].tobytes()): r for r in rows}.values())
     y = np.array([r[0] for r in rows], np.int64)
     if len(rows) < 4 or y.min() == y.max():
         return _none()
@@ -120,7 +124,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray, int]], steps: int = 400, d
         df1 = np.bincount(v, weights=y[t], minlength=len(vocab))
         p = df / len(rows)
         z = (df1 / n1 - (df - df1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-        ok = np.flatnonzero((df >= MIN_TEXTS) & (np.abs(z) >= MIN_Z))
+        ok = np.flatnonzero((df >= MIN_TEXTS) & (z >= MIN_Z) & (df1 >= MIN_SHARE * df))
         ok = ok[np.argsort(-np.abs(z[ok]), kind="stable")[: FEATURES // len(LEVELS)]]
         number = np.full(len(vocab), -1)
         number[ok] = np.arange(len(ok)) + sum(map(len, zs))
@@ -132,7 +136,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray, int]], steps: int = 400, d
     t, c, z = np.concatenate(at), np.concatenate(column), np.concatenate(zs)
     if not len(z):
         return _none()
-    leans = np.bincount(t, weights=z[c] > 2 * MIN_Z, minlength=len(rows)) / np.maximum(sizes, 1)
+    leans = np.bincount(t, minlength=len(rows))  # how many toxic-leaning features a text has
     middle = np.median(leans[y == 1])
     grade = np.where(y == 1, 1 + (leans > middle), 0)
     w, theta, gap = np.zeros(len(z)), 1.0, 0.0
