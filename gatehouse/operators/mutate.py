@@ -96,8 +96,13 @@ def wordbreak(text: Column, seed, key: Column, which: str) -> Column:
 
 
 def mojibake(text: Column, seed, key: Column, which: str) -> Column:
-    chars = F.filter(F.split(text, "", -1), lambda c: c != "")
-    return F.array_join(_insert(chars, F.greatest(F.lit(6), F.floor(F.length(text) / 80)), X.MOJIBAKE, seed, key, "moji"), "")
+    """Fragments before drawn characters: the text is cut at the sorted places, so it is never split into characters."""
+    size = F.greatest(F.length(text), F.lit(1))
+    n = F.greatest(F.lit(6), F.floor(F.length(text) / 80))
+    new = F.array_sort(F.transform(_upto(n), lambda k: F.struct(F.pmod(draw(seed, key, "moji@", k), size).cast("int").alias("at"), k.alias("k"), pick(X.MOJIBAKE, draw(seed, key, "moji", k)).alias("x"))))
+    places = F.concat(F.array(F.lit(0)), F.transform(new, lambda s: s["at"]))
+    pieces = F.zip_with(F.slice(places, F.lit(1), F.size(new)), new, lambda before, s: F.concat(F.substring(text, before + 1, s["at"] - before), s["x"]))
+    return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(places, -1) + 1, F.length(text)))
 
 
 def linenoise(text: Column, seed, key: Column, which: str) -> Column:

@@ -166,7 +166,6 @@ def _mutated(target: str, made: str, table: str = "SELECT doc_id, coalesce(text,
 
 
 _WORDS = "string_split(text, ' ')"
-_CHARS = "list_filter(regexp_extract_all(text, '(?s).'), lambda c: c <> '')"
 _EVENTS = "SELECT event_id AS doc_id, props AS raw FROM events"
 _NAV = f"""CASE WHEN {_draw('light')} % 10 < 3 THEN {_draw('few')} % 2 + 1 ELSE {_draw('many')} % 5 + 4 END"""
 _CHROME = f"list_transform(range(1, {_NAV} + 1), lambda k: {_title(_pick(X.BOILERPLATE_HELDOUT, _draw('phrase', k='k')))})"
@@ -290,7 +289,9 @@ SELECT fraction, round({_macro('pred', 'gold')}, 6) AS macro_f1, round(avg((pred
     "corrupt_html_script_style": _mutated("text", "'" + X.SCRIPT_BLOCK.replace("'", "''") + "' || chr(10) || text"),
     "corrupt_html_link_dump": _mutated("text", f"text || chr(10) || {_LINKS}"),
     "corrupt_ocr_wordbreak": _mutated("text", _BREAK),
-    "corrupt_ocr_mojibake": _mutated("text", _insert(_CHARS, "greatest(6, length(text) // 80)", X.MOJIBAKE, "moji", "")),
+    "corrupt_ocr_mojibake": f"""WITH s AS (SELECT doc_id, coalesce(text, '') AS text, list_sort(list_transform(range(1, greatest(6, length(text) // 80)::BIGINT + 1), lambda k: {{p: {_draw('moji@', k='k')} % greatest(length(text), 1), k: k, x: {_pick(X.MOJIBAKE, _draw('moji', k='k'))}}})) AS n FROM documents),
+m AS (SELECT doc_id, array_to_string(list_transform(range(1, len(n) + 1), lambda i: substr(text, coalesce(n[i - 1].p, 0) + 1, n[i].p - coalesce(n[i - 1].p, 0)) || n[i].x), '') || substr(text, n[-1].p + 1) AS text FROM s)
+SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM m""",
     "corrupt_ocr_linenoise": _mutated("text", _insert(_WORDS, f"greatest(8, len({_WORDS}) // 8)", tuple(X.INJECTED_GLYPHS), "noise", " ")),
     "corrupt_json_truncate": _mutated("raw", _cut(1), _EVENTS),
     "corrupt_json_delimiter": _mutated("raw", _delimiter(1), _EVENTS),

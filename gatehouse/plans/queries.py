@@ -207,7 +207,7 @@ def hillclimb_trajectory(spark, sf_dir):
     """A short verified climb from halved weights, on generated documents."""
     docs = src.clean_corpus(spark, 60, 7, ("html",))
     start = gates.HTML.with_params({k: w / 2 for k, w in gates.HTML.weights.items()})
-    done = climb.hillclimb(start, docs, "html", "verified", climb.ClimbConfig(iterations=2, population=3), src.clean_corpus(spark, 60, 8, ("html",)), range(2), range(20, 22))
+    done = climb.hillclimb(start, docs, "html", "verified", climb.ClimbConfig(iterations=1, population=3), src.clean_corpus(spark, 60, 8, ("html",)), range(2), range(20, 22), ("link_dump", "nav_boilerplate"))
     return spark.createDataFrame(done.trajectory, "regime string, iter int, recall_train double, f1_heldout double, guard_fpr double")
 
 
