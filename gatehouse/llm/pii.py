@@ -4,9 +4,9 @@ Entities: e-mail addresses, IPv4 addresses, phone and card numbers, social secur
 secrets after a key word, long hexadecimal keys, and persons' names after a title. Each is replaced by a surrogate drawn from a
 keyed hash (HMAC-SHA256) of its type and normal form, so an entity has one surrogate in all documents (coreference). It
 keeps the format: separators, lengths, letter case, the script and gender of a name, a valid Luhn digit where there
-was one. Numbers go through a keyed Feistel permutation of the numbers of that length, so different numbers
-stay different by construction. For the other types collisions are checked over the whole corpus: an entity whose
-surrogate is another's, or is an entity that occurs itself, is drawn again until none is. A surname alone, later in the
+was one. Numbers, and the letters and digits of addresses and secrets, go through a keyed Feistel permutation of all
+values of their shape, so different entities stay different by construction; names are drawn. Collisions are checked over
+the whole corpus: an entity whose surrogate is another's, or is an entity that occurs itself, is drawn again until none is. A surname alone, later in the
 same document, becomes the surname of its surrogate.
 
 Null and empty texts stay as they are; repeated rows get the same text; all columns pass through; an empty table gives no
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 from gatehouse.llm import common
 
 KEY, ATTEMPTS = b"surrogates-1", 12
+#: So many entities that need another draw are handed to every task; more are joined to their documents.
+HANDED = 10_000
 
 _DIGITS = "0123456789"
-_CONSONANTS, _VOWELS = "bcdfghjklmnprstvz", "aeiou"
+_LOWER, _HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 # Titles by gender, and given names by script and gender, from which surrogates are drawn.
 TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"),
@@ -82,13 +85,11 @@ def _draw(key: bytes, kind: str, value: str, attempt: int, size: int) -> bytes:
 
 def permute(key: bytes, kind: str, number: int, size: int) -> int:
     """A keyed permutation of 0 .. size - 1: eight Feistel rounds over the next square, walked until the result is below size."""
-    side = int(size**0.5) + 1
-    while side * side < size:
-        side += 1
+    side = math.isqrt(size - 1) + 1
     while True:
         left, right = divmod(number, side)
         for r in range(8):
-            f = int.from_bytes(hmac.new(key, f"{kind}\0{size}\0{r}\0{right}".encode(), hashlib.sha256).digest()[:8], "big")
+            f = int.from_bytes(hmac.new(key, f"{kind}\0{size}\0{r}\0{right}".encode(), hashlib.sha256).digest(), "big")
             left, right = right, (left + f) % side
         number = left * side + right
         if number < size:
@@ -118,23 +119,21 @@ def _numbers(key: bytes, kind: str, digits: str) -> str:
 
 
 def _alike(key: bytes, kind: str, text: str, attempt: int) -> str:
-    """Random characters of the same classes: hexadecimal stays so, letters alternate between consonants and vowels in their case."""
-    draw = _draw(key, kind, text.lower() if kind == "email" else text, attempt, len(text))
-    hexes = len(text) >= 8 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) is not None
+    """Other characters of the same classes, by a permutation of all strings of that shape: hexadecimal stays so, letters keep their case."""
+    if len(text) >= 8 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
+        pools = [_HEX.upper() if text.isupper() else _HEX] * len(text)
+    else:
+        pools = [_DIGITS if c in _DIGITS else (_LOWER.upper() if c.isupper() else _LOWER) if c.isalpha() else c for c in text]
+    number, size = 0, 1
+    for c, pool in zip(text, pools, strict=True):
+        number, size = number * len(pool) + max(0, pool.find(c)), size * len(pool)
+    shape = "".join({_DIGITS: "9", _LOWER: "a", _LOWER.upper(): "A", _HEX: "f", _HEX.upper(): "F"}.get(p, p) for p in pools)
+    number = permute(key, f"{kind}/{shape}/{attempt}", number, size)
     out = []
-    for k, (c, b) in enumerate(zip(text, draw, strict=True)):
-        if hexes:
-            x = "0123456789abcdef"[b % 16]
-            out.append(x.upper() if text.isupper() else x)
-        elif c in _DIGITS:
-            out.append(_DIGITS[b % 10])
-        elif c.isalpha():
-            pool = _VOWELS if k % 2 else _CONSONANTS
-            x = pool[b % len(pool)]
-            out.append(x.upper() if c.isupper() else x)
-        else:
-            out.append(c)
-    return "".join(out)
+    for pool in reversed(pools):
+        number, k = divmod(number, len(pool))
+        out.append(pool[k])
+    return "".join(reversed(out))
 
 
 def script(name: str) -> str:
@@ -292,16 +291,20 @@ def exceptions(mentions: DataFrame, key: bytes = KEY) -> DataFrame | None:
     raise RuntimeError("surrogates still collide; names need more syllables")
 
 
-def _replaced(schema, key: bytes):
+def _replaced(key: bytes, handed: dict[tuple[str, str], int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            joined = b.schema.names[-1] == "_again"
+            names = b.schema.names[:-1] if joined else b.schema.names
+            each = b.column(b.num_columns - 1).to_pylist() if joined else [None] * b.num_rows
             texts, counts = [], []
-            for text, again in zip(b.column(b.schema.get_field_index("text")), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            for text, again in zip(b.column(b.schema.get_field_index("text")), each, strict=True):
                 text = text.as_py()
-                made, n = (text, 0) if text is None else replace(text, {(x["kind"], x["value"]): x["attempt"] for x in again or ()}, key)
+                attempts = {(x["kind"], x["value"]): x["attempt"] for x in again or ()} if joined else handed
+                made, n = (text, 0) if text is None else replace(text, attempts, key)
                 texts.append(made)
                 counts.append(n)
-            columns = dict(zip(b.schema.names[:-1], b.columns, strict=False))
+            columns = dict(zip(names, b.columns, strict=False))
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns["n_chars"].type)
@@ -314,20 +317,20 @@ def _replaced(schema, key: bytes):
 def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """docs with every entity in text replaced, and n_replaced: how many mentions were.
 
-    Mentions of an entity that collides are joined to their documents; as a rule there is none and texts aren't shuffled.
+    The texts are read twice and aren't shuffled as long as at most HANDED entities collide; beyond that, those entities' mentions are
+    joined to their documents.
     """
     docs = common.dropped_names(docs, "n_replaced", "_again")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_replaced long"
     mentions = common.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_mentions(key), "doc_id long, kind string, value string, made string"))
     again = exceptions(mentions, key)
+    if again is None or again.count() <= HANDED:
+        handed = {} if again is None else {(r["kind"], r["value"]): r["attempt"] for r in again.collect()}
+        return docs.mapInArrow(_replaced(key, handed), fields)
     kind = "array<struct<kind: string, value: string, attempt: int>>"
-    if again is None:
-        rows = docs.withColumn("_again", F.lit(None).cast(kind))
-    else:
-        by_doc = mentions.select("doc_id", "kind", "value").distinct().join(again, ["kind", "value"]).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("kind", "value", "attempt")).cast(kind).alias("_again"))
-        rows = docs.join(common.cut(by_doc), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
-        rows = rows.select(*docs.columns, "_again")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(_replaced(docs.schema, key), f"{fields}, n_replaced long")
+    by_doc = mentions.select("doc_id", "kind", "value").distinct().join(again, ["kind", "value"]).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("kind", "value", "attempt")).cast(kind).alias("_again"))
+    rows = docs.join(common.cut(by_doc), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    return rows.select(*docs.columns, "_again").mapInArrow(_replaced(key, {}), fields)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

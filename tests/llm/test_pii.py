@@ -40,6 +40,22 @@ def test_collisions_are_resolved(spark):
     assert pii.exceptions(spark.createDataFrame([(1, "key", "a", "b")], "doc_id long, kind string, value string, made string")) is None
 
 
+def test_shapes_are_permuted():
+    words = [a + b + c for a in "abcdxyz" for b in "aeiou" for c in "0123"]
+    for kind in ("secret", "email"):
+        made = {pii._alike(b"k", kind, w, 0) for w in words}
+        assert len(made) == len(words) and all(m[:2].isalpha() and m[2].isdigit() for m in made)
+    assert pii._alike(b"k", "key", "00ff00ff00", 0) != "00ff00ff00" and pii._alike(b"k", "email", "---", 0) == "---"
+
+
+def test_joined_and_handed_collisions_give_the_same_texts(spark, monkeypatch):
+    rows = [(k, f"Mr. {n} Smithson{k % 50} and Mrs. {n} Stone{k % 40} at 10.0.0.{k % 250}.") for k, n in enumerate(["Adam", "Bert", "Carl"] * 100)]
+    df = spark.createDataFrame([*rows, (None, "Mr. Adam Smithson1 again")], "doc_id long, text string")
+    handed = sorted(map(str, pii.with_surrogates(df).collect()))
+    monkeypatch.setattr(pii, "HANDED", -1)
+    assert sorted(map(str, pii.with_surrogates(df).collect())) == handed and len(handed) == 301
+
+
 def test_whole_tables(spark, odd):
     df = odd.withColumn("text", F.when(F.col("text").isNotNull(), F.concat("text", F.lit(" a.b@c.example.org"))))
     got = pii.with_surrogates(df)
