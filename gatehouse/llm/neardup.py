@@ -12,7 +12,8 @@ s = 0.8 a tree separates it with probability below 0.26, all eight trees below 3
 compared with the node's first one, and connected components are formed. Nodes that are one component are settled.
 Others that are small enough for a task (`LEAF_ROWS` classes, `LEAF_SHINGLES` shingles) are compared exhaustively between
 components: on minhash signatures first, where what is far below the threshold drops out, then on full sets as bit rows.
-Larger nodes branch; those still large after `LEVELS` levels are compared with several of their members each.
+Larger nodes branch; those still large after `LEVELS` levels, which hold classes alike in all chosen coordinates, are dealt to
+blocks, and every two blocks are compared exhaustively in a task of their own.
 
 A null text counts as empty, repeated rows are equal documents, extra columns are ignored, an empty table gives no rows.
 A row without doc_id takes part in no link: its component is null and it is kept only by near_duplicates' caller.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from gatehouse.llm import common
 
 WORDS, THRESHOLD = 5, 80
-COORDINATES, TREES, LEVELS = 40, 8, 6
+COORDINATES, TREES, LEVELS = 40, 8, 4
 LEAF_ROWS, LEAF_SHINGLES = 4096, 2_000_000
 #: Minhash agreement below the threshold by this share is not confirmed (over four standard deviations).
 SLACK = 0.27
@@ -288,6 +289,14 @@ def _in_nodes(multi: DataFrame, comps: DataFrame) -> DataFrame:
     return m.join(open_, "node", "left_semi")
 
 
+def _blocks(large: DataFrame) -> DataFrame:
+    """Members of nodes that don't get smaller, dealt to blocks of half a leaf; every two blocks of a node are a leaf of their own."""
+    k = F.ceil(F.greatest(F.col("size") * 2 / LEAF_ROWS, F.col("total") * 2 / LEAF_SHINGLES)).cast("long")
+    rows = large.select("node", "rep", "comp", k.alias("k"), F.pmod(F.xxhash64("rep"), k).alias("own"))
+    rows = rows.select("node", "rep", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
+    return rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "comp")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept for every row of docs."""
     join = _Join(docs, words, threshold)
@@ -296,7 +305,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     join.texts = common.cut(join.text.join(wanted, "doc_id", "left_semi"))
     links = join.links(join.candidates(multi.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))))
     comps = common.components(links)
-    leaves, more = [], []
+    leaves = []
     for level in range(LEVELS):
         held = common.cut(_in_nodes(multi, comps))
         fits = (F.col("size") <= LEAF_ROWS) & (F.col("total") <= LEAF_SHINGLES)
@@ -305,13 +314,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
         if not large.limit(1).count():
             break
         if level == LEVELS - 1:
-            others = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias("other") for k in range(4)]
-            more = [large.join(large.groupBy("node").agg(o), "node").select(F.col("rep").alias("a"), F.col("other").alias("b")) for o in [F.min("rep").alias("other"), *others]]
+            leaves.append(_blocks(large))
         else:
             multi = join.nodes(_branches(large, join.classes, level))
     links = links.unionByName(join.leaf_links(reduce(DataFrame.unionByName, leaves)))
-    if more:
-        links = links.unionByName(join.links(join.candidates(reduce(DataFrame.unionByName, more))))
     comps = common.components(links)
     member = join.sigs.select("doc_id", "n_shingles", "h1", "h2").join(join.classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"], "left")
     out = member.join(comps.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
