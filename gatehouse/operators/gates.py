@@ -199,7 +199,7 @@ def infer_schema(records: DataFrame, raw: str = "raw", order: str = "doc_id", re
     keys = rows.select("_o", "_v", F.explode(F.json_object_keys("_raw")).alias("key"))
     typed = keys.select("_o", "key", type_name(F.expr("try_variant_get(_v, concat('$[''', key, ''']'), 'variant')")).alias("kind"))
     by = typed.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("first"))
-    best = by.groupBy("key").agg(F.sum("n").alias("n_records"), F.max_by("kind", F.when(F.col("kind") != "null", F.struct("n", -F.col("first")))).alias("kind"))
+    best = by.groupBy("key").agg(F.sum("n").alias("n_records"), F.min_by("kind", F.when(F.col("kind") != "null", F.struct((-F.col("n")).alias("a"), F.col("first").alias("b")))).alias("kind"))
     return best.crossJoin(F.broadcast(n)).where(F.col("n_records") >= F.lit(required) * F.greatest("records", F.lit(1))).select("key", F.coalesce("kind", F.lit("string")).alias("kind"), "n_records")
 
 
