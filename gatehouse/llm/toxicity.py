@@ -178,11 +178,20 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, limit: int = FIT_R
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Ordinal:
-    rows = labelled(docs, labels, "toxic", limit).select("y", "text").mapInArrow(_bags, "y int, words binary, counts binary, size long").toArrow()
-    bags = [(y, np.frombuffer(w, np.uint64), np.frombuffer(n, np.uint8), k) for y, w, n, k in zip(*(c.to_pylist() for c in rows.columns), strict=True)]
+def _fit_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bags = [(y, np.frombuffer(w, np.uint64), np.frombuffer(n, np.uint8), k) for b in batches for y, w, n, k in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     bags.sort(key=lambda r: (r[0], r[1].tobytes()))  # the same sums in any order of arrival
-    return fit(bags)
+    m = fit(bags)
+    yield pa.RecordBatch.from_arrays([pa.array([m.keys.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.thresholds.tobytes()], pa.binary())], names=["keys", "weights", "thresholds"])
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Ordinal:
+    """The model of at most `limit` labelled documents. One task fits it, of rows whose number is bounded; the driver gets only the model."""
+    bags = labelled(docs, labels, "toxic", limit).select("y", "text").mapInArrow(_bags, "y int, words binary, counts binary, size long")
+    row = bags.repartition(1).mapInArrow(_fit_task, "keys binary, weights binary, thresholds binary").first()
+    if row is None:
+        return _none()
+    return Ordinal(np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["weights"], np.float64).reshape(-1, len(LEVELS)), np.frombuffer(row["thresholds"], np.float64))
 
 
 def _scorer(model: Ordinal, reject: float):
