@@ -6,8 +6,9 @@ keyed hash (HMAC-SHA256) of its type and normal form, so an entity has one surro
 keeps the format: separators, lengths, letter case, the script and gender of a name, a valid Luhn digit where there
 was one. Numbers, and the letters and digits of addresses and secrets, go through a keyed Feistel permutation of all
 values of their shape, so different entities stay different by construction; names are drawn. Collisions are checked over
-the whole corpus: an entity whose surrogate is another's, or is an entity that occurs itself, is drawn again until none is. A surname alone, later in the
-same document, becomes the surname of its surrogate.
+the whole corpus: an entity whose surrogate is another's, or is an entity that occurs itself, is drawn again until none is. Names get longer
+with each attempt, and what is still not settled at the attempt GROWN is drawn longer than its shape. A surname alone, later in the
+same document, becomes the surname of its surrogate. A secret without letters or digits, such as a row of asterisks, is no entity.
 
 Null and empty texts stay as they are; repeated rows get the same text; all columns pass through; an empty table gives no
 rows. n_chars, where the table has it, becomes the new text's.
@@ -19,7 +20,9 @@ import hashlib
 import hmac
 import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 
 from gatehouse.llm import common
 
-KEY, ATTEMPTS = b"surrogates-1", 12
+#: From the attempt GROWN on, a surrogate is drawn with more characters than its value, one more with each attempt, so a full shape can't block it.
+KEY, GROWN = b"surrogates-1", 4
 #: So many entities that need another draw are handed to every task; more are joined to their documents.
 HANDED = 10_000
 
@@ -97,9 +101,11 @@ def permute(key: bytes, kind: str, number: int, size: int) -> int:
 
 
 def _fill(like: str, digits: str) -> str:
-    """`like` with its digits replaced in order."""
+    """`like` with its digits replaced in order; digits beyond its own follow its last one."""
     it = iter(digits)
-    return "".join(next(it) if c in _DIGITS else c for c in like)
+    out = [next(it) if c in _DIGITS else c for c in like]
+    last = max(i for i, c in enumerate(like) if c in _DIGITS)
+    return "".join([*out[: last + 1], *it, *out[last + 1 :]])
 
 
 def _luhn(digits: str) -> int:
@@ -118,19 +124,42 @@ def _numbers(key: bytes, kind: str, digits: str) -> str:
     return str(permute(key, f"{kind}{len(digits)}", int(digits), 10 ** len(digits))).zfill(len(digits))
 
 
+def _longer(key: bytes, kind: str, value: str, attempt: int, size: int, pool: str) -> str:
+    """Characters of the pool drawn for a value from the attempt GROWN on: more than size, one more with each attempt."""
+    return "".join(pool[b % len(pool)] for b in _draw(key, kind, value, attempt, size + attempt - GROWN + 1))
+
+
+@cache
+def _block(block: int, category: str) -> str:
+    """The characters beyond ASCII of a category among 256 neighbours: a pool that keeps script and case."""
+    return "".join(c for c in map(chr, range(max(128, block << 8), (block + 1) << 8)) if unicodedata.category(c) == category)
+
+
+def _pool(c: str) -> tuple[str, str]:
+    """The characters that may stand for c, c among them, and their name. Others than letters and digits stay."""
+    if not c.isalnum():
+        return c, c
+    if c.isascii():
+        return (_DIGITS, "9") if c in _DIGITS else (_LOWER, "a") if c in _LOWER else (_LOWER.upper(), "A")
+    block, category = ord(c) >> 8, unicodedata.category(c)
+    return _block(block, category), f"{{{block:x}{category}}}"
+
+
 def _alike(key: bytes, kind: str, text: str, attempt: int) -> str:
-    """Other characters of the same classes, by a permutation of all strings of that shape: hexadecimal stays so, letters keep their case."""
+    """Other characters of the same classes, by a permutation of all strings of that shape: hexadecimal stays so, letters keep script and case."""
+    if attempt >= GROWN and any(map(str.isalnum, text)):
+        return _longer(key, kind, text, attempt, len(text), _LOWER)
     if len(text) >= 8 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
-        pools = [_HEX.upper() if text.isupper() else _HEX] * len(text)
+        pools = [(_HEX.upper(), "F") if text.isupper() else (_HEX, "f")] * len(text)
     else:
-        pools = [_DIGITS if c in _DIGITS else (_LOWER.upper() if c.isupper() else _LOWER) if c.isalpha() else c for c in text]
+        pools = [_pool(c) for c in text]
     number, size = 0, 1
-    for c, pool in zip(text, pools, strict=True):
-        number, size = number * len(pool) + max(0, pool.find(c)), size * len(pool)
-    shape = "".join({_DIGITS: "9", _LOWER: "a", _LOWER.upper(): "A", _HEX: "f", _HEX.upper(): "F"}.get(p, p) for p in pools)
+    for c, (pool, _) in zip(text, pools, strict=True):
+        number, size = number * len(pool) + pool.index(c), size * len(pool)
+    shape = "".join(name for _, name in pools)
     number = permute(key, f"{kind}/{shape}/{attempt}", number, size)
     out = []
-    for pool in reversed(pools):
+    for pool, _ in reversed(pools):
         number, k = divmod(number, len(pool))
         out.append(pool[k])
     return "".join(reversed(out))
@@ -146,9 +175,9 @@ def _person(key: bytes, value: str, attempt: int) -> str:
     gender, name = value.split(":", 1)
     parts = name.split()
     s = script(name)
-    draw = _draw(key, "name", value, attempt, 8)
+    draw = _draw(key, "name", value, attempt, 4 + attempt)
     syllables = SYLLABLES[s]
-    surname = "".join(syllables[b % len(syllables)] for b in draw[1 : 4 + attempt // 4]).capitalize()
+    surname = "".join(syllables[b % len(syllables)] for b in draw[1:]).capitalize()
     if len(parts) == 1:
         return surname
     given = GIVEN[s, gender]
@@ -174,8 +203,10 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The surrogate of a normal form, in normal form. A phone number keeps its country code."""
     if kind == "phone" and "+" in value:
         country, rest = value.split("+")
-        return f"{country}+{_numbers(key, f'phone{country}/{attempt}', rest)}"
+        return f"{country}+{_longer(key, kind, value, attempt, len(rest), _DIGITS) if attempt >= GROWN else _numbers(key, f'phone{country}/{attempt}', rest)}"
     if kind in ("card", "phone", "ssn"):
+        if attempt >= GROWN:
+            return _longer(key, kind, value, attempt, len(value), _DIGITS)
         return _numbers(key, f"{kind}{attempt or ''}" if kind != "card" or attempt else "card", value)
     if kind == "ip":
         n = permute(key, f"ip{attempt or ''}", int.from_bytes(bytes(map(int, value.split("."))), "big"), 1 << 32)
@@ -199,6 +230,8 @@ def _dress(kind: str, mention: str, made: str) -> str:
         it = iter(made)
         return "".join(c if c == " " else next(it) for c in mention)
     if kind == "email":
+        if len(mention) != len(made):
+            return made
         return "".join(m.upper() if c.isupper() else m for c, m in zip(mention, made, strict=True))
     return made
 
@@ -212,6 +245,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             continue
         for m in pattern.finditer(text):
             a, b = m.span("v") if kind in ("secret", "name") else m.span()
+            if kind == "secret" and not any(map(str.isalnum, m["v"])):
+                continue
             if all(b <= x or a >= y for x, y, _, _ in out):
                 title = re.match(r"\w+", m[0])[0] if kind == "name" else ""
                 out.append((a, b, kind, normal(kind, text[a:b], title)))
@@ -281,14 +316,13 @@ def exceptions(mentions: DataFrame, key: bytes = KEY) -> DataFrame | None:
     again = common.cut(_collisions(table))
     if not again.limit(1).count():
         return None
-    for _ in range(ATTEMPTS):
+    while True:
         moved = again.withColumn("attempt", F.col("attempt") + 1).mapInArrow(_again(key), "kind string, value string, attempt int, made string")
         kept = table.join(again.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "attempt", "made")
         table = common.cut(kept.unionByName(moved))
         again = common.cut(_collisions(table))
         if not again.limit(1).count():
             return table.where("attempt > 0").select("kind", "value", "attempt")
-    raise RuntimeError("surrogates still collide; names need more syllables")
 
 
 def _replaced(key: bytes, handed: dict[tuple[str, str], int]):

@@ -64,3 +64,18 @@ def test_whole_tables(spark, odd):
     assert sum(r["n_replaced"] for r in rows) == 5 and all("a.b@c" not in (r["text"] or "") for r in rows) and any(r["text"] is None for r in rows)
     assert len({r["text"].split()[-1] for r in rows if r["text"]}) == 1 and all(r["n_chars"] == len(r["text"]) for r in rows if r["text"])
     assert pii.with_surrogates(df.where("false")).count() == 0
+
+
+def test_masked_and_non_ascii_secrets_and_full_shapes_end(spark):
+    import itertools
+
+    cyrillic = ["".join(p) for p in itertools.islice(itertools.permutations("абвгде"), 20)]
+    secrets = [*cyrillic, "密码密码密码", "密码密码密破", *[f"{c}*****" for c in "abcdefghijklmnopqrstuvwxyz"]]
+    rows = [(0, "password: ******** and pwd = ------"), *[(k + 1, f"password: {v}") for k, v in enumerate(secrets)]]
+    rows += [(1000 + k, f"call +1 {k // 10} {k % 10} now") for k in range(100)]
+    got = {r["doc_id"]: r for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["text"] == rows[0][1] and got[0]["n_replaced"] == 0
+    made = [got[k + 1]["text"].removeprefix("password: ") for k in range(len(secrets))]
+    assert len({*made, *secrets}) == 2 * len(secrets) and all(r["n_replaced"] == 1 for k, r in got.items() if k)
+    calls = {r["text"] for k, r in got.items() if k >= 1000}
+    assert len(calls) == 100 and not calls & {t for _, t in rows}
