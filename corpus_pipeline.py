@@ -37,8 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the tokenised documents with their places in sequences."""
-    return packing.pack_documents(docs)
+    """Pieces of the tokenised documents with their places in sequences, which follow the order of docs."""
+    return packing.pack_in_order(docs, group_docs=packing.GROUP_DOCS)
 
 
 STAGES = [

@@ -6,18 +6,24 @@ some thousand pieces: best-fit in decreasing order, then swap-based local search
 item, exchange one for one, exchange two for one — where each step raises the sum of squared fills, until bins empty
 or the group's lower bound is met. What crosses the network is a short row for each piece, never text or ids.
 
+Groups are dealt by hash. Where the order of the documents matters, as after mixing, pack_in_order makes them of contiguous
+ranges of the order instead, and numbers sequences along it.
+
 Nulls count as empty texts (the end id alone), repeated rows are packed each, an empty table gives no rows, and extra
 columns are ignored. Within a group items are sorted before packing, so a recomputed task gives the same sequences.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +45,8 @@ def tokenizer_path() -> str:
 
 
 def _tokenise(path: str, capacity: int, end_id: int):
+    """Pieces of (doc_id, text); a third column, a document's place, is handed on with each piece."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(path)
         for batch in batches:
@@ -48,23 +56,25 @@ def _tokenise(path: str, capacity: int, end_id: int):
                 texts = part.column(1).fill_null("").to_pylist()
                 ids, at = bpe.ids(texts)
                 rows = []
-                for doc_id, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                places = [(x,) for x in part.column(2).to_pylist()] if part.num_columns > 2 else [()] * (hi - lo)
+                for doc_id, a, b, place in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), places, strict=True):
                     own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
                     n = len(own)
                     first = (n - 1) % capacity + 1
                     cuts = [0, *range(first, n + 1, capacity)]
-                    rows += [(doc_id, k, x, y - x, zlib.crc32(own[x:y])) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))]
-                yield _batch(rows, 5)
+                    rows += [(doc_id, k, x, y - x, zlib.crc32(own[x:y]), *place) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                yield _batch(rows, TYPES[:5] + ([PLACE] if part.num_columns > 2 else []))
 
     return run
 
 
 TYPES = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
+PLACE = ("place", pa.int64())
 
 
-def _batch(rows: list[tuple], n: int) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * n
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, TYPES[:n], strict=True)], names=[x for x, _ in TYPES[:n]])
+def _batch(rows: list[tuple], types: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, types, strict=True)], names=[x for x, _ in types])
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -161,7 +171,29 @@ def _pack_group(capacity: int):
                 out.append((*r, group + number, 0))
                 number += 1
         for lo in range(0, len(out), 8192):
-            yield _batch(out[lo : lo + 8192], 7)
+            yield _batch(out[lo : lo + 8192], TYPES)
+
+    return run
+
+
+def _pack_ranges(capacity: int, group_docs: int):
+    """Packs each range of group_docs places; its sequences, and the pieces within them, follow the mean place."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (r[5], r[1]))
+        for group, own in groupby(rows, key=lambda r: r[5] // group_docs):
+            own = list(own)
+            short = [r for r in own if r[3] < capacity]
+            bins = [[short[i] for i in sorted(b)] for b in pack([r[3] for r in short], capacity)] + [[r] for r in own if r[3] >= capacity]
+            bins.sort(key=lambda b: (sum(r[5] for r in b) / len(b), b[0][5], b[0][1]))
+            out = []
+            for k, b in enumerate(bins):
+                at = 0
+                for r in b:
+                    out.append((*r[:5], (group << 33) + k, at))
+                    at += r[3]
+            for lo in range(0, len(out), 8192):
+                yield _batch(out[lo : lo + 8192], TYPES)
 
     return run
 
@@ -177,5 +209,32 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     return pieces.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32")).mapInArrow(_pack_group(capacity), PACKED)
 
 
+def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text and place, the row's number in the order of docs: of its Parquet files by name if docs is read from them, else of its partitions. And the number of rows."""
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
+    try:
+        if not docs._jdf.queryExecution().analyzed().children().isEmpty():
+            raise AnalysisException("not read as it is from files")
+        rows = docs.select(*columns, F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        number = F.monotonically_increasing_id()
+        rows = docs.select(*columns, F.shiftright(number, 33).cast("string").alias("part"), number.bitwiseAND((1 << 33) - 1).alias("row"))
+    counts = dict(rows.groupBy("part").agg(F.count(F.lit(1))).collect())
+    starts, n = [], 0
+    for part in sorted(counts, key=lambda p: re.sub(r"\d+", lambda m: m[0].zfill(20), p.rsplit("/", 1)[-1])):
+        starts.append((part, n))
+        n += counts[part]
+    first = docs.sparkSession.createDataFrame(starts, "part string, first long")
+    return rows.join(F.broadcast(first), "part").select("doc_id", "text", (F.col("first") + F.col("row")).alias("place")), n
+
+
+def pack_in_order(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = GROUP_DOCS) -> DataFrame:
+    """As pack_documents, but a group is the next `group_docs` documents in the order of docs, and sequence_id rises along it."""
+    rows, n = _placed(docs)
+    pieces = rows.mapInArrow(_tokenise(path or tokenizer_path(), capacity, end_id), PIECES + ", place long")
+    groups = max(1, -(-n // group_docs))
+    return pieces.repartition(groups, F.floor(F.col("place") / group_docs)).mapInArrow(_pack_ranges(capacity, group_docs), PACKED)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(common.table(spark, sf_dir, "documents"))

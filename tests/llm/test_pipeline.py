@@ -4,7 +4,7 @@ import re
 import pytest
 
 import corpus_pipeline as cp
-from gatehouse.llm import neardup, pii, toxicity
+from gatehouse.llm import mixing, neardup, packing, pii, toxicity
 from tests.llm.conftest import SCHEMA
 from tests.llm.test_classifiers import tables
 from tests.llm.test_neardup import brute
@@ -59,3 +59,42 @@ def test_empty_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0 and neardup.WORDS == 5 and re.match(r"\w+", cp.STAGES[0][0])
+
+
+def test_sequences_of_run_follow_the_schedule(spark, folder, tmp_path, monkeypatch):
+    """Groups of packing are contiguous ranges of the mixed order, so every prefix of groups has the schedule's source shares."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(20, 60))), "en", "x" if k % 4 else "y", 0) for k in range(1200)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").where("doc_id < 0").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(cp.toxicity, "train", lambda docs, labels: None)
+    monkeypatch.setattr(cp.toxicity, "filter_toxic", lambda docs, model: docs)
+    monkeypatch.setattr(packing, "GROUP_DOCS", 128)
+    got = cp.run(spark, str(tmp_path)).collect()
+    place = {r["doc_id"]: r["position"] for r in mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    source = {r[0]: r[3] for r in rows}
+    groups = {}
+    for r in got:
+        groups.setdefault(r["sequence_id"] >> 33, set()).add(r["doc_id"])
+    assert {r["doc_id"] for r in got} == set(place) and list(range(10)) == sorted(groups)
+    done = 0
+    for g in range(10):
+        assert {place[i] for i in groups[g]} == set(range(128 * g, min(1200, 128 * (g + 1))))
+        done += sum(source[i] == "y" for i in groups[g])
+        if g < 6:  # before y ends: 300 to 900 documents, weights 1 to the root of 3
+            assert abs(done - 128 * (g + 1) / (1 + 3**0.5)) < mixing.BLOCK
+    by_seq = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == sum(x["length"] for x in by_seq.setdefault(r["sequence_id"], []))
+        by_seq[r["sequence_id"]].append(r)
+    means = [(s >> 33, sum(place[r["doc_id"]] for r in own) / len(own)) for s, own in sorted(by_seq.items())]
+    assert means == sorted(means) and all(sum(r["length"] for r in own) <= packing.CAPACITY for own in by_seq.values())
+
+
+def test_packing_in_the_order_of_partitions(spark, odd):
+    df = spark.range(300).selectExpr("id AS doc_id", "'a few words' AS text").repartition(7, "doc_id").sortWithinPartitions("doc_id")
+    order = [r["doc_id"] for r in df.collect()]
+    got = packing.pack_in_order(df, group_docs=50).collect()
+    assert len(got) == 300 and all({r["doc_id"] for r in got if r["sequence_id"] >> 33 == g} == set(order[50 * g : 50 * g + 50]) for g in range(6))
+    assert packing.pack_in_order(odd).count() == 6
