@@ -5,7 +5,8 @@ secrets after a key word, long hexadecimal keys, and persons' names after a titl
 keyed hash (HMAC-SHA256) of its type and normal form, so an entity has one surrogate in all documents (coreference). It
 keeps the format: separators, lengths, letter case, the script and gender of a name, a valid Luhn digit where there
 was one. Numbers, and the letters and digits of addresses and secrets, go through a keyed Feistel permutation of all
-values of their shape, so different entities stay different by construction; names are drawn. Collisions are checked over
+values of their shape, so different entities stay different by construction; names are drawn, the surname from the surname alone and the
+given name from gender and given name, so "Mr Smith" or "Dr Smith" has the surname that "Mr John Smith" has. Collisions are checked over
 the whole corpus: an entity whose surrogate is another's, or is an entity that occurs itself, is drawn again until none is. Names get longer
 with each attempt, and what is still not settled at the attempt GROWN is drawn longer than its shape. A surname alone, later in the
 same document, becomes the surname of its surrogate. A secret without letters or digits, such as a row of asterisks, is no entity.
@@ -170,18 +171,30 @@ def script(name: str) -> str:
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 or 0x1F00 <= c < 0x2000 else "latin"
 
 
-def _person(key: bytes, value: str, attempt: int) -> str:
-    """value: gender and name. A given name of the same gender and script, a made-up surname; a single name is a surname."""
+def _surname(key: bytes, value: str, attempt: int) -> str:
+    """A made-up surname of the same script, from the surname alone."""
+    syllables = SYLLABLES[script(value)]
+    return "".join(syllables[b % len(syllables)] for b in _draw(key, "surname", value, attempt, 3 + attempt)).capitalize()
+
+
+def _given(key: bytes, value: str, attempt: int) -> str:
+    """value: gender and given name. A given name of the same gender and script; one more is joined to it with each attempt."""
+    gender, name = value.split(":", 1)
+    pool = GIVEN[script(name), gender]
+    return "".join(pool[b % len(pool)] for b in _draw(key, "given", value, attempt, 1 + attempt)).capitalize()
+
+
+def _parts(value: str) -> list[tuple[str, str]]:
+    """The entities that a name is made of: its surname and, where it has one, its given name with the gender."""
     gender, name = value.split(":", 1)
-    parts = name.split()
-    s = script(name)
-    draw = _draw(key, "name", value, attempt, 4 + attempt)
-    syllables = SYLLABLES[s]
-    surname = "".join(syllables[b % len(syllables)] for b in draw[1:]).capitalize()
-    if len(parts) == 1:
-        return surname
-    given = GIVEN[s, gender]
-    return " ".join([given[draw[0] % len(given)], *[p for p in parts[1:-1] if p in PARTICLES], surname])
+    words = name.split()
+    return [("surname", words[-1])] + ([("given", f"{gender}:{words[0]}")] if len(words) > 1 else [])
+
+
+def _person(key: bytes, value: str, attempts: dict[tuple[str, str], int]) -> str:
+    """value: gender and name. Surname and given name each have their surrogate; a single name is a surname."""
+    made = [surrogate(k, v, attempts.get((k, v), 0), key) for k, v in _parts(value)]
+    return " ".join([*made[1:], *[p for p in value.split(":", 1)[1].split()[1:-1] if p in PARTICLES], made[0]])
 
 
 def normal(kind: str, value: str, title: str = "") -> str:
@@ -218,7 +231,11 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     if kind == "iban":
         return value[:2] + "".join(_DIGITS[b % 10] if c in _DIGITS else chr(65 + b % 26) for c, b in zip(value[2:], _draw(key, kind, value, attempt, len(value) - 2), strict=True))
     if kind == "name":
-        return _person(key, value, attempt)
+        return _person(key, value, dict.fromkeys(_parts(value), attempt))
+    if kind == "surname":
+        return _surname(key, value, attempt)
+    if kind == "given":
+        return _given(key, value, attempt)
     return _alike(key, kind, value, attempt)
 
 
@@ -250,7 +267,16 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if all(b <= x or a >= y for x, y, _, _ in out):
                 title = re.match(r"\w+", m[0])[0] if kind == "name" else ""
                 out.append((a, b, kind, normal(kind, text[a:b], title)))
-    return sorted(out)
+    return _one_gender(sorted(out))
+
+
+def _one_gender(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Spans where a name after a title without gender has the gender that the same full name has elsewhere in the text, if it is only one."""
+    genders: dict[str, set[str]] = {}
+    for _, _, kind, value in spans:
+        if kind == "name" and value[0] != "n":
+            genders.setdefault(value[2:], set()).add(value[0])
+    return [(a, b, k, min(genders[v[2:]]) + v[1:] if k == "name" and v[0] == "n" and len(genders.get(v[2:], ())) == 1 else v) for a, b, k, v in spans]
 
 
 def replace(text: str, attempts: dict[tuple[str, str], int] | None = None, key: bytes = KEY) -> tuple[str, int]:
@@ -260,7 +286,7 @@ def replace(text: str, attempts: dict[tuple[str, str], int] | None = None, key:
         return text, 0
     out, at, surnames, count = [], 0, {}, 0
     for a, b, kind, value in spans:
-        made = surrogate(kind, value, (attempts or {}).get((kind, value), 0), key)
+        made = _person(key, value, attempts or {}) if kind == "name" else surrogate(kind, value, (attempts or {}).get((kind, value), 0), key)
         out += [text[at:a], _dress(kind, text[a:b], made)]
         at = b
         count += 1
@@ -280,7 +306,8 @@ def _mentions(key: bytes):
             ids, kinds, values, made = [], [], [], []
             seen: set = set()
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for _, _, kind, value in find(text.as_py() or ""):
+                found = find(text.as_py() or "")
+                for kind, value in (x for _, _, k, v in found for x in (_parts(v) if k == "name" else [(k, v)])):
                     if (doc_id, kind, value) not in seen:
                         seen.add((doc_id, kind, value))
                         ids.append(doc_id)
@@ -302,11 +329,11 @@ def _again(key: bytes):
 
 
 def _collisions(table: DataFrame) -> DataFrame:
-    """Entities (kind, value, attempt) whose surrogate another one keeps, or that occurs as an entity itself."""
+    """Entities (kind, value, attempt) whose surrogate another one keeps, or that occurs as an entity itself. A given name may: its surname's surrogate doesn't."""
     first = table.groupBy("kind", "made").agg(F.min("value").alias("keeper"), F.max("value").alias("most")).where("keeper <> most")
     shared = table.join(first.select("kind", "made", "keeper"), ["kind", "made"]).where("value <> keeper").select("kind", "value", "attempt")
     bare = F.when(F.col("kind") == "name", F.expr("substring(value, 3)")).otherwise(F.col("value"))
-    own = table.select("kind", bare.alias("made")).distinct()
+    own = table.where("kind <> 'given'").select("kind", bare.alias("made")).distinct()
     return shared.unionByName(table.join(own, ["kind", "made"], "left_semi").select("kind", "value", "attempt")).distinct()
 
 

@@ -79,3 +79,19 @@ def test_masked_and_non_ascii_secrets_and_full_shapes_end(spark):
     assert len({*made, *secrets}) == 2 * len(secrets) and all(r["n_replaced"] == 1 for k, r in got.items() if k)
     calls = {r["text"] for k, r in got.items() if k >= 1000}
     assert len(calls) == 100 and not calls & {t for _, t in rows}
+
+
+def test_titled_mentions_of_a_person_agree(spark):
+    texts = ["Mr John Smith met Mr Smith; Dr Smith and Smith agreed.", "Dr Smith came before Mr John Smith.", "Dr John Smith, that is Mr John Smith.", "Mrs Anna Smith and Mr John Smith, then Mr Smith, Smith."]
+    crowd = [(100 + k, f"Mr G{chr(97 + k % 26)}{chr(97 + k // 26)}en Smith and Ms S{chr(97 + k % 26)}{chr(97 + k // 26)}er.") for k in range(300)]
+    rows = [*enumerate(texts), *crowd]
+    made = {r["doc_id"]: r["text"] for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    names = lambda t: [v[2:] for _, _, k, v in pii.find(t) if k == "name"]
+    john, surname = names(made[0])[0], names(made[0])[0].split()[-1]
+    assert surname != "Smith" and made[0] == f"Mr {john} met Mr {surname}; Dr {surname} and {surname} agreed."
+    assert made[1] == f"Dr {surname} came before Mr {john}." and made[2] == f"Dr {john}, that is Mr {john}."
+    assert made[3].endswith(f"{surname} and Mr {john}, then Mr {surname}, {surname}.")
+    people = [names(made[k])[0] for k, _ in crowd]
+    others = [names(made[k])[1] for k, _ in crowd]
+    assert len({*people, john}) == 301 and all(p.split()[-1] == surname for p in people)
+    assert len({*others, surname}) == 301 and not {*others, surname} & {"Smith", *[names(t)[1] for _, t in crowd]}
