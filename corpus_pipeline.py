@@ -16,14 +16,23 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group linked at a similarity of 0.8; documents without words or doc_id stay."""
-    found = neardup.near_duplicates(docs, threshold=80)
-    kept = docs.join(common.cut(found.where("not kept and doc_id is not null").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    """One document, the smallest doc_id, of each group linked at a similarity of 0.8; documents without words or doc_id stay.
+
+    Rows that repeat a doc_id and its text count once. Where a doc_id has different texts, each of them is a document of its own.
+    """
     again = common.cut(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
     if not again.limit(1).count():
-        return kept
-    # rows that repeat a doc_id and its text
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+        found = neardup.near_duplicates(docs, threshold=80)
+        return docs.join(common.cut(found.where("not kept and doc_id is not null").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    single = docs.join(again, "doc_id", "left_anti")
+    docs = common.cut(single.select(*docs.columns).unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)))
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keys = docs.select("doc_id", row.alias("row")).where("doc_id is not null")
+    found = common.cut(neardup.near_duplicates(docs.select(row.alias("doc_id"), "text"), threshold=80).where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id"))
+    member = found.join(keys, "row").select("row", "component_id", F.struct("doc_id", "row").alias("at"))
+    first = member.groupBy("component_id").agg(F.min("at").alias("first"))
+    dropped = common.cut(member.join(first, "component_id").where("at <> first").select("row"))
+    return docs.withColumn("__row", row).join(dropped.withColumnRenamed("row", "__row"), "__row", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

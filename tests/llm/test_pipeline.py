@@ -98,3 +98,14 @@ def test_packing_in_the_order_of_partitions(spark, odd):
     got = packing.pack_in_order(df, group_docs=50).collect()
     assert len(got) == 300 and all({r["doc_id"] for r in got if r["sequence_id"] >> 33 == g} == set(order[50 * g : 50 * g + 50]) for g in range(6))
     assert packing.pack_in_order(odd).count() == 6
+
+
+def test_a_doc_id_with_a_copied_and_a_unique_text(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"t{rng.randrange(5000)}" for _ in range(n))
+    a, b, c, d = (prose(60) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, c), (6, c), (6, d), (9, d), (8, ""), (8, None), (None, a), (3, a + " end"), (2, prose(60))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    got = cp.near_duplicates_stage(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, [(1, a), (5, b), (6, c), (6, d), (8, ""), (8, None), (None, a), rows[-1]]))
