@@ -6,7 +6,8 @@ some thousand pieces: best-fit in decreasing order, then swap-based local search
 item, exchange one for one, exchange two for one — where each step raises the sum of squared fills, until bins empty
 or the group's lower bound is met. What crosses the network is a short row for each piece, never text or ids.
 
-Groups are dealt by hash. Where the order of the documents matters, as after mixing, pack_in_order makes them of contiguous
+Groups are dealt by hash. The emptiest bins of every group, up to `OFFERED`, are packed once more with those of other groups, `JOINED`
+groups at a time, until one group is left, so that what remains underfull doesn't grow with the number of groups. Where the order of the documents matters, as after mixing, pack_in_order makes them of contiguous
 ranges of the order instead, and numbers sequences along it.
 
 Nulls count as empty texts (the end id alone), repeated rows are packed each, an empty table gives no rows, and extra
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -31,6 +33,8 @@ from gatehouse.llm import common
 from gatehouse.llm.bytebpe import ByteBpe
 
 CAPACITY, END_ID, GROUP_DOCS = 1024, 2, 4096
+#: Bins that a group offers to other groups, and the groups that are packed together then.
+OFFERED, JOINED = 4, 64
 #: Bytes of text that are tokenised at once.
 PASS_BYTES = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -69,7 +73,7 @@ def _tokenise(path: str, capacity: int, end_id: int):
 
 
 TYPES = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
-PLACE = ("place", pa.int64())
+PLACE, OPEN = ("place", pa.int64()), ("open", pa.bool_())
 
 
 def _batch(rows: list[tuple], types: list[tuple]) -> pa.RecordBatch:
@@ -154,24 +158,36 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return local_search(best_fit(lengths, capacity), lengths, capacity)
 
 
-def _pack_group(capacity: int):
+def _pack_group(capacity: int, level: int = 0):
+    """Packs the rows of a task; the emptiest bins are marked open. Rows that come with a sequence_id are never packed into more sequences than they have."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = TaskContext.get().partitionId() << 33
+        group = (level << 58) + (TaskContext.get().partitionId() << 33)
         rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (r[0] is not None, r))
         short = [r for r in rows if r[3] < capacity]
+        lengths = [r[3] for r in short]
+        bins = pack(lengths, capacity)
+        if level:
+            had: dict[int, list[int]] = {}
+            for i, r in enumerate(short):
+                had.setdefault(r[5], []).append(i)
+            if len(bins) > len(had):
+                bins = local_search([list(b) for b in had.values()], lengths, capacity)
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        offered = set(sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: (fill[k], k))[:OFFERED])
         number, out = 0, []
-        for b in pack([r[3] for r in short], capacity):
+        for b in bins:
             at = 0
             for i in b:
-                out.append((*short[i], group + number, at))
-                at += short[i][3]
+                out.append((*short[i][:5], group + number, at, number in offered))
+                at += lengths[i]
             number += 1
         for r in rows:
             if r[3] >= capacity:
-                out.append((*r, group + number, 0))
+                out.append((*r[:5], group + number, 0, False))
                 number += 1
         for lo in range(0, len(out), 8192):
-            yield _batch(out[lo : lo + 8192], TYPES)
+            yield _batch(out[lo : lo + 8192], [*TYPES, OPEN])
 
     return run
 
@@ -206,7 +222,15 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     """A row for each piece with its place in a sequence. Groups hold about `group_docs` documents, of any input size."""
     pieces = tokenised_pieces(docs, path or tokenizer_path(), capacity, end_id)
     groups = max(1, -(-docs.select("doc_id").count() // group_docs))
-    return pieces.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32")).mapInArrow(_pack_group(capacity), PACKED)
+    packed = pieces.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32")).mapInArrow(_pack_group(capacity), f"{PACKED}, open boolean")
+    done, level = [], 0
+    while groups > 1:
+        packed, level = common.cut(packed), level + 1
+        done.append(packed.where("not open").drop("open"))
+        groups = -(-groups // JOINED)
+        offered = packed.where("open").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id")
+        packed = offered.repartition(groups, F.shiftright("sequence_id", 33)).mapInArrow(_pack_group(capacity, level), f"{PACKED}, open boolean")
+    return reduce(DataFrame.unionByName, [*done, packed.drop("open")])
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, int]:

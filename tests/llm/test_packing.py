@@ -59,3 +59,20 @@ def test_pieces_and_sequences(spark, docs, corpus, odd):
         assert [r["offset"] for r in mine] == [0, *np.cumsum([r["length"] for r in mine])[:-1]] and sum(r["length"] for r in mine) <= 1024
     assert len(by_seq) <= -(-sum(r["length"] for r in rows) // 1024) + 1
     assert packing.pack_documents(odd).count() == 6 and packing.pack_documents(odd.where("false")).count() == 0
+
+
+def test_open_sequences_are_packed_across_groups(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "JOINED", 4)
+    rng = random.Random(8)
+    df = spark.createDataFrame([(k, "word " * rng.randint(100, 480)) for k in range(400)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    one, many = (packing.pack_documents(df, group_docs=n).collect() for n in (4096, 24))
+    key = lambda rows: sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+    assert key(one) == key(many)
+    by_seq = defaultdict(list)
+    for r in sorted(many, key=lambda r: r["offset"]):
+        assert r["offset"] == sum(x["length"] for x in by_seq[r["sequence_id"]])
+        by_seq[r["sequence_id"]].append(r)
+    assert all(sum(r["length"] for r in own) <= 1024 for own in by_seq.values())
+    pieces, groups = packing.tokenised_pieces(df, packing.tokenizer_path()), -(-df.count() // 24)
+    alone = pieces.repartition(groups, packing.F.xxhash64("doc_id", "piece", "ids_crc32")).mapInArrow(packing._pack_group(1024), packing.PACKED + ", open boolean").select("sequence_id").distinct().count()
+    assert len(by_seq) < alone
