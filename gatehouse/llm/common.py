@@ -94,7 +94,7 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """Smallest id reachable from each end of `edges` (two long columns): rows (id, component_id).
 
     Labels move along edges to the neighbours and to the neighbours' labels, then every label is replaced by
@@ -106,7 +106,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     e = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = e.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("l")), F.struct(F.col("b").alias("id"), F.col("a").alias("l")))).alias("x")).groupBy("x.id").agg(F.min("x.l").alias("l"))
     labels = cut(labels)
-    for _ in range(max_rounds):
+    while True:  # labels only get smaller, so it ends
         la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
         both = e.join(la, "a").join(lb, "b").where("la <> lb")
         low, high = F.least("la", "lb"), F.greatest("la", "lb")
@@ -118,7 +118,6 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
         labels = new
         if not moved:
             return labels.select("id", F.col("l").alias("component_id"))
-    raise RuntimeError("labels did not settle")
 
 
 def dropped_names(df: DataFrame, *reserved: str) -> DataFrame:
@@ -126,4 +125,12 @@ def dropped_names(df: DataFrame, *reserved: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c in reserved])
 
 
-__all__ = ["PASS_BYTES", "Powers", "components", "cut", "dropped_names", "ensure_checkpoint_dir", "mix64", "partitions", "passes", "table", "utf8"]
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df has not, in any case of letters."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+__all__ = ["PASS_BYTES", "Powers", "components", "cut", "dropped_names", "ensure_checkpoint_dir", "free_name", "mix64", "partitions", "passes", "table", "utf8"]

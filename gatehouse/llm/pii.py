@@ -3,16 +3,18 @@
 Entities: e-mail addresses, IPv4 addresses, phone and card numbers, social security numbers, bank accounts (IBAN),
 secrets after a key word, long hexadecimal keys, and persons' names after a title. Each is replaced by a surrogate drawn from a
 keyed hash (HMAC-SHA256) of its type and normal form, so an entity has one surrogate in all documents (coreference). It
-keeps the format: separators, lengths, letter case, the script and gender of a name, a valid Luhn digit where there
-was one. Numbers, and the letters and digits of addresses and secrets, go through a keyed Feistel permutation of all
+keeps the format: separators, lengths, letter case, the script of letters and digits, the gender of a name, valid Luhn and IBAN check
+digits where there were. Numbers, and the letters and digits of addresses, accounts and secrets, go through a keyed Feistel permutation of all
 values of their shape, so different entities stay different by construction; names are drawn, the surname from the surname alone and the
 given name from gender and given name, so "Mr Smith" or "Dr Smith" has the surname that "Mr John Smith" has. Collisions are checked over
 the whole corpus: an entity whose surrogate is another's, or is an entity that occurs itself, is drawn again until none is. Names get longer
-with each attempt, and what is still not settled at the attempt GROWN is drawn longer than its shape. A surname alone, later in the
+with each attempt, and what is still not settled at the attempt GROWN is drawn longer than its shape. A surname alone, anywhere else in the
 same document, becomes the surname of its surrogate. A secret without letters or digits, such as a row of asterisks, is no entity.
+Decimal digits of any script are digits: a number has one surrogate however it is written, in the digits of the mention.
 
-Null and empty texts stay as they are; repeated rows get the same text; all columns pass through; an empty table gives no
-rows. n_chars, where the table has it, becomes the new text's.
+Null and empty texts stay as they are; repeated rows get the same text; very long texts and values cost time in proportion to their
+length; of mentions that overlap the one of the earlier type in PATTERNS counts, of one type the first; all columns pass through, whatever
+their names; an empty table gives no rows. n_chars, where the table has it, becomes the new text's.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import hmac
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
@@ -76,6 +79,7 @@ PATTERNS: list[tuple[str, Callable[[str], bool], re.Pattern]] = [
     ("key", lambda t: True, re.compile(r"(?<![0-9a-zA-Z])(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9a-zA-Z])")),
     ("name", lambda t: any(x in t for xs in TITLES.values() for x in xs), re.compile(rf"\b(?:{_titles})\b\.?\s+(?P<v>{_NAME}(?:[ \t]+(?:(?:{'|'.join(PARTICLES)})[ \t]+)*{_NAME})?)")),
 ]
+_WORD = re.compile(r"\w+")
 _SOME_DIGITS = re.compile(r"\d\D{0,2}\d\D{0,2}\d|@|[0-9a-fA-F]{32}")
 _BY_TITLE = {t: g for g, ts in TITLES.items() for t in ts}
 
@@ -101,12 +105,22 @@ def permute(key: bytes, kind: str, number: int, size: int) -> int:
             return number
 
 
+def _digits(text: str) -> str:
+    """The decimal digits of a text, of any script, in ASCII."""
+    return "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
+
+
+def _written(like: str, digit: str) -> str:
+    """An ASCII digit in the script of another one."""
+    return digit if like.isascii() else chr(ord(like) - unicodedata.decimal(like) + int(digit))
+
+
 def _fill(like: str, digits: str) -> str:
-    """`like` with its digits replaced in order; digits beyond its own follow its last one."""
+    """`like` with its digits replaced in order, each in its script; digits beyond its own follow its last one."""
     it = iter(digits)
-    out = [next(it) if c in _DIGITS else c for c in like]
-    last = max(i for i, c in enumerate(like) if c in _DIGITS)
-    return "".join([*out[: last + 1], *it, *out[last + 1 :]])
+    out = [_written(c, next(it)) if c.isdecimal() else c for c in like]
+    last = max(i for i, c in enumerate(like) if c.isdecimal())
+    return "".join([*out[: last + 1], *(_written(like[last], d) for d in it), *out[last + 1 :]])
 
 
 def _luhn(digits: str) -> int:
@@ -130,10 +144,15 @@ def _longer(key: bytes, kind: str, value: str, attempt: int, size: int, pool: st
     return "".join(pool[b % len(pool)] for b in _draw(key, kind, value, attempt, size + attempt - GROWN + 1))
 
 
+def _kind(c: str) -> tuple[int, str, str]:
+    """What a character shares with those that may stand for it: 256 neighbours, category, and the script its name begins with."""
+    return ord(c) >> 8, unicodedata.category(c), unicodedata.name(c, "").partition(" ")[0]
+
+
 @cache
-def _block(block: int, category: str) -> str:
-    """The characters beyond ASCII of a category among 256 neighbours: a pool that keeps script and case."""
-    return "".join(c for c in map(chr, range(max(128, block << 8), (block + 1) << 8)) if unicodedata.category(c) == category)
+def _block(kind: tuple[int, str, str]) -> str:
+    """The characters beyond ASCII of a kind."""
+    return "".join(c for c in map(chr, range(max(128, kind[0] << 8), (kind[0] + 1) << 8)) if _kind(c) == kind)
 
 
 def _pool(c: str) -> tuple[str, str]:
@@ -142,28 +161,43 @@ def _pool(c: str) -> tuple[str, str]:
         return c, c
     if c.isascii():
         return (_DIGITS, "9") if c in _DIGITS else (_LOWER, "a") if c in _LOWER else (_LOWER.upper(), "A")
-    block, category = ord(c) >> 8, unicodedata.category(c)
-    return _block(block, category), f"{{{block:x}{category}}}"
+    kind = _kind(c)
+    return _block(kind), f"{{{kind}}}"
 
 
 def _alike(key: bytes, kind: str, text: str, attempt: int) -> str:
-    """Other characters of the same classes, by a permutation of all strings of that shape: hexadecimal stays so, letters keep script and case."""
+    """Other characters of the same classes, by a permutation of all strings of that shape: hexadecimal stays so, letters keep script and case.
+
+    Eight Feistel rounds over the two halves, each character moved within its own pool: linear in the length.
+    """
     if attempt >= GROWN and any(map(str.isalnum, text)):
         return _longer(key, kind, text, attempt, len(text), _LOWER)
-    if len(text) >= 8 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
+    if len(text) >= 8 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) and not text.isdecimal():
         pools = [(_HEX.upper(), "F") if text.isupper() else (_HEX, "f")] * len(text)
     else:
         pools = [_pool(c) for c in text]
-    number, size = 0, 1
-    for c, (pool, _) in zip(text, pools, strict=True):
-        number, size = number * len(pool) + pool.index(c), size * len(pool)
-    shape = "".join(name for _, name in pools)
-    number = permute(key, f"{kind}/{shape}/{attempt}", number, size)
-    out = []
-    for pool, _ in reversed(pools):
-        number, k = divmod(number, len(pool))
-        out.append(pool[k])
-    return "".join(reversed(out))
+    shape = hashlib.sha256("".join(name for _, name in pools).encode()).hexdigest()
+    sizes = [len(pool) for pool, _ in pools]
+    places = [pool.index(c) for c, (pool, _) in zip(text, pools, strict=True)]
+    half = len(places) // 2
+    parts, widths = [places[:half], places[half:]], [sizes[:half], sizes[half:]]
+    for r in range(8):
+        fixed, moved = parts[r % 2], 1 - r % 2
+        seed = hmac.new(key, f"{kind}/{shape}/{attempt}/{r}/{fixed}".encode(), hashlib.sha256).digest()
+        stream = hashlib.shake_256(seed).digest(4 * len(parts[moved]))
+        parts[moved] = [(x + int.from_bytes(stream[4 * k : 4 * k + 4], "big")) % n for k, (x, n) in enumerate(zip(parts[moved], widths[moved], strict=True))]
+    return "".join(pool[x] for x, (pool, _) in zip([*parts[0], *parts[1]], pools, strict=True))
+
+
+def _account(key: bytes, value: str, attempt: int) -> str:
+    """Another account of the same country and shape; as far as its check digits are from the valid ones, so are the new ones."""
+    off = (int(value[2:4]) - _iban_check(value[:2], value[4:])) % 100
+    body = _alike(key, f"iban{value[:2]}", value[4:], attempt).upper()
+    return f"{value[:2]}{(_iban_check(value[:2], body) + off) % 100:02d}{body}"
+
+
+def _iban_check(country: str, body: str) -> int:
+    return 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00".upper())) % 97
 
 
 def script(name: str) -> str:
@@ -197,16 +231,22 @@ def _person(key: bytes, value: str, attempts: dict[tuple[str, str], int]) -> str
     return " ".join([*made[1:], *[p for p in value.split(":", 1)[1].split()[1:-1] if p in PARTICLES], made[0]])
 
 
+def _lower(c: str) -> str:
+    """One character for one, so that places in an address stay."""
+    low = c.lower()
+    return low if len(low) == 1 else c
+
+
 def normal(kind: str, value: str, title: str = "") -> str:
     """An entity's normal form: what makes two mentions one entity."""
     if kind in ("card", "phone", "ssn"):
         country = re.match(r"\+(\d{1,3})[ .\-(]", value) if kind == "phone" else None
-        digits = "".join(c for c in value if c in _DIGITS)
-        return f"{country[1]}+{digits[len(country[1]) :]}" if country else digits
+        digits = _digits(value)
+        return f"{digits[: len(country[1])]}+{digits[len(country[1]) :]}" if country else digits
     if kind == "email":
-        return value.lower()
-    if kind == "iban":
-        return value.replace(" ", "")
+        return "".join(map(_lower, value))
+    if kind in ("ip", "iban"):
+        return "".join(_digits(c) or c for c in value if c != " ")
     if kind == "name":
         return f"{_BY_TITLE[title]}:{' '.join(value.split())}"
     return value
@@ -229,7 +269,7 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         host, _, end = domain.rpartition(".")
         return f"{_alike(key, 'email', local, attempt)}@{_alike(key, 'domain', host, 0)}.{end}"
     if kind == "iban":
-        return value[:2] + "".join(_DIGITS[b % 10] if c in _DIGITS else chr(65 + b % 26) for c, b in zip(value[2:], _draw(key, kind, value, attempt, len(value) - 2), strict=True))
+        return _account(key, value, attempt)
     if kind == "name":
         return _person(key, value, dict.fromkeys(_parts(value), attempt))
     if kind == "surname":
@@ -243,13 +283,19 @@ def _dress(kind: str, mention: str, made: str) -> str:
     """The surrogate in the mention's own format."""
     if kind in ("card", "phone", "ssn"):
         return _fill(mention, made.replace("+", ""))
+    if kind == "ip":
+        first = mention[0]
+        return "".join(c if c == "." else _written(first, c) for c in made)
     if kind == "iban":
-        it = iter(made)
-        return "".join(c if c == " " else next(it) for c in mention)
+        it, out = iter(made), []
+        for c in mention:
+            x = c if c == " " else next(it)
+            out.append(_written(c, x) if c.isdecimal() and x.isdecimal() else x)
+        return "".join([*out, *it])
     if kind == "email":
         if len(mention) != len(made):
             return made
-        return "".join(m.upper() if c.isupper() else m for c, m in zip(mention, made, strict=True))
+        return "".join(up if c.isupper() and len(up := m.upper()) == 1 else m for c, m in zip(mention, made, strict=True))
     return made
 
 
@@ -260,14 +306,18 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for kind, maybe, pattern in PATTERNS:
         if (kind not in ("name", "secret") and not numbers and "@" not in text) or not maybe(text):
             continue
+        new = []
         for m in pattern.finditer(text):
             a, b = m.span("v") if kind in ("secret", "name") else m.span()
             if kind == "secret" and not any(map(str.isalnum, m["v"])):
                 continue
-            if all(b <= x or a >= y for x, y, _, _ in out):
+            at = bisect_left(out, (a,))  # spans of earlier types are disjoint and sorted, so two neighbours tell
+            if (at == len(out) or b <= out[at][0]) and (at == 0 or out[at - 1][1] <= a):
                 title = re.match(r"\w+", m[0])[0] if kind == "name" else ""
-                out.append((a, b, kind, normal(kind, text[a:b], title)))
-    return _one_gender(sorted(out))
+                new.append((a, b, kind, normal(kind, text[a:b], title)))
+        if new:
+            out = sorted([*out, *new])
+    return _one_gender(out)
 
 
 def _one_gender(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
@@ -284,20 +334,22 @@ def replace(text: str, attempts: dict[tuple[str, str], int] | None = None, key:
     spans = find(text)
     if not spans:
         return text, 0
-    out, at, surnames, count = [], 0, {}, 0
+    made, surnames, count = [], {}, len(spans)
     for a, b, kind, value in spans:
-        made = _person(key, value, attempts or {}) if kind == "name" else surrogate(kind, value, (attempts or {}).get((kind, value), 0), key)
-        out += [text[at:a], _dress(kind, text[a:b], made)]
-        at = b
-        count += 1
+        made.append(_person(key, value, attempts or {}) if kind == "name" else surrogate(kind, value, (attempts or {}).get((kind, value), 0), key))
         if kind == "name":
-            surnames[value.split()[-1].split(":")[-1]] = made.split()[-1]
-    out.append(text[at:])
-    whole = "".join(out)
-    if surnames:
-        whole, n = re.subn(rf"\b(?:{'|'.join(map(re.escape, sorted(surnames, key=len, reverse=True)))})\b", lambda m: surnames[m[0]], whole)
-        count += n
-    return whole, count
+            surnames[value.split()[-1].split(":")[-1]] = made[-1].split()[-1]
+
+    def alone(m: re.Match) -> str:
+        nonlocal count
+        count += m[0] in surnames
+        return surnames.get(m[0], m[0])
+
+    out, at = [], 0
+    for (a, b, kind, _), new in zip([*spans, (len(text), len(text), "", "")], [*made, ""], strict=True):
+        out += [_WORD.sub(alone, text[at:a]) if surnames else text[at:a], _dress(kind, text[a:b], new)]
+        at = b
+    return "".join(out), count
 
 
 def _mentions(key: bytes):
@@ -352,10 +404,11 @@ def exceptions(mentions: DataFrame, key: bytes = KEY) -> DataFrame | None:
             return table.where("attempt > 0").select("kind", "value", "attempt")
 
 
-def _replaced(key: bytes, handed: dict[tuple[str, str], int]):
+def _replaced(key: bytes, handed: dict[tuple[str, str], int], counted: str | None, joined: bool = False):
+    """joined: the last column holds each row's own attempts."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            joined = b.schema.names[-1] == "_again"
             names = b.schema.names[:-1] if joined else b.schema.names
             each = b.column(b.num_columns - 1).to_pylist() if joined else [None] * b.num_rows
             texts, counts = [], []
@@ -369,29 +422,32 @@ def _replaced(key: bytes, handed: dict[tuple[str, str], int]):
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns["n_chars"].type)
-            columns["n_replaced"] = pa.array(counts, pa.int64())
+            if counted:
+                columns[counted] = pa.array(counts, pa.int64())
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """docs with every entity in text replaced, and n_replaced: how many mentions were.
+def with_surrogates(docs: DataFrame, key: bytes = KEY, counted: str | None = "n_replaced") -> DataFrame:
+    """docs with every entity in text replaced, and how many mentions were, in a column `counted` (which replaces one of that name; None adds none).
 
     The texts are read twice and aren't shuffled as long as at most HANDED entities collide; beyond that, those entities' mentions are
     joined to their documents.
     """
-    docs = common.dropped_names(docs, "n_replaced", "_again")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_replaced long"
+    if counted:
+        docs = common.dropped_names(docs, counted)
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *([f"`{counted}` long"] if counted else [])])
     mentions = common.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_mentions(key), "doc_id long, kind string, value string, made string"))
     again = exceptions(mentions, key)
     if again is None or again.count() <= HANDED:
         handed = {} if again is None else {(r["kind"], r["value"]): r["attempt"] for r in again.collect()}
-        return docs.mapInArrow(_replaced(key, handed), fields)
+        return docs.mapInArrow(_replaced(key, handed, counted), fields)
+    own, at = common.free_name(docs, "again"), common.free_name(docs, "id")
     kind = "array<struct<kind: string, value: string, attempt: int>>"
-    by_doc = mentions.select("doc_id", "kind", "value").distinct().join(again, ["kind", "value"]).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("kind", "value", "attempt")).cast(kind).alias("_again"))
-    rows = docs.join(common.cut(by_doc), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    return rows.select(*docs.columns, "_again").mapInArrow(_replaced(key, {}), fields)
+    by_doc = mentions.select("doc_id", "kind", "value").distinct().join(again, ["kind", "value"]).groupBy(F.col("doc_id").alias(at)).agg(F.collect_list(F.struct("kind", "value", "attempt")).cast(kind).alias(own))
+    rows = docs.join(common.cut(by_doc), F.col("doc_id").cast("long").eqNullSafe(F.col(at)), "left")
+    return rows.select(*docs.columns, own).mapInArrow(_replaced(key, {}, counted, True), fields)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

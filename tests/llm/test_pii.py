@@ -1,3 +1,8 @@
+import random
+import sys
+import time
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from gatehouse.llm import pii
@@ -59,7 +64,9 @@ def test_joined_and_handed_collisions_give_the_same_texts(spark, monkeypatch):
 def test_whole_tables(spark, odd):
     df = odd.withColumn("text", F.when(F.col("text").isNotNull(), F.concat("text", F.lit(" a.b@c.example.org"))))
     got = pii.with_surrogates(df)
-    assert got.columns == [*[c for c in df.columns if c not in ("n_replaced", "_again")], "n_replaced"] and got.count() == 6
+    assert got.columns == [*[c for c in df.columns if c != "n_replaced"], "n_replaced"] and got.count() == 6
+    kept = pii.with_surrogates(df, counted=None)
+    assert kept.columns == df.columns and all(r["n_replaced"] == r["_again"] == "clash" for r in kept.collect())
     rows = got.collect()
     assert sum(r["n_replaced"] for r in rows) == 5 and all("a.b@c" not in (r["text"] or "") for r in rows) and any(r["text"] is None for r in rows)
     assert len({r["text"].split()[-1] for r in rows if r["text"]}) == 1 and all(r["n_chars"] == len(r["text"]) for r in rows if r["text"])
@@ -95,3 +102,69 @@ def test_titled_mentions_of_a_person_agree(spark):
     others = [names(made[k])[1] for k, _ in crowd]
     assert len({*people, john}) == 301 and all(p.split()[-1] == surname for p in people)
     assert len({*others, surname}) == 301 and not {*others, surname} & {"Smith", *[names(t)[1] for _, t in crowd]}
+
+
+def test_every_digit_script():
+    zeros = [c for c in range(sys.maxunicode + 1) if unicodedata.decimal(chr(c), -1) == 0]
+    assert len(zeros) > 50
+    for zero in zeros:
+        own = lambda t: "".join(chr(zero + int(c)) if c.isdecimal() else c for c in t)
+        for text in ("call +1 (314) 555-6532 now", "card 4111 1111 1111 1111 paid", "ssn 123-45-6789.", "pay 4111111111111111", "call 314-555-6532", "host 10.2.3.4 up", "DE89 3704 0044 0532 0130 00"):
+            ascii_made, n = pii.replace(text)
+            other = own(text) if text[0] not in "hD" else text[:2] + own(text[2:4]) + text[4:] if text[0] == "D" else text[:-4] + own(text[-4]) + text[-3:]
+            made, m = pii.replace(other)
+            assert n == m == 1 and pii._digits(made) == pii._digits(ascii_made), (hex(zero), text)
+            if text[0] not in "hD":  # each digit in the script of the mention
+                assert made == own(ascii_made)
+    for text in ("a\u0130b@x.com", "\u00df\u0130@x.org", "STRA\u00dfE@x.org"):
+        made, n = pii.replace(text)
+        assert n <= 1 and "@" in made
+
+
+def test_secrets_of_other_scripts_stay_apart_and_in_script():
+    rng = random.Random(3)
+    for first, n in ((0x430, 32), (0x4E00, 2000), (0x3B1, 17)):
+        values = {"".join(chr(first + rng.randrange(n)) for _ in range(8)) for _ in range(10_000)}
+        made = {pii.surrogate("secret", v) for v in values}
+        assert len(made) == len(values) and all(unicodedata.name(c).split()[0] == unicodedata.name(chr(first)).split()[0] for m in list(made)[:500] for c in m)
+
+
+def test_accounts_are_permuted_with_their_check_digits():
+    body = lambda k: f"3704004405{k:08d}"
+    valid = [f"DE{pii._iban_check('DE', body(k)):02d}{body(k)}" for k in range(3000)]
+    made = [pii.surrogate("iban", v) for v in valid]
+    assert len(set(made)) == 3000 and all(m[:2] == "DE" and m[2:].isdigit() and int(m[2:4]) == pii._iban_check("DE", m[4:]) for m in made)
+    odd = [pii.surrogate("iban", "DE00" + body(k)) for k in range(300)]
+    assert len(set(odd) | set(made)) == 3300 and all(int(m[2:4]) != pii._iban_check("DE", m[4:]) for m in odd)
+
+
+def test_long_texts_are_linear():
+    text = " ".join(f"u{k}.x@mail{k % 97}.example.org, Mr Anton Kolm{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}er" for k in range(100_000))
+    began = time.time()
+    spans = pii.find(text)
+    assert len(spans) == 200_000 and time.time() - began < 30
+    began = time.time()
+    made, n = pii.replace("password=" + "aB3" * 200_000)
+    assert n == 1 and len(made) == 600_009 and time.time() - began < 20
+
+
+def test_against_a_plain_version(spark, corpus):
+    rng = random.Random(11)
+    people = [f"{t} {g} {s}" for t in ("Mr", "Mrs", "Dr") for g in ("Anna", "Bo", "Karl") for s in ("Weber", "Stone", "Li", "van Dyk")]
+    bits = [*people, *(f"x{k}@mail.example.org" for k in range(40)), *(f"+1 3{k} 555-{k:04d}" for k in range(10, 50)), "card 4111 1111 1111 1111", "pwd=abc123", "pwd=abd123", "10.0.0.7", "10.0.0.8", "Weber", "Stone"]
+    rows = [(i, None if t is None else f"{t} {rng.choice(bits)} and {rng.choice(bits)}; {rng.choice(bits)}.") for i, t, *_ in corpus]
+    entities = {x for _, t in rows for _, _, k, v in pii.find(t or "") for x in (pii._parts(v) if k == "name" else [(k, v)])}
+    attempts = dict.fromkeys(entities, 0)
+    while True:  # whoever has another's surrogate, or an entity's own form, draws again; the smallest keeps it
+        made = {x: pii.surrogate(*x, n) for x, n in attempts.items()}
+        taken, values = {}, {x for x in entities if x[0] != "given"}
+        for (k, v), m in sorted(made.items()):
+            taken.setdefault((k, m), v)
+        again = [x for x, m in made.items() if taken[x[0], m] != x[1] or (x[0], m) in values]
+        if not again:
+            break
+        for x in again:
+            attempts[x] += 1
+    want = {i: None if t is None else pii.replace(t, {x: n for x, n in attempts.items() if n})[0] for i, t in rows}
+    got = {r["doc_id"]: r["text"] for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(want[i] != t for i, t in rows) > 50
