@@ -12,8 +12,11 @@ Weights: given by source, else in proportion to the source's documents to the po
 given weights gets the smallest of them. Weights are rounded to about 1/`PERIOD`, at least 1/`PERIOD`. The schedule costs
 sources x PERIOD for each phase and is made once, in one row; it is meant for up to some hundred sources.
 
+The bound holds within each phase: in every prefix of a phase each source is less than one block from its share among the sources
+that are left. Once a source has ended, the shares over the whole prefix are no longer those of the target weights.
+
 A null source is a source of its own. Repeated rows each get a place; ties in the hash order are broken by doc_id. Empty
-tables give no rows. Texts aren't read. Columns of the same names as those added are replaced.
+tables give no rows. mix() reads ids and sources only, so very long texts cost nothing; rows without doc_id share one hash bucket there.
 """
 
 from __future__ import annotations
@@ -65,17 +68,18 @@ def _key(source):
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
-def _ranked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, source, key and the document's number `idx` in its source's order; and the documents of each key."""
+def _ranked(docs: DataFrame, *ids: str) -> tuple[DataFrame, DataFrame]:
+    """The id columns, source, key and the document's number `idx` in its source's order; and the documents of each key. ids: doc_id, and a hash that orders rows without one."""
     n = docs.select("source").count()
     buckets = max(1, min(MAX_BUCKETS, n // BUCKET_ROWS))
-    base = docs.select("doc_id", "source").withColumns({"key": _key(F.col("source")), "h": F.xxhash64("doc_id")})
+    h = F.xxhash64("doc_id") if len(ids) == 1 else F.when(F.col("doc_id").isNull(), F.col(ids[1])).otherwise(F.xxhash64("doc_id"))
+    base = docs.select(*ids, "source").withColumns({"key": _key(F.col("source")), "h": h})
     base = base.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     counts = common.cut(base.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n")))
     before = counts.withColumn("before", F.sum("n").over(W.partitionBy("key").orderBy("bucket")) - F.col("n")).drop("n")
-    numbered = base.withColumn("rn", F.row_number().over(W.partitionBy("key", "bucket").orderBy("h", "doc_id")) - 1)
+    numbered = base.withColumn("rn", F.row_number().over(W.partitionBy("key", "bucket").orderBy("h", *ids)) - 1)
     ranked = numbered.join(before, ["key", "bucket"]).withColumn("idx", F.col("before") + F.col("rn"))
-    return ranked.select("doc_id", "source", "key", "idx"), counts.groupBy("key").agg(F.sum("n").alias("n"))
+    return ranked.select(*ids, "source", "key", "idx"), counts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def schedule(sizes: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, alpha: float = ALPHA) -> DataFrame:
@@ -102,21 +106,28 @@ def schedule(sizes: DataFrame, weights: Mapping[str | None, float] | None = None
     return made.select("key", "block", "slot", "release", "deadline", F.expr(f"slot * {block}L - aggregate(filter(lacks, x -> x.at < slot), 0L, (a, x) -> a + x.n)").alias("lead"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, source, block (of its source), slot, release, deadline and position, from 0 without gaps, of every row."""
-    ranked, sizes = _ranked(docs)
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, alpha: float = ALPHA, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The id columns, source, block (of its source), slot, release, deadline and position, from 0 without gaps, of every row."""
+    ranked, sizes = _ranked(docs, *ids)
     plan = schedule(sizes, weights, block, period, alpha)
     rows = ranked.withColumn("block", F.floor(F.col("idx") / block)).join(plan, ["key", "block"])
-    return rows.select("doc_id", "source", "block", "slot", "release", "deadline", (F.col("lead") + F.col("idx") % block).alias("position"))
+    return rows.select(*ids, "source", "block", "slot", "release", "deadline", (F.col("lead") + F.col("idx") % block).alias("position"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, in partitions and files that follow the mixed order."""
-    marked = docs.withColumn("__row", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))))
-    places = mix(docs, **options).select(F.col("doc_id").alias("__id"), F.col("position").alias("__position"))
-    places = places.withColumn("__at", F.row_number().over(W.partitionBy("__id").orderBy("__position")))
-    placed = marked.join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__at")))
-    return placed.repartitionByRange(common.partitions(docs.sparkSession), "__position").sortWithinPartitions("__position").select(*docs.columns)
+    """The rows of docs, in partitions and files that follow the mixed order; columns of any name pass through.
+
+    Places are made for a hash of the whole row, so rows without an id are spread like others, and joined to the rows once. Rows that are
+    equal in every column are joined as one, which gets all their places.
+    """
+    row, part = common.free_name(docs, "row"), common.free_name(docs, "place")
+    keyed = docs.withColumn(row, F.xxhash64(*[F.to_json(F.struct(c)) if "map" in t or "variant" in t else F.col(c) for c, t in docs.dtypes]))
+    places = common.cut(mix(keyed.select("doc_id", "source", row), ids=("doc_id", row), **options).select(row, F.col("position").alias(part)))
+    again = common.cut(places.groupBy(row).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(row))
+    if again.limit(1).count():
+        keyed = keyed.join(again, row, "left_anti").unionByName(keyed.join(again, row, "left_semi").dropDuplicates([row]))
+    placed = keyed.join(places, row)
+    return placed.repartitionByRange(common.partitions(docs.sparkSession), part).sortWithinPartitions(part).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
