@@ -109,3 +109,16 @@ def test_a_doc_id_with_a_copied_and_a_unique_text(spark):
     got = cp.near_duplicates_stage(spark, df, "")
     assert got.columns == df.columns
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, [(1, a), (5, b), (6, c), (6, d), (8, ""), (8, None), (None, a), rows[-1]]))
+
+
+def test_stages_pass_columns_of_any_name(spark, folder):
+    """Rows without ids or texts and columns with the names that stages and operators use themselves."""
+    names = ["_again", "n_replaced", "__row", "_row", "row", "_place", "__id", "__position", "__at", "position", "key", "h", "idx", "component_id", "kept", "toxic", "grade", "at", "node"]
+    rows = [(1, "mail a@b.example.org now"), (1, "mail a@b.example.org now"), (None, "mail c@d.example.org"), (None, None), (4, ""), (5, "plain words " * 30)]
+    df = spark.createDataFrame([(i, t, "en", "s" if k % 2 else None, len(t or "")) for k, (i, t) in enumerate(rows)], SCHEMA).selectExpr("*", *[f"'clash' AS `{n}`" for n in names])
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, df, folder)
+        assert got.columns == df.columns, name
+        assert all(r[n] == "clash" for r in got.collect() for n in names)
+        assert got.count() == (5 if name == "near_duplicates" else 6), name
+    assert cp.packing_stage(spark, df, folder).count() == 6
