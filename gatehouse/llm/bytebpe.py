@@ -3,13 +3,17 @@
 Pre-tokens are found in numpy on the code points of a batch: runs of letters, of numbers, of other marks (each with one
 space before it), contractions, and white space. A pre-token's ids don't depend on its neighbours, so each distinct one is
 encoded once by the tokenizer library and kept in sorted arrays of its 64-bit hash; the batch's ids are then gathered.
+Added tokens of the tokenizer's file, such as its end of text, part a text as its own ends do and have their own id.
 """
 
 from __future__ import annotations
 
-import base64
+import json
+import os
+import re
 import sys
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
@@ -36,13 +40,14 @@ def _classes() -> np.ndarray:
 
 
 class ByteBpe:
-    def __init__(self, ranks_path: str):
-        import tiktoken
-        from public_tokenizers import PATTERN
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._encode = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self._tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            added = sorted((x["content"] for x in json.load(f)["added_tokens"]), key=len, reverse=True)
+        self._added, self._any_added = tuple(added), re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self._class = _classes()
         self._powers = common.Powers()
         self._forget()
@@ -96,7 +101,14 @@ class ByteBpe:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         codes = np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32)
         ends = np.cumsum(sizes)
-        cut = self.cuts(codes, (ends - sizes)[sizes > 0])
+        starts = (ends - sizes)[sizes > 0]
+        controls = self._controls(texts, ends - sizes) if any(x in whole for x in self._added) else np.zeros((0, 2), np.int64)
+        if len(controls):
+            starts = np.unique(np.concatenate([starts, controls[:, 0], controls[:, 1][controls[:, 1] < len(codes)]]))
+        cut = self.cuts(codes, starts)
+        if len(controls):  # a control string is one pre-token
+            inside = np.searchsorted(controls[:, 0], cut, side="left") - 1
+            cut = cut[(inside < 0) | (cut >= controls[np.maximum(inside, 0), 1])]
         up, down = self._powers.reach(len(codes) + 1)
         prefix = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
@@ -110,6 +122,11 @@ class ByteBpe:
         out = self._ids[np.arange(total[-1]) + np.repeat(self._at[slots][inverse] - total[:-1], counts)]
         return out, total[np.searchsorted(cut, np.concatenate([[0], ends]))]
 
+    def _controls(self, texts: list[str], starts: np.ndarray) -> np.ndarray:
+        """Where added tokens begin and end in the joined texts, in order."""
+        found = [(a + m.start(), a + m.end()) for t, a in zip(texts, starts.tolist(), strict=True) for m in self._any_added.finditer(t)]
+        return np.array(found, np.int64).reshape(-1, 2)
+
     def _find(self, keys: np.ndarray, where: np.ndarray, whole: str, cut: np.ndarray) -> np.ndarray:
         """Slots of sorted distinct keys; those not known are encoded and kept."""
         if len(self._hash) > KEPT:
@@ -120,7 +137,7 @@ class ByteBpe:
         new = np.flatnonzero(~known)
         if len(new):
             at = where[new]
-            got = [self._encode(whole[a:b].encode("utf-8", "replace")) for a, b in zip(cut[at].tolist(), cut[at + 1].tolist(), strict=True)]
+            got = [x.ids for x in self._tokenizer.encode_batch_fast([whole[a:b] for a, b in zip(cut[at].tolist(), cut[at + 1].tolist(), strict=True)], add_special_tokens=False)]
             sizes = np.array([len(g) for g in got], np.int64)
             first = len(self._at) - 1
             self._at = np.concatenate([self._at, self._at[-1] + np.cumsum(sizes)])
@@ -130,3 +147,9 @@ class ByteBpe:
             self._slot = np.insert(self._slot, into, np.arange(first, first + len(new)))
             pos = np.searchsorted(self._hash, keys)
         return self._slot[pos]
+
+
+@lru_cache(maxsize=2)
+def byte_bpe(path: str) -> ByteBpe:
+    """One for each worker, whose table later tasks use."""
+    return ByteBpe(path)

@@ -3,15 +3,16 @@
 Every document is tokenised (its ids, then the end id); one that is longer than a sequence is cut into full pieces, of
 which only the first may be shorter. Full pieces are sequences of their own. Shorter ones are packed within groups of
 some thousand pieces: best-fit in decreasing order, then swap-based local search between underfull bins — move one
-item, exchange one for one, exchange two for one — where each step raises the sum of squared fills, until bins empty
+item, or exchange one or two for one or two — where each step raises the sum of squared fills, until bins empty
 or the group's lower bound is met. What crosses the network is a short row for each piece, never text or ids.
 
 Groups are dealt by hash. The emptiest bins of every group, up to `OFFERED`, are packed once more with those of other groups, `JOINED`
-groups at a time, until one group is left, so that what remains underfull doesn't grow with the number of groups. Where the order of the documents matters, as after mixing, pack_in_order makes them of contiguous
-ranges of the order instead, and numbers sequences along it.
+groups at a time, until one group is left, so that what remains underfull doesn't grow with the number of groups. Where the order of the
+documents matters, as after mixing, pack_in_order makes groups of contiguous ranges of the order instead, and numbers sequences along it.
 
-Nulls count as empty texts (the end id alone), repeated rows are packed each, an empty table gives no rows, and extra
-columns are ignored. Within a group items are sorted before packing, so a recomputed task gives the same sequences.
+Nulls count as empty texts (the end id alone), very long texts are tokenised whole, repeated rows are packed each, an empty table gives
+no rows, and extra columns are ignored. Within a group items are sorted by all their fields before packing, so ties are settled and a
+recomputed task gives the same sequences. A control string of the tokenizer within a text is that token, as the library has it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import groupby
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatehouse.llm import common
-from gatehouse.llm.bytebpe import ByteBpe
+from gatehouse.llm.bytebpe import byte_bpe
 
 CAPACITY, END_ID, GROUP_DOCS = 1024, 2, 4096
 #: Bins that a group offers to other groups, and the groups that are packed together then.
-OFFERED, JOINED = 4, 64
+OFFERED, JOINED = 64, 16
 #: Bytes of text that are tokenised at once.
 PASS_BYTES = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -42,17 +43,17 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 
 def tokenizer_path() -> str:
-    """The ranks of the public 50k byte-level BPE: the vocabulary and merges of byte_bpe_50k.json, and so the same ids."""
+    """The public 50k byte-level BPE."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _tokenise(path: str, capacity: int, end_id: int):
     """Pieces of (doc_id, text); a third column, a document's place, is handed on with each piece."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path)
+        bpe = byte_bpe(path)
         for batch in batches:
             offsets = common.utf8(batch.column(1))[1]
             for lo, hi in common.passes(offsets, PASS_BYTES):
@@ -104,54 +105,78 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class Search:
+    """Swap-based local search between underfull bins. The least filled bin gives one or two items to a fuller bin and takes none, one or two
+    back, as the fuller bin is filled most by; each step raises the sum of squared fills. A bin from which no step leads waits until another
+    step is made. It ends at the lower bound or where no bin has a step."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.size, self.capacity = np.array(lengths, np.int64), capacity
+        self.bins = [list(b) for b in bins]
+        self.fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+        self.bin_of = np.zeros(len(lengths), np.int64)
+        for k, own in enumerate(self.bins):
+            self.bin_of[own] = k
+        self.live, self.least = sum(map(bool, self.bins)), -(-sum(lengths) // capacity)
+
+    def run(self) -> list[list[int]]:
+        waits = np.zeros(len(self.bins), bool)
+        while self.live > self.least:
+            able = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity) & ~waits)
+            if not len(able):
+                break
+            s = int(able[self.fill[able].argmin()])
+            moved = False
+            while self.bins[s] and self._step(s):
+                moved = True
+            if moved:
+                waits[:] = False
+            waits[s] = True
+        return [b for b in self.bins if b]
+
+    def _step(self, s: int) -> bool:
+        size, own = self.size, self.bins[s]
+        room = np.where((self.fill < self.capacity) & (self.fill >= self.fill[s]), self.capacity - self.fill, 0)
+        room[s] = 0
+        most = int(room.max())
+        if not most:
+            return False
+        single = np.flatnonzero(room[self.bin_of] > 0)
+        pairs = [(i, j) for t in np.flatnonzero(room).tolist() for i, j in combinations(self.bins[t], 2)]
+        first = np.array([*single.tolist(), *(i for i, _ in pairs)], np.int64)
+        second = np.array([*[-1] * len(single), *(j for _, j in pairs)], np.int64)
+        taken, fits = size[first] + np.where(second < 0, 0, size[second]), room[self.bin_of[first]]
+        gain, give, take, to = 0, (), (), -1
+        for items in [*((i,) for i in own), *combinations(own, 2)]:
+            n = int(size[list(items)].sum())
+            if len(items) == 1 and gain < n <= most:  # a move, to the bin that it fills best
+                able = np.flatnonzero(room >= n)
+                gain, give, take, to = n, items, (), int(able[room[able].argmin()])
+            if n > gain and len(first):
+                more = n - taken
+                more[(more < 0) | (more > fits)] = 0
+                k = int(more.argmax())
+                if more[k] > gain:
+                    gain, give, to = int(more[k]), items, int(self.bin_of[first[k]])
+                    take = tuple(int(x) for x in (first[k], second[k]) if x >= 0)
+            if gain == most:
+                break
+        if not gain:
+            return False
+        for items, at in ((take, s), (give, to)):
+            for i in items:
+                self.bins[self.bin_of[i]].remove(i)
+                self.bins[at].append(i)
+                self.bin_of[i] = at
+        self.fill[s] -= gain
+        self.fill[to] += gain
+        self.live -= not self.bins[s]
+        return True
+
+
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Empties the least filled bins by moves and exchanges that raise the sum of squared fills; stops at the lower bound or a local optimum."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(lengths) // capacity)
-    live = len(bins)
-    changed = True
-    while changed and live > least:
-        changed = False
-        order = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
-        for s in order:
-            for t in reversed(order):
-                if t == s or fill[t] < fill[s] or fill[t] >= capacity or not bins[s]:
-                    continue
-                step = _exchange(bins, fill, lengths, s, t, capacity)
-                if step:
-                    give, take = step
-                    bins[s] = [i for i in bins[s] if i not in give] + take
-                    bins[t] = [i for i in bins[t] if i not in take] + give
-                    moved = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                    fill[s] -= moved
-                    fill[t] += moved
-                    changed = True
-            if not bins[s]:
-                live -= 1
-                if live <= least:
-                    break
-    return [b for b in bins if b]
-
-
-def _exchange(bins, fill, lengths, s, t, capacity):
-    """The step from bin s to the fuller bin t that fills t most: one item, one for one, or two for one."""
-    room, best, gain = capacity - fill[t], None, 0
-    own = bins[s]
-    for i in own:
-        n = lengths[i]
-        if gain < n <= room:
-            best, gain = ([i], []), n
-        for j in bins[t]:
-            if gain < n - lengths[j] <= room:
-                best, gain = ([i], [j]), n - lengths[j]
-    if gain < room:
-        for x, i in enumerate(own):
-            for k in own[x + 1 :]:
-                n = lengths[i] + lengths[k]
-                for j in bins[t]:
-                    if gain < n - lengths[j] <= room:
-                        best, gain = ([i, k], [j]), n - lengths[j]
-    return best
+    """The bins after Search: never more than before."""
+    return Search(bins, lengths, capacity).run() if bins else []
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
