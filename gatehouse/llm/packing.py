@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from gatehouse.llm import common
 from gatehouse.llm.bytebpe import byte_bpe
 
-CAPACITY, END_ID, GROUP_DOCS = 1024, 2, 4096
+CAPACITY, END_ID = 1024, 2
+#: Documents of a group where their order counts, and where it does not.
+GROUP_DOCS, DEALT_DOCS = 4096, 16384
 #: Bins that a group offers to other groups, and the groups that are packed together then.
 OFFERED, JOINED = 64, 16
 #: Bytes of text that are tokenised at once.
@@ -243,7 +245,7 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(path, capacity, end_id), PIECES)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = DEALT_DOCS) -> DataFrame:
     """A row for each piece with its place in a sequence. Groups hold about `group_docs` documents, of any input size."""
     pieces = tokenised_pieces(docs, path or tokenizer_path(), capacity, end_id)
     groups = max(1, -(-docs.select("doc_id").count() // group_docs))
