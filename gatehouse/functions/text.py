@@ -1,7 +1,7 @@
 """The text profile: twenty features of a document as columns.
 
-Tokens, words and lines are split once, in a projection below the features, so that each is read from one array. All
-features stay in the JVM but the compression ratio, which has no built-in function.
+Character classes are counted by generated code in the JVM; what walks over tokens, words or lines comes from the counts of one Arrow function
+each, and the compression ratio from another, all in one pass of the text to Python. Only what the named features need is computed.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from gatehouse.functions import counts
 from gatehouse.functions import lexicon as X
 
 
@@ -39,29 +40,12 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"^{X.SPACE}+|{X.SPACE}+$", "")
 
 
-def matching(items: Column, test) -> Column:
-    return F.size(F.filter(items, test))
-
-
 def split(df: DataFrame, text: str = "text") -> DataFrame:
     """df with tokens, words and lines of a text column; null text counts as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
     return df.withColumns({text: t, "tokens": F.regexp_extract_all(t, F.lit(X.TOKEN), F.lit(0)), "words": F.regexp_extract_all(F.lower(t), F.lit(X.WORD), F.lit(0)), "lines": F.split(t, "\n", -1)})
 
 
-def top_bigram_share(tokens: Column) -> Column:
-    """Share of tokens under the most frequent bigram: hashes of the document's own bigrams are sorted and runs counted, without a shuffle."""
-    n = F.size(tokens)
-    pairs = F.array_sort(F.zip_with(F.slice(tokens, 1, n - 1), F.slice(tokens, 2, n - 1), lambda a, b: F.xxhash64(a, b)))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-
-    def step(s, h):
-        run = F.when(s["last"].eqNullSafe(h), s["run"] + 1).otherwise(1)
-        return F.struct(h.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
-
-    return F.when(n >= 2, share(F.aggregate(pairs, start, step, lambda s: s["most"]) * 2, n)).otherwise(0.0)
-
-
 @F.pandas_udf(DoubleType())
 def gzip_ratio(text: pd.Series) -> pd.Series:
     """Deflated bytes (level 6, without header and trailer) per UTF-8 byte; 0 for an empty text."""
@@ -76,37 +60,50 @@ def gzip_ratio(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+#: The counts that a feature is made from: in the column _<name> once counted() has run.
+COUNTED = {
+    "words": ("token_length", "mean_word_length", "type_token_ratio", "bigram_repetition", "stopword_fraction", "symbol_word_ratio", "mojibake_fraction"),
+    "pairs": ("top_ngram_fraction",),
+    "lines": ("dup_line_fraction", "bullet_line_fraction", "ellipsis_line_fraction", "short_line_fraction", "mean_line_length"),
+}
+
+
+def counted(df: DataFrame, names: Sequence[str], text: str = "text") -> DataFrame:
+    """df with null text as empty and the structs of counts that the named features need."""
+    df = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    return df.withColumns({f"_{k}": getattr(counts, k)(F.col(text)) for k, made in COUNTED.items() if set(made) & set(names)})
+
+
 def expressions(text: str = "text") -> dict[str, Column]:
-    """Feature name -> column, over the columns of split()."""
-    t, tokens, words, lines = F.col(text), F.col("tokens"), F.col("words"), F.col("lines")
-    chars, n_tok, n_words, n_lines = F.length(t), F.size(tokens), F.size(words), F.size(lines)
+    """Feature name -> column, over the columns of counted()."""
+    t, w, p, n = F.col(text), F.col("_words"), F.col("_pairs"), F.col("_lines")
+    chars = F.length(t)
     alpha = count(t, r"\p{L}")
-    stripped = F.filter(F.transform(lines, strip), lambda x: x != "")
     return {
         "char_length": chars.cast("double"),
-        "token_length": n_tok.cast("double"),
-        "mean_word_length": share(F.length(F.array_join(words, "")), n_words),
+        "token_length": w["tokens"].cast("double"),
+        "mean_word_length": share(w["word_chars"], w["words"]),
         "gzip_ratio": gzip_ratio(t),
-        "type_token_ratio": share(F.size(F.array_distinct(tokens)), n_tok),
-        "bigram_repetition": F.when(n_tok >= 2, share(matching(F.zip_with(F.slice(tokens, 1, n_tok - 1), F.slice(tokens, 2, n_tok - 1), lambda a, b: a == b), lambda x: x), n_tok - 1)).otherwise(0.0),
-        "top_ngram_fraction": top_bigram_share(tokens),
-        "dup_line_fraction": share(F.size(stripped) - F.size(F.array_distinct(stripped)), F.size(stripped)),
-        "stopword_fraction": share(matching(words, lambda w: w.isin(*X.PROFILE_STOPWORDS)), n_words),
+        "type_token_ratio": share(w["distinct"], w["tokens"]),
+        "bigram_repetition": F.when(w["tokens"] >= 2, share(w["repeats"], w["tokens"] - 1)).otherwise(0.0),
+        "top_ngram_fraction": share(p["top"] * 2, p["tokens"]),
+        "dup_line_fraction": share(n["full"] - n["distinct"], n["full"]),
+        "stopword_fraction": share(w["stop"], w["words"]),
         "alpha_fraction": share(alpha, chars),
         "digit_fraction": share(count(t, r"\p{Nd}"), chars),
         "punct_fraction": share(count(t, r"[^\p{L}\p{N}\p{IsWhite_Space}\x1c-\x1f]"), chars),
         "uppercase_fraction": share(count(t, r"\p{Lu}"), alpha),
         "non_ascii_fraction": share(count(t, r"[^\x00-\x7F]"), chars),
-        "symbol_word_ratio": share(occurrences(t, "#") + occurrences(t, "...") + occurrences(t, "…"), n_words),
-        "bullet_line_fraction": share(matching(lines, lambda x: x.rlike(rf"^{X.SPACE}*[-*•‣]")), n_lines),
-        "ellipsis_line_fraction": share(matching(lines, lambda x: x.rlike(rf"(\.\.\.|…){X.SPACE}*$")), n_lines),
-        "short_line_fraction": share(matching(F.transform(lines, strip), lambda x: (F.length(x) > 0) & (F.length(x) < 12)), n_lines),
-        "mean_line_length": share(chars - (n_lines - 1), n_lines),
-        "mojibake_fraction": share(count(t, "|".join(X.MOJIBAKE_SIGNS)), F.greatest(n_words, F.lit(1))),
+        "symbol_word_ratio": share(occurrences(t, "#") + occurrences(t, "...") + occurrences(t, "…"), w["words"]),
+        "bullet_line_fraction": share(n["bullets"], n["lines"]),
+        "ellipsis_line_fraction": share(n["ellipses"], n["lines"]),
+        "short_line_fraction": share(n["short"], n["lines"]),
+        "mean_line_length": share(chars - (n["lines"] - 1), n["lines"]),
+        "mojibake_fraction": share(count(t, "|".join(X.MOJIBAKE_SIGNS)), F.greatest(w["words"], F.lit(1))),
     }
 
 
 def features(df: DataFrame, names: Sequence[str] = X.FEATURES, text: str = "text") -> DataFrame:
     """df with the named feature columns added."""
     made = expressions(text)
-    return split(df, text).withColumns({n: made[n] for n in names}).drop("tokens", "words", "lines")
+    return counted(df, names, text).withColumns({n: made[n] for n in names}).drop(*[f"_{k}" for k in COUNTED])

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.checkpoints import cut
+from gatehouse.functions import counts
 from gatehouse.functions import lexicon as X
-from gatehouse.functions.stats import median, robust_z
+from gatehouse.functions.stats import robust_z
 from gatehouse.functions.text import clamp, gzip_ratio, occurrences, share
+from gatehouse.operators import outliers
 from gatehouse.operators.gates import Gate, parses
 
 
 def fit_gzip(clean: DataFrame) -> DataFrame:
     """One row: median and MAD of the compression ratio of clean texts (0.4 and 0.05 of none)."""
-    r = clean.select(gzip_ratio("text").alias("r"))
-    med = r.agg(F.coalesce(F.median("r"), F.lit(0.4)).alias("med"))
-    return r.crossJoin(F.broadcast(med)).groupBy("med").agg(median(F.abs(F.col("r") - F.col("med"))).alias("mad"))  # med is one row
+    one = outliers.fit(clean.select(F.lit("").alias("source"), gzip_ratio("text").alias("r")), ("r",)).where("pooled")
+    return one.agg(F.coalesce(F.max("med"), F.lit(0.4)).alias("med"), F.coalesce(F.max("mad"), F.lit(0.05)).alias("mad"))
 
 
 def gzip_signal(docs: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -25,25 +27,66 @@ def gzip_signal(docs: DataFrame, fitted: DataFrame) -> DataFrame:
 
 
 def _gopher(_: Gate):
-    t, words, tokens = F.col("text"), F.col("words"), F.col("tokens")
-    stop = share(F.size(F.filter(words, lambda w: w.isin(*X.PROFILE_STOPWORDS))), F.size(words))
-    symbols = share(occurrences(t, "#") + occurrences(t, "...") + occurrences(t, "…"), F.size(words))
-    links = occurrences(t, "http") / F.greatest(F.size(tokens), F.lit(1))
-    return {"stopword_deficit": F.lit(1.0) - F.least(F.lit(1.0), stop / 0.15), "symbols": 1.5 * symbols + 4 * links}
+    t, n = F.col("text"), F.col("_n")
+    symbols = share(occurrences(t, "#") + occurrences(t, "...") + occurrences(t, "…"), n["words"])
+    links = occurrences(F.lower(t), "http") / F.greatest(n["tokens"], F.lit(1))
+    return {"stopword_deficit": F.lit(1.0) - F.least(F.lit(1.0), share(n["stop"], n["words"]) / 0.15), "symbols": 1.5 * symbols + 4 * links}
 
 
-GOPHER = Gate("gopher", {"stopword_deficit": 1.0, "symbols": 1.0}, _gopher)
+GOPHER = Gate("gopher", {"stopword_deficit": 1.0, "symbols": 1.0}, _gopher, counts=counts.words)
 PARSE_ONLY = Gate("json", {"parse_fail": 1.0}, lambda _: {"parse_fail": F.when(parses(), 0.0).otherwise(1.0)}, reads="raw")
 
 
 def vocabulary(clean: DataFrame) -> DataFrame:
     """Distinct lower-cased words of clean texts."""
-    return clean.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(X.WORD), F.lit(0)))).alias("word")).distinct()
+    return clean.select(F.explode(F.array_distinct(_words())).alias("word")).distinct()
 
 
-def oov(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """doc_id, n_words, oov_share and the defect signal. Words are joined to the vocabulary once for each document and word."""
-    words = docs.select("doc_id", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(X.WORD), F.lit(0))).alias("word")).groupBy("doc_id", "word").agg(F.count("word").alias("n"))
-    known = words.join(vocab.withColumn("known", F.lit(True)), "word", "left")
-    out = known.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("miss"))
-    return out.select("doc_id", "n_words", share(F.col("miss"), F.col("n_words")).alias("oov_share"), clamp(2 * share(F.col("miss"), F.col("n_words"))).alias("s_oov"))
+def _words():
+    return F.regexp_extract_all(F.lower("text"), F.lit(X.WORD), F.lit(0))
+
+
+#: A vocabulary of so many words is handed to every task; a larger one is joined.
+HANDED_WORDS = 500_000
+
+
+def oov(docs: DataFrame, vocab: DataFrame, handed: int = HANDED_WORDS) -> DataFrame:
+    """doc_id, n_words, oov_share and the defect signal, for every row.
+
+    A vocabulary beyond `handed` words is joined with the words of each row, counted within the row; a common word is a hot key there, whose
+    rows the join's skew handling splits.
+    """
+    if vocab.limit(handed + 1).count() <= handed:
+        known = frozenset(r["word"] for r in vocab.collect())  # of a checked size
+        counted = docs.select("doc_id", counts.outside(known)(F.coalesce("text", F.lit(""))).alias("c")).select("doc_id", "c.*")
+    else:
+        row = cut(docs.select("doc_id", _words().alias("w")).withColumn("row", F.monotonically_increasing_id()))
+        words = row.select("row", F.explode("w").alias("word")).groupBy("row", "word").agg(F.count("word").alias("n"))
+        miss = words.join(vocab, "word", "left_anti").groupBy("row").agg(F.sum("n").alias("miss"))
+        counted = row.join(miss, "row", "left").select("doc_id", F.coalesce(F.size("w"), F.lit(0)).cast("long").alias("words"), F.coalesce("miss", F.lit(0)).alias("miss"))
+    part = share(F.col("miss"), F.col("words"))
+    return counted.select("doc_id", F.col("words").alias("n_words"), part.alias("oov_share"), clamp(2 * part).alias("s_oov"))
+
+
+def gzip_gate(fitted: DataFrame) -> Gate:
+    """The compression ratio as a gate; fitted: one row of fit_gzip()."""
+    r = fitted.first()
+    return Gate("gzip", {"anomaly": 1.0}, lambda _: {"anomaly": F.abs(robust_z(gzip_ratio(F.col("text")), F.lit(r["med"]), F.lit(r["mad"]))) / 4}, counts=None)
+
+
+def oov_gate(vocab: DataFrame, most: int = HANDED_WORDS) -> Gate:
+    """Words outside a vocabulary as a gate, weight 2; the vocabulary is handed to every task and may have `most` words."""
+    if vocab.limit(most + 1).count() > most:
+        raise ValueError(f"a gate's vocabulary has at most {most} words; oov() takes any")
+    known = frozenset(r["word"] for r in vocab.collect())
+    return Gate("dictionary", {"oov": 2.0}, lambda _: {"oov": 2 * share(F.col("_n")["miss"], F.col("_n")["words"])}, counts=counts.outside(known))
+
+
+def fitted_baselines(kind: str, clean: DataFrame) -> dict[str, Gate]:
+    """The baseline detectors of a modality by name, fitted on the texts of clean documents."""
+    common = {"gzip": gzip_gate(fit_gzip(clean))}
+    if kind == "html":
+        return {**common, "gopher": GOPHER}
+    if kind == "ocr":
+        return {**common, "ocr_dict": oov_gate(vocabulary(clean))}
+    return {**common, "parse_only": PARSE_ONLY}

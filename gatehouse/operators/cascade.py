@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatehouse.functions import lexicon as X
-from gatehouse.functions.text import clamp, count, expressions, split
+from gatehouse.functions.text import clamp, count, counted, expressions
 from gatehouse.operators.gates import GATES, Gate
 
 FILTER, REVIEW, RETAIN = 0, 1, 2
@@ -48,30 +48,35 @@ def governance_score(f: Mapping[str, Column], text: Column) -> Column:
     return clamp(base - F.lit(0.6) * F.least(F.lit(1), spam_hits(text)))
 
 
-def with_score(df: DataFrame, name: str = "governance_score") -> DataFrame:
-    """df with the governance score of its text."""
-    made = expressions()
-    parts = split(df).withColumns({f"_f_{k}": made[k] for k in SCORE_FEATURES})
-    score = governance_score({k: F.col(f"_f_{k}") for k in SCORE_FEATURES}, F.col("text"))
-    return parts.withColumn(name, score).drop("tokens", "words", "lines", *[f"_f_{k}" for k in SCORE_FEATURES])
+def with_score(df: DataFrame, name: str = "governance_score", where: Column | None = None) -> DataFrame:
+    """df with the governance score of its text; where: rows that need one, the texts of others aren't read."""
+    made = expressions("_scored")
+    parts = counted(df.withColumn("_scored", F.col("text") if where is None else F.when(where, F.col("text"))), SCORE_FEATURES, "_scored")
+    parts = parts.withColumns({f"_f_{k}": made[k] for k in SCORE_FEATURES})
+    score = governance_score({k: F.col(f"_f_{k}") for k in SCORE_FEATURES}, F.col("_scored"))
+    return parts.withColumn(name, score).drop("_scored", "_words", "_pairs", "_lines", *[f"_f_{k}" for k in SCORE_FEATURES])
+
+
+GATED = {"gate_quality": "double", "gate_passed": "boolean", "gate_flags": "array<string>", "extractor": "string"}
 
 
 def gated(docs: DataFrame, gates: Mapping[str, Gate] | None = None, config: Config | None = None) -> DataFrame:
-    """docs with gate_quality, gate_passed, gate_flags and extractor by modality. Each modality's rows run its gate alone; plain text has none."""
+    """docs with gate_quality, gate_passed, gate_flags and extractor by modality, in one reading. A gate gets the texts of its modality alone;
+    plain text has no gate."""
     config = config or Config()
     gates = dict(GATES if gates is None else gates)
-    known = F.col("modality").isin(*gates)
-    plain = docs.where(F.coalesce(~known, F.lit(True)))
-    parts = [plain.withColumns({"gate_quality": F.lit(1.0), "gate_passed": F.lit(True), "gate_flags": F.array().cast("array<string>"), "extractor": F.lit("surface@v1")})]
-    names = [*docs.columns, "gate_quality", "gate_passed", "gate_flags", "extractor"]
+    raw = F.col("raw") if "raw" in docs.columns else F.lit(None).cast("string")
+    so_far = {"gate_quality": F.lit(1.0), "gate_passed": F.lit(True), "gate_flags": F.array().cast("array<string>"), "extractor": F.lit("surface@v1")}
+    out = docs.drop(*GATED).withColumns({"_text": F.col("text"), "_record": raw, **{f"_{k}": v for k, v in so_far.items()}})
+    kept = [c for c in out.columns if c not in ("text", "raw")]
     for name, gate in gates.items():
         if name in config.gates:
             gate = gate.with_params({"threshold": config.gates[name]})
-        parts.append(gate.evaluate(docs.where(F.col("modality") == name)).withColumn("extractor", F.lit(f"{name}-gate@v1")).select(*names))
-    out = parts[0].select(*names)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        mine = F.coalesce(F.col("modality") == name, F.lit(False))
+        seen = gate.evaluate(out.withColumns({"text": F.when(mine, F.col("_text")), "raw": F.when(mine, F.col("_record"))})).withColumn("extractor", F.lit(f"{name}-gate@v1"))
+        out = seen.withColumns({f"_{k}": F.when(mine, F.col(k)).otherwise(F.col(f"_{k}")) for k in GATED}).select(*kept)
+    own = {"text": F.col("_text"), "raw": F.col("_record")}
+    return out.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns if c not in GATED], *[F.col(f"_{k}").cast(t).alias(k) for k, t in GATED.items()])
 
 
 def curate(docs: DataFrame, mode: str = "heuristic", gates: Mapping[str, Gate] | None = None, config: Config | None = None, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -81,7 +86,7 @@ def curate(docs: DataFrame, mode: str = "heuristic", gates: Mapping[str, Gate] |
     score, stage, reasons and risk to the rows it is given, which are the escalated ones only; without one they are marked for review.
     """
     config = config or Config()
-    rows = with_score(gated(docs, gates, config), "_score")
+    rows = with_score(gated(docs, gates, config), "_score", F.col("gate_passed"))
     s = F.col("_score")
     high, low = s >= F.lit(config.retain_above), s <= F.lit(config.filter_below)
     ask = F.lit(True) if mode == "judge" else (F.lit(False) if mode == "heuristic" else ~high & ~low)

@@ -71,12 +71,18 @@ class Climb:
     trajectory: list[dict]
 
 
-def hillclimb(gate: Gate, docs: DataFrame, kind: str, regime: str, config: ClimbConfig | None = None, eval_docs: DataFrame | None = None, opt_seeds: Sequence[int] = range(5), test_seeds: Sequence[int] = range(20, 25), ops: Sequence[str] | None = None, proposer=None) -> Climb:
-    """Regimes: "naive_recall", "naive_f1" (train slice, strictly better wins), else verified (penalised held-out objective, accepted on eval_docs)."""
+def hillclimb(gate: Gate, docs: DataFrame, kind: str, regime: str, config: ClimbConfig | None = None, eval_docs: DataFrame | None = None, opt_seeds: Sequence[int] = range(5), test_seeds: Sequence[int] = range(20, 25), ops: Sequence[str] | None = None, proposer=None, guard_docs: DataFrame | None = None) -> Climb:
+    """Regimes: "naive_recall", "naive_f1" (train slice, strictly better wins), else verified (penalised held-out objective, accepted on eval_docs).
+
+    False positives are held against guard_docs, clean documents of their own; without them against those of eval_docs. A proposer with
+    `failures` is told some documents that the gate judges wrongly.
+    """
     config = config or ClimbConfig()
     proposer = proposer or OfflineProposer(config.seed, config.step)
     own = verify.signals(gate, docs, kind, opt_seeds, ("train", "heldout"), ops).persist()
     test = own if eval_docs is None else verify.signals(gate, eval_docs, kind, test_seeds, ("train", "heldout"), ops).persist()
+    guard = None if guard_docs is None else gate.prepare(guard_docs).select(*[f"s_{k}" for k in gate.weights]).persist()
+    rates = lambda gates: None if guard is None else verify.guard_rates(guard, gates)
     trajectory = []
 
     def best(gates: list[Gate], which: str, by: str) -> tuple[int, float]:
@@ -86,20 +92,24 @@ def hillclimb(gate: Gate, docs: DataFrame, kind: str, regime: str, config: Climb
 
     def snapshot(i: int) -> None:
         r = {x["candidate_id"]: x for x in verify.objective(verify.score(test, [gate])).collect()}[0]
-        trajectory.append({"regime": regime, "iter": i, "recall_train": best([gate], "train", "recall")[1], "f1_heldout": r["f1"], "guard_fpr": r["fpr"]})
+        trajectory.append({"regime": regime, "iter": i, "recall_train": best([gate], "train", "recall")[1], "f1_heldout": r["f1"], "guard_fpr": r["fpr"] if guard is None else rates([gate]).first()["guard_fpr"] or 0.0})
 
     snapshot(0)
     naive = {"naive_recall": "recall", "naive_f1": "f1"}.get(regime)
     for i in range(1, config.iterations + 1):
+        if hasattr(proposer, "failures"):
+            proposer.failures = verify.misjudged(gate, docs, kind, config.seed + i, ops)
         proposals = proposer.propose_many(gate, config.population)
         if naive:
             top, value = best([gate, *proposals], "train", naive)
             gate = [gate, *proposals][top]
         else:
             top, _ = best(proposals, "heldout", "objective")
-            if verify.accepted(verify.score(test, [gate, proposals[top]]), 0, 1, delta=config.min_gain, eps=config.guard_tolerance).accept:
+            if verify.accepted(verify.score(test, [gate, proposals[top]]), 0, 1, delta=config.min_gain, eps=config.guard_tolerance, guard=rates([gate, proposals[top]])).accept:
                 gate = proposals[top]
         snapshot(i)
     own.unpersist()
     test.unpersist()
+    if guard is not None:
+        guard.unpersist()
     return Climb(gate, regime, trajectory)

@@ -13,15 +13,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.functions import lexicon as X
-from gatehouse.functions.text import clamp, count, matching, occurrences, share, split, strip
+from gatehouse.functions import counts
+from gatehouse.functions.text import clamp, count, share, split
 
 FLAG_AT = 0.5
 
 
 @dataclass(frozen=True)
 class Gate:
-    """A gate's parameters: weights by signal, in order, and a threshold. signals: columns by name, over split() of the text."""
+    """A gate's parameters: weights by signal, in order, and a threshold. signals: columns by name, over split() of the text, or over the
+    struct _n where `counts` makes one of the text."""
 
     name: str
     weights: Mapping[str, float]
@@ -29,6 +30,7 @@ class Gate:
     threshold: float = 0.5
     reads: str = "text"
     schema: Mapping[str, str] = field(default_factory=dict)
+    counts: Callable[[Column], Column] | None = None
 
     def params(self) -> dict[str, float]:
         return {**self.weights, "threshold": self.threshold}
@@ -46,6 +48,8 @@ class Gate:
         cols = {f"s_{k}": clamp(v) for k, v in self.signals(self).items()}
         if self.name == "json":
             return json_columns(df).withColumns(cols).drop("_raw", "_v", "_rest", "_fold")
+        if self.counts:
+            return df.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_n", self.counts(F.col("text"))).withColumns(cols).drop("_n")
         return split(df).withColumns(cols).drop("tokens", "words", "lines")
 
     def channels(self) -> dict[str, Column]:
@@ -64,59 +68,25 @@ def combine(qualities: list[Column]) -> Column:
     return F.coalesce(F.least(*qualities), F.lit(1.0)) if len(qualities) > 1 else F.coalesce(*qualities, F.lit(1.0))
 
 
-def nonprose_share(lines: Column) -> Column:
-    """Lines that look like menus: at most eight words, no closing mark, few function words. One such line is allowed."""
-    full = F.filter(F.transform(lines, strip), lambda x: x != "")
-
-    def bad(x):
-        w = F.regexp_extract_all(x, F.lit(X.TOKEN), F.lit(0))
-        few = matching(w, lambda v: F.lower(v).isin(*X.HTML_STOPWORDS)) / F.size(w) < 0.2
-        return (F.size(w) <= 8) & ~x.rlike(r"[.?!:;]$") & few
-
-    return share(F.greatest(F.lit(0), matching(full, bad) - 1), F.size(full))
-
-
 def _html(_: Gate) -> dict[str, Column]:
-    t, lines = F.col("text"), F.col("lines")
-    low, n_lines, chars = F.lower(t), F.size(lines), F.greatest(F.length(t), F.lit(1))
-    tag_chars = F.length(t) - F.length(F.regexp_replace(t, X.TAG, ""))
-    code = sum((occurrences(low, c.lower()) for c in X.CODE_TOKENS), F.lit(0))
-    phrases = sum((occurrences(low, p) for p in X.BOILERPLATE_TRAIN), F.lit(0))
-    stop = share(matching(F.col("words"), lambda w: w.isin(*X.HTML_STOPWORDS)), F.size("words"))
+    n, chars = F.col("_n"), F.greatest(F.length("text"), F.lit(1))
     return {
-        "markup_leak": tag_chars / chars * 6 + (count(t, X.HTML_ENTITY) + code) / n_lines,
-        "boilerplate_leak": phrases / n_lines * 2.0,
-        "link_density": count(t, X.LINK) / n_lines,
-        "nonprose_lines": nonprose_share(lines) * 1.2,
-        "stopword_deficit": F.lit(1.0) - F.least(F.lit(1.0), stop / 0.12),
+        "markup_leak": n["tag_chars"] / chars * 6 + n["marks"] / n["lines"],
+        "boilerplate_leak": n["phrases"] / n["lines"] * 2.0,
+        "link_density": n["links"] / n["lines"],
+        "nonprose_lines": share(F.greatest(F.lit(0), n["menu"] - 1), n["full"]) * 1.2,  # one line like a menu is allowed
+        "stopword_deficit": F.lit(1.0) - F.least(F.lit(1.0), share(n["stop"], n["words"]) / 0.12),
     }
 
 
-_V = "[" + X.VOWELS + "]"
-_G = "[" + "".join("\\" + c if c in "|^~" else c for c in X.NOISE_GLYPHS) + "]"
-
-
-def garbage(token: Column) -> Column:
-    """An implausible token of three letters or more: no vowel, a vowel share out of range, a run of four, or a capital inside."""
-    letters = F.regexp_replace(token, r"[^\p{L}\p{Nl}\p{No}]", "")
-    n = F.length(letters)
-    vowels = F.length(letters) - F.length(F.regexp_replace(letters, _V, ""))
-    inner = F.substring(letters, F.lit(2), n - 2)
-    capital = (inner != F.lower(inner)) & (letters != F.upper(letters))
-    return (n >= 3) & (~token.rlike(_V) | ((n >= 4) & ((vowels / n < 0.18) | (vowels / n > 0.85))) | token.rlike(r"(\p{L})\1{3}") | capital)
-
-
 def _ocr(_: Gate) -> dict[str, Column]:
-    t, tokens, lines = F.col("text"), F.col("tokens"), F.col("lines")
-    n_tok, n_lines, chars = F.greatest(F.size(tokens), F.lit(1)), F.size(lines), F.greatest(F.length(t), F.lit(1))
-    has_letter = lambda x: x.rlike(r"[\p{L}\p{Nl}\p{No}]")
-    tiny = matching(tokens, lambda x: (F.length(x) <= 2) & has_letter(x) & ~F.lower(x).isin(*X.SHORT_WORDS))
+    n, tokens, chars = F.col("_n"), F.greatest(F.col("_n")["tokens"], F.lit(1)), F.greatest(F.length("text"), F.lit(1))
     return {
-        "garbage_rate": matching(tokens, garbage) / n_tok * 2.5,
-        "confusion_rate": (matching(tokens, lambda x: has_letter(x) & x.rlike(r"\p{Nd}")) + matching(tokens, lambda x: x.isin("1", "0", "l", "|", "I"))) / n_tok * 3.0,
-        "broken_word": matching(lines, lambda x: x.rlike(f"-{X.SPACE}*$")) / n_lines * 2.0 + tiny / n_tok * 3.0,
-        "mojibake": matching(tokens, lambda x: x.rlike(r"[^\x00-\x7F]")) / n_tok * 5.0 + count(t, "�") / n_tok * 8.0,
-        "line_noise": matching(tokens, lambda x: x.rlike(_G)) / n_tok * 5.0 + count(t, _G) / chars * 30.0,
+        "garbage_rate": n["garbage"] / tokens * 2.5,
+        "confusion_rate": n["confused"] / tokens * 3.0,
+        "broken_word": n["hyphens"] / n["lines"] * 2.0 + n["tiny"] / tokens * 3.0,
+        "mojibake": n["foreign"] / tokens * 5.0 + count(F.col("text"), "�") / tokens * 8.0,
+        "line_noise": n["noisy"] / tokens * 5.0 + n["glyphs"] / chars * 30.0,
     }
 
 
@@ -203,8 +173,8 @@ def infer_schema(records: DataFrame, raw: str = "raw", order: str = "doc_id", re
     return best.crossJoin(F.broadcast(n)).where(F.col("n_records") >= F.lit(required) * F.greatest("records", F.lit(1))).select("key", F.coalesce("kind", F.lit("string")).alias("kind"), "n_records")
 
 
-HTML = Gate("html", {"markup_leak": 2.0, "boilerplate_leak": 1.6, "link_density": 1.6, "nonprose_lines": 1.4, "stopword_deficit": 0.8}, _html)
-OCR = Gate("ocr", {"garbage_rate": 1.5, "confusion_rate": 1.1, "broken_word": 1.0, "mojibake": 1.4, "line_noise": 0.8}, _ocr)
+HTML = Gate("html", {"markup_leak": 2.0, "boilerplate_leak": 1.6, "link_density": 1.6, "nonprose_lines": 1.4, "stopword_deficit": 0.8}, _html, counts=counts.html)
+OCR = Gate("ocr", {"garbage_rate": 1.5, "confusion_rate": 1.1, "broken_word": 1.0, "mojibake": 1.4, "line_noise": 0.8}, _ocr, counts=counts.ocr)
 JSON = Gate("json", {"parse_fail": 2.0, "truncated": 1.5, "schema_missing": 1.4, "type_mismatch": 1.2, "empty_value": 1.6}, _json, reads="raw")
 GATES: dict[str, Gate] = {g.name: g for g in (HTML, OCR, JSON)}
 

@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gatehouse.checkpoints import cut
+from gatehouse.functions.order import ranked
 from gatehouse.functions.text import share
 
 
+#: Shares of the documents that go to the judge.
+FRACTIONS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.85, 1.0)
+
+
 def hits(test: Column) -> Column:
     return F.coalesce(F.sum(test.cast("int")), F.lit(0))
 
@@ -35,20 +40,17 @@ def binary_prf(pred: Column, gold: Column) -> dict[str, Column]:
     return {"precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": f1(tp, fp, fn)}
 
 
-def budget_curve(judged: DataFrame, fractions: Sequence[float] = (0.0, 0.15, 0.3, 0.5, 0.7, 0.85, 1.0)) -> DataFrame:
+def budget_curve(judged: DataFrame, fractions: Sequence[float] = FRACTIONS) -> DataFrame:
     """Macro-F1 when a share of documents, centred in the score order, goes to the judge. judged: doc_id, score, judge_label, gold.
 
-    Documents below that band are filtered, above it retained. Ranks come from running counts over score buckets and an order within
-    them, so that no task holds all documents.
+    Documents below that band are filtered, above it retained. Ranks are by (score, doc_id), over ranges, so that neither a task nor a score
+    that many documents have holds them all.
     """
     spark = judged.sparkSession
+    judged = cut(judged)
     n = judged.count()
-    buckets = max(1, n // 20_000)
-    keyed = judged.withColumn("bucket", F.least(F.floor(F.col("score") * buckets), F.lit(buckets - 1)))
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.withColumn("before", F.sum("size").over(W.orderBy("bucket")) - F.col("size")).select("bucket", "before")
-    ranked = keyed.join(F.broadcast(before) if buckets <= 100_000 else before, "bucket").withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("bucket").orderBy("score", "doc_id")) - 1)
+    ordered = ranked(judged, "score", "doc_id")
     # k is frac * n rounded half to even, as the driver rounds it
     bands = spark.createDataFrame([(float(f), (n - round(f * n)) // 2, (n - round(f * n)) // 2 + round(f * n)) for f in fractions], "fraction double, low long, high long")
-    routed = ranked.crossJoin(F.broadcast(bands)).withColumn("pred", F.when(F.col("rank") < F.col("low"), 0).when(F.col("rank") >= F.col("high"), 2).otherwise(F.col("judge_label")))
+    routed = ordered.crossJoin(F.broadcast(bands)).withColumn("pred", F.when(F.col("rank") < F.col("low"), 0).when(F.col("rank") >= F.col("high"), 2).otherwise(F.col("judge_label")))
     return routed.groupBy("fraction").agg(macro_f1(F.col("pred"), F.col("gold")).alias("macro_f1"), agreement(F.col("pred"), F.col("gold")).alias("agreement"), hits((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).alias("judge_calls"))

@@ -1,7 +1,8 @@
 """The mutation oracle: known defects injected into clean documents.
 
 Draws are hashes of (seed, document, operator, counter), so a document's mutation does not depend on others or on
-partitioning. Operators that draw from a vocabulary take its "train" or its "heldout" slice.
+partitioning. Operators that draw from a vocabulary take its "train" or its "heldout" slice. Seed and slice may be columns: a mutation set over
+many of them reads the documents once, and each row evaluates only the operator it has drawn.
 """
 
 from __future__ import annotations
@@ -26,6 +27,24 @@ SLICES = {
 }
 
 
+def split_vocab(items: Sequence, rate: float = 0.25, seed: int = 0) -> dict[str, tuple]:
+    """A vocabulary of one's own in a train and a held-out slice, by a hash of its entries; at least one entry is held out."""
+    order = sorted(items, key=lambda x: (hashlib.md5(f"{seed}|{x}".encode()).hexdigest(), str(x)))
+    n = max(1, round(len(order) * rate))
+    return {"heldout": tuple(order[:n]), "train": tuple(order[n:])}
+
+
+def _slice(which) -> Column:
+    return which if isinstance(which, Column) else F.lit(which)
+
+
+def _from(vocabulary: str, which, n: Column) -> Column:
+    """A drawn entry of the slice that a row asks for."""
+    if not isinstance(which, Column):
+        return pick(SLICES[vocabulary][which], n)
+    return F.when(which == "train", pick(SLICES[vocabulary]["train"], n)).otherwise(pick(SLICES[vocabulary]["heldout"], n))
+
+
 def _upto(n: Column) -> Column:
     return F.sequence(F.lit(1).cast("long"), n.cast("long"))
 
@@ -46,7 +65,7 @@ def tag_inject(text: Column, seed, key: Column, which: str) -> Column:
 def nav_boilerplate(text: Column, seed, key: Column, which: str) -> Column:
     light = F.pmod(draw(seed, key, "light"), F.lit(10)) < 3
     n = F.when(light, F.pmod(draw(seed, key, "few"), F.lit(2)) + 1).otherwise(F.pmod(draw(seed, key, "many"), F.lit(5)) + 4)
-    chrome = F.transform(_upto(n), lambda k: F.initcap(pick(SLICES["boilerplate"][which], draw(seed, key, "phrase", k))))
+    chrome = F.transform(_upto(n), lambda k: F.initcap(_from("boilerplate", which, draw(seed, key, "phrase", k))))
     half = F.floor(n / 2).cast("int")
     head = F.slice(chrome, F.lit(1), F.greatest(F.lit(1), half))
     tail = F.slice(chrome, half + 1, F.size(chrome))
@@ -69,19 +88,18 @@ def _coin(seed: int, key: str, what: str, k: int) -> int:
 
 def charsub(text: Column, seed, key: Column, which: str) -> Column:
     """Each confusion in turn, left to right, replaces every other occurrence by chance. The passes depend on one another: an Arrow function."""
-    pairs = SLICES["ocr"][which]
 
     @F.pandas_udf(StringType())
-    def run(text: pd.Series, seed: pd.Series, key: pd.Series) -> pd.Series:
-        def one(t: str, s: int, d: str) -> str:
-            for n, (a, b) in enumerate(pairs):
+    def run(text: pd.Series, seed: pd.Series, key: pd.Series, which: pd.Series) -> pd.Series:
+        def one(t: str, s: int, d: str, w: str) -> str:
+            for n, (a, b) in enumerate(SLICES["ocr"][w]):
                 parts = t.split(a)
                 t = parts[0] + "".join((b if _coin(s, d, f"sub{n}", k) % 2 else a) + p for k, p in enumerate(parts[1:]))
             return t
 
-        return pd.Series([one(t or "", int(s), d) for t, s, d in zip(text, seed, key, strict=True)])
+        return pd.Series([None if t is None else one(t, int(s), d, w) for t, s, d, w in zip(text, seed, key, which, strict=True)])
 
-    return run(text, (seed if isinstance(seed, Column) else F.lit(seed)).cast("long"), key.cast("string"))
+    return run(text, (seed if isinstance(seed, Column) else F.lit(seed)).cast("long"), key.cast("string"), _slice(which))
 
 
 def wordbreak(text: Column, seed, key: Column, which: str) -> Column:
@@ -138,7 +156,7 @@ def schema_break(raw: Column, seed, key: Column, which: str) -> Column:
                 value[name] = None
             return json.dumps(value, ensure_ascii=False)
 
-        return pd.Series([one(r or "", int(s), d) for r, s, d in zip(raw, seed, key, strict=True)])
+        return pd.Series([None if r is None else one(r, int(s), d) for r, s, d in zip(raw, seed, key, strict=True)])
 
     return run(raw, (seed if isinstance(seed, Column) else F.lit(seed)).cast("long"), key.cast("string"))
 
@@ -149,11 +167,11 @@ def delimiter(raw: Column, seed, key: Column, which: str) -> Column:
 
 
 def risk(text: Column, seed, key: Column, which: str) -> Column:
-    return F.concat(text, F.lit("\n"), pick(SLICES["risk"][which], draw(seed, key, "risk")), F.lit("."))
+    return F.concat(text, F.lit("\n"), _from("risk", which, draw(seed, key, "risk")), F.lit("."))
 
 
 def contradiction(text: Column, seed, key: Column, which: str) -> Column:
-    return F.concat(text, F.lit(" "), pick(SLICES["contradiction"][which], draw(seed, key, "contra")), F.lit("."))
+    return F.concat(text, F.lit(" "), _from("contradiction", which, draw(seed, key, "contra")), F.lit("."))
 
 
 CORRUPTORS = {
@@ -162,29 +180,32 @@ CORRUPTORS = {
     "json": {"truncate": truncate, "schema_break": schema_break, "delimiter": delimiter},
     "content": {"risk": risk, "contradiction": contradiction},
 }
+ARROW = (charsub, schema_break)
 
 
-def corrupt(docs: DataFrame, kind: str, seed: int, which: str = "heldout", ops: Sequence[str] | None = None) -> DataFrame:
-    """docs, each with one drawn operator applied (to raw for json, else to text), and operator, slice and seed."""
+def _corrupted(rows: DataFrame, kind: str, seed, which, ops: Sequence[str] | None, hit: Column | None = None) -> DataFrame:
+    """rows with a drawn operator applied where `hit`, and its name as operator."""
     pool = {k: CORRUPTORS[kind][k] for k in ops or CORRUPTORS[kind]}
     key = F.col("doc_id")
-    drawn = docs.withColumn("operator", pick(list(pool), draw(seed, key, "operator")))
+    drawn = pick(list(pool), draw(seed, key, "operator"))
+    rows = rows.withColumn("operator", drawn if hit is None else F.when(hit, drawn))
     target = "raw" if kind == "json" else "text"
     before = F.coalesce(F.nullif(F.col("raw"), F.lit("")), F.col("text")) if kind == "json" else F.col("text")
-    # each operator runs on its own rows only: the Arrow functions would otherwise see all of them
-    parts = [drawn.where(F.col("operator") == name).withColumn(target, op(before, seed, key, which)) for name, op in pool.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumns({"slice": F.lit(which), "seed": F.lit(seed)})
-
-
-def mutation_set(docs: DataFrame, kind: str, seeds: Sequence[int], slices: Sequence[str] = ("heldout",), ops: Sequence[str] | None = None) -> DataFrame:
-    """For every seed and slice each document clean (defect 0) and corrupted (defect 1)."""
-    out = None
-    for s in seeds:
-        for w in slices:
-            clean = docs.withColumns({"operator": F.lit(None).cast("string"), "slice": F.lit(w), "seed": F.lit(s), "defect": F.lit(0)})
-            part = clean.unionByName(corrupt(docs, kind, s, w, ops).withColumn("defect", F.lit(1)))
-            out = part if out is None else out.unionByName(part)
-    return out
+    made = F.col(target)
+    for name, op in pool.items():
+        mine = F.coalesce(F.col("operator") == name, F.lit(False))
+        # an Arrow function is asked about every row, but gets the texts of its own rows alone
+        made = F.when(mine, op(F.when(mine, before) if op in ARROW else before, seed, key, which)).otherwise(made)
+    return rows.withColumn(target, made)
+
+
+def corrupt(docs: DataFrame, kind: str, seed: int, which: str = "heldout", ops: Sequence[str] | None = None) -> DataFrame:
+    """docs, each with one drawn operator applied (to raw for json, else to text), and operator, slice and seed."""
+    return _corrupted(docs, kind, seed, which, ops).withColumns({"slice": F.lit(which), "seed": F.lit(seed)})
+
+
+def mutation_set(docs: DataFrame, kind: str, seeds: Sequence[int], slices: Sequence[str] = ("heldout",), ops: Sequence[str] | None = None, clean: bool = True) -> DataFrame:
+    """For every seed and slice each document corrupted (defect 1) and, if wanted, clean (defect 0), in one reading of docs."""
+    wanted = [F.struct(F.lit(int(s)).alias("seed"), F.lit(w).alias("slice"), F.lit(d).alias("defect")) for s in seeds for w in slices for d in ((0, 1) if clean else (1,))]
+    rows = docs.select("*", F.explode(F.array(*wanted)).alias("_m")).select(*docs.columns, "_m.seed", "_m.slice", "_m.defect")
+    return _corrupted(rows, kind, F.col("seed"), F.col("slice"), ops, F.col("defect") == 1)

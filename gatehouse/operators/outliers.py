@@ -1,60 +1,82 @@
 """Cohort outliers by robust z over the text profile.
 
-Features are unpivoted once and grouped by (source, feature) and by feature; a document is held against its cohort's median
-and MAD, or the pooled ones if its cohort was unseen or is smaller than min_cohort. The statistics are a small table
-(cohorts x features) that can be kept and reused as a reference window.
+A document is held against its cohort's median and MAD, or the pooled ones if its cohort was unseen or is smaller than min_cohort. Medians are
+exact and made of ranges of counted values, so that neither a hot cohort nor the pooled one meets in a task. The statistics are a small table
+(cohorts x features) that can be kept and reused as a reference window; documents are scored row by row, without a shuffle of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.checkpoints import cut
 from gatehouse.functions import lexicon as X
-from gatehouse.functions.stats import median, robust_z, std
+from gatehouse.functions.order import quantiles
+from gatehouse.functions.stats import robust_z, std
 
 Z, MIN_COHORT = 3.5, 12
+#: So many rows of statistics, or cohorts, are broadcast; more are joined by key.
+SMALL = 50_000
+_GROUP = ("pooled", "source", "feature")
 
 
 def unpivot(features: DataFrame, names: Sequence[str] = X.FEATURES) -> DataFrame:
-    return features.unpivot(["doc_id", "source"], list(names), "feature", "value")
+    return features.unpivot(["source"], list(names), "feature", "value")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def fit(features: DataFrame, names: Sequence[str] = X.FEATURES) -> DataFrame:
-    """source (null: pooled), feature, n, med, mad."""
-    long = unpivot(features, names)
-    both = long.select("source", "feature", "value", F.explode(F.array(F.lit(False), F.lit(True))).alias("pooled")).withColumn("source", F.when(~F.col("pooled"), F.col("source")))
-    meds = both.groupBy("pooled", "source", "feature").agg(F.count(F.lit(1)).alias("n"), median(F.col("value")).alias("med"))
-    # two passes: the deviations need the medians. The table of medians is small, and the join is on its whole key
-    m = meds.select(F.col("pooled").alias("p"), F.col("source").alias("s"), F.col("feature").alias("f"), "n", "med")
-    dev = both.join(m, (F.col("pooled") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("feature") == F.col("f")))
-    return dev.groupBy("pooled", "source", "feature", "n", "med").agg(median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
+    """source (null: none, or pooled), pooled, feature, n, med, mad. The features are read once."""
+    counted = unpivot(features, names).groupBy("source", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    both = counted.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("pooled"), "source", "feature", F.col("value").cast("double").alias("value"), "n")
+    both = both.where("value IS NOT NULL").withColumn("source", F.when(~F.col("pooled"), F.col("source")))
+    tally = cut(both.groupBy(*_GROUP, "value").agg(F.sum("n").alias("n")))
+    meds = cut(quantiles(tally, _GROUP, med=0.5))
+    m = _small(meds.select(*[F.col(k).alias(f"_{k}") for k in _GROUP], F.col("n").alias("_n"), "med"))
+    held = tally.join(m, (F.col("pooled") == F.col("_pooled")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("feature") == F.col("_feature")))
+    deviations = held.groupBy(*_GROUP, F.abs(F.col("value") - F.col("med")).alias("value")).agg(F.sum("n").alias("n"), F.first("med").alias("med"))
+    mads = quantiles(deviations.select(*_GROUP, "value", "n"), _GROUP, mad=0.5).select(*[F.col(k).alias(f"_{k}") for k in _GROUP], "mad")
+    same = (meds["pooled"] == F.col("_pooled")) & meds["source"].eqNullSafe(F.col("_source")) & (meds["feature"] == F.col("_feature"))
+    return meds.join(mads, same).select(*_GROUP, "n", "med", "mad")
+
+
+def _by_feature() -> Column:
+    return F.map_from_entries(F.collect_list(F.struct("feature", F.struct("n", "med", "mad"))))
 
 
 def score(features: DataFrame, stats: DataFrame, z: float = Z, min_cohort: int = MIN_COHORT, names: Sequence[str] = X.FEATURES) -> DataFrame:
-    """doc_id, source, outlier_flags (in feature order), outlier_score (largest |z| of those flagged, else 0), is_outlier."""
-    long = unpivot(features, names)
-    own = stats.where(~F.col("pooled")).select(F.col("source").alias("s"), F.col("feature").alias("f"), "n", "med", "mad")
-    pool = stats.where("pooled").select(F.col("feature").alias("g"), F.col("med").alias("pmed"), F.col("mad").alias("pmad"))
-    held = long.join(own, F.col("source").eqNullSafe(F.col("s")) & (F.col("feature") == F.col("f")), "left").join(pool, F.col("feature") == F.col("g"))
-    small = F.coalesce(F.col("n"), F.lit(0)) < min_cohort
-    zs = F.abs(robust_z(F.col("value"), F.when(small, F.col("pmed")).otherwise(F.col("med")), F.when(small, F.col("pmad")).otherwise(F.col("mad"))))
-    place = F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]), F.col("feature"))
-    flagged = F.when(zs >= z, F.struct(place.alias("i"), F.col("feature").alias("name")))
-    out = held.groupBy("doc_id", "source").agg(F.sort_array(F.collect_list(flagged)).alias("hit"), F.max(F.when(zs >= z, zs)).alias("top"))
-    return out.select("doc_id", "source", F.transform("hit", lambda h: h["name"]).alias("outlier_flags"), F.coalesce("top", F.lit(0.0)).alias("outlier_score"), (F.size("hit") > 0).alias("is_outlier"))
+    """doc_id, source, outlier_flags (in feature order), outlier_score (largest |z| of those flagged, else 0), is_outlier, for every row."""
+    own = _small(stats.where(~F.col("pooled")).groupBy(F.col("source").alias("_source")).agg(_by_feature().alias("_own")))
+    pool = stats.where("pooled").agg(_by_feature().alias("_pool"))  # one row
+    held = features.join(own, F.col("source").eqNullSafe(F.col("_source")), "left").crossJoin(F.broadcast(pool))
+    zs = {}
+    for name in names:
+        a, p = F.col("_own")[name], F.col("_pool")[name]
+        use = F.when(F.coalesce(a["n"], F.lit(0)) < min_cohort, p).otherwise(a)
+        zs[name] = F.abs(robust_z(F.col(name).cast("double"), use["med"], use["mad"]))
+    flagged = held.withColumn("_z", F.array(*[F.when(v >= z, F.struct(v.alias("z"), F.lit(n).alias("name"))) for n, v in zs.items()]))
+    hit = F.array_compact("_z")
+    return flagged.select("doc_id", "source", F.transform(hit, lambda h: h["name"]).alias("outlier_flags"), F.coalesce(F.array_max(F.transform(hit, lambda h: h["z"])), F.lit(0.0)).alias("outlier_score"), (F.size(hit) > 0).alias("is_outlier"))
 
 
 def profile(features: DataFrame, z: float = Z, min_cohort: int = MIN_COHORT, names: Sequence[str] = X.FEATURES) -> DataFrame:
-    """Fit and score on one corpus."""
+    """Fit and score on one corpus, whose features are made once."""
+    features = cut(features.select("doc_id", "source", *names))
     return score(features, fit(features, names), z, min_cohort, names)
 
 
 def k_sigma(features: DataFrame, z: float = Z, names: Sequence[str] = X.FEATURES) -> DataFrame:
-    """doc_id and whether any feature with a deviation above 1e-9 is z deviations from the mean: the control detector."""
-    long = unpivot(features, names)
-    stats = long.groupBy("feature").agg(F.avg("value").alias("mean"), std(F.col("value")).alias("sd"))
-    hit = (F.col("sd") > 1e-9) & (F.abs(F.col("value") - F.col("mean")) / F.col("sd") >= z)
-    return long.join(F.broadcast(stats), "feature").groupBy("doc_id").agg(F.max(hit).alias("is_outlier"))  # one row for each feature
+    """doc_id and whether any feature with a deviation above 1e-9 is z deviations from the mean: the control detector, for every row."""
+    features = cut(features.select("doc_id", *names))
+    one = features.agg(*[F.struct(F.avg(n).alias("mean"), std(F.col(n)).alias("sd")).alias(f"_{n}") for n in names])
+    hit = F.lit(False)
+    for n in names:
+        s = F.col(f"_{n}")
+        hit = hit | F.coalesce((s["sd"] > 1e-9) & (F.abs(F.col(n) - s["mean"]) / s["sd"] >= z), F.lit(False))
+    return features.crossJoin(F.broadcast(one)).select("doc_id", hit.alias("is_outlier"))  # one row

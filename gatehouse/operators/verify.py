@@ -32,8 +32,7 @@ def signals(gate: Gate, docs: DataFrame, kind: str, seeds: Sequence[int], slices
     clean = gate.prepare(docs).select("doc_id", *cols)
     pairs = docs.sparkSession.createDataFrame([(int(s), w) for s in seeds for w in slices], "seed int, slice string")
     clean = clean.crossJoin(F.broadcast(pairs)).withColumn("defect", F.lit(0))  # seeds x slices rows
-    made = [mutation_set(docs, kind, [s], [w], ops).where("defect = 1") for s in seeds for w in slices]
-    bad = gate.prepare(reduce(DataFrame.unionByName, made)).select("doc_id", *cols, F.col("seed").cast("int").alias("seed"), "slice", "defect")
+    bad = gate.prepare(mutation_set(docs, kind, seeds, slices, ops, clean=False))
     return clean.select("doc_id", "seed", "slice", "defect", *cols).unionByName(bad.select("doc_id", "seed", "slice", "defect", *cols))
 
 
@@ -79,11 +78,29 @@ class Accept:
     reason: str
 
 
-def accept_rule(scores: DataFrame, incumbent: int, candidate: int, which: str = "heldout", delta: float = 0.005, eps: float = 0.005) -> DataFrame:
-    """One row: the paired gain over seeds, its lower bound, the change in false positives, and the verdict."""
+def guard_rates(guard: DataFrame, gates: Sequence[Gate]) -> DataFrame:
+    """candidate_id and guard_fpr: the share of clean documents that each candidate flags. guard: signals of clean documents, as of Gate.prepare()."""
+    names = list(gates[0].weights)
+    rows = guard.crossJoin(F.broadcast(candidates(guard.sparkSession, gates)))
+    return rows.groupBy("candidate_id").agg(F.avg((_quality(names) < F.col("threshold")).cast("double")).alias("guard_fpr"))
+
+
+def misjudged(gate: Gate, docs: DataFrame, kind: str, seed: int, ops: Sequence[str] | None = None, limit: int = 4) -> list[str]:
+    """The beginnings of some documents that the gate judges wrongly, for a proposer to read."""
+    seen = gate.evaluate(mutation_set(docs, kind, [seed], ("heldout",), ops)).where(F.col("gate_passed") == (F.col("defect") == 1))
+    rows = seen.select("defect", F.substring(F.coalesce("raw", "text") if kind == "json" else F.col("text"), 1, 160).alias("t")).limit(limit).collect()
+    return [("missed defect: " if r["defect"] else "false alarm: ") + r["t"] for r in rows]
+
+
+def accept_rule(scores: DataFrame, incumbent: int, candidate: int, which: str = "heldout", delta: float = 0.005, eps: float = 0.005, guard: DataFrame | None = None) -> DataFrame:
+    """One row: the paired gain over seeds, its lower bound, the change in false positives, and the verdict. guard: guard_rates() to hold false
+    positives against instead of those of the scores."""
     side = lambda c, p: scores.where((F.col("slice") == which) & (F.col("candidate_id") == c)).select("seed", F.col("f1").alias(f"f1_{p}"), F.col("fpr").alias(f"fpr_{p}"))
     pair = side(incumbent, "a").join(side(candidate, "b"), "seed").withColumn("d", F.col("f1_b") - F.col("f1_a"))
     one = pair.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("d"), F.lit(0.0)).alias("delta_f1"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("sd"), F.coalesce(F.avg("fpr_b") - F.avg("fpr_a"), F.lit(0.0)).alias("delta_fpr"))
+    if guard is not None:
+        rate = lambda c: F.max(F.when(F.col("candidate_id") == c, F.col("guard_fpr")))
+        one = one.drop("delta_fpr").crossJoin(F.broadcast(guard.agg(F.coalesce(rate(candidate) - rate(incumbent), F.lit(0.0)).alias("delta_fpr"))))  # one row
     t = F.coalesce(F.create_map(*[x for k, v in T.items() for x in (F.lit(k), F.lit(v))])[F.col("n").cast("int")], F.lit(1.96))
     bound = F.col("delta_f1") - t * F.coalesce(F.col("sd") / F.sqrt(F.nullif(F.col("n"), F.lit(0))), F.lit(0.0))
     gain, guard = F.col("lower_bound") > delta, F.col("delta_fpr") <= eps

@@ -151,9 +151,9 @@ def _pick(items, n: str) -> str:
     return f"{_array(items)}[({n}) % {len(items)} + 1]"
 
 
-def _insert(parts: str, n: str, items, what: str, glue: str) -> str:
+def _insert(parts: str, n: str, items, what: str, glue: str, seed: int = 1) -> str:
     own = f"list_transform({parts}, lambda x, i: {{p: (i - 1)::BIGINT, k: {1 << 40}::BIGINT, x: x}})"
-    new = f"list_transform(range(1, ({n})::BIGINT + 1), lambda k: {{p: {_draw(what + '@', k='k')} % greatest(len({parts}), 1), k: k, x: {_pick(items, _draw(what, k='k'))}}})"
+    new = f"list_transform(range(1, ({n})::BIGINT + 1), lambda k: {{p: {_draw(what + '@', seed, 'k')} % greatest(len({parts}), 1), k: k, x: {_pick(items, _draw(what, seed, 'k'))}}})"
     return f"array_to_string(list_transform(list_sort(list_concat({own}, {new})), lambda s: s.x), '{glue}')"
 
 
@@ -195,18 +195,19 @@ _JUDGED = f"""WITH src AS ({{rows}}), j AS (SELECT doc_id, raw, coalesce(json_va
   length(regexp_replace(regexp_replace(raw, '"[^"]*"', '', 'g'), '[^{{{{]', '', 'g')) = length(regexp_replace(regexp_replace(raw, '"[^"]*"', '', 'g'), '[^}}}}]', '', 'g')) AND NOT contains(regexp_replace(raw, '"[^"]*"', '', 'g'), '"') AS balanced FROM src)"""
 
 
-# --- the mutation set of the HTML gate: three operators, two seeds, two slices ---
+# --- the mutation set of the HTML gate: its four operators, five seeds, two slices ---
 
 
 def _matrix() -> str:
     parts = []
-    for seed in (0, 1):
+    tags = lambda seed: _insert(_WORDS, f"greatest(3, len({_WORDS}) // 25)", X.INJECTED_TAGS, "tag", " ", seed)
+    for seed in range(5):
         for which, phrases in (("heldout", X.BOILERPLATE_HELDOUT), ("train", X.BOILERPLATE_TRAIN)):
             n = f"CASE WHEN {_draw('light', seed)} % 10 < 3 THEN {_draw('few', seed)} % 2 + 1 ELSE {_draw('many', seed)} % 5 + 4 END"
             chrome = f"list_transform(range(1, {n} + 1), lambda k: {_title(_pick(phrases, _draw('phrase', seed, 'k')))})"
             links = f"array_to_string(list_transform(range(1, {_draw('links', seed)} % 7 + 7), lambda k: '[link ' || (k - 1) || '](https://ads.example.com/' || ({_draw('link', seed, 'k')} % 100000) || ')'), chr(10))"
             script = X.SCRIPT_BLOCK.replace("'", "''")
-            made = f"CASE {_draw('operator', seed)} % 3 WHEN 0 THEN '{script}' || chr(10) || text WHEN 1 THEN text || chr(10) || {links} ELSE {_nav(chrome)} END"
+            made = f"CASE {_draw('operator', seed)} % 4 WHEN 0 THEN {tags(seed)} WHEN 1 THEN {_nav(chrome)} WHEN 2 THEN '{script}' || chr(10) || text ELSE text || chr(10) || {links} END"
             parts.append(f"SELECT doc_id, {made} AS text, '{which}/{seed}/1' AS source FROM documents")
             parts.append(f"SELECT doc_id, text, '{which}/{seed}/0' AS source FROM documents")
     return " UNION ALL ".join(parts)
@@ -281,7 +282,7 @@ SELECT doc_id, source, coalesce(string_agg(feature, ',' ORDER BY i) FILTER (z >=
     "macro_f1_labels": f"{_DECIDED} SELECT round({_macro('label', f'({_GOLD})')}, 6) AS macro_f1, round(avg((label = {_GOLD})::INT), 6) AS agreement, count(*) AS n FROM e JOIN labels USING (doc_id)",
     "binary_prf_labels": f"{_DECIDED}, n AS (SELECT count(*) FILTER (label > 0 AND quality = 1) tp, count(*) FILTER (label > 0 AND quality = 0) fp, count(*) FILTER (label = 0 AND quality = 1) fn FROM e JOIN labels USING (doc_id)) SELECT round({_div('tp', 'tp + fp')}, 6) AS precision, round({_div('tp', 'tp + fn')}, 6) AS recall, round({_F1}, 6) AS f1 FROM n",
     "cascade_budget_curve": f"""{_SCORED}, r AS (SELECT {_GOLD} AS gold, row_number() OVER (ORDER BY round(g, 9), doc_id) - 1 AS rank, count(*) OVER () AS n FROM s JOIN labels USING (doc_id)),
-b AS (SELECT *, round_even(fraction * n, 0)::BIGINT AS k FROM r CROSS JOIN (SELECT unnest([0.0, 0.15, 0.3, 0.5, 0.7, 0.85, 1.0])::DOUBLE AS fraction)),
+b AS (SELECT *, round_even(fraction * n, 0)::BIGINT AS k FROM r CROSS JOIN (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.85, 1.0])::DOUBLE AS fraction)),
 x AS (SELECT *, rank >= (n - k) // 2 AND rank < (n - k) // 2 + k AS asked, CASE WHEN rank < (n - k) // 2 THEN 0 WHEN rank >= (n - k) // 2 + k THEN 2 ELSE gold END AS pred FROM b)
 SELECT fraction, round({_macro('pred', 'gold')}, 6) AS macro_f1, round(avg((pred = gold)::INT), 6) AS agreement, count(*) FILTER (asked) AS judge_calls FROM x GROUP BY 1""",
     "corrupt_html_tag_inject": _mutated("text", _insert(_WORDS, f"greatest(3, len({_WORDS}) // 25)", X.INJECTED_TAGS, "tag", " ")),
@@ -301,14 +302,14 @@ SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM m""",
     "floor_upper": _scores("(0, 2.0::DOUBLE, 0.5::DOUBLE)") + " SELECT slice, round(avg(f1), 6) AS f1, round(avg(recall), 6) AS recall, round(avg(fpr), 6) AS fpr FROM v GROUP BY 1",
     "candidate_grid_objective": _scores(_GRID) + " SELECT candidate_id, round(avg(f1), 6) AS f1, round(avg(recall), 6) AS recall, round(avg(fpr), 6) AS fpr, round(avg(f1) - 0.5::DOUBLE * avg(fpr), 6) AS objective FROM v WHERE slice = 'heldout' GROUP BY 1",
     "accept_rule": _scores(_GRID) + """, p AS (SELECT count(*) n, avg(b.f1 - a.f1) d, stddev_samp(b.f1 - a.f1) sd, avg(b.fpr) - avg(a.fpr) f FROM v a JOIN v b ON a.seed = b.seed AND a.slice = 'heldout' AND b.slice = 'heldout' AND a.candidate_id = 0 AND b.candidate_id = 3),
-l AS (SELECT *, d - 12.706::DOUBLE * sd / sqrt(2) AS low FROM p) SELECT low > 0.005 AND f <= 0.005 AS accept, round(d, 6) AS delta_f1, round(low, 6) AS lower_bound, round(f, 6) AS delta_fpr, CASE WHEN low > 0.005 AND f <= 0.005 THEN 'ok' WHEN low <= 0.005 THEN 'gain not significant' ELSE 'FPR regression' END AS reason FROM l""",
+l AS (SELECT *, d - 2.776::DOUBLE * sd / sqrt(5) AS low FROM p) SELECT low > 0.005 AND f <= 0.005 AS accept, round(d, 6) AS delta_f1, round(low, 6) AS lower_bound, round(f, 6) AS delta_fpr, CASE WHEN low > 0.005 AND f <= 0.005 THEN 'ok' WHEN low <= 0.005 THEN 'gain not significant' ELSE 'FPR regression' END AS reason FROM l""",
     "naive_text": f"SELECT doc_id, source, text FROM ({_PAGES})",
     "simple_reextract": r"SELECT page_id AS doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(regexp_replace(html, '<[^>]+>', ' ', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND (length(x) >= 25 OR regexp_matches(x, '[.?!]$'))), lambda x: regexp_replace(x, 'https?://\S+', '', 'g')), ' ') AS text FROM pages",
     "daily_streams": f"WITH {_daily()} SELECT stream, day::INT AS day, throughput, round(mean_value, 6) AS mean_value FROM d",
     "spc_throughput": _chart("throughput"),
     "spc_value_down": _chart("mean_value", "down"),
     "baseline_gopher": f"""WITH src AS ({_PAGES}),{_SPLIT}, h AS (SELECT doc_id, {_clamp('1 - least(1, ' + _div(f"len(list_filter(words, lambda w: w IN {_list(X.PROFILE_STOPWORDS)}))", 'nw') + ' / 0.15::DOUBLE)')} AS s_stopword_deficit,
-  {_clamp('1.5::DOUBLE * ' + _div(' + '.join(_count('text', s) for s in ('#', '...', '…')), 'nw') + ' + 4 * ' + _count('text', 'http') + ' / greatest(nt, 1)')} AS s_symbols FROM f), q AS (SELECT *, (1 - s_stopword_deficit) * (1 - s_symbols) AS quality FROM h)
+  {_clamp('1.5::DOUBLE * ' + _div(' + '.join(_count('text', s) for s in ('#', '...', '…')), 'nw') + ' + 4 * ' + _count('lower(text)', 'http') + ' / greatest(nt, 1)')} AS s_symbols FROM f), q AS (SELECT *, (1 - s_stopword_deficit) * (1 - s_symbols) AS quality FROM h)
 SELECT doc_id, round(s_stopword_deficit, 6) AS s_stopword_deficit, round(s_symbols, 6) AS s_symbols, round(quality, 6) AS gate_quality, quality >= 0.5 AS gate_passed FROM q""",
     "baseline_dict_oov": r"""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+')) AS w FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+') AS words FROM documents),
 k AS (SELECT doc_id, count(*) FILTER (w NOT IN (SELECT w FROM v)) AS miss FROM (SELECT doc_id, unnest(words) AS w FROM d) GROUP BY 1)

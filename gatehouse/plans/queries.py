@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatehouse.functions import stats
+from gatehouse.functions import order, stats
 from gatehouse.functions.text import features, gzip_ratio
 from gatehouse.operators import baselines, climb, gates, metrics, mutate, outliers, report, verify
 from gatehouse.operators.cascade import Config, curate, provenance, with_score
@@ -81,14 +81,16 @@ def risk_grades(spark, sf_dir):
 def cohort_stats(spark, sf_dir):
     """Mean, deviation, median, MAD and quartile of text length by source."""
     rows = src.documents(spark, sf_dir).select("source", F.length("text").cast("double").alias("x"))
-    med = rows.groupBy("source").agg(stats.median(F.col("x")).alias("med"))
-    by = rows.join(med, "source").groupBy("source").agg(F.count(F.lit(1)).alias("n"), stats.mean(F.col("x")).alias("mean"), stats.std(F.col("x")).alias("std"), F.first("med").alias("med"), stats.median(F.abs(F.col("x") - F.col("med"))).alias("mad"), stats.quantile(F.col("x"), 0.25).alias("q1"))
+    by = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), stats.mean(F.col("x")).alias("mean"), stats.std(F.col("x")).alias("std"))
+    robust = outliers.fit(rows, ("x",)).where("not pooled").select("source", "med", "mad")
+    quartile = order.quantiles(order.tallied(rows, ["source"], F.col("x")), ["source"], q1=0.25).select("source", "q1")
+    by = by.join(robust, "source", "left").join(quartile, "source", "left").fillna(0.0, ["med", "mad", "q1"])
     return rounded(by, "mean", "std", "med", "mad", "q1", places=4)
 
 
 def cohort_median_mad(spark, sf_dir):
     fitted = outliers.fit(features(src.documents(spark, sf_dir), COHORT), COHORT)
-    return rounded(fitted.select(F.coalesce("source", F.lit("*")).alias("source"), "feature", "n", "med", "mad"), "med", "mad")
+    return rounded(fitted.select(F.when(F.col("pooled"), "*").otherwise(F.col("source")).alias("source"), "feature", "n", "med", "mad"), "med", "mad")
 
 
 def cohort_outliers(spark, sf_dir):
@@ -176,7 +178,7 @@ def _corrupted(kind, op, which="heldout"):
 
 
 def _matrix(spark, sf_dir):
-    return verify.signals(gates.HTML, src.documents(spark, sf_dir), "html", (0, 1), ("heldout", "train"), ("script_style", "link_dump", "nav_boilerplate"))
+    return verify.signals(gates.HTML, src.documents(spark, sf_dir), "html", range(5), ("heldout", "train"))
 
 
 def mutation_eval(spark, sf_dir):

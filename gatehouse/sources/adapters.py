@@ -12,6 +12,12 @@ from gatehouse.functions import lexicon as X
 MODALITIES = ("html", "ocr", "json", "text")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions: a shuffle of a small table, against rows that are costly to compute."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,7 +32,7 @@ def as_documents(df: DataFrame, doc_id: Column, text: Column, source: Column, ki
 
 
 def documents(spark: SparkSession, sf_dir: str, kind: str = "text") -> DataFrame:
-    return as_documents(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), F.col("source"), F.lit(kind))
+    return as_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), F.col("doc_id"), F.col("text"), F.col("source"), F.lit(kind))
 
 
 def naive_text(html: Column, limit: int | None = None) -> Column:
@@ -37,7 +43,7 @@ def naive_text(html: Column, limit: int | None = None) -> Column:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return as_documents(p, F.col("page_id"), naive_text(F.col("html")), F.parse_url("url", F.lit("HOST")), F.lit("html"), F.col("html"))
 
 

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gatehouse.functions import counts
 from gatehouse.operators import gates
 
 CLEAN = "Background\n\nThe committee described the structure of the signal in detail. It is a plausible explanation for the trend, and the result was consistent with that of the study."
@@ -24,10 +25,9 @@ def test_ocr_gate(spark):
     assert got[0]["gate_passed"] and not got[1]["gate_passed"] and got[2]["gate_quality"] == 1.0
 
 
-def test_garbage_tokens(spark):
+def test_garbage_tokens():
     cases = {"bcd": True, "ab": False, "word": False, "wOrd": True, "WORD": False, "aaaa": True, "bbba": False, "strng": True, "3rd": False, "eaiou": True}
-    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", gates.garbage(F.col("t")).alias("g"))
-    assert {r["t"]: r["g"] for r in df.collect()} == cases
+    assert {k: counts.garbage(k) for k in cases} == cases
 
 
 JSON_CASES = ['{"a": 1}', '{"a": 1', '{"a": 1} x', '{"a":1}{"b":2}', '{"a": [1, {"b": "}"}]}', '"s"', "[1, 2]", "", "{'a': 1}", '{"a": "\t"}', '{"a": 1,}', '{"a": "q\\"{"}', "nul", "12", '{"a":']
