@@ -15,7 +15,8 @@ components: on minhash signatures first, where what is far below the threshold d
 Larger nodes branch; those still large after `LEVELS` levels, which hold classes alike in all chosen coordinates, are dealt to
 blocks, and every two blocks are compared exhaustively in a task of their own.
 
-A null text counts as empty, repeated rows are equal documents, extra columns are ignored, an empty table gives no rows.
+A null text counts as empty, very long texts are compared on their whole sets, repeated rows are equal documents, of equal documents the
+smallest doc_id is kept, extra columns are ignored, an empty table gives no rows.
 A row without doc_id takes part in no link: its component is null and it is kept only by near_duplicates' caller.
 """
 
@@ -34,6 +35,8 @@ from gatehouse.llm import common
 WORDS, THRESHOLD = 5, 80
 COORDINATES, TREES, LEVELS = 40, 8, 4
 LEAF_ROWS, LEAF_SHINGLES = 4096, 2_000_000
+#: Bytes of a leaf's bit rows at a time.
+LEAF_BYTES = 32 << 20
 #: Minhash agreement below the threshold by this share is not confirmed (over four standard deviations).
 SLACK = 0.27
 SIGNATURES = "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>"
@@ -193,6 +196,30 @@ def _similar(threshold: int):
     return _by_node(solve)
 
 
+def _intersections(row: np.ndarray, column: np.ndarray, n: int, columns: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row but the last, how many columns it shares with each later row. Bit rows cover LEAF_BYTES at a time; where that isn't all
+    columns, counts are added up in a matrix of rows x rows, so neither grows with rows x columns."""
+    wide = max(1, -(-columns // 64))
+    step = min(wide, max(1, LEAF_BYTES // (8 * n)))
+    total = np.zeros((n, n) if step < wide else (0, 0), np.int32)
+    order = np.argsort(column, kind="stable") if step < wide else slice(None)
+    row, column = row[order], column[order]
+    for lo in range(0, wide, step):
+        a, b = (np.searchsorted(column, [64 * lo, 64 * (lo + step)]) if step < wide else (0, len(column)))
+        bits = np.zeros((n, min(step, wide - lo)), np.uint64)
+        at = column[a:b] - 64 * lo
+        np.bitwise_or.at(bits, (row[a:b], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        for i in range(n - 1):
+            inter = np.bitwise_count(bits[i] & bits[i + 1 :]).sum(axis=1, dtype=np.int64)
+            if step == wide:
+                yield i, inter
+            else:
+                total[i, i + 1 :] += inter
+    if step < wide:
+        for i in range(n - 1):
+            yield i, total[i, i + 1 :].astype(np.int64)
+
+
 def _leaf(words: int, threshold: int):
     """Links between components of a node, on full sets: pairs (a, b) that connect whatever links connect. Rows: node, rep, comp, text."""
     from gatehouse.llm.vectors import merge
@@ -216,11 +243,8 @@ def _leaf(words: int, threshold: int):
         number[shared] = np.arange(len(shared))
         column, row = number[inverse], np.repeat(np.arange(n), size)
         row, column = row[column >= 0], column[column >= 0]
-        bits = np.zeros((n, max(1, -(-len(shared) // 64))), np.uint64)
-        np.bitwise_or.at(bits, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
         start = label.copy()
-        for i in range(n - 1):
-            inter = np.bitwise_count(bits[i] & bits[i + 1 :]).sum(axis=1, dtype=np.int64)
+        for i, inter in _intersections(row, column, n, len(shared)):
             j = np.flatnonzero(100 * inter >= threshold * (size[i] + size[i + 1 :] - inter)) + i + 1
             if len(j):
                 label = merge(label, np.full(len(j), i), j)
