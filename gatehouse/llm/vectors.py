@@ -4,7 +4,8 @@ Vectors of one label are unit vectors, so cosine >= c is Euclidean distance <= r
 sample of the vectors themselves, partition each label into cells by nearest pivot. A vector y of another cell can be
 within r of x only if x is near that cell's boundary: the triangle inequality bounds d(x, p_other) - d(x, p_home) by 2r, and
 the distance of x to the plane halfway between both pivots by r. x is replicated to the cells that pass both, and every
-cell is then joined on its own. Equal vectors are collapsed first and count with their weight.
+cell is then joined on its own. A cell of more than `BLOCK` vectors, such as a dense cluster that no pivot can part, is dealt to blocks by
+hash, and every two of its blocks are joined in a task of their own. Equal vectors are collapsed first and count with their weight.
 
 Pivots only decide the cost: any set of pivots gives every link. `PIVOTS` bounds how many are drawn (by a hash of the id),
 about one for `CELL` vectors; a label without a pivot is one cell. Labels null, vectors null, zero, empty or with null or
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.llm import common
 
-COSINE, CELL, PIVOTS = 0.98, 1024, 4096
+COSINE, CELL, PIVOTS, BLOCK = 0.98, 1024, 4096, 8192
 #: Added to the bounds, far above rounding, so that no pair at the limit is missed.
 ROUNDING = 1e-6
 MEMBERS = "cell string, home boolean, rep long, weight long, v binary"
@@ -83,21 +84,22 @@ def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _join_cell(rows: list[tuple], cosine: float) -> pa.RecordBatch:
-    """Link counts of the cell's own vectors, and each member's root among the cell's links."""
-    rows.sort(key=lambda r: r[1])
-    home = np.array([r[0] for r in rows])
-    rep, weight = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-    x = np.stack([np.frombuffer(r[3], np.float64) for r in rows])
+    """How many vectors the cell's own ones are linked with, themselves among them, and each member's root among the cell's links.
+
+    rows: whether its links are counted here, whether it is counted for others here, rep, weight, vector."""
+    rows.sort(key=lambda r: r[2])
+    home, other = np.array([r[0] for r in rows]), np.flatnonzero([r[1] for r in rows])
+    rep, weight = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+    x = np.stack([np.frombuffer(r[4], np.float64) for r in rows])
     own = np.flatnonzero(home)
     links = np.zeros(len(rows), np.int64)
     label = np.arange(len(rows))
     for lo in range(0, len(own), 256):
         part = own[lo : lo + 256]
-        linked = x[part] @ x.T >= cosine
-        linked[np.arange(len(part)), part] = True
-        links[part] = linked @ weight - 1
+        linked = (x[part] @ x[other].T >= cosine) | (part[:, None] == other)
+        links[part] = linked @ weight[other]
         i, j = np.nonzero(linked)
-        label = merge(label, part[i], j)
+        label = merge(label, part[i], other[j])
     tell = home | (label != np.arange(len(rows)))
     return pa.RecordBatch.from_arrays([pa.array(rep[tell]), pa.array(links[tell], mask=~home[tell]), pa.array(rep[label[tell]])], names=["rep", "n_links", "root"])
 
@@ -118,7 +120,22 @@ def _join(cosine: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """Rows of _join_cell by cell; large cells become a cell for every two of their blocks."""
+    large = common.cut(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(F.col("cell").alias("_cell"), F.ceil(F.col("n") / block).alias("k")))
+    whole = members.select("cell", "home", F.lit(True).alias("other"), "rep", "weight", "v")
+    if not large.limit(1).count():
+        return whole
+    rows = members.join(large, members["cell"] == large["_cell"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    at = lambda i, j: F.concat_ws("|", "cell", i, j)
+    same = F.col("own") == F.col("b")
+    counts = rows.where("home").select(at("own", "b").alias("cell"), F.lit(True).alias("home"), same.alias("other"), "rep", "weight", "v")
+    counted = rows.where(~(F.col("home") & same)).select(at("b", "own").alias("cell"), F.lit(False).alias("home"), F.lit(True).alias("other"), "rep", "weight", "v")
+    small = whole.join(large, whole["cell"] == large["_cell"], "left_anti")
+    return small.unionByName(counts).unionByName(counted)
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
     spark = vectors.sparkSession
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
@@ -134,11 +151,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         v /= np.abs(v).max()
         pivots.setdefault(r["key"], []).append(v / np.linalg.norm(v))
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    members = classes.select("key", "rep", "weight", "embedding").repartition(common.partitions(spark)).mapInArrow(_assign({k: np.stack(v) for k, v in pivots.items()}, radius), MEMBERS)
-    cells = members.repartition(common.partitions(spark), "cell").sortWithinPartitions("cell", "rep")
+    members = common.cut(classes.select("key", "rep", "weight", "embedding").repartition(common.partitions(spark)).mapInArrow(_assign({k: np.stack(v) for k, v in pivots.items()}, radius), MEMBERS))
+    cells = _blocks(members, block).repartition(common.partitions(spark), "cell").sortWithinPartitions("cell", "rep")
     found = common.cut(cells.mapInArrow(_join(cosine), "rep long, n_links long, root long"))
     comps = common.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = found.where("n_links is not null").select("rep", "n_links")
+    links = found.where("n_links is not null").groupBy("rep").agg((F.sum("n_links") - 1).alias("n_links"))
     told = common.cut(classes.select("key", "embedding", "rep").join(links, "rep", "left").join(comps.select(F.col("id").alias("rep"), "component_id"), "rep", "left"))
     out = base.join(told, ["key", "embedding"], "left")
     component = F.coalesce("component_id", "rep", "vec_id")

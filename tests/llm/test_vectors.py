@@ -37,3 +37,36 @@ def test_links_and_components_equal_brute_force(spark, table, cell, monkeypatch)
 
 def test_empty_table(spark, table):
     assert vectors.near_vectors(table[0].where("false")).count() == 0
+
+
+def test_registered_size_with_links_and_large_cells(spark):
+    """Clusters around and below the limit, some dense beyond a block, some copies; cells whole and dealt to blocks."""
+    rng = np.random.default_rng(6)
+    rows, n = [], 0
+    for k in range(60):
+        centre = rng.normal(size=32)
+        for _ in range(int(rng.integers(2, 40)) if k else 500):
+            v = centre + rng.normal(size=32) * rng.choice([0.02, 0.1, 0.14])
+            rows.append((n, v.astype(np.float32).tolist(), int(k % 3)))
+            n += 1
+    rows += [(n + i, rows[i][1], rows[i][2]) for i in range(0, 200, 7)]
+    rows += [(2 * n + i, rng.normal(size=32).astype(np.float32).tolist(), 1) for i in range(1500)]
+    x = np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    linked = (x @ x.T >= 0.98) & (label[:, None] == label)
+    equal = (x[:, None, :4] == x[None, :, :4]).all(axis=2) & (label[:, None] == label)
+    linked |= equal
+    np.fill_diagonal(linked, False)
+    comp = np.arange(len(rows))
+    while True:
+        low = np.array([min(comp[i], comp[linked[i]].min(initial=comp[i])) for i in range(len(rows))])
+        if (low == comp).all():
+            break
+        comp = low
+    want = {rows[i][0]: (int(linked[i].sum()), rows[comp[i]][0]) for i in range(len(rows))}
+    assert linked.sum() > 10_000
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for block in (8192, 64):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df, block=block).collect()}
+        assert got == want, block
