@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatehouse.checkpoints import cut, ensure_checkpoint_dir, partitions
+from gatehouse.sources.adapters import spread
+
 #: Bytes of text that one vectorised numpy pass covers; a longer document is a pass of its own.
 PASS_BYTES = 1 << 20
 
@@ -17,28 +19,8 @@ MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only where that is unset (tests) a local one is made."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not sc.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder, so that its lineage ends there and lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """A table over all cores, where its files give fewer partitions."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
