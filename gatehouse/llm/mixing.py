@@ -72,9 +72,10 @@ def _ranked(docs: DataFrame, *ids: str) -> tuple[DataFrame, DataFrame]:
     """The id columns, source, key and the document's number `idx` in its source's order; and the documents of each key. ids: doc_id, and a hash that orders rows without one."""
     n = docs.select("source").count()
     buckets = max(1, min(MAX_BUCKETS, n // BUCKET_ROWS))
-    h = F.xxhash64("doc_id") if len(ids) == 1 else F.when(F.col("doc_id").isNull(), F.col(ids[1])).otherwise(F.xxhash64("doc_id"))
-    base = docs.select(*ids, "source").withColumns({"key": _key(F.col("source")), "h": h})
-    base = base.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    own = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")  # 60 bits
+    other = F.shiftrightunsigned(F.col(ids[1]), 4) if len(ids) > 1 else F.lit(0).cast("long")
+    base = docs.select(*ids, "source").withColumns({"key": _key(F.col("source")), "h": F.coalesce(own, other)})
+    base = base.withColumn("bucket", F.shiftright(F.shiftright("h", 30) * F.lit(buckets), 30))  # in the order of h
     counts = common.cut(base.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n")))
     before = counts.withColumn("before", F.sum("n").over(W.partitionBy("key").orderBy("bucket")) - F.col("n")).drop("n")
     numbered = base.withColumn("rn", F.row_number().over(W.partitionBy("key", "bucket").orderBy("h", *ids)) - 1)

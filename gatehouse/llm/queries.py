@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gatehouse.llm import chat, fingerprints, mixing, neardup, packing, pii, quality, suffixes, toxicity, vectors
+from gatehouse.llm.oracles import ORACLES
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -17,5 +18,5 @@ QUERIES = {
     "op10_vectors": vectors.op10_vectors,
 }
 
-#: Hashes, models, tokenizers and packing are beyond SQL; those queries are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+#: Sketches, models, tokenizers and packing are beyond SQL; those queries are tested against brute force in tests/llm.
+__all__ = ["ORACLES", "QUERIES"]
