@@ -68,13 +68,20 @@ def _profile(*names: str) -> str:
 _SPAM = " + ".join(f"contains(lower(text), '{s}')::INT" for s in X.SPAM)
 _SCORE = f"""greatest(0, least(1, 0.28::DOUBLE * least(1, stopword_fraction / 0.30::DOUBLE) + 0.16::DOUBLE * type_token_ratio + 0.20::DOUBLE * least(1, token_length / 120)
   + 0.26::DOUBLE * least(1, facts / (greatest(1, token_length) / 8)) - 0.5::DOUBLE * (bigram_repetition + dup_line_fraction + top_ngram_fraction) - 0.6::DOUBLE * least(1, {_SPAM})))"""
-_SCORED = f"{_features()}, s AS (SELECT *, {_SCORE} AS g FROM p)"
+
+
+def _scored(*source: str) -> str:
+    return f"{_features(*source)}, s AS (SELECT *, {_SCORE} AS g FROM p)"
+
+
+_SCORED = _scored()
 _DECIDED = f"""{_SCORED}, c AS (SELECT doc_id, source, g, CASE WHEN g >= 0.62::DOUBLE THEN 2 WHEN g <= 0.30::DOUBLE THEN 0 ELSE 1 END AS label, g < 0.62::DOUBLE AND g > 0.30::DOUBLE AS middle FROM s),
 e AS (SELECT *, ['filter', 'review', 'retain'][label + 1] AS label_name FROM c)"""
 _N = "count(*) AS n_docs, count(*) FILTER (label = 0) AS n_filter, count(*) FILTER (label = 1) AS n_review, count(*) FILTER (label = 2) AS n_retain, 1.0::DOUBLE AS mean_gate_quality"
 
 COHORT = ("char_length", "token_length", "mean_word_length", "type_token_ratio", "stopword_fraction", "alpha_fraction", "punct_fraction", "uppercase_fraction", "mean_line_length")
-_LONG = f"{_features()}, long AS (SELECT doc_id, source, unnest([{', '.join(f'{{i: {i}, feature: {chr(39)}{n}{chr(39)}, value: {n}}}' for i, n in enumerate(COHORT))}], recursive := true) FROM p)"
+_UNPIVOT = f"long AS (SELECT doc_id, source, unnest([{', '.join(f'{{i: {i}, feature: {chr(39)}{n}{chr(39)}, value: {n}}}' for i, n in enumerate(COHORT))}], recursive := true) FROM p)"
+_LONG = f"{_features()}, {_UNPIVOT}"
 _STATS = f"""{_LONG}, both_ AS (SELECT source, feature, value FROM long UNION ALL SELECT '*', feature, value FROM long),
 m AS (SELECT source, feature, count(*) n, median(value) med FROM both_ GROUP BY 1, 2),
 st AS (SELECT source, feature, n, med, median(abs(value - med)) mad FROM both_ JOIN m USING (source, feature) GROUP BY 1, 2, 3, 4)"""
@@ -99,6 +106,7 @@ def _flags(weights: dict[str, float]) -> str:
 
 
 HTML_WEIGHTS = {"markup_leak": 2.0, "boilerplate_leak": 1.6, "link_density": 1.6, "nonprose_lines": 1.4, "stopword_deficit": 0.8}
+JSON_WEIGHTS = {"parse_fail": 2.0, "truncated": 1.5, "schema_missing": 1.4, "type_mismatch": 1.2, "empty_value": 1.6}
 OCR_WEIGHTS = {"garbage_rate": 1.5, "confusion_rate": 1.1, "broken_word": 1.0, "mojibake": 1.4, "line_noise": 0.8}
 
 
@@ -122,11 +130,11 @@ _VOWEL = f"[{X.VOWELS}]"
 _GLYPH = "[" + "".join("\\" + c if c in "|^~" else c for c in X.NOISE_GLYPHS) + "]"
 
 
-def _ocr() -> str:
+def _ocr(source: str = "SELECT doc_id, coalesce(text, '') AS text, source FROM documents") -> str:
     has = r"regexp_matches(t, '[\p{L}\p{Nl}\p{No}]')"
     runs = "list_reduce(list_prepend({c: '', n: 0, m: 0}, list_transform(regexp_extract_all(t, '.'), lambda c: {c: c, n: 0, m: 0})), lambda a, b: {c: b.c, n: CASE WHEN b.c = a.c AND regexp_matches(b.c, '\\p{L}') THEN a.n + 1 ELSE 1 END, m: greatest(a.m, CASE WHEN b.c = a.c AND regexp_matches(b.c, '\\p{L}') THEN a.n + 1 ELSE 1 END)}).m >= 4"
     # tokens are few against their occurrences: each distinct one is judged once
-    return rf"""WITH src AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documents),{_SPLIT},
+    return rf"""WITH src AS ({source}),{_SPLIT},
 k AS (SELECT t, {_LETTERS} AS letters FROM (SELECT DISTINCT unnest(tokens) t FROM f)),
 j AS (SELECT t, length(letters) >= 3 AND (NOT regexp_matches(t, '{_VOWEL}') OR (length(letters) >= 4 AND (len(regexp_extract_all(letters, '{_VOWEL}')) / length(letters) < 0.18::DOUBLE OR len(regexp_extract_all(letters, '{_VOWEL}')) / length(letters) > 0.85::DOUBLE))
     OR {runs} OR (substr(letters, 2, length(letters) - 2) <> lower(substr(letters, 2, length(letters) - 2)) AND letters <> upper(letters))) AS garbage,
@@ -167,29 +175,83 @@ def _mutated(target: str, made: str, table: str = "SELECT doc_id, coalesce(text,
 
 _WORDS = "string_split(text, ' ')"
 _EVENTS = "SELECT event_id AS doc_id, props AS raw FROM events"
-_NAV = f"""CASE WHEN {_draw('light')} % 10 < 3 THEN {_draw('few')} % 2 + 1 ELSE {_draw('many')} % 5 + 4 END"""
-_CHROME = f"list_transform(range(1, {_NAV} + 1), lambda k: {_title(_pick(X.BOILERPLATE_HELDOUT, _draw('phrase', k='k')))})"
+_SLICES = {"boilerplate": {"train": X.BOILERPLATE_TRAIN, "heldout": X.BOILERPLATE_HELDOUT}, "ocr": {"train": X.OCR_TRAIN, "heldout": X.OCR_HELDOUT}}
+
 
+def _with(name: str, value: str, body: str) -> str:
+    """body with a name for value in it."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
 
-def _nav(chrome: str) -> str:
+
+def _tags(seed: int = 1, which: str = "heldout") -> str:
+    return _insert(_WORDS, f"greatest(3, len({_WORDS}) // 25)", X.INJECTED_TAGS, "tag", " ", seed)
+
+
+def _nav(seed: int = 1, which: str = "heldout") -> str:
+    n = f"CASE WHEN {_draw('light', seed)} % 10 < 3 THEN {_draw('few', seed)} % 2 + 1 ELSE {_draw('many', seed)} % 5 + 4 END"
+    chrome = f"list_transform(range(1, {n} + 1), lambda k: {_title(_pick(_SLICES['boilerplate'][which], _draw('phrase', seed, 'k')))})"
     return f"array_to_string(({chrome})[1:greatest(1, len({chrome}) // 2)], chr(10)) || chr(10) || text || chr(10) || array_to_string(({chrome})[len({chrome}) // 2 + 1:], chr(10))"
 
 
-_LINKS = f"array_to_string(list_transform(range(1, {_draw('links')} % 7 + 7), lambda k: '[link ' || (k - 1) || '](https://ads.example.com/' || ({_draw('link', k='k')} % 100000) || ')'), chr(10))"
-_AT = f"({_draw('cut', k='i - 1')} % greatest(length(w) - 3, 1) + 2)"
-_BREAK = f"""array_to_string(list_transform({_WORDS}, lambda w, i: CASE WHEN length(w) > 5 AND {_draw('space', k='i - 1')} % 100 < 25 THEN substr(w, 1, {_AT}) || ' ' || substr(w, {_AT} + 1)
-  WHEN length(w) > 6 AND {_draw('hyphen', k='i - 1')} % 100 < 10 THEN substr(w, 1, {_AT}) || '-' || chr(10) || substr(w, {_AT} + 1) ELSE w END), ' ')"""
+def _script(seed: int = 1, which: str = "heldout") -> str:
+    return "'" + X.SCRIPT_BLOCK.replace("'", "''") + "' || chr(10) || text"
+
+
+def _links(seed: int = 1, which: str = "heldout") -> str:
+    return f"text || chr(10) || array_to_string(list_transform(range(1, {_draw('links', seed)} % 7 + 7), lambda k: '[link ' || (k - 1) || '](https://ads.example.com/' || ({_draw('link', seed, 'k')} % 100000) || ')'), chr(10))"
 
 
-def _cut(seed: int) -> str:
+def _charsub(seed: int = 1, which: str = "heldout") -> str:
+    """Each pair over what the ones before it left; of its occurrences those with an odd draw are replaced."""
+    out = "text"
+    for n, (a, b) in enumerate(_SLICES["ocr"][which]):
+        out = f"array_to_string(list_transform(string_split({out}, '{a}'), lambda x, i: CASE WHEN i = 1 THEN x WHEN {_draw(f'sub{n}', seed, 'i - 2')} % 2 = 1 THEN '{b}' || x ELSE '{a}' || x END), '')"
+    return out
+
+
+def _wordbreak(seed: int = 1, which: str = "heldout") -> str:
+    at = f"({_draw('cut', seed, 'i - 1')} % greatest(length(w) - 3, 1) + 2)"
+    return f"""array_to_string(list_transform({_WORDS}, lambda w, i: CASE WHEN length(w) > 5 AND {_draw('space', seed, 'i - 1')} % 100 < 25 THEN substr(w, 1, {at}) || ' ' || substr(w, {at} + 1)
+  WHEN length(w) > 6 AND {_draw('hyphen', seed, 'i - 1')} % 100 < 10 THEN substr(w, 1, {at}) || '-' || chr(10) || substr(w, {at} + 1) ELSE w END), ' ')"""
+
+
+def _mojibake(seed: int = 1, which: str = "heldout") -> str:
+    n = f"list_sort(list_transform(range(1, greatest(6, length(text) // 80)::BIGINT + 1), lambda k: {{p: {_draw('moji@', seed, 'k')} % greatest(length(text), 1), k: k, x: {_pick(X.MOJIBAKE, _draw('moji', seed, 'k'))}}}))"
+    return _with("n", n, "array_to_string(list_transform(range(1, len(n) + 1), lambda i: substr(text, coalesce(n[i - 1].p, 0) + 1, n[i].p - coalesce(n[i - 1].p, 0)) || n[i].x), '') || substr(text, n[-1].p + 1)")
+
+
+def _linenoise(seed: int = 1, which: str = "heldout") -> str:
+    return _insert(_WORDS, f"greatest(8, len({_WORDS}) // 8)", tuple(X.INJECTED_GLYPHS), "noise", " ", seed)
+
+
+def _cut(seed: int = 1, which: str = "heldout") -> str:
     return f"substr(raw, 1, floor(length(raw) * 0.3::DOUBLE)::BIGINT + {_draw('cut', seed)} % (floor(length(raw) * 0.9::DOUBLE)::BIGINT - floor(length(raw) * 0.3::DOUBLE)::BIGINT + 1))"
 
 
-def _delimiter(seed: int) -> str:
+def _schema_break(seed: int = 1, which: str = "heldout") -> str:
+    """The records at hand are objects of strings and numbers."""
+    keys = "json_keys(raw)"
+    name = f"{keys}[{_draw('key', seed)} % len({keys}) + 1]"
+    how = f"{_draw('how', seed)} % 3"
+    value = "json_extract(raw, '$.' || k)::VARCHAR"
+    part = f"CASE WHEN k = {name} AND {how} = 1 THEN '\"' || k || '\": {{\"v\": ' || {value} || '}}' WHEN k = {name} AND {how} = 2 THEN '\"' || k || '\": null' ELSE '\"' || k || '\": ' || {value} END"
+    return f"'{{' || array_to_string(list_transform(list_filter({keys}, lambda k: NOT (k = {name} AND {how} = 0)), lambda k: {part}), ', ') || '}}'"
+
+
+def _delimiter(seed: int = 1, which: str = "heldout") -> str:
     return f"CASE WHEN {_draw('brace', seed)} % 2 = 0 AND raw LIKE '%}}' THEN substr(raw, 1, length(raw) - 1) ELSE regexp_replace(raw, '(?s)^([^,]*),', '\\1;') END"
 
 
-_BROKEN = f"SELECT doc_id, CASE WHEN {_draw('operator', 3)} % 2 = 0 THEN {_cut(3)} ELSE {_delimiter(3)} END AS raw FROM ({_EVENTS})"
+_OPS = {"html": {"tag_inject": _tags, "nav_boilerplate": _nav, "script_style": _script, "link_dump": _links}, "ocr": {"charsub": _charsub, "wordbreak": _wordbreak, "mojibake": _mojibake, "linenoise": _linenoise}, "json": {"truncate": _cut, "schema_break": _schema_break, "delimiter": _delimiter}}
+
+
+def _corrupt(kind: str, seed: int, which: str = "heldout") -> str:
+    """The text or record after a drawn operator of its kind."""
+    each = " ".join(f"WHEN {i} THEN {op(seed, which)}" for i, op in enumerate(_OPS[kind].values()))
+    return f"CASE {_draw('operator', seed)} % {len(_OPS[kind])} {each} END"
+
+
+_BROKEN = f"SELECT doc_id, {_corrupt('json', 3)} AS raw FROM ({_EVENTS})"
 # the records of events are flat, without strings that hold brackets
 _JUDGED = f"""WITH src AS ({{rows}}), j AS (SELECT doc_id, raw, coalesce(json_valid(raw), false) AND NOT regexp_matches(raw, ',\\s*[\\]}}}}]') AS parses,
   length(regexp_replace(regexp_replace(raw, '"[^"]*"', '', 'g'), '[^{{{{]', '', 'g')) = length(regexp_replace(regexp_replace(raw, '"[^"]*"', '', 'g'), '[^}}}}]', '', 'g')) AND NOT contains(regexp_replace(raw, '"[^"]*"', '', 'g'), '"') AS balanced FROM src)"""
@@ -200,15 +262,9 @@ _JUDGED = f"""WITH src AS ({{rows}}), j AS (SELECT doc_id, raw, coalesce(json_va
 
 def _matrix() -> str:
     parts = []
-    tags = lambda seed: _insert(_WORDS, f"greatest(3, len({_WORDS}) // 25)", X.INJECTED_TAGS, "tag", " ", seed)
     for seed in range(5):
-        for which, phrases in (("heldout", X.BOILERPLATE_HELDOUT), ("train", X.BOILERPLATE_TRAIN)):
-            n = f"CASE WHEN {_draw('light', seed)} % 10 < 3 THEN {_draw('few', seed)} % 2 + 1 ELSE {_draw('many', seed)} % 5 + 4 END"
-            chrome = f"list_transform(range(1, {n} + 1), lambda k: {_title(_pick(phrases, _draw('phrase', seed, 'k')))})"
-            links = f"array_to_string(list_transform(range(1, {_draw('links', seed)} % 7 + 7), lambda k: '[link ' || (k - 1) || '](https://ads.example.com/' || ({_draw('link', seed, 'k')} % 100000) || ')'), chr(10))"
-            script = X.SCRIPT_BLOCK.replace("'", "''")
-            made = f"CASE {_draw('operator', seed)} % 4 WHEN 0 THEN {tags(seed)} WHEN 1 THEN {_nav(chrome)} WHEN 2 THEN '{script}' || chr(10) || text ELSE text || chr(10) || {links} END"
-            parts.append(f"SELECT doc_id, {made} AS text, '{which}/{seed}/1' AS source FROM documents")
+        for which in ("heldout", "train"):
+            parts.append(f"SELECT doc_id, {_corrupt('html', seed, which)} AS text, '{which}/{seed}/1' AS source FROM documents")
             parts.append(f"SELECT doc_id, text, '{which}/{seed}/0' AS source FROM documents")
     return " UNION ALL ".join(parts)
 
@@ -251,7 +307,88 @@ def _macro(pred: str, gold: str) -> str:
     return f"({' + '.join(each)}) / 3"
 
 
+# --- generated documents ---
+
+_SIZE = f"{_draw('paragraph', 7, 'p')} % 3 + 2"
+_SENTENCE = f"""{_with("whole", f"CASE WHEN {_draw('connect', 7, 'k')} % 2 = 0 THEN {_pick(X.CONNECTORS, _draw('connector', 7, 'k'))} || ' ' ELSE '' END || {_pick(X.SUBJECTS, _draw('subject', 7, 'k'))} || ' ' || {_pick(X.VERBS, _draw('verb', 7, 'k'))} || ' ' || {_pick(X.OBJECTS, _draw('object', 7, 'k'))}",
+  f"upper(whole[1]) || whole[2:] || {_pick(('.', '.', '.', '?'), _draw('end', 7, 'k'))}")}"""
+
+
+def _clean(n: int) -> str:
+    """documents of the generated corpus: doc_id, text, source, modality, raw."""
+    head = f"CASE WHEN {_draw('head', 7)} % 100 < 85 THEN {_pick(X.HEADINGS, _draw('heading', 7))} END"
+    sub = f"CASE WHEN {_draw('sub', 7)} % 100 < 45 THEN {_pick(X.HEADINGS, _draw('subheading', 7))} END"
+    items = f"CASE WHEN {_draw('list', 7)} % 100 < 35 THEN array_to_string(list_transform(range(1, {_draw('items', 7)} % 2 + 3), lambda k: '- ' || {_pick(X.LIST_ITEMS, f"({_draw('item', 7)} + k)")}), chr(10)) END"
+    paragraphs = "list_filter(list_transform(range(1, 8), lambda p: array_to_string(sentences[coalesce(list_sum(sizes[1:p - 1]), 0) + 1:coalesce(list_sum(sizes[1:p - 1]), 0) + sizes[p]], ' ')), lambda x: x <> '')"
+    return rf"""SELECT doc_id, text, source, modality, CASE modality WHEN 'html' THEN '<html><body><article><p>' || replace(text, chr(10) || chr(10), '</p><p>') || '</p></article></body></html>'
+  WHEN 'json' THEN json_object('id', format('rec-{{:06d}}', {_draw('rec', 7)} % 1000000), 'url', 'https://' || source || '.example.org/p/' || ({_draw('url', 7)} % 100000), 'text', text, 'lang', 'en', 'tokens', len(regexp_extract_all(text, '\S+')), 'title', array_to_string(regexp_extract_all(text, '\S+')[1:5], ' '))::VARCHAR END AS raw
+  FROM (SELECT doc_id, modality, source, array_to_string(list_filter(list_concat([{head}, {sub}], {paragraphs}, [{items}]), lambda x: x IS NOT NULL), chr(10) || chr(10)) AS text
+    FROM (SELECT *, list_transform(range(1, {_draw('sentences', 7)} % 9 + 7), lambda k: {_SENTENCE}) AS sentences, list_transform(range(1, 8), lambda p: {_SIZE}) AS sizes, {_pick(X.CLEAN_SOURCES, _draw('source', 7))} AS source
+      FROM (SELECT format('clean-{{:05d}}', i) AS doc_id, ['html', 'ocr', 'json'][i % 3 + 1] AS modality FROM range({n}) t(i))))"""
+
+
+def _exported() -> str:
+    parts = ["SELECT doc_id, text, source, modality, raw, 'none' AS operator, 'clean' AS slice, 7 AS seed FROM c"]
+    for kind, ops in _OPS.items():
+        for which in ("train", "heldout"):
+            text, raw = ("text", _corrupt(kind, 7, which)) if kind == "json" else (_corrupt(kind, 7, which), "raw")
+            parts.append(f"SELECT doc_id, {text} AS text, source, modality, {raw} AS raw, {_pick(list(ops), _draw('operator', 7))} AS operator, '{which}' AS slice, 7 AS seed FROM c WHERE modality = '{kind}'")
+    return f"WITH c AS ({_clean(150)}) " + " UNION ALL ".join(parts)
+
+
+# --- decisions behind a gate, the ledger and the daily routine ---
+
+
+def _curated_pages(threshold: float) -> str:
+    """doc_id, label, label_name, score, stage, reasons and gate quality of pages."""
+    return f"""SELECT doc_id, quality, flags, g, CASE WHEN quality < {threshold} THEN 0 WHEN g >= 0.62::DOUBLE THEN 2 WHEN g <= 0.30::DOUBLE THEN 0 ELSE 1 END AS label, CASE WHEN quality < {threshold} THEN quality ELSE g END AS score, CASE WHEN quality < {threshold} THEN 'gate' ELSE 'score' END AS stage,
+  CASE WHEN quality < {threshold} THEN 'extraction_defect:' || flags ELSE '' END AS reasons FROM (SELECT doc_id, quality, flags FROM ({_html(_PAGES)} SELECT * FROM q)) JOIN (SELECT doc_id, g FROM ({_scored(_PAGES)} SELECT * FROM s)) USING (doc_id)"""
+
+
+_REEXTRACTED = r"array_to_string(list_transform(list_filter(list_transform(string_split(regexp_replace({0}, '<[^>]+>', ' ', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND (length(x) >= 25 OR regexp_matches(x, '[.?!]$'))), lambda x: regexp_replace(x, 'https?://\S+', '', 'g')), ' ')"
+
+
+def _ticks() -> str:
+    """Mean qualities of each day's pages as they are, with leaked markup, and with that remediated; then three days of charts, one after another."""
+    day = f"{_draw('day', 0)} % 13"
+    versions = [("whole", "text"), ("leaked", _script()), ("mended", _REEXTRACTED.format(f"({_script()})"))]
+    union = " UNION ALL ".join(f"SELECT doc_id, {text} AS text, '{name}/' || ({day}) AS source FROM ({_PAGES})" for name, text in versions)
+    base = lambda x: f"(SELECT median({x}) FROM w WHERE day < 10)"
+    sigma = lambda x, m: f"(SELECT greatest(1e-9, 1.4826::DOUBLE * median(abs({x} - {m})), 0.02::DOUBLE * (abs(any_value({m})) + 1e-6)) FROM w, mu WHERE day < 10)"
+    width = "{s} * sqrt(0.2::DOUBLE / 1.8::DOUBLE * (1 - pow(0.8::DOUBLE, 2 * {t})))"
+    return f"""WITH RECURSIVE a AS (SELECT string_split(source, '/')[1] AS version, string_split(source, '/')[2]::INT AS day, count(*)::DOUBLE AS n, avg(quality) AS q FROM ({_html(union)} SELECT * FROM q) GROUP BY 1, 2),
+days AS (SELECT i::INT AS day FROM range(13) t(i)),
+w AS (SELECT days.day, coalesce(max(n) FILTER (version = 'whole'), 0) AS n, coalesce(max(q) FILTER (version = 'whole'), 1) AS q, coalesce(max(q) FILTER (version = 'leaked'), 1) AS leaked, coalesce(max(q) FILTER (version = 'mended'), 1) AS mended FROM days LEFT JOIN a USING (day) GROUP BY 1),
+mu AS (SELECT {base("q")} AS qm, {base("n")} AS nm), sd AS (SELECT {sigma("q", "qm")} AS qs, {sigma("n", "nm")} AS ns),
+s AS (SELECT 9 AS day, false AS mending, qm AS z, 0::DOUBLE AS down, 0 AS t, nm AS nz, 0::DOUBLE AS nup, 0::DOUBLE AS ndown, 0::DOUBLE AS q, 0::DOUBLE AS n, false AS back, false AS alarm, '' AS flow FROM mu
+  UNION ALL SELECT day, mending OR alarm, CASE WHEN back THEN qm ELSE z END, CASE WHEN back THEN 0 ELSE down END, CASE WHEN back THEN 0 ELSE t END, nz, nup, ndown, q, n, back, alarm,
+    CASE WHEN abs(nz - nm) > 3 * {width.format(s="ns", t="(day - 9)")} OR nup > 4 * ns OR ndown > 4 * ns THEN CASE WHEN nz < nm OR ndown > 4 * ns THEN 'throughput_drift_down' WHEN nz > nm OR nup > 4 * ns THEN 'throughput_drift_up' ELSE 'throughput_drift_none' END ELSE '' END
+  FROM (SELECT *, mending AND q >= 0.95::DOUBLE * qm AS back, NOT (mending AND q >= 0.95::DOUBLE * qm) AND (abs(z - qm) > 3 * {width.format(s="qs", t="t")} AND z < qm OR down > 4 * qs) AS alarm
+    FROM (SELECT w.day, s.mending, x.q, w.n, 0.2::DOUBLE * x.q + 0.8::DOUBLE * s.z AS z, greatest(0, s.down - (x.q - qm + 0.5::DOUBLE * qs)) AS down, s.t + 1 AS t, 0.2::DOUBLE * w.n + 0.8::DOUBLE * s.nz AS nz, greatest(0, s.nup + (w.n - nm - 0.5::DOUBLE * ns)) AS nup,
+        greatest(0, s.ndown - (w.n - nm + 0.5::DOUBLE * ns)) AS ndown, qm, qs, nm, ns
+      FROM s JOIN w ON w.day = s.day + 1 CROSS JOIN mu CROSS JOIN sd CROSS JOIN LATERAL (SELECT CASE WHEN s.mending THEN w.mended ELSE w.leaked END AS q) x)))
+SELECT day, true AS ok, n AS throughput, round(q, 4) AS quality, '' AS alerts, '' AS actions FROM w WHERE day < 10
+UNION ALL SELECT day, NOT alarm AND flow = '', n, round(q, 4), concat_ws(',', CASE WHEN alarm THEN 'quality_drift_down' END, nullif(flow, '')), CASE WHEN back THEN 'recovered' WHEN alarm THEN 'hillclimb' ELSE '' END FROM s WHERE day > 9"""
+
+
+_RECORD_N = f"{_draw('field', 5)} % 6"
+_REFERENCE = f"""{_features()}, {_UNPIVOT}, m AS (SELECT feature, count(*) n, median(value) med FROM long GROUP BY 1), st AS (SELECT feature, n, med, median(abs(value - med)) mad FROM long JOIN m USING (feature) GROUP BY 1, 2, 3)"""
+
 ORACLES = {
+    "curate_pages": f"SELECT doc_id, label, round(score, 6) AS score, stage, reasons, round(quality, 6) AS gate_quality, 'html-gate@v1' AS extractor FROM ({_curated_pages(0.5)})",
+    "ledger_current": f"SELECT doc_id, ['filter', 'review', 'retain'][label + 1] AS decision, stage AS responsible_stage, 'day-1' AS fetch_time, doc_id AS supersedes, 2::BIGINT AS n_records FROM ({_curated_pages(0.8)})",
+    "routine_ticks": _ticks(),
+    "clean_corpus": _clean(400),
+    "benchmark_export": _exported(),
+    "series_ewma": f"""WITH RECURSIVE {_daily()}, o AS (SELECT stream, mean_value AS x, row_number() OVER (PARTITION BY stream ORDER BY day) AS i FROM d),
+w AS (SELECT stream, 1::BIGINT AS i, x AS z FROM o WHERE i = 1 UNION ALL SELECT w.stream, o.i, 0.3::DOUBLE * x + 0.7::DOUBLE * z FROM w JOIN o ON o.stream = w.stream AND o.i = w.i + 1) SELECT stream, substr(sha1(stream), 1, 12) AS digest, round(max_by(z, i), 6) AS ewma FROM w GROUP BY 1""",
+    "gates_combined": f"SELECT doc_id, round(least(a.quality, b.quality), 6) AS quality FROM (SELECT doc_id, quality FROM ({_html(_PAGES)} SELECT * FROM q)) a JOIN (SELECT doc_id, quality FROM ({_ocr(_PAGES)} SELECT * FROM q)) b USING (doc_id)",
+    "record_gate": f"""WITH r AS (SELECT doc_id, {_RECORD_N} AS c, count(*) OVER () AS total, count(*) FILTER ({_RECORD_N} = 5) OVER () AS gone FROM documents),
+h AS (SELECT doc_id, 0::DOUBLE AS s_parse_fail, 0::DOUBLE AS s_truncated, CASE WHEN c = 5 AND total - gone >= 0.8::DOUBLE * total THEN 0.6::DOUBLE ELSE 0 END AS s_schema_missing, CASE WHEN c = 3 THEN 0.6::DOUBLE ELSE 0 END AS s_type_mismatch, CASE WHEN c IN (1, 2) THEN 0.5::DOUBLE ELSE 0 END AS s_empty_value FROM r),
+q AS (SELECT *, {_quality(JSON_WEIGHTS)} AS quality, {_flags(JSON_WEIGHTS)} AS flags FROM h) SELECT doc_id, {', '.join(f'round(s_{k}, 6) AS s_{k}' for k in JSON_WEIGHTS)}, round(quality, 6) AS gate_quality, quality >= 0.5 AS gate_passed, flags FROM q""",
+    "outliers_reference": f"""WITH st AS (SELECT * FROM ({_REFERENCE} SELECT * FROM st)), z AS (SELECT * FROM ({_features("SELECT concat_ws('-', conv_id, turn) AS doc_id, coalesce(text, '') AS text, coalesce(role, 'unknown') AS source FROM conversations")}, {_UNPIVOT} SELECT * FROM long)),
+y AS (SELECT z.*, CASE WHEN mad > 1e-12 THEN abs(value - med) / (1.4826::DOUBLE * mad) ELSE 0 END AS z FROM z JOIN st USING (feature))
+SELECT doc_id, source, coalesce(string_agg(feature, ',' ORDER BY i) FILTER (z >= 3.5), '') AS flags, round(coalesce(max(z) FILTER (z >= 3.5), 0), 4) AS outlier_score, coalesce(bool_or(z >= 3.5), false) AS is_outlier FROM y GROUP BY 1, 2""",
     "profile_char_classes": _profile("char_length", "alpha_fraction", "digit_fraction", "punct_fraction", "uppercase_fraction", "non_ascii_fraction"),
     "profile_line_structure": _profile("dup_line_fraction", "bullet_line_fraction", "ellipsis_line_fraction", "short_line_fraction", "mean_line_length"),
     "profile_lexical": _profile("token_length", "mean_word_length", "type_token_ratio", "bigram_repetition", "stopword_fraction", "symbol_word_ratio", "mojibake_fraction"),
@@ -275,7 +412,9 @@ SELECT doc_id, source, coalesce(string_agg(feature, ',' ORDER BY i) FILTER (z >=
     "ocr_gate_documents": f"{_ocr()} SELECT doc_id, {', '.join(f'round(s_{k}, 6) AS s_{k}' for k in OCR_WEIGHTS)}, round(quality, 6) AS gate_quality, quality >= 0.5 AS gate_passed, flags FROM q",
     "guard_fpr": f"{_html(_PAGES)} SELECT round(coalesce(avg((quality < 0.5)::INT), 0), 6) AS guard_fpr FROM q",
     "json_infer_schema": "WITH k AS (SELECT unnest(json_keys(props)) AS key, props FROM events), t AS (SELECT key, CASE json_type(props, '$.' || key) WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' ELSE 'other' END AS kind FROM k) SELECT key, mode(kind) AS kind, count(*) AS n_records FROM t GROUP BY 1 HAVING count(*) >= 0.8 * (SELECT count(*) FROM events)",
-    "json_gate_events": _JUDGED.format(rows=f"SELECT * FROM ({_EVENTS}) UNION ALL {_BROKEN}") + """ SELECT parses AS gate_passed, CASE WHEN parses THEN '' WHEN balanced THEN 'parse_fail' ELSE 'parse_fail,truncated' END AS flags, CASE WHEN parses THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS gate_quality, count(*) AS n FROM j GROUP BY 1, 2, 3""",
+    "json_gate_events": _JUDGED.format(rows=f"SELECT * FROM ({_EVENTS}) UNION ALL {_BROKEN}") + f""", v AS (SELECT *, parses AND json_type(CASE WHEN parses THEN raw END) = 'OBJECT' AS named, json_type(CASE WHEN parses THEN raw END, '$.k') AS kind FROM j),
+g AS (SELECT (NOT parses)::INT AS s_parse_fail, (NOT balanced)::INT AS s_truncated, (named AND kind IS NULL)::INT AS s_schema_missing, coalesce(named AND kind NOT IN ('UBIGINT', 'BIGINT', 'NULL'), false)::INT AS s_type_mismatch, coalesce(named AND kind = 'NULL', false)::INT AS s_empty_value FROM v),
+q AS (SELECT {_quality(JSON_WEIGHTS)} AS quality, {_flags(JSON_WEIGHTS)} AS flags FROM g) SELECT quality >= 0.5 AS gate_passed, flags, round(quality, 6) AS gate_quality, count(*) AS n FROM q GROUP BY 1, 2, 3""",
     "json_balanced": _JUDGED.format(rows=_BROKEN) + " SELECT doc_id, raw, balanced, parses FROM j",
     "baseline_parse_only": _JUDGED.format(rows=_BROKEN) + " SELECT doc_id, parses AS gate_passed FROM j",
     "provenance_ledger": f"{_DECIDED} SELECT doc_id, source, '2024-01-01T00:00:00Z' AS fetch_time, 'text' AS modality, 'surface@v1' AS extractor, 1.0::DOUBLE AS gate_quality, label_name AS decision, 'score' AS responsible_stage, substr(sha1('html:0.5000|json:0.5000|ocr:0.5000|cas:0.620,0.300'), 1, 12) AS config_hash FROM e",
@@ -285,17 +424,9 @@ SELECT doc_id, source, coalesce(string_agg(feature, ',' ORDER BY i) FILTER (z >=
 b AS (SELECT *, round_even(fraction * n, 0)::BIGINT AS k FROM r CROSS JOIN (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.85, 1.0])::DOUBLE AS fraction)),
 x AS (SELECT *, rank >= (n - k) // 2 AND rank < (n - k) // 2 + k AS asked, CASE WHEN rank < (n - k) // 2 THEN 0 WHEN rank >= (n - k) // 2 + k THEN 2 ELSE gold END AS pred FROM b)
 SELECT fraction, round({_macro('pred', 'gold')}, 6) AS macro_f1, round(avg((pred = gold)::INT), 6) AS agreement, count(*) FILTER (asked) AS judge_calls FROM x GROUP BY 1""",
-    "corrupt_html_tag_inject": _mutated("text", _insert(_WORDS, f"greatest(3, len({_WORDS}) // 25)", X.INJECTED_TAGS, "tag", " ")),
-    "corrupt_html_nav_boilerplate": _mutated("text", _nav(_CHROME)),
-    "corrupt_html_script_style": _mutated("text", "'" + X.SCRIPT_BLOCK.replace("'", "''") + "' || chr(10) || text"),
-    "corrupt_html_link_dump": _mutated("text", f"text || chr(10) || {_LINKS}"),
-    "corrupt_ocr_wordbreak": _mutated("text", _BREAK),
-    "corrupt_ocr_mojibake": f"""WITH s AS (SELECT doc_id, coalesce(text, '') AS text, list_sort(list_transform(range(1, greatest(6, length(text) // 80)::BIGINT + 1), lambda k: {{p: {_draw('moji@', k='k')} % greatest(length(text), 1), k: k, x: {_pick(X.MOJIBAKE, _draw('moji', k='k'))}}})) AS n FROM documents),
-m AS (SELECT doc_id, array_to_string(list_transform(range(1, len(n) + 1), lambda i: substr(text, coalesce(n[i - 1].p, 0) + 1, n[i].p - coalesce(n[i - 1].p, 0)) || n[i].x), '') || substr(text, n[-1].p + 1) AS text FROM s)
-SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM m""",
-    "corrupt_ocr_linenoise": _mutated("text", _insert(_WORDS, f"greatest(8, len({_WORDS}) // 8)", tuple(X.INJECTED_GLYPHS), "noise", " ")),
-    "corrupt_json_truncate": _mutated("raw", _cut(1), _EVENTS),
-    "corrupt_json_delimiter": _mutated("raw", _delimiter(1), _EVENTS),
+    **{f"corrupt_html_{k}": _mutated("text", op()) for k, op in _OPS["html"].items()},
+    **{f"corrupt_ocr_{k}": _mutated("text", op()) for k, op in _OPS["ocr"].items()},
+    **{f"corrupt_json_{k}": _mutated("raw", op(), _EVENTS) for k, op in _OPS["json"].items()},
     "corrupt_content_risk": _mutated("text", f"text || chr(10) || {_pick(X.RISK_HELDOUT, _draw('risk'))} || '.'"),
     "corrupt_content_contradiction": _mutated("text", f"text || ' ' || {_pick(X.CONTRADICTIONS_HELDOUT, _draw('contra'))} || '.'"),
     "mutation_eval": _scores("(0, 2.0::DOUBLE, 0.5::DOUBLE)") + " SELECT candidate_id, slice, seed, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(fpr, 6) AS fpr, n FROM v",
@@ -315,3 +446,4 @@ SELECT doc_id, round(s_stopword_deficit, 6) AS s_stopword_deficit, round(s_symbo
 k AS (SELECT doc_id, count(*) FILTER (w NOT IN (SELECT w FROM v)) AS miss FROM (SELECT doc_id, unnest(words) AS w FROM d) GROUP BY 1)
 SELECT doc_id, len(words) AS n_words, round(coalesce(miss / nullif(len(words), 0), 0), 6) AS oov_share, round(least(1, 2 * coalesce(miss / nullif(len(words), 0), 0)), 6) AS s_oov FROM d LEFT JOIN k USING (doc_id)""",
 }
+ORACLES["curate_with_outliers"] = f"""SELECT label_name, is_outlier, count(*) AS n_docs FROM (SELECT doc_id, label_name FROM ({_DECIDED} SELECT * FROM e)) JOIN (SELECT doc_id, is_outlier FROM ({ORACLES["cohort_outliers"]})) USING (doc_id) GROUP BY 1, 2"""

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatehouse.checkpoints import ensure_checkpoint_dir
 from gatehouse.functions import order, stats
 from gatehouse.functions.text import features, gzip_ratio
 from gatehouse.operators import baselines, climb, gates, metrics, mutate, outliers, report, verify
 from gatehouse.operators.cascade import Config, curate, provenance, with_score
 from gatehouse.plans.oracles import ORACLES
 from gatehouse.sources import adapters as src
+from gatehouse.sources.adapters import draw
+from gatehouse.sources.ledger import Ledger
 from gatehouse.streaming import routine, spc
 
 #: Features whose values are exact ratios of counts.
@@ -98,6 +103,52 @@ def cohort_outliers(spark, sf_dir):
     return rounded(found.select("doc_id", "source", F.array_join("outlier_flags", ",").alias("flags"), "outlier_score", "is_outlier"), "outlier_score", places=4)
 
 
+def outliers_reference(spark, sf_dir):
+    """Conversations against the statistics of documents: a reference window that is fitted on one table and scores another."""
+    docs = features(src.documents(spark, sf_dir), COHORT)
+    fitted = outliers.fit(docs.withColumn("source", F.lit("window")), COHORT)
+    found = outliers.score(features(src.conversations(spark, sf_dir), COHORT), fitted, names=COHORT)
+    return rounded(found.select("doc_id", "source", F.array_join("outlier_flags", ",").alias("flags"), "outlier_score", "is_outlier"), "outlier_score", places=4)
+
+
+def curate_with_outliers(spark, sf_dir):
+    """Decisions beside the outlier flags of their profiles, counted by label."""
+    docs = src.documents(spark, sf_dir)
+    joined = report.with_outliers(curate(docs), outliers.profile(features(docs, COHORT), names=COHORT))
+    return joined.groupBy("label_name", F.coalesce("is_outlier", F.lit(False)).alias("is_outlier")).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def series_ewma(spark, sf_dir):
+    """Exponentially weighted mean of each stream's daily values, and a short digest of its name."""
+    days = _daily(spark, sf_dir).groupBy("stream").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "mean_value"))), lambda d: d["mean_value"]).alias("v"))
+    return days.select("stream", stats.sha1_short(F.col("stream")).alias("digest"), F.round(stats.ewma(F.col("v"), 0.3), 6).alias("ewma"))
+
+
+def gates_combined(spark, sf_dir):
+    """The weakest of the HTML and the OCR gate for each page."""
+    docs = src.pages(spark, sf_dir)
+    a = gates.HTML.evaluate(docs).withColumnRenamed("gate_quality", "html_quality").select("doc_id", "text", "html_quality")
+    both = gates.OCR.evaluate(a)
+    return rounded(both.select("doc_id", gates.combine([F.col("html_quality"), F.col("gate_quality")]).alias("quality")), "quality")
+
+
+def record_gate(spark, sf_dir):
+    """Records with missing, retyped and empty values through the gate, against the schema inferred from all of them."""
+    d = src.table(spark, sf_dir, "documents")
+    n = F.pmod(draw(5, F.col("doc_id"), "field"), F.lit(6))
+    parts = {"id": F.col("doc_id").cast("string"), "lang": F.concat(F.lit('"'), F.col("lang"), F.lit('"')), "source": F.concat(F.lit('"'), F.col("source"), F.lit('"')), "share": F.concat(F.pmod("doc_id", F.lit(97)).cast("string"), F.lit(".5"))}
+    parts["lang"] = F.when(n == 1, '""').when(n == 2, "null").otherwise(parts["lang"])
+    parts["id"] = F.when(n == 3, F.concat(F.lit('"'), parts["id"], F.lit('"'))).otherwise(parts["id"])
+    parts["share"] = F.when(n == 4, F.lit("7")).otherwise(parts["share"])
+    each = [F.when(~((n == 5) & F.lit(k == "source")), F.concat(F.lit(f'"{k}": '), v)) for k, v in parts.items()]
+    raw = F.concat(F.lit("{"), F.concat_ws(", ", *each), F.lit("}"))
+    records = src.as_documents(d, F.col("doc_id"), raw, F.col("source"), F.lit("json"), raw)
+    schema = {r["key"]: r["kind"] for r in gates.infer_schema(records).collect()}  # keys of one record
+    got = gates.Gate("json", gates.JSON.weights, gates.JSON.signals, reads="raw", schema=schema).evaluate(records)
+    cols = [f"s_{k}" for k in gates.JSON.weights]
+    return rounded(got.select("doc_id", *cols, "gate_quality", "gate_passed", F.array_join("gate_flags", ",").alias("flags")), *cols, "gate_quality")
+
+
 def outliers_ksigma(spark, sf_dir):
     return outliers.k_sigma(features(src.documents(spark, sf_dir), COHORT), names=COHORT)
 
@@ -119,12 +170,13 @@ def json_infer_schema(spark, sf_dir):
 
 
 def _broken_events(spark, sf_dir):
-    return mutate.corrupt(src.events(spark, sf_dir), "json", 3, ops=("truncate", "delimiter"))
+    return mutate.corrupt(src.events(spark, sf_dir), "json", 3)
 
 
 def json_gate_events(spark, sf_dir):
-    """Damaged records through the gate, with the schema of the whole ones."""
-    gate = gates.Gate("json", gates.JSON.weights, gates.JSON.signals, reads="raw", schema={"k": "int"})
+    """Damaged records through the gate, with the schema inferred from the whole ones."""
+    schema = {r["key"]: r["kind"] for r in gates.infer_schema(src.events(spark, sf_dir)).collect()}  # keys of one record
+    gate = gates.Gate("json", gates.JSON.weights, gates.JSON.signals, reads="raw", schema=schema)
     got = gate.evaluate(src.events(spark, sf_dir).unionByName(_broken_events(spark, sf_dir).select("doc_id", "text", "source", "modality", "raw")))
     return got.groupBy("gate_passed", F.array_join("gate_flags", ",").alias("flags"), F.round("gate_quality", 6).alias("gate_quality")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -142,8 +194,14 @@ def ledger_current(spark, sf_dir):
     """The latest of two decisions for each page: the first under default thresholds, the second under stricter ones."""
     docs = src.pages(spark, sf_dir)
     strict = Config(gates={"html": 0.8, "json": 0.5, "ocr": 0.5})
-    both = provenance(curate(docs), "day-0").withColumn("batch", F.lit(0)).unionByName(provenance(curate(docs, config=strict), "day-1", strict).withColumn("batch", F.lit(1)))
-    return both.groupBy("doc_id").agg(F.max_by(F.struct("decision", "responsible_stage", "fetch_time"), "batch").alias("r"), F.count(F.lit(1)).alias("n_records")).select("doc_id", "r.*", "n_records")
+    ensure_checkpoint_dir(spark)
+    ledger = Ledger(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ledger-{uuid.uuid4().hex}")
+    ledger.append(provenance(curate(docs), "day-0"), 0)
+    ledger.supersede(provenance(curate(docs, config=strict), "day-1", strict), 1)
+    ledger.append_summary({"pages": docs.count()}, 1)
+    n = ledger.records().where("kind <> 'summary'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_records"))
+    now = ledger.current().select("doc_id", "decision", "responsible_stage", "fetch_time", "supersedes").join(n, "doc_id")
+    return now.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("supersedes", F.col("supersedes").cast("long"))
 
 
 def _predicted(spark, sf_dir):
@@ -257,10 +315,10 @@ def routine_ticks(spark, sf_dir):
     loop = routine.Routine(warmup=10, remediator=lambda d: d.withColumn("text", routine.simple_reextract(F.col("text"))))
     harness = routine.LocalHarness()
     for day in range(13):
-        own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(13)) == day)
+        own = docs.where(F.pmod(draw(0, F.col("doc_id"), "day"), F.lit(13)) == day)
         loop.tick(harness, own if day < 10 else own.withColumn("text", mutate.script_style(F.col("text"), 0, F.col("doc_id"), "heldout")))
-    rows = [(s["day"], s["ok"], s["throughput"], s["quality"], s["alerts"], s["actions"]) for s in harness.summaries]
-    return spark.createDataFrame(rows, "day int, ok boolean, throughput double, quality double, alerts array<string>, actions array<string>")
+    rows = [(s["day"], s["ok"], s["throughput"], s["quality"], ",".join(s["alerts"]), ",".join(s["actions"])) for s in harness.summaries]
+    return spark.createDataFrame(rows, "day int, ok boolean, throughput double, quality double, alerts string, actions string")
 
 
 def baseline_gopher(spark, sf_dir):
@@ -303,6 +361,11 @@ QUERIES = {
     "cohort_median_mad": cohort_median_mad,
     "cohort_outliers": cohort_outliers,
     "outliers_ksigma": outliers_ksigma,
+    "outliers_reference": outliers_reference,
+    "curate_with_outliers": curate_with_outliers,
+    "series_ewma": series_ewma,
+    "gates_combined": gates_combined,
+    "record_gate": record_gate,
     "html_gate_pages": html_gate_pages,
     "ocr_gate_documents": ocr_gate_documents,
     "json_infer_schema": json_infer_schema,

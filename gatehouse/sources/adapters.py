@@ -84,10 +84,13 @@ def _sentence(seed: int, key: Column, k: Column) -> Column:
 
 
 def clean_text(seed: int, key: Column) -> Column:
-    """Six to fourteen sentences in paragraphs of three, often under a heading and before a short list."""
+    """Six to fourteen sentences in paragraphs of two to four, often under a heading and before a short list."""
     n = F.pmod(draw(seed, key, "sentences"), F.lit(9)) + 6
     sentences = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda k: _sentence(seed, key, k))
-    paragraphs = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / 3)), lambda p: F.array_join(F.slice(sentences, (p * 3 + 1).cast("int"), 3), " "))
+    size = lambda p: (F.pmod(draw(seed, key, "paragraph", p), F.lit(3)) + 2).cast("int")
+    before = lambda p: F.aggregate(F.sequence(F.lit(1).cast("long"), p), -size(p), lambda s, k: s + size(k))
+    paragraphs = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long")), lambda p: F.array_join(F.slice(sentences, before(p) + 1, size(p)), " "))
+    paragraphs = F.filter(paragraphs, lambda p: p != "")
     chance = lambda what, percent: F.pmod(draw(seed, key, what), F.lit(100)) < percent
     items = F.pmod(draw(seed, key, "items"), F.lit(2)) + 2
     listed = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), items), lambda k: F.concat(F.lit("- "), pick(X.LIST_ITEMS, draw(seed, key, "item") + k))), "\n")
