@@ -1,6 +1,7 @@
 """Hill climbing of gate parameters: two naive regimes, and one that only accepts what the verifier confirms.
 
-The signals of both document sets are computed once and kept; an iteration is one job over them for all candidates.
+The signals of both document sets are computed once and kept; an iteration is one job over them for all candidates, and its rows serve
+the choice, the accept rule and the snapshot.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ import json
 import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gatehouse.operators import verify
 from gatehouse.operators.gates import Gate
@@ -71,6 +74,29 @@ class Climb:
     trajectory: list[dict]
 
 
+@dataclass
+class Judged:
+    """What one job says about candidates: a row for each candidate, part, slice and seed, and their false positives on guard documents."""
+
+    gates: list[Gate]
+    rows: list
+    rates: dict[int, float] | None
+    test: str
+
+    def mean(self, candidate: int, what: str, part: str | None = None, which: str = "heldout") -> float:
+        values = [r[what] for r in self.rows if (r["candidate_id"], r["part"], r["slice"]) == (candidate, part or self.test, which)]
+        return sum(values) / len(values) if values else 0.0
+
+    def fpr(self, candidate: int) -> float:
+        return self.mean(candidate, "fpr") if self.rates is None else self.rates.get(candidate, 0.0)
+
+    def frames(self, spark: SparkSession, candidate: int) -> tuple[DataFrame, DataFrame | None]:
+        """Scores and guard rates of the incumbent, 0, and a candidate, for the accept rule."""
+        rows = [(r["candidate_id"], r["slice"], r["seed"], r["f1"], r["fpr"]) for r in self.rows if r["part"] == self.test and r["candidate_id"] in (0, candidate)]
+        rates = None if self.rates is None else spark.createDataFrame([(c, self.rates.get(c, 0.0)) for c in (0, candidate)], "candidate_id int, guard_fpr double")
+        return spark.createDataFrame(rows, "candidate_id int, slice string, seed int, f1 double, fpr double"), rates
+
+
 def hillclimb(gate: Gate, docs: DataFrame, kind: str, regime: str, config: ClimbConfig | None = None, eval_docs: DataFrame | None = None, opt_seeds: Sequence[int] = range(5), test_seeds: Sequence[int] = range(20, 25), ops: Sequence[str] | None = None, proposer=None, guard_docs: DataFrame | None = None) -> Climb:
     """Regimes: "naive_recall", "naive_f1" (train slice, strictly better wins), else verified (penalised held-out objective, accepted on eval_docs).
 
@@ -79,37 +105,41 @@ def hillclimb(gate: Gate, docs: DataFrame, kind: str, regime: str, config: Climb
     """
     config = config or ClimbConfig()
     proposer = proposer or OfflineProposer(config.seed, config.step)
-    own = verify.signals(gate, docs, kind, opt_seeds, ("train", "heldout"), ops).persist()
-    test = own if eval_docs is None else verify.signals(gate, eval_docs, kind, test_seeds, ("train", "heldout"), ops).persist()
+    parts = {"own": verify.signals(gate, docs, kind, opt_seeds, ("train", "heldout"), ops)}
+    if eval_docs is not None:
+        parts["test"] = verify.signals(gate, eval_docs, kind, test_seeds, ("train", "heldout"), ops)
+    test = "own" if eval_docs is None else "test"
+    kept = reduce(DataFrame.unionByName, [m.withColumn("part", F.lit(k)) for k, m in parts.items()]).persist()
+    matrix = kept.coalesce(max(1, kept.count() // 50_000))  # many jobs read it: no more tasks than its rows need
     guard = None if guard_docs is None else gate.prepare(guard_docs).select(*[f"s_{k}" for k in gate.weights]).persist()
-    rates = lambda gates: None if guard is None else verify.guard_rates(guard, gates)
     trajectory = []
 
-    def best(gates: list[Gate], which: str, by: str) -> tuple[int, float]:
-        rows = {r["candidate_id"]: r[by] for r in verify.objective(verify.score(own, gates), which).collect()}  # one row for each candidate
-        top = max(range(len(gates)), key=lambda i: rows[i])  # the first wins ties
-        return top, rows[top]
+    def judged(gates: list[Gate]) -> Judged:
+        rows = verify.score(matrix, gates, ("part", "slice", "seed")).collect()  # candidates x parts x slices x seeds
+        rates = {r["candidate_id"]: r["guard_fpr"] or 0.0 for r in verify.guard_rates(guard, gates).collect()} if guard is not None else None
+        return Judged(gates, rows, rates, test)
 
-    def snapshot(i: int) -> None:
-        r = {x["candidate_id"]: x for x in verify.objective(verify.score(test, [gate])).collect()}[0]
-        trajectory.append({"regime": regime, "iter": i, "recall_train": best([gate], "train", "recall")[1], "f1_heldout": r["f1"], "guard_fpr": r["fpr"] if guard is None else rates([gate]).first()["guard_fpr"] or 0.0})
+    def snapshot(i: int, seen: Judged, c: int) -> None:
+        trajectory.append({"regime": regime, "iter": i, "recall_train": seen.mean(c, "recall", "own", "train"), "f1_heldout": seen.mean(c, "f1"), "guard_fpr": seen.fpr(c)})
 
-    snapshot(0)
+    seen, now = judged([gate]), 0
+    snapshot(0, seen, 0)
     naive = {"naive_recall": "recall", "naive_f1": "f1"}.get(regime)
     for i in range(1, config.iterations + 1):
         if hasattr(proposer, "failures"):
             proposer.failures = verify.misjudged(gate, docs, kind, config.seed + i, ops)
-        proposals = proposer.propose_many(gate, config.population)
+        seen, now = judged([gate, *proposer.propose_many(gate, config.population)]), 0
+        others = range(1, len(seen.gates))
         if naive:
-            top, value = best([gate, *proposals], "train", naive)
-            gate = [gate, *proposals][top]
-        else:
-            top, _ = best(proposals, "heldout", "objective")
-            if verify.accepted(verify.score(test, [gate, proposals[top]]), 0, 1, delta=config.min_gain, eps=config.guard_tolerance, guard=rates([gate, proposals[top]])).accept:
-                gate = proposals[top]
-        snapshot(i)
-    own.unpersist()
-    test.unpersist()
+            top = max(others, key=lambda c: seen.mean(c, naive, "own", "train"), default=0)  # the first wins ties
+            now = top if seen.mean(top, naive, "own", "train") > seen.mean(0, naive, "own", "train") else 0
+        elif others:
+            top = max(others, key=lambda c: seen.mean(c, "f1", "own") - 0.5 * seen.mean(c, "fpr", "own"))
+            scores, rates = seen.frames(docs.sparkSession, top)
+            now = top if verify.accepted(scores, 0, top, delta=config.min_gain, eps=config.guard_tolerance, guard=rates).accept else 0
+        gate = seen.gates[now]
+        snapshot(i, seen, now)
+    kept.unpersist()
     if guard is not None:
         guard.unpersist()
     return Climb(gate, regime, trajectory)

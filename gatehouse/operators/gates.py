@@ -124,9 +124,8 @@ def parses() -> Column:
     return F.col("_v").isNotNull() & single
 
 
-def type_name(value: Column) -> Column:
-    """string, bool, int, float, list, dict or null of a variant value."""
-    kind = F.schema_of_variant(value)
+def type_name(kind: Column) -> Column:
+    """string, bool, int, float, list, dict or null of a variant's schema."""
     return (
         F.when(kind == "VOID", "null").when(kind == "STRING", "string").when(kind == "BOOLEAN", "bool").when(kind == "BIGINT", "int")
         .when(kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "int").when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float")
@@ -138,27 +137,37 @@ def _floor(n: Column, of: int, least: float) -> Column:
     return F.when(n == 0, 0.0).otherwise(clamp(F.greatest(F.lit(least), n / of)))
 
 
+#: SQL for the value that a record has under a key, which may be a column.
+_VALUE = "try_variant_get(_v, concat('$[''', {}, ''']'), 'variant')"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _fields(schema: Mapping[str, str]) -> Column:
+    """For each key of a schema its expected kind, whether the record has it, the schema of its value and the value as text."""
+    wanted = ", ".join(f"struct({_quoted(k)} AS key, {_quoted(v)} AS kind)" for k, v in schema.items())
+    value = _VALUE.format("s.key")
+    return F.expr(f"transform(array({wanted}), s -> struct(s.kind AS kind, array_contains(json_object_keys(_raw), s.key) AS there, schema_of_variant({value}) AS shape, to_json({value}) AS text))")
+
+
 def _json(gate: Gate) -> dict[str, Column]:
     ok, whole = parses(), balanced()
-    named = ok & F.schema_of_variant("_v").startswith("OBJECT") & F.lit(bool(gate.schema))
-    missing, wrong, empty = F.lit(0), F.lit(0), F.lit(0)
-    for key, kind in gate.schema.items():
-        value = F.try_variant_get("_v", f"$['{key}']", "variant")
-        name = type_name(value)
-        there = F.array_contains(F.json_object_keys("_raw"), key)
-        missing = missing + F.when(there, 0).otherwise(1)
-        odd = there & (name != "null") & (name != kind) & ~(F.lit(kind == "float") & (name == "int"))
-        wrong = wrong + F.when(odd, 1).otherwise(0)
-        blank = there & ((name == "null") | F.to_json(value).isin('""', "[]", "{}"))
-        empty = empty + F.when(blank, 1).otherwise(0)
+    missing = wrong = empty = F.lit(0)
+    if gate.schema:
+        held = F.when(ok & F.schema_of_variant("_v").startswith("OBJECT"), _fields(gate.schema))
+        number = lambda test: F.coalesce(F.nullif(F.size(F.filter(held, test)), F.lit(-1)), F.lit(0))
+        missing = number(lambda s: ~s["there"])
+        wrong = number(lambda s: s["there"] & ~type_name(s["shape"]).isin("null") & (type_name(s["shape"]) != s["kind"]) & ~((s["kind"] == "float") & (type_name(s["shape"]) == "int")))
+        empty = number(lambda s: s["there"] & ((type_name(s["shape"]) == "null") | s["text"].isin('""', "[]", "{}")))
     n = max(1, len(gate.schema))
-    held = lambda c: F.when(named, c).otherwise(0.0)
     return {
         "parse_fail": F.when(ok, 0.0).otherwise(1.0),
         "truncated": F.when(whole, 0.0).otherwise(1.0),
-        "schema_missing": held(_floor(missing, n, 0.6)),
-        "type_mismatch": held(_floor(wrong, n, 0.6)),
-        "empty_value": held(_floor(empty, n, 0.5)),
+        "schema_missing": _floor(missing, n, 0.6),
+        "type_mismatch": _floor(wrong, n, 0.6),
+        "empty_value": _floor(empty, n, 0.5),
     }
 
 
@@ -167,7 +176,7 @@ def infer_schema(records: DataFrame, raw: str = "raw", order: str = "doc_id", re
     rows = json_columns(records.select(F.col(order).alias("_o"), raw), F.coalesce(F.col(raw), F.lit(""))).where(parses() & F.schema_of_variant("_v").startswith("OBJECT"))
     n = rows.agg(F.count(F.lit(1)).alias("records"))
     keys = rows.select("_o", "_v", F.explode(F.json_object_keys("_raw")).alias("key"))
-    typed = keys.select("_o", "key", type_name(F.expr("try_variant_get(_v, concat('$[''', key, ''']'), 'variant')")).alias("kind"))
+    typed = keys.select("_o", "key", type_name(F.expr(f"schema_of_variant({_VALUE.format('key')})")).alias("kind"))
     by = typed.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("first"))
     best = by.groupBy("key").agg(F.sum("n").alias("n_records"), F.min_by("kind", F.when(F.col("kind") != "null", F.struct((-F.col("n")).alias("a"), F.col("first").alias("b")))).alias("kind"))
     return best.crossJoin(F.broadcast(n)).where(F.col("n_records") >= F.lit(required) * F.greatest("records", F.lit(1))).select("key", F.coalesce("kind", F.lit("string")).alias("kind"), "n_records")

@@ -45,13 +45,13 @@ def _quality(names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a * b, [F.lit(1.0) - clamp(F.greatest(F.lit(0.0), F.element_at("w", i + 1)) * F.col(f"s_{k}")) for i, k in enumerate(names)])
 
 
-def score(matrix: DataFrame, gates: Sequence[Gate]) -> DataFrame:
-    """precision, recall, f1, fpr and n by candidate, slice and seed. The candidates are a list of the driver's, and broadcast."""
+def score(matrix: DataFrame, gates: Sequence[Gate], by: Sequence[str] = ("slice", "seed")) -> DataFrame:
+    """precision, recall, f1, fpr and n by candidate, slice and seed, or other columns. The candidates are a list of the driver's, and broadcast."""
     names = list(gates[0].weights)
     rows = matrix.crossJoin(F.broadcast(candidates(matrix.sparkSession, gates))).withColumn("pred", (_quality(names) < F.col("threshold")).cast("int"))
     prf = binary_prf(F.col("pred"), F.col("defect"))
     fp, tn = hits((F.col("pred") == 1) & (F.col("defect") == 0)), hits((F.col("pred") == 0) & (F.col("defect") == 0))
-    return rows.groupBy("candidate_id", "slice", "seed").agg(*[v.alias(k) for k, v in prf.items()], share(fp, fp + tn).alias("fpr"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("candidate_id", *by).agg(*[v.alias(k) for k, v in prf.items()], share(fp, fp + tn).alias("fpr"), F.count(F.lit(1)).alias("n"))
 
 
 def floor_and_upper(matrix: DataFrame, gate: Gate) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from gatehouse.functions.text import features
 from gatehouse.operators import baselines, climb, gates, metrics, mutate, outliers, verify
-from gatehouse.sources.adapters import clean_corpus, draw
+from gatehouse.operators.cascade import with_score
+from gatehouse.sources.adapters import clean_corpus, documents, draw, table
 from gatehouse.streaming import routine, spc
 
 
@@ -94,19 +95,22 @@ def drift_recovery(spark: SparkSession, n: int = 80, iterations: int = 25, popul
 def against_baselines(spark: SparkSession, n: int = 80, seeds=range(5)) -> dict:
     """Mean held-out F1 of each gate and of the simple detectors of its modality."""
     out = {}
-    for kind, others in (("html", (baselines.GOPHER,)), ("ocr", ()), ("json", (baselines.PARSE_ONLY,))):
+    for kind in ("html", "ocr", "json"):
         docs = _docs(spark, kind, n, 7)
-        out[kind] = {}
-        for name, gate in (("gate", _fitted(spark, kind, docs)), *((f"baseline_{k}", g) for k, g in enumerate(others))):
-            out[kind][name] = verify.objective(verify.score(verify.signals(gate, docs, kind, seeds), [gate])).first()["f1"]
-    docs = _docs(spark, "ocr", n, 7)
-    seen = mutate.mutation_set(docs, "ocr", seeds)
-    known = baselines.oov(seen.withColumn("doc_id", F.concat_ws("/", "doc_id", "seed", "defect")), baselines.vocabulary(docs))
-    pred = known.select((1 - F.least(F.lit(1.0), 2 * F.col("s_oov")) < 0.5).cast("int").alias("pred"), F.substring_index("doc_id", "/", -1).cast("int").alias("gold"))
-    out["ocr"]["dictionary"] = pred.agg(metrics.binary_prf(F.col("pred"), F.col("gold"))["f1"].alias("f1")).first()["f1"]
+        detectors = {"gate": _fitted(spark, kind, docs), **baselines.fitted_baselines(kind, docs)}
+        out[kind] = {name: verify.objective(verify.score(verify.signals(g, docs, kind, seeds), [g])).first()["f1"] for name, g in detectors.items()}
     return out
 
 
+def cascade(spark: SparkSession, sf_dir: str) -> dict:
+    """The budget curve with the labels of a folder as judge, from no judge calls to all, and the share of the gain that half of them recover."""
+    gold = F.when(F.col("quality") == 1, 2).otherwise(0)
+    rows = with_score(documents(spark, sf_dir)).join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.col("governance_score").alias("score"), gold.alias("judge_label"), gold.alias("gold"))
+    curve = {r["fraction"]: r.asDict() for r in metrics.budget_curve(rows).collect()}  # a row for each fraction
+    low, half, high = (curve[f]["macro_f1"] for f in (0.0, 0.5, 1.0))
+    return {"curve": curve, "recovered": (half - low) / (high - low) if high != low else 0.0}
+
+
 def charts(spark: SparkSession, series, warmup: int = 10):
     """EWMA and CUSUM over any (stream, day, value)."""
     return spc.monitor(series, warmup)
