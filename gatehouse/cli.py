@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     s.add_argument("text")
     s = sub.add_parser("experiments")
     s.add_argument("names", nargs="*")
+    s.add_argument("--out", help="folder for a JSON file of each scenario and one of all")
     args = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("gatehouse").getOrCreate()
     if args.command == "gate":
@@ -45,8 +47,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif args.command == "experiments":
         from gatehouse.plans.experiments import ALL
 
+        found = {}
         for name in args.names or ALL:
-            print(json.dumps({name: ALL[name](spark)}, default=str))
+            found[name] = ALL[name](spark)
+            print(json.dumps({name: found[name]}, default=str))
+        if args.out:
+            Path(args.out).mkdir(parents=True, exist_ok=True)
+            for name, value in {**found, "summary": found}.items():
+                Path(args.out, f"{name}.json").write_text(json.dumps(value, default=str, indent=1))
     else:
         docs = read_jsonl(spark, args.path)
         if args.command == "report":

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gatehouse.functions import lexicon as X
@@ -62,7 +63,12 @@ JSONL = "id string, text string, source string, modality string, raw string"
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines as documents. Blank lines are skipped and a malformed line fails the read; a missing id is the row's number in reading order."""
-    rows = spark.read.schema(JSONL).option("mode", "FAILFAST").json(path).withColumn("_row", F.monotonically_increasing_id())
+    number = F.monotonically_increasing_id()
+    rows = spark.read.schema(JSONL).option("mode", "FAILFAST").json(path).withColumns({"_split": F.shiftright(number, 33), "_row": number.bitwiseAND((1 << 33) - 1)})
+    if rows.where("id IS NULL").limit(1).count():  # a split's rows are numbered on from those of the splits before it
+        sizes = rows.groupBy("_split").agg(F.count(F.lit(1)).alias("_n"))
+        first = sizes.select(F.col("_split").alias("_s"), (F.sum("_n").over(W.orderBy("_split")) - F.col("_n")).alias("_first"))  # a row for each split
+        rows = rows.join(first, F.col("_split") == F.col("_s")).withColumn("_row", F.col("_row") + F.col("_first"))
     return as_documents(rows, F.coalesce("id", F.col("_row").cast("string")), F.col("text"), F.col("source"), F.coalesce("modality", F.lit("text")), F.col("raw"))
 
 

@@ -69,3 +69,16 @@ def test_jsonl(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text("{broken\n")
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         adapters.read_jsonl(spark, str(tmp_path / "b.jsonl")).collect()
+
+
+def test_rows_without_id_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "long.jsonl").write_text("".join('{"text": "row %d"%s}\n' % (k, ', "id": "own"' if k % 5 == 0 else "") for k in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = adapters.read_jsonl(spark, str(tmp_path / "long.jsonl"))
+        assert got.rdd.getNumPartitions() > 1
+        assert {r["text"]: r["doc_id"] for r in got.collect()} == {f"row {k}": "own" if k % 5 == 0 else str(k) for k in range(4000)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
