@@ -1,8 +1,10 @@
 import hashlib
+import random
 
 import pytest
 
 from gatehouse.llm import fingerprints as fp
+from tests.llm.conftest import prose
 
 
 def test_spans_and_extensions():
@@ -43,3 +45,20 @@ def test_odd_and_empty_tables(spark, odd):
     assert got.count() == 6 and fp.fingerprint_documents(odd.where("false")).count() == 0
     one = fp.fingerprint_documents(odd.where("doc_id = 0")).collect()  # the next document is itself
     assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
+def test_likeness_is_near_the_true_jaccard_share(spark):
+    """Against the sets of all 16-character spans, within four standard deviations of a 64-value sketch."""
+    rng = random.Random(8)
+    base = prose(rng, 400)
+    texts = [base]
+    for part in (0.05, 0.2, 0.4, 0.6, 0.9):
+        cut = int(len(base) * part)
+        texts.append(prose(rng, 400)[:cut] + base[cut:])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = {r["doc_id"]: r["fingerprint"] for r in fp.fingerprint_documents(df).collect()}
+    spans = [{t[k : k + 16] for k in range(len(t) - 15)} for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            true = len(spans[i] & spans[j]) / len(spans[i] | spans[j])
+            assert abs(fp.likeness(prints[i], prints[j]) - true) <= 4 * (max(true * (1 - true), 0.01) / 64) ** 0.5 + 0.02
