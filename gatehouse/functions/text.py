@@ -78,7 +78,7 @@ def expressions(text: str = "text") -> dict[str, Column]:
     """Feature name -> column, over the columns of counted()."""
     t, w, p, n = F.col(text), F.col("_words"), F.col("_pairs"), F.col("_lines")
     chars = F.length(t)
-    alpha = count(t, r"\p{L}")
+    alpha = chars - F.length(F.regexp_replace(t, r"\p{L}+", ""))  # runs, since letters are most of a text
     return {
         "char_length": chars.cast("double"),
         "token_length": w["tokens"].cast("double"),
