@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -70,3 +72,44 @@ def test_registered_size_with_links_and_large_cells(spark):
     for block in (8192, 64):
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df, block=block).collect()}
         assert got == want, block
+
+
+def test_disk_does_not_grow_with_cells(spark, monkeypatch):
+    """Unrelated vectors, near to most cells, with some clusters and copies: blocks are compared in pairs, but no vector is written more than a few times."""
+    monkeypatch.setattr(vectors, "CELL", 64)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 64))
+    x[:900] = x[np.arange(900) % 3] + rng.normal(size=(900, 64)) * rng.choice([0.05, 0.13, 0.15], 900)[:, None]
+    x[:, 0] *= rng.random(6000) < 0.9  # zeros of both signs
+    x = x.astype(np.float32)
+    x[1000:1100], x[1100:1140] = x[900], x[0]
+    ids = rng.permutation(6000)
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    order = np.argsort(ids)
+    linked = (unit[order] @ unit[order].T >= 0.98) & (order < 5950)[:, None] & (order < 5950)  # the last ones are alone under their label
+    np.fill_diagonal(linked, False)
+    comp = np.arange(6000)
+    for i in range(6000):
+        if comp[i] == i:
+            todo = [i]
+            while todo:
+                new = np.flatnonzero(linked[todo.pop()] & (comp > i))
+                comp[new] = i
+                todo += new.tolist()
+    want = {i: (int(linked[i].sum()), int(comp[i]), bool(comp[i] == i)) for i in range(6000)}
+    assert linked.sum() > 50_000
+    df = spark.createDataFrame([(int(i), v.tolist(), 0 if k < 5950 else k) for k, (i, v) in enumerate(zip(ids, x, strict=True))], "vec_id long, embedding array<float>, label int").repartition(4).persist()
+    assert df.count() == 6000
+    sc = spark.sparkContext._jsc.sc()
+    vectors.common.ensure_checkpoint_dir(spark)
+    folder = Path(sc.getCheckpointDir().get().removeprefix("file:"))
+
+    def written() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite() + sum(f.stat().st_size for f in folder.rglob("part-*"))
+
+    before = written()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(df, block=512).collect()}
+    assert got == want
+    assert written() - before < 4 * x.nbytes
