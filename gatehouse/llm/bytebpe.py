@@ -3,7 +3,7 @@
 Pre-tokens are found in numpy on the code points of a batch: runs of letters, of numbers, of other marks (each with one
 space before it), contractions, and white space. A pre-token's ids don't depend on its neighbours, so each distinct one is
 encoded once by the tokenizer library and kept in sorted arrays of its 64-bit hash; the batch's ids are then gathered.
-Added tokens of the tokenizer's file, such as its end of text, part a text as its own ends do and have their own id.
+Added tokens of the tokenizer's file, such as its end of text, part a text as its own ends do and have their own id, or are plain text.
 """
 
 from __future__ import annotations
@@ -39,14 +39,22 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in the vocabulary: visible ones for themselves, the others from U+0100 on, in order."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in visible else next(others)) for b in range(256)]
+
+
 class ByteBpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
-            added = sorted((x["content"] for x in json.load(f)["added_tokens"]), key=len, reverse=True)
+            added = [] if plain else sorted((x["content"] for x in json.load(f)["added_tokens"]), key=len, reverse=True)
         self._added, self._any_added = tuple(added), re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self._class = _classes()
         self._powers = common.Powers()
@@ -122,6 +130,12 @@ class ByteBpe:
         out = self._ids[np.arange(total[-1]) + np.repeat(self._at[slots][inverse] - total[:-1], counts)]
         return out, total[np.searchsorted(cut, np.concatenate([[0], ends]))]
 
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of every id."""
+        byte = {c: b for b, c in enumerate(_byte_letters())}
+        tokens = [self._tokenizer.id_to_token(i) or "" for i in range(self._tokenizer.get_vocab_size())]
+        return [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in tokens]
+
     def _controls(self, texts: list[str], starts: np.ndarray) -> np.ndarray:
         """Where added tokens begin and end in the joined texts, in order."""
         found = [(a + m.start(), a + m.end()) for t, a in zip(texts, starts.tolist(), strict=True) for m in self._any_added.finditer(t)]
@@ -150,6 +164,6 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str) -> ByteBpe:
+def byte_bpe(path: str, plain: bool = False) -> ByteBpe:
     """One for each worker, whose table later tasks use."""
-    return ByteBpe(path)
+    return ByteBpe(path, plain)

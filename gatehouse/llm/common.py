@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ from gatehouse.sources.adapters import spread
 #: Bytes of text that one vectorised numpy pass covers; a longer document is a pass of its own.
 PASS_BYTES = 1 << 20
 
+#: Keys with more than one row in so many are hot; there can't be more than so many of them.
+HOT = 10_000
+
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -102,6 +106,26 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
             return labels.select("id", F.col("l").alias("component_id"))
 
 
+def written(df: DataFrame, stem: str) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder, which holds columns of many repeated numbers in far fewer bytes than a checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{stem}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined to `table`, in which `key` is unique and `count` tells how many of rows hold it.
+
+    A key held by more than one row in HOT goes by broadcast, and there are at most HOT of these; all others are shuffled, so no task
+    holds a key of more rows than that. table should be a checkpoint, since it is read several times.
+    """
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.broadcast(table.where(F.col(count) * HOT > total))
+    rest = rows.join(F.broadcast(table.where(F.col(count) * HOT > total).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(table.where(F.col(count) * HOT <= total), key))
+
+
 def dropped_names(df: DataFrame, *reserved: str) -> DataFrame:
     """df without columns whose names an operator is about to add."""
     return df.drop(*[c for c in df.columns if c in reserved])
@@ -115,4 +139,4 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-__all__ = ["PASS_BYTES", "Powers", "components", "cut", "dropped_names", "ensure_checkpoint_dir", "free_name", "mix64", "partitions", "passes", "table", "utf8"]
+__all__ = ["PASS_BYTES", "Powers", "components", "cut", "dropped_names", "ensure_checkpoint_dir", "free_name", "join_counted", "mix64", "partitions", "passes", "table", "utf8", "written"]

@@ -65,4 +65,33 @@ f AS (SELECT r.*, sum(least(64, n - 64 * block)) OVER (ORDER BY slot) - least(64
 d AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY substr(md5(doc_id::VARCHAR), 1, 15), doc_id) - 1 AS idx FROM k)
 SELECT doc_id, source, block, slot, release, deadline, (lead + idx % 64)::BIGINT AS position FROM d JOIN f ON f.key = d.key AND f.block = d.idx // 64"""
 
-ORACLES = {"op2_mixing": _MIXING, "op4_suffixes": _REPEATS, "op5_minhash": _NEAR, "op9_chat": _CHAT, "op10_vectors": _VECTORS}
+#: Units are a list; cuts, forms and parts are built from it.
+_INFILL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(u[1:i], '') AS pre, array_to_string(u[i + 1:j], '') AS mid, array_to_string(u[j + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def _level(name: str, nodes: str) -> str:
+    """Tables {name}_s and {name}: nodes with their prior m, and the posterior mean."""
+    return f"""{name}_n AS ({nodes}),
+{name}_s AS (SELECT 1 / greatest(0.001, least(0.5, coalesce(sum(pow(bad - n * m, 2) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.001))) - 1 AS s FROM {name}_n),
+{name} AS (SELECT *, (bad + s * m) / (n + s) AS mean FROM {name}_n, {name}_s)"""
+
+
+#: Every url is held against every rule.
+_HOSTS = f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), '{_UPPER}', '{_SMALL}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+o AS (SELECT doc_id AS page_id, max(greatest(1 - quality, toxic)) AS bad FROM labels GROUP BY doc_id HAVING max(greatest(1 - quality, toxic)) IS NOT NULL),
+h AS (SELECT host, count(o.bad) AS n, coalesce(sum(o.bad), 0) AS bad, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+{_level("a", "SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM h, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS m FROM h) GROUP BY suffix")},
+{_level("b", "SELECT h.domain, h.suffix, sum(h.n) AS n, sum(h.bad) AS bad, any_value(a.mean) AS m FROM h JOIN a USING (suffix) GROUP BY h.domain, h.suffix")},
+{_level("c", "SELECT h.host, h.n, h.bad, b.mean AS m FROM h JOIN b USING (domain)")},
+v AS (SELECT host, n, mean, mean - 1.645 * sqrt(mean * (1 - mean) / (n + s + 1)) AS bound FROM c),
+x(rh, rp, says) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+f AS (SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(says, length(rh || rp)) AS says FROM (SELECT DISTINCT host, path FROM p) JOIN x ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path)
+SELECT page_id, p.host, p.path, rule, coalesce(says, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, n AS n_outcomes, round(mean, 6) AS bad_mean, round(bound, 6) AS bad_bound FROM p JOIN v USING (host) LEFT JOIN f ON f.host = p.host AND f.path = p.path"""
+
+ORACLES = {"op2_mixing": _MIXING, "op4_suffixes": _REPEATS, "op5_minhash": _NEAR, "op9_chat": _CHAT, "op10_vectors": _VECTORS, "op11_infill": _INFILL, "op13_hosts": _HOSTS}

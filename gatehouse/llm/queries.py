@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gatehouse.llm import chat, fingerprints, mixing, neardup, packing, pii, quality, suffixes, toxicity, vectors
+from gatehouse.llm import alignment, chat, fingerprints, hosts, infill, mixing, neardup, packing, pii, quality, suffixes, toxicity, vectors
 from gatehouse.llm.oracles import ORACLES
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_chat": chat.op9_chat,
     "op10_vectors": vectors.op10_vectors,
+    "op11_infill": infill.op11_infill,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_hosts": hosts.op13_hosts,
 }
 
 #: Sketches, models, tokenizers and packing are beyond SQL; those queries are tested against brute force in tests/llm.
