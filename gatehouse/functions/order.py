@@ -1,6 +1,8 @@
-"""Ranks and exact quantiles of any number of rows: rows are dealt to ranges in order, and ranges are placed by their counts.
+"""Ranks and exact quantiles of any number of rows, of which no task holds a group.
 
-No task holds a group: a group of all rows spans many ranges. What is kept of a range is one count for each group in it.
+ranked and quantiles deal rows, or counted values, to ranges in order and place ranges by their counts. selected finds quantiles of many
+columns and groups at once without a shuffle of the rows: mergeable sketches give brackets of values, a pass over the rows counts what lies
+below and in each bracket, and only what lies in the last, small ones is shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ from gatehouse.checkpoints import cut, partitions
 
 #: Rows that a range holds at most, about.
 RANGE_ROWS = 1_000_000
+#: Rows strictly inside a bracket that are few enough to be sorted, for each group and column.
+INSIDE = 20_000
+#: Points of a sketch, and its accuracy: ranks are off by one in so many at most. A new bracket is MARGIN points wider on each side.
+POINTS, ACCURACY, MARGIN = 256, 5_000, 2
 
 
 def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
@@ -54,3 +60,87 @@ def quantiles(tally: DataFrame, keys: Sequence[str], **shares: float) -> DataFra
         low, high = held(F.floor(place)), held(F.ceil(place))
         made.append((low + (high - low) * F.first(place - F.floor(place))).alias(name))
     return rows.groupBy(*keys).agg(F.sum("n").alias("n"), *made)
+
+
+def _equal(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """a joined to b, which has the keys with a leading underscore."""
+    return a.join(b, _same(a, b, keys)).drop(*[f"_{k}" for k in keys])
+
+
+def _keyed(df: DataFrame, keys: Sequence[str], small: int) -> DataFrame:
+    """df for _equal, broadcast if it has few rows."""
+    made = df.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return F.broadcast(made) if made.limit(small + 1).count() <= small else made
+
+
+def _bracketed(df: DataFrame, keys: Sequence[str], names: Sequence[str], state: DataFrame | None, sketched: bool) -> DataFrame:
+    """keys and for each name a struct: n, the bracket's ends, how many values lie below and up to each end, and, if sketched, points of those strictly inside."""
+    rows, made = df, []
+    if state is not None:
+        rows = _equal(df, state, keys)
+    for name in names:
+        x = F.col(name)
+        low, high = (F.lit(float("-inf")), F.lit(float("inf"))) if state is None else (F.col(f"_b_{name}.low"), F.col(f"_b_{name}.high"))
+        counts = [F.count(F.when(c, 1)).alias(k) for k, c in (("below_low", x < low), ("to_low", x <= low), ("below_high", x < high), ("to_high", x <= high))]
+        ends = [(F.first(low) if state is not None else low).alias("low"), (F.first(high) if state is not None else high).alias("high")]
+        inside = (x > low) & (x < high) if state is None else (x > low) & (x < high) & F.col(f"_b_{name}.open")
+        points = [F.percentile_approx(F.when(inside, x), [k / POINTS for k in range(POINTS + 1)], ACCURACY).alias("points")] if sketched else []
+        made.append(F.struct(F.count(x).alias("n"), *ends, *counts, *points).alias(name))
+    return rows.groupBy(*keys).agg(*made)
+
+
+def _places(at: Column, share: float) -> tuple[Column, Column]:
+    """The two neighbours' ranks, from 0, between which a quantile of n values lies."""
+    place = F.lit(float(share)) * (at["n"] - 1)
+    return F.floor(place), F.ceil(place)
+
+
+def _held(at: Column, share: float) -> Column:
+    first, last = _places(at, share)
+    return (at["below_low"] <= first) & (last < at["to_high"])
+
+
+def _narrower(at: Column, share: float, margin: int) -> Column:
+    """The next bracket: of the points inside this one, those about the quantile's place. One that misses its quantile starts anew."""
+    first, last = _places(at, share)
+    inside, points = (at["below_high"] - at["to_low"]).cast("double"), at["points"]
+    i = F.floor((first - at["to_low"]) / inside * POINTS).cast("int") - margin
+    j = F.ceil((last - at["to_low"]) / inside * POINTS).cast("int") + margin
+    found = _held(at, share)
+    few = found & (at["below_high"] - at["to_low"] <= INSIDE)
+    low = F.when(few | ((first < at["to_low"]) | (i <= 0)) & found, at["low"]).when(found, F.get(points, i)).otherwise(F.lit(float("-inf")))
+    high = F.when(few | ((last >= at["below_high"]) | (j >= POINTS)) & found, at["high"]).when(found, F.get(points, j)).otherwise(F.lit(float("inf")))
+    return F.struct(low.alias("low"), high.alias("high"), (~few).alias("open"))
+
+
+def selected(df: DataFrame, keys: Sequence[str], names: Sequence[str], share: float = 0.5, small: int = 50_000) -> DataFrame:
+    """keys, feature, n, value: the exact quantile of each named column in each group, linear between neighbours; nulls don't count.
+
+    df is read a few times, so it should be a table or a checkpoint. Every pass shuffles counts and sketches, a row for each group and task; a
+    pass leaves about one in 60 of the rows inside a bracket, until INSIDE are left. These are counted by value, shuffled, and their ranks read
+    off. A bracket that turns out to miss its quantile is counted anew, so the result doesn't rest on the sketch. NaN and infinities take part
+    as the largest and outermost values.
+    """
+    state, margin = None, MARGIN
+    seen = cut(_bracketed(df, keys, names, None, False))
+    while True:
+        few = [_held(F.col(n), share) & (F.col(f"{n}.below_high") - F.col(f"{n}.to_low") <= INSIDE) | (F.col(f"{n}.n") == 0) for n in names]
+        missed = [~_held(F.col(n), share) & (F.col(f"{n}.n") > 0) for n in names]
+        done, wrong = seen.agg(F.min(reduce(lambda a, b: a & b, few)), F.max(reduce(lambda a, b: a | b, missed)) if state is not None else F.lit(False)).first()
+        if done is None or done or margin > POINTS:
+            break
+        margin *= 4 if wrong else 1
+        if "points" not in seen.schema[names[0]].dataType.names:
+            seen = cut(_bracketed(df, keys, names, None, True))
+        state = _keyed(cut(seen.select(*keys, *[_narrower(F.col(n), share, margin).alias(f"_b_{n}") for n in names])), keys, small)
+        seen = cut(_bracketed(df, keys, names, state, True))
+    ends = _keyed(seen.select(*keys, *[F.struct(F.col(f"{n}.low").alias("low"), F.col(f"{n}.high").alias("high")).alias(f"_b_{n}") for n in names]), keys, small)
+    hits = [F.when((F.col(n) >= F.col(f"_b_{n}.low")) & (F.col(n) <= F.col(f"_b_{n}.high")), F.struct(F.lit(n).alias("feature"), F.col(n).alias("value"))) for n in names]
+    inside = _equal(df, ends, keys).select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("x")).select(*keys, "x.*").groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("_k"))
+    long = [*keys, "feature"]
+    sizes = seen.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"{n}.n").alias("n"), F.col(f"{n}.below_low").alias("_before")) for n in names])).alias("x")).select(*keys, "x.*").where("n > 0")
+    rows = _equal(inside, _keyed(sizes, long, small), long).withColumn("_to", F.col("_before") + F.sum("_k").over(W.partitionBy(*long).orderBy("value")))
+    place = F.lit(float(share)) * (F.col("n") - 1)
+    at = lambda r: F.max(F.when((F.col("_to") > r) & (F.col("_to") - F.col("_k") <= r), F.col("value")))
+    low, high = at(F.floor(place)), at(F.ceil(place))
+    return rows.groupBy(*long).agg(F.first("n").alias("n"), (low + (high - low) * F.first(place - F.floor(place))).alias("value"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.checkpoints import cut
 from gatehouse.functions import lexicon as X
-from gatehouse.functions.order import quantiles
+from gatehouse.functions.order import quantiles, selected
 from gatehouse.functions.stats import robust_z, std
 
 Z, MIN_COHORT = 3.5, 12
@@ -23,25 +23,44 @@ SMALL = 50_000
 _GROUP = ("pooled", "source", "feature")
 
 
-def unpivot(features: DataFrame, names: Sequence[str] = X.FEATURES) -> DataFrame:
-    return features.unpivot(["source"], list(names), "feature", "value")
+def counted(features: DataFrame, names: Sequence[str] = X.FEATURES) -> DataFrame:
+    """source, feature, value, n: how often each value occurs in a cohort."""
+    return features.unpivot(["source"], list(names), "feature", "value").groupBy("source", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
+def _cohorts(features: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Every row in its own cohort and in the pooled one: source is null there."""
+    rows = features.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("pooled"), "source", *[F.col(n).cast("double").alias(n) for n in names])
+    return rows.withColumn("source", F.when(~F.col("pooled"), F.col("source")))
+
+
 def fit(features: DataFrame, names: Sequence[str] = X.FEATURES) -> DataFrame:
-    """source (null: none, or pooled), pooled, feature, n, med, mad. The features are read once."""
-    counted = unpivot(features, names).groupBy("source", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    both = counted.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("pooled"), "source", "feature", F.col("value").cast("double").alias("value"), "n")
+    """source (null: none, or pooled), pooled, feature, n, med, mad. The features are made once; see order.selected for the medians."""
+    rows = _cohorts(cut(features.select("source", *names)), names)
+    meds = cut(selected(rows, ("pooled", "source"), names)).withColumnRenamed("value", "med")
+    wide = meds.groupBy("pooled", "source").agg(*[F.max(F.when(F.col("feature") == n, F.col("med"))).alias(f"_m_{n}") for n in names])
+    m = _small(wide.withColumnsRenamed({"pooled": "_pooled", "source": "_source"}))
+    held = rows.join(m, (F.col("pooled") == F.col("_pooled")) & F.col("source").eqNullSafe(F.col("_source")))
+    away = held.select("pooled", "source", *[F.abs(F.col(n) - F.col(f"_m_{n}")).alias(n) for n in names])
+    mads = selected(away, ("pooled", "source"), names).select(*[F.col(k).alias(f"_{k}") for k in _GROUP], F.col("value").alias("mad"))
+    same = (meds["pooled"] == F.col("_pooled")) & meds["source"].eqNullSafe(F.col("_source")) & (meds["feature"] == F.col("_feature"))
+    return meds.join(mads, same).select(*_GROUP, "n", "med", "mad")
+
+
+def fit_counts(counts: DataFrame) -> DataFrame:
+    """The same from counted values (source, feature, value, n), which add up over any parts of a corpus."""
+    both = counts.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("pooled"), "source", "feature", F.col("value").cast("double").alias("value"), "n")
     both = both.where("value IS NOT NULL").withColumn("source", F.when(~F.col("pooled"), F.col("source")))
     tally = cut(both.groupBy(*_GROUP, "value").agg(F.sum("n").alias("n")))
     meds = cut(quantiles(tally, _GROUP, med=0.5))
     m = _small(meds.select(*[F.col(k).alias(f"_{k}") for k in _GROUP], F.col("n").alias("_n"), "med"))
     held = tally.join(m, (F.col("pooled") == F.col("_pooled")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("feature") == F.col("_feature")))
-    deviations = held.groupBy(*_GROUP, F.abs(F.col("value") - F.col("med")).alias("value")).agg(F.sum("n").alias("n"), F.first("med").alias("med"))
-    mads = quantiles(deviations.select(*_GROUP, "value", "n"), _GROUP, mad=0.5).select(*[F.col(k).alias(f"_{k}") for k in _GROUP], "mad")
+    deviations = held.groupBy(*_GROUP, F.abs(F.col("value") - F.col("med")).alias("value")).agg(F.sum("n").alias("n"))
+    mads = quantiles(deviations, _GROUP, mad=0.5).select(*[F.col(k).alias(f"_{k}") for k in _GROUP], "mad")
     same = (meds["pooled"] == F.col("_pooled")) & meds["source"].eqNullSafe(F.col("_source")) & (meds["feature"] == F.col("_feature"))
     return meds.join(mads, same).select(*_GROUP, "n", "med", "mad")
 

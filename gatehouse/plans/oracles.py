@@ -79,7 +79,7 @@ _DECIDED = f"""{_SCORED}, c AS (SELECT doc_id, source, g, CASE WHEN g >= 0.62::D
 e AS (SELECT *, ['filter', 'review', 'retain'][label + 1] AS label_name FROM c)"""
 _N = "count(*) AS n_docs, count(*) FILTER (label = 0) AS n_filter, count(*) FILTER (label = 1) AS n_review, count(*) FILTER (label = 2) AS n_retain, 1.0::DOUBLE AS mean_gate_quality"
 
-COHORT = ("char_length", "token_length", "mean_word_length", "type_token_ratio", "stopword_fraction", "alpha_fraction", "punct_fraction", "uppercase_fraction", "mean_line_length")
+COHORT = tuple(n for n in X.FEATURES if n != "gzip_ratio")
 _UNPIVOT = f"long AS (SELECT doc_id, source, unnest([{', '.join(f'{{i: {i}, feature: {chr(39)}{n}{chr(39)}, value: {n}}}' for i, n in enumerate(COHORT))}], recursive := true) FROM p)"
 _LONG = f"{_features()}, {_UNPIVOT}"
 _STATS = f"""{_LONG}, both_ AS (SELECT source, feature, value FROM long UNION ALL SELECT '*', feature, value FROM long),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatehouse.checkpoints import ensure_checkpoint_dir
+from gatehouse.functions import lexicon as X
 from gatehouse.functions import order, stats
 from gatehouse.functions.text import features, gzip_ratio
 from gatehouse.operators import baselines, climb, gates, metrics, mutate, outliers, report, verify
@@ -22,7 +23,8 @@ from gatehouse.streaming import routine, spc
 CHARACTER = ("char_length", "alpha_fraction", "digit_fraction", "punct_fraction", "uppercase_fraction", "non_ascii_fraction")
 LINE = ("dup_line_fraction", "bullet_line_fraction", "ellipsis_line_fraction", "short_line_fraction", "mean_line_length")
 LEXICAL = ("token_length", "mean_word_length", "type_token_ratio", "bigram_repetition", "stopword_fraction", "symbol_word_ratio", "mojibake_fraction")
-COHORT = ("char_length", "token_length", "mean_word_length", "type_token_ratio", "stopword_fraction", "alpha_fraction", "punct_fraction", "uppercase_fraction", "mean_line_length")
+#: All features but the compression ratio, which SQL has no function for.
+COHORT = tuple(n for n in X.FEATURES if n != "gzip_ratio")
 
 
 def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.operators import mutate
 from gatehouse.sources import adapters
+from gatehouse.sources.ledger import Ledger
 from gatehouse.streaming import routine, spc
 
 SERIES = [0.9 + 0.01 * (i % 3) for i in range(15)] + [0.5] * 5
@@ -62,6 +63,75 @@ def test_routine_alarms_remediates_and_recovers(spark):
     docs.unpersist()
 
 
+class Stopped(Exception):
+    pass
+
+
+@pytest.fixture(scope="module")
+def day_files(spark, tmp_path_factory):
+    """Six days in files of their own: defects on the fifth; a document of day 1 comes with day 3."""
+    docs = adapters.clean_corpus(spark, 6, 7, ("html",)).persist()
+    bad = docs.withColumn("text", mutate.script_style(F.col("text"), 0, F.col("doc_id"), "heldout"))
+    path = str(tmp_path_factory.mktemp("days"))
+    for day in range(6):
+        rows = (bad if day == 4 else docs).withColumn("day", F.lit(day))
+        if day == 3:
+            rows = rows.unionByName(docs.limit(1).withColumns({"day": F.lit(1), "doc_id": F.lit("late one")}))
+        rows.coalesce(1).write.mode("append").parquet(path)
+    docs.unpersist()
+    return path
+
+
+def _streamed(spark, days, path, lag, name="routine", stop=None):
+    """The routine over the day files, one a micro-batch; stop: (batch, place) where it dies once."""
+    loop = routine.DailyStream(Ledger(spark, f"{path}/ledger"), warmup=3, remediator=lambda d: d.withColumn("text", routine.simple_reextract(F.col("text"))), lag=lag, name=name)
+    if stop:
+        plain = loop.ledger.advance
+
+        def advance(name, n, *rest):
+            if n == stop[0] and stop[1] == "before":
+                raise Stopped("between ledger and state")
+            plain(name, n, *rest)
+            if n == stop[0]:
+                raise Stopped("between state and checkpoint")
+
+        loop.ledger.advance = advance
+    source = spark.readStream.schema(spark.read.parquet(days).schema).option("maxFilesPerTrigger", 1).parquet(days)
+    q = loop.start(source, f"{path}/checkpoint")
+    try:
+        assert q.awaitTermination(400)
+    except Exception as e:
+        assert stop and "Stopped" in str(e)
+    return loop
+
+
+def _shown(loop):
+    said = sorted(str(r.asDict()) for r in loop.summaries().collect())
+    held = loop.ledger.records("record").select("doc_id", "batch", "decision", "gate_quality", "fetch_time").collect()
+    return said, sorted(map(str, held)), sorted(map(str, loop.ledger.current().select("doc_id", "batch", "decision").collect()))
+
+
+@pytest.mark.parametrize("place", ["before", "after"])
+def test_a_stopped_routine_goes_on_as_if_it_had_not_been(spark, day_files, tmp_path, place):
+    whole = _streamed(spark, day_files, f"{tmp_path}/whole", 0)
+    want = _shown(whole)
+    assert len(want[0]) == 6 and sum(r["late"] for r in whole.summaries().collect()) == 1 and "late one" in str(want[1])
+    days = {r["day"]: r for r in whole.summaries().collect()}
+    assert days[4]["alerts"] == ["quality_drift_down"] and days[4]["actions"] == ["hillclimb"] and days[3]["ok"]
+    _streamed(spark, day_files, f"{tmp_path}/{place}", 0, stop=(3, place))
+    again = Ledger(spark, f"{tmp_path}/{place}/ledger")
+    assert (again.reached("routine")[0] < 3) == (place == "before")
+    assert _shown(_streamed(spark, day_files, f"{tmp_path}/{place}", 0)) == want
+    assert not [k for k in again.log.state().parts if k[1] == "routine"]  # nothing waits
+
+
+def test_a_lag_waits_for_late_documents(spark, day_files, tmp_path):
+    loop = _streamed(spark, day_files, str(tmp_path), 2)
+    days = {r["day"]: r for r in loop.summaries().collect()}
+    assert set(days) == set(range(4)) and days[1]["throughput"] == 7.0 and not sum(r["late"] for r in days.values())
+    assert loop.ledger.staged("routine", routine.STAGED).select("day").distinct().count() >= 2
+
+
 def test_jsonl(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"text": "x", "modality": "odd"}\n\n{"id": "7", "source": "s"}\n')
     got = sorted(map(tuple, adapters.read_jsonl(spark, str(tmp_path / "a.jsonl")).select("doc_id", "text", "source", "modality").collect()))
