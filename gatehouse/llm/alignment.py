@@ -2,9 +2,10 @@
 
 Python only tokenises. Each text becomes two arrays of ids and two of byte ends; from there on everything is higher-order functions and
 joins. array_intersect of the ends gives the offsets at which both vocabularies agree; a sort of these with the ends of one side places
-them among its tokens, since an offset that both have stands twice in a row; sequence and slice cut both sides into groups at these
-places; aggregate and transform count and spell out the links of a group. A link is a pair of tokens whose group is the same. Within a
-group equal ids are counted first, so a group of many repeated tokens gives a link for each two ids and their number, never all pairs.
+them among its tokens, since an offset that both have stands twice in a row; sequence and filter find these places, transform and slice cut
+both sides there into groups, spell them out and link them, aggregate counts. All of it is linear in the tokens, but for the sort. A link is a
+pair of tokens whose group is the same. Within a group equal ids are counted first, so a group of many repeated tokens gives a link for each
+two ids and their number, never all pairs.
 
 A pair's count is the number of documents (rows) that hold it linked. Pairs are made distinct in each document, then counted with partial
 sums; a pair held by more than one in 10,000 of these is broadcast back, at most 10,000 are, and the others are joined by a shuffle.
@@ -124,26 +125,36 @@ def tokenised(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(path_a or own[0], path_b or own[1]), TOKENS)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where value is computed once, however often its lambdas read it."""
-    return F.get(F.transform(F.array(value), use), 0)
+def _shared_places(ends: str) -> Column:
+    """Of the sorted ends of a side and the shared ends the places at which one stands twice, ascending: once for each shared end."""
+    every = F.when(F.size(ends) > 1, F.sequence(F.lit(0), F.size(ends) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, lambda i: F.get(ends, i) == F.get(ends, i + 1))
 
 
-def _upto(ends: Column, shared: Column) -> Column:
-    """0, then how many of the ascending `ends` lie up to each of the ascending shared ones: in the sorted whole a shared end stands twice."""
-    twice = lambda s: F.filter(F.transform(s, lambda x, i: F.when(x == F.get(s, i + 1), i)), lambda i: i.isNotNull())
-    return F.concat(F.array(F.lit(0)), _let(F.sort_array(F.concat(ends, shared)), lambda s: F.transform(twice(s), lambda i, k: i - k + 1)))
+def _first(at: str, k: Column) -> Column:
+    """The place, from 0, of a group's first id. Up to the k-th shared place lie k shared ends and all ids of the groups up to it."""
+    return F.when(k == 0, F.lit(0)).otherwise(F.get(at, k - 1) - k + 2)
 
 
-def _groups(a: Column, b: Column, upto_a: Column, upto_b: Column) -> Column:
-    """Both sides' ids of each group. upto_a, upto_b: how many ids of a side lie up to the end of each group, after a leading 0."""
+def _count(at: str, k: Column) -> Column:
+    """The number of ids of a group."""
+    return F.get(at, k) - k + 1 - _first(at, k)
 
-    def both(ca: Column, cb: Column) -> Column:
-        part = lambda ids, c, k: F.slice(ids, F.get(c, k) + 1, F.get(c, k + 1) - F.get(c, k))
-        places = F.slice(F.sequence(F.lit(0), F.size(ca)), 1, F.size(ca) - 1)
-        return F.transform(places, lambda k: F.struct(part(a, ca, k).alias("a"), part(b, cb, k).alias("b")))
 
-    return _let(upto_a, lambda ca: _let(upto_b, lambda cb: both(ca, cb)))
+def _alone() -> Column:
+    """Whether each group is one id on both sides."""
+    one = lambda x, at, k: x - F.coalesce(F.get(at, k - 1), F.lit(-2)) == 2
+    return F.transform("at_a", lambda x, k: one(x, "at_a", k) & one(F.get("at_b", k), "at_b", k))
+
+
+def _side(ids: str, k: Column) -> Column:
+    """A group's ids; ids: a or b, or their spellings."""
+    at = f"at_{ids[0]}"
+    return F.slice(ids, _first(at, k) + 1, _count(at, k))
+
+
+def _pair(x: Column, y: Column) -> Column:
+    return F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long"))
 
 
 def _counted(ids: Column) -> Column:
@@ -153,32 +164,49 @@ def _counted(ids: Column) -> Column:
 
 def _links(g: Column) -> Column:
     """pair, m: each two ids of a group's sides, and how many token pairs they are."""
-    pair = lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long"))
-    alone = F.array(F.struct(pair(F.get(g["a"], 0), F.get(g["b"], 0)).alias("pair"), F.lit(1).cast("long").alias("m")))
-    every = lambda xs, ys: F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(pair(x["id"], y["id"]).alias("pair"), (x["m"] * y["m"]).alias("m")))))
-    several = _let(_counted(g["a"]), lambda xs: _let(_counted(g["b"]), lambda ys: every(xs, ys)))
-    return F.when((F.size(g["a"]) == 1) & (F.size(g["b"]) == 1), alone).otherwise(several)
+    link = lambda x, y: F.struct(_pair(x["id"], y["id"]).alias("pair"), (x["m"] * y["m"]).alias("m"))
+    counted = F.array(F.struct(_counted(g["a"]).alias("xs"), _counted(g["b"]).alias("ys")))  # of one entry, so that it is made once
+    return F.flatten(F.transform(counted, lambda c: F.flatten(F.transform(c["xs"], lambda x: F.transform(c["ys"], lambda y: link(x, y))))))
+
+
+def _with(df: DataFrame, *columns: Column) -> DataFrame:
+    """df with columns that are made once for each row. A generator's output is read as it is, where the optimizer could put a projection's into a lambda, to be made for each entry."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
+def placed(tokens: DataFrame) -> DataFrame:
+    """tokens with a number for each row, at_a and at_b, which say where groups end on both sides, which groups are one id on both, and the ids spelled out."""
+    one = _with(tokens.select("*", F.monotonically_increasing_id().alias("row")), F.array_intersect("a_end", "b_end").alias("shared"))
+    two = _with(one, *[F.sort_array(F.concat(f"{x}_end", "shared")).alias(f"sorted_{x}") for x in "ab"])
+    three = _with(two, *[_shared_places(f"sorted_{x}").alias(f"at_{x}") for x in "ab"])
+    return _with(three.select("row", "doc_id", "a", "b", "at_a", "at_b"), _alone().alias("alone"), *[F.col(x).cast("array<string>").alias(f"{x}_said") for x in "ab"])
 
 
-def _spelled(groups: Column) -> Column:
-    joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    return F.array_join(F.transform(groups, lambda g: F.concat(joined(g["a"]), F.lit("|"), joined(g["b"]))), ";")
+def grouped(tokens: DataFrame) -> DataFrame:
+    """doc_id and groups, an array of both sides' ids, for each row of tokenised()."""
+    return placed(tokens).select("doc_id", F.transform("at_a", lambda _, k: F.struct(_side("a", k).alias("a"), _side("b", k).alias("b"))).alias("groups"))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, groups (array of both sides' ids), n_links, links (array of pair and m) for each row of tokenised()."""
-    shared = F.array_intersect("a_end", "b_end")
-    groups = _let(shared, lambda s: _groups(F.col("a"), F.col("b"), _upto(F.col("a_end"), s), _upto(F.col("b_end"), s)))
-    made = lambda gs: F.struct(
-        gs.alias("groups"), F.aggregate(gs, F.lit(0).cast("long"), lambda n, g: n + F.size(g["a"]).cast("long") * F.size(g["b"])).alias("n_links"), F.flatten(F.transform(gs, _links)).alias("links"), _spelled(gs).alias("spelled")
-    )
-    one = tokens.select("doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.explode(F.array(_let(groups, made))).alias("x"))
-    return one.select("doc_id", "n_a", "n_b", "x.*")
+    """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, ones (pairs of groups of one id on both sides), more (pair and m of other links)."""
+    alone, other = (lambda k: F.get("alone", k)), (lambda k: F.get("at_b", k) - k)
+    ones = F.filter(F.transform("at_a", lambda x, k: F.when(alone(k), _pair(F.get("a", x - k), F.get("b", other(k))))), lambda p: p.isNotNull())
+    rest = F.filter(F.transform("alone", lambda x, k: F.when(~x, k)), lambda k: k.isNotNull())
+    groups = F.transform(rest, lambda k: F.struct(_side("a", k).alias("a"), _side("b", k).alias("b")))
+    several = lambda k: F.concat(F.array_join(_side("a_said", k), ","), F.lit("|"), F.array_join(_side("b_said", k), ","))
+    said = F.array_join(F.transform("at_a", lambda x, k: F.when(alone(k), F.concat(F.get("a_said", x - k), F.lit("|"), F.get("b_said", other(k)))).otherwise(several(k))), ";")
+    number = F.aggregate("more", F.size("ones").cast("long"), lambda n, x: n + x["m"])
+    made = placed(tokens)
+    sizes = [F.size(c).cast("long").alias(n) for c, n in (("a", "n_a"), ("b", "n_b"), ("at_a", "n_groups"))]
+    digest = F.when(F.size("at_a") > 0, F.sha2(said, 256)).otherwise("").alias("groups_sha256")
+    linked = _with(made, *sizes, digest, ones.alias("ones"), F.flatten(F.transform(groups, _links)).alias("more"))
+    number = F.aggregate("more", F.size("ones").cast("long"), lambda n, x: n + x["m"])
+    return linked.select("row", "doc_id", "n_a", "n_b", "n_groups", number.alias("n_links"), "groups_sha256", "ones", "more")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
-    """pair, n (documents that hold it linked), best (n is the highest of its A id). links: a row for each document, with the array `links`."""
-    held = links.select(F.explode(F.array_distinct(F.transform("links", lambda x: x["pair"]))).alias("pair"))
+    """pair, n (documents that hold it linked), best (n is the highest of its A id). links: as of aligned()."""
+    held = links.select(F.explode(F.array_distinct(F.concat("ones", F.transform("more", lambda x: x["pair"])))).alias("pair"))
     counted = common.cut(held.groupBy("pair").agg(F.count(F.lit(1)).alias("n")))
     a = F.shiftright("pair", 32)
     highest = counted.groupBy(a.alias("a")).agg(F.max("n").alias("highest"))
@@ -187,14 +215,12 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair is the most frequent of its A id), count_sum, groups_sha256."""
-    digest = F.when(F.size("groups") > 0, F.sha2("spelled", 256)).otherwise("")
-    made = aligned(tokenised(docs, path_a, path_b)).select("doc_id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), "n_links", digest.alias("groups_sha256"), "links")
-    held = common.written(made.withColumn("row", F.monotonically_increasing_id()), "alignment")
+    held = common.written(aligned(tokenised(docs, path_a, path_b)), "alignment")
     counts = common.cut(pair_counts(held))
-    links = held.select("row", F.explode("links").alias("x")).select("row", "x.pair", "x.m")
+    links = held.select("row", F.explode("ones").alias("pair"), F.lit(1).cast("long").alias("m")).unionByName(held.select("row", F.explode("more").alias("x")).select("row", "x.pair", "x.m"))
     sums = common.join_counted(links, counts, "pair", "n").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("n")).alias("count_sum"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return held.drop("links").join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    return held.drop("ones", "more").join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
