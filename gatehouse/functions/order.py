@@ -73,20 +73,23 @@ def _keyed(df: DataFrame, keys: Sequence[str], small: int) -> DataFrame:
     return F.broadcast(made) if made.limit(small + 1).count() <= small else made
 
 
+def _points(x: Column) -> Column:
+    return F.percentile_approx(x, [k / POINTS for k in range(POINTS + 1)], ACCURACY).alias("points")
+
+
 def _bracketed(df: DataFrame, keys: Sequence[str], names: Sequence[str], state: DataFrame | None, sketched: bool) -> DataFrame:
     """keys and for each name a struct: n, the bracket's ends, how many values lie below and up to each end, and, if sketched, points of those strictly inside."""
-    rows, made = df, []
-    if state is not None:
-        rows = _equal(df, state, keys)
+    if state is None:  # everything counts as inside
+        n = lambda x: F.count(x)
+        ends = lambda x: [F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), *[F.lit(0).cast("long").alias(k) for k in ("below_low", "to_low")], *[n(x).alias(k) for k in ("below_high", "to_high")]]
+        return df.groupBy(*keys).agg(*[F.struct(n(name).alias("n"), *ends(name), *([_points(F.col(name))] if sketched else [])).alias(name) for name in names])
+    made = []
     for name in names:
-        x = F.col(name)
-        low, high = (F.lit(float("-inf")), F.lit(float("inf"))) if state is None else (F.col(f"_b_{name}.low"), F.col(f"_b_{name}.high"))
+        x, low, high = F.col(name), F.col(f"_b_{name}.low"), F.col(f"_b_{name}.high")
         counts = [F.count(F.when(c, 1)).alias(k) for k, c in (("below_low", x < low), ("to_low", x <= low), ("below_high", x < high), ("to_high", x <= high))]
-        ends = [(F.first(low) if state is not None else low).alias("low"), (F.first(high) if state is not None else high).alias("high")]
-        inside = (x > low) & (x < high) if state is None else (x > low) & (x < high) & F.col(f"_b_{name}.open")
-        points = [F.percentile_approx(F.when(inside, x), [k / POINTS for k in range(POINTS + 1)], ACCURACY).alias("points")] if sketched else []
-        made.append(F.struct(F.count(x).alias("n"), *ends, *counts, *points).alias(name))
-    return rows.groupBy(*keys).agg(*made)
+        points = [_points(F.when((x > low) & (x < high) & F.col(f"_b_{name}.open"), x))] if sketched else []
+        made.append(F.struct(F.count(x).alias("n"), F.first(low).alias("low"), F.first(high).alias("high"), *counts, *points).alias(name))
+    return _equal(df, state, keys).groupBy(*keys).agg(*made)
 
 
 def _places(at: Column, share: float) -> tuple[Column, Column]:

@@ -65,23 +65,26 @@ def fit_counts(counts: DataFrame) -> DataFrame:
     return meds.join(mads, same).select(*_GROUP, "n", "med", "mad")
 
 
-def _by_feature() -> Column:
-    return F.map_from_entries(F.collect_list(F.struct("feature", F.struct("n", "med", "mad"))))
+def _by_feature(names: Sequence[str]) -> Column:
+    """The statistics of a group as an array in the order of names, null where there are none."""
+    return F.array(*[F.max(F.when(F.col("feature") == n, F.struct("n", "med", "mad"))) for n in names])
 
 
 def score(features: DataFrame, stats: DataFrame, z: float = Z, min_cohort: int = MIN_COHORT, names: Sequence[str] = X.FEATURES) -> DataFrame:
     """doc_id, source, outlier_flags (in feature order), outlier_score (largest |z| of those flagged, else 0), is_outlier, for every row."""
-    own = _small(stats.where(~F.col("pooled")).groupBy(F.col("source").alias("_source")).agg(_by_feature().alias("_own")))
-    pool = stats.where("pooled").agg(_by_feature().alias("_pool"))  # one row
-    held = features.join(own, F.col("source").eqNullSafe(F.col("_source")), "left").crossJoin(F.broadcast(pool))
-    zs = {}
-    for name in names:
-        a, p = F.col("_own")[name], F.col("_pool")[name]
-        use = F.when(F.coalesce(a["n"], F.lit(0)) < min_cohort, p).otherwise(a)
-        zs[name] = F.abs(robust_z(F.col(name).cast("double"), use["med"], use["mad"]))
-    flagged = held.withColumn("_z", F.array(*[F.when(v >= z, F.struct(v.alias("z"), F.lit(n).alias("name"))) for n, v in zs.items()]))
-    hit = F.array_compact("_z")
-    return flagged.select("doc_id", "source", F.transform(hit, lambda h: h["name"]).alias("outlier_flags"), F.coalesce(F.array_max(F.transform(hit, lambda h: h["z"])), F.lit(0.0)).alias("outlier_score"), (F.size(hit) > 0).alias("is_outlier"))
+    own = _small(stats.where(~F.col("pooled")).groupBy(F.col("source").alias("_source")).agg(_by_feature(names).alias("_own")))
+    pool = stats.where("pooled").agg(_by_feature(names).alias("_pool"))  # one row
+    values = features.select("doc_id", "source", F.array(*[F.col(n).cast("double") for n in names]).alias("_x"))
+    held = values.join(own, F.col("source").eqNullSafe(F.col("_source")), "left").crossJoin(F.broadcast(pool))
+
+    def one(x: Column, i: Column) -> Column:
+        a, p = F.get("_own", i), F.get("_pool", i)
+        few = F.coalesce(a["n"], F.lit(0)) < min_cohort
+        use = lambda k: F.when(few, p[k]).otherwise(a[k])
+        return F.struct(F.abs(robust_z(x, use("med"), use("mad"))).alias("z"), F.get(F.array(*map(F.lit, names)), i).alias("name"))
+
+    hit = held.select("doc_id", "source", F.filter(F.transform("_x", one), lambda h: h["z"] >= z).alias("_hit"))
+    return hit.select("doc_id", "source", F.transform("_hit", lambda h: h["name"]).alias("outlier_flags"), F.coalesce(F.array_max(F.transform("_hit", lambda h: h["z"])), F.lit(0.0)).alias("outlier_score"), (F.size("_hit") > 0).alias("is_outlier"))
 
 
 def profile(features: DataFrame, z: float = Z, min_cohort: int = MIN_COHORT, names: Sequence[str] = X.FEATURES) -> DataFrame:

@@ -82,10 +82,16 @@ _N = "count(*) AS n_docs, count(*) FILTER (label = 0) AS n_filter, count(*) FILT
 COHORT = tuple(n for n in X.FEATURES if n != "gzip_ratio")
 _UNPIVOT = f"long AS (SELECT doc_id, source, unnest([{', '.join(f'{{i: {i}, feature: {chr(39)}{n}{chr(39)}, value: {n}}}' for i, n in enumerate(COHORT))}], recursive := true) FROM p)"
 _LONG = f"{_features()}, {_UNPIVOT}"
-_STATS = f"""{_LONG}, both_ AS (SELECT source, feature, value FROM long UNION ALL SELECT '*', feature, value FROM long),
+
+
+def _stats(*source: str) -> str:
+    return f"""{_features(*source)}, {_UNPIVOT}, both_ AS (SELECT source, feature, value FROM long UNION ALL SELECT '*', feature, value FROM long),
 m AS (SELECT source, feature, count(*) n, median(value) med FROM both_ GROUP BY 1, 2),
 st AS (SELECT source, feature, n, med, median(abs(value - med)) mad FROM both_ JOIN m USING (source, feature) GROUP BY 1, 2, 3, 4)"""
 
+
+_STATS = _stats()
+
 # --- gates ---
 
 _NAIVE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -374,6 +380,12 @@ UNION ALL SELECT day, NOT alarm AND flow = '', n, round(q, 4), concat_ws(',', CA
 _RECORD_N = f"{_draw('field', 5)} % 6"
 _REFERENCE = f"""{_features()}, {_UNPIVOT}, m AS (SELECT feature, count(*) n, median(value) med FROM long GROUP BY 1), st AS (SELECT feature, n, med, median(abs(value - med)) mad FROM long JOIN m USING (feature) GROUP BY 1, 2, 3)"""
 
+
+
+def _days_before(day: int) -> str:
+    return f"SELECT doc_id, coalesce(text, '') AS text, source FROM documents WHERE ({_draw('day', 0)}) % 3 < {day}"
+
+
 ORACLES = {
     "curate_pages": f"SELECT doc_id, label, round(score, 6) AS score, stage, reasons, round(quality, 6) AS gate_quality, 'html-gate@v1' AS extractor FROM ({_curated_pages(0.5)})",
     "ledger_current": f"SELECT doc_id, ['filter', 'review', 'retain'][label + 1] AS decision, stage AS responsible_stage, 'day-1' AS fetch_time, doc_id AS supersedes, 2::BIGINT AS n_records FROM ({_curated_pages(0.8)})",
@@ -446,4 +458,10 @@ SELECT doc_id, round(s_stopword_deficit, 6) AS s_stopword_deficit, round(s_symbo
 k AS (SELECT doc_id, count(*) FILTER (w NOT IN (SELECT w FROM v)) AS miss FROM (SELECT doc_id, unnest(words) AS w FROM d) GROUP BY 1)
 SELECT doc_id, len(words) AS n_words, round(coalesce(miss / nullif(len(words), 0), 0), 6) AS oov_share, round(least(1, 2 * coalesce(miss / nullif(len(words), 0), 0)), 6) AS s_oov FROM d LEFT JOIN k USING (doc_id)""",
 }
+ORACLES["window_stream"] = ORACLES["outliers_reference"]
+ORACLES["window_versions"] = " UNION ALL ".join(f"SELECT {v} AS version, source, feature, n, round(med, 6) AS med, round(mad, 6) AS mad FROM ({_stats(_days_before(v))} SELECT * FROM st)" for v in (1, 2, 3))
+ORACLES["routine_stream"] = ORACLES["routine_ticks"]
+ORACLES["ledger_versions"] = f"""SELECT 0 AS as_of, doc_id, ['filter', 'review', 'retain'][label + 1] AS decision, stage AS responsible_stage, 'day-0' AS fetch_time FROM ({_curated_pages(0.5)})
+UNION ALL SELECT 1, doc_id, ['filter', 'review', 'retain'][label + 1], stage, 'day-0' FROM ({_curated_pages(0.5)}) WHERE doc_id % 2 <> 0
+UNION ALL SELECT 1, doc_id, ['filter', 'review', 'retain'][label + 1], stage, 'day-1' FROM ({_curated_pages(0.8)}) WHERE doc_id % 2 = 0"""
 ORACLES["curate_with_outliers"] = f"""SELECT label_name, is_outlier, count(*) AS n_docs FROM (SELECT doc_id, label_name FROM ({_DECIDED} SELECT * FROM e)) JOIN (SELECT doc_id, is_outlier FROM ({ORACLES["cohort_outliers"]})) USING (doc_id) GROUP BY 1, 2"""

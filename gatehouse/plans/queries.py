@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatehouse.checkpoints import ensure_checkpoint_dir
+from gatehouse.checkpoints import cut, ensure_checkpoint_dir
 from gatehouse.functions import lexicon as X
 from gatehouse.functions import order, stats
 from gatehouse.functions.text import features, gzip_ratio
 from gatehouse.operators import baselines, climb, gates, metrics, mutate, outliers, report, verify
 from gatehouse.operators.cascade import Config, curate, provenance, with_score
+from gatehouse.operators.window import Window
 from gatehouse.plans.oracles import ORACLES
 from gatehouse.sources import adapters as src
 from gatehouse.sources.adapters import draw
@@ -113,6 +114,36 @@ def outliers_reference(spark, sf_dir):
     return rounded(found.select("doc_id", "source", F.array_join("outlier_flags", ",").alias("flags"), "outlier_score", "is_outlier"), "outlier_score", places=4)
 
 
+def _folder(spark: SparkSession, stem: str) -> str:
+    """A new folder beside the checkpoints, which driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{stem}-{uuid.uuid4().hex}"
+
+
+def window_versions(spark, sf_dir):
+    """The statistics of a reference window's three versions: documents are added in three days, and no day is read again."""
+    docs = cut(features(src.documents(spark, sf_dir), COHORT).select("source", F.pmod(draw(0, F.col("doc_id"), "day"), F.lit(3)).alias("day"), *COHORT))
+    window, rows = Window(spark, _folder(spark, "window"), COHORT), None
+    for day in range(3):
+        window.add(docs.where(F.col("day") == day), day)
+        stats = window.stats(window.fit()).withColumn("version", F.lit(day + 1))
+        rows = stats if rows is None else rows.unionByName(stats)
+    return rounded(rows.select("version", F.when(F.col("pooled"), "*").otherwise(F.col("source")).alias("source"), "feature", "n", "med", "mad"), "med", "mad")
+
+
+def window_stream(spark, sf_dir):
+    """Conversations as a stream against the last version of a window of documents. Their sources are unseen there, so the pooled statistics hold."""
+    window = Window(spark, _folder(spark, "window"), COHORT)
+    window.add(features(src.documents(spark, sf_dir), COHORT), 0)
+    version, out = window.fit(), _folder(spark, "scored")
+    at = f"{sf_dir}/conversation[s].parquet"  # a pattern may name one file, which a stream doesn't take otherwise
+    turns = src.turns(spark.readStream.schema(src.table(spark, sf_dir, "conversations").schema).parquet(at))
+    found = window.score(features(turns, COHORT), version)
+    shown = rounded(found.select("doc_id", "source", F.array_join("outlier_flags", ",").alias("flags"), "outlier_score", "is_outlier"), "outlier_score", places=4)
+    shown.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(shown.schema).parquet(out)
+
+
 def curate_with_outliers(spark, sf_dir):
     """Decisions beside the outlier flags of their profiles, counted by label."""
     docs = src.documents(spark, sf_dir)
@@ -196,8 +227,7 @@ def ledger_current(spark, sf_dir):
     """The latest of two decisions for each page: the first under default thresholds, the second under stricter ones."""
     docs = src.pages(spark, sf_dir)
     strict = Config(gates={"html": 0.8, "json": 0.5, "ocr": 0.5})
-    ensure_checkpoint_dir(spark)
-    ledger = Ledger(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ledger-{uuid.uuid4().hex}")
+    ledger = Ledger(spark, _folder(spark, "ledger"))
     ledger.append(provenance(curate(docs), "day-0"), 0)
     ledger.supersede(provenance(curate(docs, config=strict), "day-1", strict), 1)
     ledger.append_summary({"pages": docs.count()}, 1)
@@ -206,6 +236,17 @@ def ledger_current(spark, sf_dir):
     return now.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("supersedes", F.col("supersedes").cast("long"))
 
 
+def ledger_versions(spark, sf_dir):
+    """Decisions on pages as of each of two batches, the second of which decides half of them anew under stricter thresholds; the last is read from the compaction."""
+    docs, strict = src.pages(spark, sf_dir), Config(gates={"html": 0.8, "json": 0.5, "ocr": 0.5})
+    ledger = Ledger(spark, _folder(spark, "ledger"))
+    ledger.append(provenance(curate(docs), "day-0"), 0)
+    ledger.supersede(provenance(curate(docs.where(F.col("doc_id") % 2 == 0), config=strict), "day-1", strict), 1)
+    ledger.compact()
+    rows = ledger.current(0).withColumn("as_of", F.lit(0)).unionByName(ledger.current().withColumn("as_of", F.lit(1)))
+    return rows.select("as_of", F.col("doc_id").cast("long").alias("doc_id"), "decision", "responsible_stage", "fetch_time")
+
+
 def _predicted(spark, sf_dir):
     gold = src.table(spark, sf_dir, "labels").select("doc_id", "quality")
     return _decided(spark, sf_dir).join(gold, "doc_id")
@@ -324,6 +365,18 @@ def routine_ticks(spark, sf_dir):
     return spark.createDataFrame(rows, "day int, ok boolean, throughput double, quality double, alerts string, actions string")
 
 
+def routine_stream(spark, sf_dir):
+    """The same thirteen days as files that a stream reads; charts, ledger and what is waited for are kept under its micro-batches."""
+    docs = src.pages(spark, sf_dir).withColumn("day", F.pmod(draw(0, F.col("doc_id"), "day"), F.lit(13)).cast("int"))
+    leaked = mutate.script_style(F.col("text"), 0, F.col("doc_id"), "heldout")
+    path = _folder(spark, "days")
+    docs.withColumn("text", F.when(F.col("day") < 10, F.col("text")).otherwise(leaked)).select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in routine.STAGED.split(", ")]).write.parquet(path)
+    loop = routine.DailyStream(Ledger(spark, _folder(spark, "ledger")), remediator=lambda d: d.withColumn("text", routine.simple_reextract(F.col("text"))), lag=0)
+    loop.start(spark.readStream.schema(routine.STAGED).parquet(path), f"{path}-state").awaitTermination()
+    days = loop.summaries()
+    return days.select("day", "ok", "throughput", "quality", F.array_join("alerts", ",").alias("alerts"), F.array_join("actions", ",").alias("actions"))
+
+
 def baseline_gopher(spark, sf_dir):
     got = baselines.GOPHER.evaluate(src.pages(spark, sf_dir))
     return rounded(got.select("doc_id", "s_stopword_deficit", "s_symbols", "gate_quality", "gate_passed"), "s_stopword_deficit", "s_symbols", "gate_quality")
@@ -365,6 +418,8 @@ QUERIES = {
     "cohort_outliers": cohort_outliers,
     "outliers_ksigma": outliers_ksigma,
     "outliers_reference": outliers_reference,
+    "window_versions": window_versions,
+    "window_stream": window_stream,
     "curate_with_outliers": curate_with_outliers,
     "series_ewma": series_ewma,
     "gates_combined": gates_combined,
@@ -376,6 +431,7 @@ QUERIES = {
     "json_balanced": json_balanced,
     "provenance_ledger": provenance_ledger,
     "ledger_current": ledger_current,
+    "ledger_versions": ledger_versions,
     "macro_f1_labels": macro_f1_labels,
     "binary_prf_labels": binary_prf_labels,
     "cascade_budget_curve": cascade_budget_curve,
@@ -394,6 +450,7 @@ QUERIES = {
     "spc_throughput": _chart("throughput"),
     "spc_value_down": _chart("mean_value", "down"),
     "routine_ticks": routine_ticks,
+    "routine_stream": routine_stream,
     "baseline_gopher": baseline_gopher,
     "baseline_dict_oov": baseline_dict_oov,
     "baseline_parse_only": baseline_parse_only,

@@ -54,7 +54,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    return turns(table(spark, sf_dir, "conversations"))
+
+
+def turns(c: DataFrame) -> DataFrame:
+    """Turns of conversations, of a table or a stream, as documents."""
     return as_documents(c, F.concat_ws("-", "conv_id", "turn"), F.col("text"), F.col("role"), F.lit("text"))
 
 
