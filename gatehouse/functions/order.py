@@ -7,7 +7,7 @@ below and in each bracket, and only what lies in the last, small ones is shuffle
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -92,18 +92,22 @@ def _bracketed(df: DataFrame, keys: Sequence[str], names: Sequence[str], state:
     return _equal(df, state, keys).groupBy(*keys).agg(*made)
 
 
-def _places(at: Column, share: float) -> tuple[Column, Column]:
+def _place(n: Column, share: float | Callable[[Column], Column]) -> Column:
+    return share(n) if callable(share) else F.lit(float(share)) * (n - 1)
+
+
+def _places(at: Column, share: float | Callable[[Column], Column]) -> tuple[Column, Column]:
     """The two neighbours' ranks, from 0, between which a quantile of n values lies."""
-    place = F.lit(float(share)) * (at["n"] - 1)
+    place = _place(at["n"], share)
     return F.floor(place), F.ceil(place)
 
 
-def _held(at: Column, share: float) -> Column:
+def _held(at: Column, share: float | Callable[[Column], Column]) -> Column:
     first, last = _places(at, share)
     return (at["below_low"] <= first) & (last < at["to_high"])
 
 
-def _narrower(at: Column, share: float, margin: int) -> Column:
+def _narrower(at: Column, share: float | Callable[[Column], Column], margin: int) -> Column:
     """The next bracket: of the points inside this one, those about the quantile's place. One that misses its quantile starts anew."""
     first, last = _places(at, share)
     inside, points = (at["below_high"] - at["to_low"]).cast("double"), at["points"]
@@ -116,10 +120,10 @@ def _narrower(at: Column, share: float, margin: int) -> Column:
     return F.struct(low.alias("low"), high.alias("high"), (~few).alias("open"))
 
 
-def selected(df: DataFrame, keys: Sequence[str], names: Sequence[str], share: float = 0.5, small: int = 50_000) -> DataFrame:
+def selected(df: DataFrame, keys: Sequence[str], names: Sequence[str], share: float | Callable[[Column], Column] = 0.5, small: int = 50_000) -> DataFrame:
     """keys, feature, n, value: the exact quantile of each named column in each group, linear between neighbours; nulls don't count.
 
-    df is read a few times, so it should be a table or a checkpoint. Every pass shuffles counts and sketches, a row for each group and task; a
+    share may be a function that makes a rank, from 0, of n. df is read a few times, so it should be a table or a checkpoint. Every pass shuffles counts and sketches, a row for each group and task; a
     pass leaves about one in 60 of the rows inside a bracket, until INSIDE are left. These are counted by value, shuffled, and their ranks read
     off. A bracket that turns out to miss its quantile is counted anew, so the result doesn't rest on the sketch. NaN and infinities take part
     as the largest and outermost values.
@@ -143,7 +147,29 @@ def selected(df: DataFrame, keys: Sequence[str], names: Sequence[str], share: fl
     long = [*keys, "feature"]
     sizes = seen.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"{n}.n").alias("n"), F.col(f"{n}.below_low").alias("_before")) for n in names])).alias("x")).select(*keys, "x.*").where("n > 0")
     rows = _equal(inside, _keyed(sizes, long, small), long).withColumn("_to", F.col("_before") + F.sum("_k").over(W.partitionBy(*long).orderBy("value")))
-    place = F.lit(float(share)) * (F.col("n") - 1)
+    place = _place(F.col("n"), share)
     at = lambda r: F.max(F.when((F.col("_to") > r) & (F.col("_to") - F.col("_k") <= r), F.col("value")))
     low, high = at(F.floor(place)), at(F.ceil(place))
     return rows.groupBy(*long).agg(F.first("n").alias("n"), (low + (high - low) * F.first(place - F.floor(place))).alias("value"))
+
+
+def banded(df: DataFrame, value: str, first: int, last: int, *ties: str, name: str = "band") -> DataFrame:
+    """df with -1, 0 or 1 for rows before, within and after the ranks first <= r < last in the order of (value, *ties), without a sort of df.
+
+    The values at both ends are selected; only rows that have one of these two are ranked among themselves. value: a double, not null.
+    """
+    df = cut(df)
+    n = df.count()
+    first, last = max(0, min(first, n)), max(0, min(last, n))
+    if not n or first >= last:
+        return ranked(df, value, *ties, name=name).withColumn(name, F.when(F.col(name) < first, -1).otherwise(1)) if n else df.withColumn(name, F.lit(0))
+    one = df.select(F.lit(0).alias("g"), F.col(value).cast("double").alias("x"))
+    ends = [selected(one, ["g"], ["x"], lambda n, r=r: F.lit(r)).first()["value"] for r in (first, last - 1)]
+    x, (low, high) = F.col(value), ends
+    inner = df.where(~x.isin(low, high)).withColumn(name, F.when(x < low, -1).when(x > high, 1).otherwise(0))
+    for end in sorted({low, high}):
+        before = df.where(x < end).count()
+        placed = ranked(df.where(x == end), *(ties or (value,)), name=name)
+        rank = F.col(name) + before
+        inner = inner.unionByName(placed.withColumn(name, F.when(rank < first, -1).when(rank >= last, 1).otherwise(0)))
+    return inner

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatehouse.checkpoints import cut
 from gatehouse.functions import counts
 from gatehouse.functions import lexicon as X
+from gatehouse.functions.joins import counted_join
 from gatehouse.functions.stats import robust_z
 from gatehouse.functions.text import clamp, gzip_ratio, occurrences, share
 from gatehouse.operators import outliers
@@ -50,22 +51,30 @@ def _words():
 HANDED_WORDS = 500_000
 
 
-def oov(docs: DataFrame, vocab: DataFrame, handed: int = HANDED_WORDS) -> DataFrame:
-    """doc_id, n_words, oov_share and the defect signal, for every row.
+def missed(docs: DataFrame, vocab: DataFrame, handed: int | None = None) -> DataFrame:
+    """docs with the struct _n: words of the text, and miss, how many of them are outside the vocabulary.
 
-    A vocabulary beyond `handed` words is joined with the words of each row, counted within the row; a common word is a hot key there, whose
-    rows the join's skew handling splits.
+    A vocabulary beyond `handed` words is joined to the distinct words of docs, and these, each with its number of occurrences, to the
+    occurrences: frequent words by broadcast, the others by a shuffle in which no word has many rows. Both ways give the same.
     """
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    handed = HANDED_WORDS if handed is None else handed
     if vocab.limit(handed + 1).count() <= handed:
         known = frozenset(r["word"] for r in vocab.collect())  # of a checked size
-        counted = docs.select("doc_id", counts.outside(known)(F.coalesce("text", F.lit(""))).alias("c")).select("doc_id", "c.*")
-    else:
-        row = cut(docs.select("doc_id", _words().alias("w")).withColumn("row", F.monotonically_increasing_id()))
-        words = row.select("row", F.explode("w").alias("word")).groupBy("row", "word").agg(F.count("word").alias("n"))
-        miss = words.join(vocab, "word", "left_anti").groupBy("row").agg(F.sum("n").alias("miss"))
-        counted = row.join(miss, "row", "left").select("doc_id", F.coalesce(F.size("w"), F.lit(0)).cast("long").alias("words"), F.coalesce("miss", F.lit(0)).alias("miss"))
-    part = share(F.col("miss"), F.col("words"))
-    return counted.select("doc_id", F.col("words").alias("n_words"), part.alias("oov_share"), clamp(2 * part).alias("s_oov"))
+        return docs.withColumn("_n", counts.outside(known)(F.col("text")))
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    words = rows.select("_row", F.explode(_words()).alias("word"))
+    own = words.groupBy("word").agg(F.count(F.lit(1)).alias("_k"))
+    judged = cut(own.join(vocab.select("word", F.lit(0).alias("_known")).distinct(), "word", "left").select("word", "_k", F.coalesce("_known", F.lit(1)).alias("_miss")))
+    sums = counted_join(words, judged, "word", "_k").groupBy("_row").agg(F.count(F.lit(1)).alias("words"), F.sum("_miss").alias("miss"))
+    none = F.lit(0).cast("long")
+    return rows.join(sums, "_row", "left").withColumn("_n", F.struct(F.coalesce("words", none).alias("words"), F.coalesce("miss", none).alias("miss"))).drop("_row", "words", "miss")
+
+
+def oov(docs: DataFrame, vocab: DataFrame, handed: int | None = None) -> DataFrame:
+    """doc_id, n_words, oov_share and the defect signal, for every row and a vocabulary of any size."""
+    part = share(F.col("_n.miss"), F.col("_n.words"))
+    return missed(docs.select("doc_id", "text"), vocab, handed).select("doc_id", F.col("_n.words").cast("long").alias("n_words"), part.alias("oov_share"), clamp(2 * part).alias("s_oov"))
 
 
 def gzip_gate(fitted: DataFrame) -> Gate:
@@ -74,12 +83,9 @@ def gzip_gate(fitted: DataFrame) -> Gate:
     return Gate("gzip", {"anomaly": 1.0}, lambda _: {"anomaly": F.abs(robust_z(gzip_ratio(F.col("text")), F.lit(r["med"]), F.lit(r["mad"]))) / 4}, counts=None)
 
 
-def oov_gate(vocab: DataFrame, most: int = HANDED_WORDS) -> Gate:
-    """Words outside a vocabulary as a gate, weight 2; the vocabulary is handed to every task and may have `most` words."""
-    if vocab.limit(most + 1).count() > most:
-        raise ValueError(f"a gate's vocabulary has at most {most} words; oov() takes any")
-    known = frozenset(r["word"] for r in vocab.collect())
-    return Gate("dictionary", {"oov": 2.0}, lambda _: {"oov": 2 * share(F.col("_n")["miss"], F.col("_n")["words"])}, counts=counts.outside(known))
+def oov_gate(vocab: DataFrame, handed: int | None = None) -> Gate:
+    """Words outside a vocabulary of any size as a gate, weight 2; see missed()."""
+    return Gate("dictionary", {"oov": 2.0}, lambda _: {"oov": 2 * share(F.col("_n")["miss"], F.col("_n")["words"])}, joined=lambda df: missed(df, vocab, handed))
 
 
 def fitted_baselines(kind: str, clean: DataFrame) -> dict[str, Gate]:

@@ -9,7 +9,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.checkpoints import cut
 from gatehouse.functions import lexicon as X
+from gatehouse.functions.order import banded
 from gatehouse.functions.text import clamp, count, counted, expressions
 from gatehouse.operators.gates import GATES, Gate
 
@@ -79,16 +81,25 @@ def gated(docs: DataFrame, gates: Mapping[str, Gate] | None = None, config: Conf
     return out.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns if c not in GATED], *[F.col(f"_{k}").cast(t).alias(k) for k, t in GATED.items()])
 
 
-def curate(docs: DataFrame, mode: str = "heuristic", gates: Mapping[str, Gate] | None = None, config: Config | None = None, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def curate(docs: DataFrame, mode: str = "heuristic", gates: Mapping[str, Gate] | None = None, config: Config | None = None, judge: Callable[[DataFrame], DataFrame] | None = None, share: float = 0.2) -> DataFrame:
     """docs (doc_id, text, source, modality, raw) with a decision: label, label_name, score, stage, reasons, gate_quality, risk, escalated.
 
-    mode "heuristic" reviews the middle of the score, "cascade" sends it to the judge, "judge" sends all that pass the gate. judge adds label,
+    mode "heuristic" reviews the middle of the score, "cascade" sends it to the judge, "judge" sends all that pass the gate. "budget" sends just
+    round(share * n) of the n that pass, those in the middle of the order of (score to nine places, doc_id); what lies below is filtered, above
+    retained. judge adds label,
     score, stage, reasons and risk to the rows it is given, which are the escalated ones only; without one they are marked for review.
     """
     config = config or Config()
     rows = with_score(gated(docs, gates, config), "_score", F.col("gate_passed"))
     s = F.col("_score")
     high, low = s >= F.lit(config.retain_above), s <= F.lit(config.filter_below)
+    if mode == "budget":
+        rows = cut(rows.withColumn("_rank", F.round("_score", 9)))
+        n = rows.where("gate_passed").count()
+        k = round(share * n)  # half to even
+        passed = banded(rows.where("gate_passed"), "_rank", (n - k) // 2, (n - k) // 2 + k, "doc_id", name="_band")
+        rows = passed.unionByName(rows.where("NOT gate_passed").withColumn("_band", F.lit(0))).drop("_rank")
+        high, low = F.col("_band") > 0, F.col("_band") < 0
     ask = F.lit(True) if mode == "judge" else (F.lit(False) if mode == "heuristic" else ~high & ~low)
     rows = rows.withColumn("escalated", F.col("gate_passed") & ask)
     fail = ~F.col("gate_passed")
@@ -103,7 +114,7 @@ def curate(docs: DataFrame, mode: str = "heuristic", gates: Mapping[str, Gate] |
         out = rows.where(~F.col("escalated")).withColumns(decided)
         out = out.unionByName(asked.select(*out.columns))
     name = F.element_at(F.array(*[F.lit(NAMES[k]) for k in sorted(NAMES)]), F.col("label") + 1)
-    return out.drop("_score").withColumn("label_name", name)
+    return out.drop("_score", "_band").withColumn("label_name", name)
 
 
 def provenance(decided: DataFrame, fetch_time: str, config: Config | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ FLAG_AT = 0.5
 @dataclass(frozen=True)
 class Gate:
     """A gate's parameters: weights by signal, in order, and a threshold. signals: columns by name, over split() of the text, or over the
-    struct _n where `counts` makes one of the text."""
+    struct _n where `counts` makes one of the text, or `joined` adds it to the rows."""
 
     name: str
     weights: Mapping[str, float]
@@ -31,6 +31,7 @@ class Gate:
     reads: str = "text"
     schema: Mapping[str, str] = field(default_factory=dict)
     counts: Callable[[Column], Column] | None = None
+    joined: Callable[[DataFrame], DataFrame] | None = None
 
     def params(self) -> dict[str, float]:
         return {**self.weights, "threshold": self.threshold}
@@ -48,6 +49,8 @@ class Gate:
         cols = {f"s_{k}": clamp(v) for k, v in self.signals(self).items()}
         if self.name == "json":
             return json_columns(df).withColumns(cols).drop("_raw", "_v", "_rest", "_fold")
+        if self.joined:
+            return self.joined(df).withColumns(cols).drop("_n")
         if self.counts:
             return df.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_n", self.counts(F.col("text"))).withColumns(cols).drop("_n")
         return split(df).withColumns(cols).drop("tokens", "words", "lines")

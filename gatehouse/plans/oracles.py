@@ -458,6 +458,17 @@ SELECT doc_id, round(s_stopword_deficit, 6) AS s_stopword_deficit, round(s_symbo
 k AS (SELECT doc_id, count(*) FILTER (w NOT IN (SELECT w FROM v)) AS miss FROM (SELECT doc_id, unnest(words) AS w FROM d) GROUP BY 1)
 SELECT doc_id, len(words) AS n_words, round(coalesce(miss / nullif(len(words), 0), 0), 6) AS oov_share, round(least(1, 2 * coalesce(miss / nullif(len(words), 0), 0)), 6) AS s_oov FROM d LEFT JOIN k USING (doc_id)""",
 }
+ORACLES["curate_budget"] = f"""{_SCORED}, n AS (SELECT count(*) AS n, round_even(0.2::DOUBLE * count(*), 0)::BIGINT AS k FROM s), o AS (SELECT doc_id, row_number() OVER (ORDER BY round(g, 9), doc_id) - 1 AS r FROM s),
+b AS (SELECT doc_id, r < (n - k) // 2 AS low, r >= (n - k) // 2 + k AS high FROM o, n)
+SELECT doc_id, CASE WHEN low THEN 0 WHEN high THEN 2 ELSE 1 END AS label, CASE WHEN low OR high THEN 'score' ELSE 'judge-stub' END AS stage, NOT low AND NOT high AS escalated FROM b"""
+ORACLES["spc_events"] = """WITH RECURSIVE o AS (SELECT event_type AS stream, event_id AS day, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
+m AS (SELECT stream, median(x) AS mu FROM o WHERE i <= 100 GROUP BY 1),
+b AS (SELECT stream, mu, greatest(1e-9, 1.4826::DOUBLE * median(abs(x - mu)), 0.02::DOUBLE * (abs(mu) + 1e-6)) AS sigma FROM o JOIN m USING (stream) WHERE i <= 100 GROUP BY 1, 2),
+w AS (SELECT stream, 100::BIGINT AS i, mu AS z, 0::DOUBLE AS up, 0::DOUBLE AS down FROM b
+  UNION ALL SELECT w.stream, o.i, 0.2::DOUBLE * x + 0.8::DOUBLE * z, greatest(0, up + (x - mu - 0.5::DOUBLE * sigma)), greatest(0, down - (x - mu + 0.5::DOUBLE * sigma)) FROM w JOIN o ON o.stream = w.stream AND o.i = w.i + 1 JOIN b ON b.stream = w.stream),
+r AS (SELECT w.*, day, x, mu, sigma, sigma * sqrt(0.2::DOUBLE / 1.8::DOUBLE * (1 - pow(0.8::DOUBLE, 2 * (w.i - 100)))) AS width FROM w JOIN o USING (stream, i) JOIN b USING (stream) WHERE w.i > 100)
+SELECT stream, day, x AS value, round(z + 2.718e-7, 6) AS ewma, round(up + 2.718e-7, 6) AS cusum_pos, round(down + 2.718e-7, 6) AS cusum_neg, abs(z - mu) > 3 * width AND z > mu AS ewma_alarm, up > 4 * sigma AS cusum_alarm,
+  CASE WHEN z < mu OR down > 4 * sigma THEN 'down' WHEN z > mu OR up > 4 * sigma THEN 'up' ELSE 'none' END AS direction FROM r"""
 ORACLES["window_stream"] = ORACLES["outliers_reference"]
 ORACLES["window_versions"] = " UNION ALL ".join(f"SELECT {v} AS version, source, feature, n, round(med, 6) AS med, round(mad, 6) AS mad FROM ({_stats(_days_before(v))} SELECT * FROM st)" for v in (1, 2, 3))
 ORACLES["routine_stream"] = ORACLES["routine_ticks"]

@@ -59,6 +59,12 @@ def curate_judge_stub(spark, sf_dir):
     return rounded(_decided(spark, sf_dir, "cascade").select("doc_id", "label", "score", "stage", "escalated"), "score")
 
 
+def curate_budget(spark, sf_dir):
+    """A judge's budget of a fifth of the documents, spent on the middle of the scores."""
+    decided = curate(src.documents(spark, sf_dir), "budget", share=0.2)
+    return decided.select("doc_id", "label", "stage", "escalated")
+
+
 def curate_pages(spark, sf_dir):
     """The HTML gate ahead of the score, on pages."""
     return rounded(curate(src.pages(spark, sf_dir)).select("doc_id", "label", "score", "stage", F.array_join("reasons", ",").alias("reasons"), "gate_quality", "extractor"), "score", "gate_quality")
@@ -353,6 +359,13 @@ def _chart(value, watch="two_sided"):
     return run
 
 
+def spc_events(spark, sf_dir):
+    """Every event as a point of its type's chart, watched upwards. What is rounded is moved off decimal ties first."""
+    e = src.table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), F.col("event_id").alias("day"), "value")
+    got = spc.scan(e, 100, spc.Chart(watch="up"))
+    return got.withColumns({c: F.round(F.col(c) + 2.718e-7, 6) for c in ("ewma", "cusum_pos", "cusum_neg")})
+
+
 def routine_ticks(spark, sf_dir):
     """Thirteen days of pages, all of them with leaked markup from the eleventh on, and remediation after the alarm."""
     docs = src.pages(spark, sf_dir)
@@ -407,6 +420,7 @@ QUERIES = {
     "governance_score": governance_score,
     "curate_heuristic": curate_heuristic,
     "curate_judge_stub": curate_judge_stub,
+    "curate_budget": curate_budget,
     "curate_pages": curate_pages,
     "report_summary": report_summary,
     "report_by_source": report_by_source,
@@ -449,6 +463,7 @@ QUERIES = {
     "daily_streams": daily_streams,
     "spc_throughput": _chart("throughput"),
     "spc_value_down": _chart("mean_value", "down"),
+    "spc_events": spc_events,
     "routine_ticks": routine_ticks,
     "routine_stream": routine_stream,
     "baseline_gopher": baseline_gopher,

@@ -8,9 +8,13 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from gatehouse.checkpoints import cut
+from gatehouse.functions.joins import counted_join
+from gatehouse.functions.order import ranked
 from gatehouse.functions.stats import NORMAL, median
 
 
@@ -70,6 +74,11 @@ def monitor(series: DataFrame, warmup: int, chart: Chart | None = None) -> DataF
         return F.struct(z.alias("z"), up.alias("up"), down.alias("down"), F.concat(s["out"], F.array(made)).alias("out"))
 
     rows = rest.select("stream", "mu", "sigma", F.posexplode(F.aggregate("rest", zero, step, lambda s: s["out"])).alias("i", "d")).select("stream", "mu", "sigma", (F.col("i") + 1).alias("t"), "d.*")
+    return _decided(rows, c)
+
+
+def _decided(rows: DataFrame, c: Chart) -> DataFrame:
+    """stream, day, value, charts and alarms of rows with mu, sigma, t and the charts z, up, down."""
     dev, h = F.col("z") - F.col("mu"), F.lit(c.decision) * F.col("sigma")
     width = F.col("sigma") * F.sqrt(F.lit(c.alpha / (2 - c.alpha)) * (1 - F.pow(F.lit(1 - c.alpha), 2 * F.col("t"))))
     ewma, cusum = F.abs(dev) > c.limit * width, (F.col("up") > h) | (F.col("down") > h)
@@ -81,6 +90,52 @@ def monitor(series: DataFrame, warmup: int, chart: Chart | None = None) -> DataF
     return rows.select("stream", "day", "value", F.col("z").alias("ewma"), F.col("up").alias("cusum_pos"), F.col("down").alias("cusum_neg"), ewma.alias("ewma_alarm"), cusum.alias("cusum_alarm"), direction.alias("direction"))
 
 
+#: Points of a block of a long series at most.
+BLOCK = 4096
+
+
+def _carried(blocks: pd.DataFrame) -> pd.DataFrame:
+    """What each block of a stream begins with. blocks: stream, b, z and keep (the mean's own part, and what it leaves of the one before), sums and their least prefixes."""
+    blocks = blocks.sort_values("b")
+    z, up, down, out = float(blocks["mu"].iloc[0]), 0.0, 0.0, []
+    for r in blocks.itertuples(index=False):
+        out.append((r.stream, r.b, z, up, down))
+        z, up, down = r.z + r.keep * z, max(up + r.up, r.up - r.up_least), max(down + r.down, r.down - r.down_least)
+    return pd.DataFrame(out, columns=["stream", "b", "z_in", "up_in", "down_in"])
+
+
+def scan(series: DataFrame, warmup: int, chart: Chart | None = None, block: int = BLOCK) -> DataFrame:
+    """monitor() for series of any length, as a scan: points are numbered over ranges, charts are made within blocks of points as if each were
+    the first, blocks are summed up, and a block's points get what the blocks before it leave.
+
+    EWMA: a block turns z into own + keep ** length * z. CUSUM: S after prefix sum C is the larger of S before the block + C, and C less its least
+    prefix so far. Both are associative, so a block is a row, and a stream's blocks, one row for some thousand points, pass through one task.
+    Powers of keep stay finite by the length of a block. day: any type with an order; equal days are ordered by value.
+    """
+    c = chart or Chart()
+    keep = 1 - c.alpha
+    size = max(1, min(block, int(250 / -math.log10(keep)) if 0 < keep < 1 else block))
+    rows = ranked(series.select("stream", "day", F.col("value").cast("double").alias("value")).where("stream IS NOT NULL"), "stream", "day", "value")
+    rows = cut(rows)
+    streams = cut(rows.groupBy("stream").agg(F.min("rank").alias("_first"), F.count(F.lit(1)).alias("_k")))
+    numbered = counted_join(rows, streams, "stream", "_k").withColumn("t", F.col("rank") - F.col("_first") - warmup + 1).drop("rank", "_first", "_k")
+    fitted = fit(numbered.where("t <= 0"))
+    rest = cut(counted_join(numbered.where("t > 0"), cut(streams.join(fitted, "stream").select("stream", "_k", "mu", "sigma")), "stream", "_k").drop("_k"))
+    place = F.col("t") - 1
+    rest = rest.withColumns({"b": F.floor(place / size), "i": F.pmod(place, F.lit(size)) + 1, "_up": F.col("value") - F.col("mu") - c.slack * F.col("sigma"), "_down": F.col("mu") - c.slack * F.col("sigma") - F.col("value")})
+    upto = W.partitionBy("stream", "b").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
+    weighed = F.lit(c.alpha) * F.pow(F.lit(keep), F.col("i")) * F.sum(F.col("value") * F.pow(F.lit(keep), -F.col("i"))).over(upto) if keep > 0 else F.col("value")
+    own = rest.withColumns({"_z": weighed, "_u": F.sum("_up").over(upto), "_d": F.sum("_down").over(upto)}).withColumns({"_ul": F.min("_u").over(upto), "_dl": F.min("_d").over(upto), "_keep": F.pow(F.lit(keep), F.col("i"))})
+    own = cut(own)
+    last = lambda x: F.max_by(x, "i")
+    blocks = own.groupBy("stream", "b").agg(F.first("mu").alias("mu"), *[last(x).alias(n) for x, n in (("_z", "z"), ("_keep", "keep"), ("_u", "up"), ("_ul", "up_least"), ("_d", "down"), ("_dl", "down_least"))])
+    carried = blocks.groupBy("stream").applyInPandas(_carried, "stream string, b long, z_in double, up_in double, down_in double")
+    z = F.col("_z") + F.col("_keep") * F.col("z_in")
+    over = lambda s, x, least: F.greatest(F.col(s) + F.col(x), F.col(x) - F.col(least))
+    made = own.join(carried, ["stream", "b"]).withColumns({"z": z, "up": over("up_in", "_u", "_ul"), "down": over("down_in", "_d", "_dl")})
+    return _decided(made, c)
+
+
 OUT = "stream string, day int, value double, ewma double, cusum_pos double, cusum_neg double, ewma_alarm boolean, cusum_alarm boolean, direction string"
 
 

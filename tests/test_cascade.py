@@ -80,3 +80,23 @@ def test_ledger_appends_traces_and_supersedes(spark, tmp_path):
     assert ledger.records("record").count() == 2 and ledger.records().count() == 4
     assert [r["decision"] for r in ledger.trace("1").collect()] == ["filter", "retain"]
     assert {r["doc_id"]: r["decision"] for r in ledger.current().collect()}["1"] == "retain"
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 1.0])
+def test_a_budget_is_spent_exactly_on_the_middle(spark, share):
+    texts = [(f"{'The cat is on the mat. ' * (1 + k % 4)}", "text", None) for k in range(25)] + [(GOOD, "text", None), (SPAM, "text", None), ("<div>" * 30 + "menu", "html", None)]
+    rows = docs(spark, texts)
+    asked = []
+
+    def judge(df):
+        asked.append(df.count())
+        return df.withColumns({"label": F.lit(2), "score": F.lit(0.9), "stage": F.lit("judge"), "reasons": F.array(F.lit("asked")), "risk": F.lit(0.0)})
+
+    got = {r["doc_id"]: r for r in curate(rows, "budget", judge=judge, share=share).collect()}
+    n = len(texts) - 1
+    k = round(share * n)
+    low = (n - k) // 2
+    order = sorted((round(r["_score"], 9), r["doc_id"]) for r in with_score(rows, "_score").where("modality = 'text'").collect())
+    want = {d: 0 if i < low else 2 if i >= low + k else 1 for i, (_, d) in enumerate(order)}
+    assert asked == [k] and len(got) == n + 1 and got["27"]["stage"] == "gate"
+    assert {d: (1 if r["stage"] == "judge" else r["label"]) for d, r in got.items() if d != "27"} == want

@@ -46,3 +46,16 @@ def test_one_value_many_times(spark, monkeypatch):
     monkeypatch.setattr(order, "INSIDE", 10)
     df = spark.range(5000).select(F.when(F.col("id") < 2500, 1.0).otherwise(2.0).alias("x"), F.lit(1).alias("g"))
     assert order.selected(df, ["g"], ["x"]).first()["value"] == 1.5  # the ranks lie on two values of many rows each
+
+
+@pytest.mark.parametrize("inside", [4, 20_000])
+def test_bands_equal_ranks(spark, monkeypatch, inside):
+    monkeypatch.setattr(order, "INSIDE", inside)
+    rng = random.Random(2)
+    rows = [(i, float(rng.choice([rng.randint(0, 4), rng.random() * 5]))) for i in range(700)]
+    df = spark.createDataFrame(rows, "id int, x double").repartition(5)
+    rank = {i: r for r, (i, x) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    for first, last in ((0, 700), (100, 101), (349, 520), (0, 0), (0, 1), (699, 700), (650, 900)):
+        got = {r["id"]: r["band"] for r in order.banded(df, "x", first, last, "id").collect()}
+        assert got == {i: -1 if r < first else 1 if r >= last else 0 for i, r in rank.items()}, (first, last)
+    assert order.banded(df.where("false"), "x", 0, 3, "id").count() == 0

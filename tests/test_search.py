@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from gatehouse.functions import joins
 from gatehouse.functions import lexicon as X
 from gatehouse.operators import baselines, climb, gates, mutate, verify
 from gatehouse.sources import adapters
@@ -66,3 +67,16 @@ def test_baselines(spark):
     got = {r["doc_id"]: r for r in baselines.oov(docs, baselines.vocabulary(docs.where("doc_id = 'a'"))).collect()}
     assert got["a"]["oov_share"] == 0 and got["b"]["s_oov"] == 1.0 and got["c"]["n_words"] == 0
     assert baselines.gzip_signal(docs, baselines.fit_gzip(docs)).count() == 3
+
+
+def test_a_large_vocabulary_gives_the_same(spark, monkeypatch):
+    texts = [("a", "the cat and the dog"), ("b", "unknown words HERE the the the"), ("c", None), ("d", ""), ("d", "the cat"), (None, "dog " * 50)] + [(f"e{k}", "the cat sat") for k in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id string, text string").repartition(3)
+    vocab = spark.createDataFrame([(w,) for w in ("the", "cat", "sat", "and")], "word string")
+    shown = lambda df: sorted(map(str, df.select("doc_id", *[c for c in df.columns if c != "doc_id"]).collect()))
+    want, gate = shown(baselines.oov(docs, vocab)), shown(baselines.oov_gate(vocab).evaluate(docs))
+    assert "n_words=5, oov_share=0.2" in want[0]
+    for hot in (1, 20, 10**9):
+        monkeypatch.setattr(joins, "HOT", hot)
+        monkeypatch.setattr(baselines, "HANDED_WORDS", 2)
+        assert shown(baselines.oov(docs, vocab)) == want and shown(baselines.oov_gate(vocab).evaluate(docs)) == gate

@@ -1,3 +1,4 @@
+import random
 import statistics
 
 import pytest
@@ -37,6 +38,25 @@ def test_batch_fold_equals_the_recursion(spark, watch):
     assert any(r["ewma_alarm"] for r in got) == (watch != "up")
 
 
+@pytest.mark.parametrize(("watch", "alpha", "block"), [("two_sided", 0.2, 4096), ("up", 0.2, 7), ("down", 1.0, 50), ("two_sided", 0.9, 4096)])
+def test_scan_equals_the_recursion(spark, watch, alpha, block):
+    rng = random.Random(3)
+    chart = spc.Chart(alpha=alpha, watch=watch)
+    series = {"hot": [rng.gauss(10, 2) + (k > 3000) * 3 for k in range(5000)], "few": [rng.random() for _ in range(30)], "short": [1.0, 2.0], "flat": [4.0] * 60}
+    df = spark.createDataFrame([(s, k, x) for s, xs in series.items() for k, x in enumerate(xs)], "stream string, day int, value double").repartition(6)
+    got = {}
+    for r in spc.scan(df, 20, chart, block).collect():
+        got.setdefault(r["stream"], []).append(r)
+    assert set(got) == {"hot", "few", "flat"}
+    for s, rows in got.items():
+        rows.sort(key=lambda r: r["day"])
+        want = plain(series[s], 20, chart)
+        assert [r["day"] for r in rows] == list(range(20, len(series[s])))
+        for r, w in zip(rows, want, strict=True):
+            assert [r["ewma"], r["cusum_pos"], r["cusum_neg"]] == pytest.approx(w[:3], rel=1e-9, abs=1e-9) and (r["ewma_alarm"], r["cusum_alarm"]) == w[3:5]
+            assert r["direction"] == w[5] or s == "flat"
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = frame(spark)
     for k, (a, b) in enumerate(((0, 7), (7, 14), (14, 20))):  # whole days, in order
