@@ -31,7 +31,7 @@ from gatehouse.llm import common
 from gatehouse.llm.bytebpe import byte_bpe
 
 #: Characters of a part of a long text, about, and bytes of text that are tokenised at once.
-PART_CHARS, PASS_BYTES = 200_000, 1_000_000
+PART_CHARS, PASS_BYTES = 200_000, 250_000
 _SEAM = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 TOKENS = "doc_id long, a array<int>, a_end array<int>, b array<int>, b_end array<int>"
 WORD_SPACE = "▁"
