@@ -320,8 +320,8 @@ _SENTENCE = f"""{_with("whole", f"CASE WHEN {_draw('connect', 7, 'k')} % 2 = 0 T
   f"upper(whole[1]) || whole[2:] || {_pick(('.', '.', '.', '?'), _draw('end', 7, 'k'))}")}"""
 
 
-def _clean(n: int) -> str:
-    """documents of the generated corpus: doc_id, text, source, modality, raw."""
+def _clean() -> str:
+    """documents of the generated corpus, one for each given document: doc_id, text, source, modality, raw."""
     head = f"CASE WHEN {_draw('head', 7)} % 100 < 85 THEN {_pick(X.HEADINGS, _draw('heading', 7))} END"
     sub = f"CASE WHEN {_draw('sub', 7)} % 100 < 45 THEN {_pick(X.HEADINGS, _draw('subheading', 7))} END"
     items = f"CASE WHEN {_draw('list', 7)} % 100 < 35 THEN array_to_string(list_transform(range(1, {_draw('items', 7)} % 2 + 3), lambda k: '- ' || {_pick(X.LIST_ITEMS, f"({_draw('item', 7)} + k)")}), chr(10)) END"
@@ -330,7 +330,7 @@ def _clean(n: int) -> str:
   WHEN 'json' THEN json_object('id', format('rec-{{:06d}}', {_draw('rec', 7)} % 1000000), 'url', 'https://' || source || '.example.org/p/' || ({_draw('url', 7)} % 100000), 'text', text, 'lang', 'en', 'tokens', len(regexp_extract_all(text, '\S+')), 'title', array_to_string(regexp_extract_all(text, '\S+')[1:5], ' '))::VARCHAR END AS raw
   FROM (SELECT doc_id, modality, source, array_to_string(list_filter(list_concat([{head}, {sub}], {paragraphs}, [{items}]), lambda x: x IS NOT NULL), chr(10) || chr(10)) AS text
     FROM (SELECT *, list_transform(range(1, {_draw('sentences', 7)} % 9 + 7), lambda k: {_SENTENCE}) AS sentences, list_transform(range(1, 8), lambda p: {_SIZE}) AS sizes, {_pick(X.CLEAN_SOURCES, _draw('source', 7))} AS source
-      FROM (SELECT format('clean-{{:05d}}', i) AS doc_id, ['html', 'ocr', 'json'][i % 3 + 1] AS modality FROM range({n}) t(i))))"""
+      FROM (SELECT format('clean-{{:05d}}', i) AS doc_id, ['html', 'ocr', 'json'][i % 3 + 1] AS modality FROM (SELECT unnest(range((SELECT count(*) FROM documents))) AS i))))"""
 
 
 def _exported() -> str:
@@ -339,7 +339,7 @@ def _exported() -> str:
         for which in ("train", "heldout"):
             text, raw = ("text", _corrupt(kind, 7, which)) if kind == "json" else (_corrupt(kind, 7, which), "raw")
             parts.append(f"SELECT doc_id, {text} AS text, source, modality, {raw} AS raw, {_pick(list(ops), _draw('operator', 7))} AS operator, '{which}' AS slice, 7 AS seed FROM c WHERE modality = '{kind}'")
-    return f"WITH c AS ({_clean(150)}) " + " UNION ALL ".join(parts)
+    return f"WITH c AS ({_clean()}) " + " UNION ALL ".join(parts)
 
 
 # --- decisions behind a gate, the ledger and the daily routine ---
@@ -390,7 +390,7 @@ ORACLES = {
     "curate_pages": f"SELECT doc_id, label, round(score, 6) AS score, stage, reasons, round(quality, 6) AS gate_quality, 'html-gate@v1' AS extractor FROM ({_curated_pages(0.5)})",
     "ledger_current": f"SELECT doc_id, ['filter', 'review', 'retain'][label + 1] AS decision, stage AS responsible_stage, 'day-1' AS fetch_time, doc_id AS supersedes, 2::BIGINT AS n_records FROM ({_curated_pages(0.8)})",
     "routine_ticks": _ticks(),
-    "clean_corpus": _clean(400),
+    "clean_corpus": _clean(),
     "benchmark_export": _exported(),
     "series_ewma": f"""WITH RECURSIVE {_daily()}, o AS (SELECT stream, mean_value AS x, row_number() OVER (PARTITION BY stream ORDER BY day) AS i FROM d),
 w AS (SELECT stream, 1::BIGINT AS i, x AS z FROM o WHERE i = 1 UNION ALL SELECT w.stream, o.i, 0.3::DOUBLE * x + 0.7::DOUBLE * z FROM w JOIN o ON o.stream = w.stream AND o.i = w.i + 1) SELECT stream, substr(sha1(stream), 1, 12) AS digest, round(max_by(z, i), 6) AS ewma FROM w GROUP BY 1""",

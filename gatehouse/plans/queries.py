@@ -313,21 +313,27 @@ def accept_rule(spark, sf_dir):
 
 
 def hillclimb_trajectory(spark, sf_dir):
-    """The three regimes from halved weights: thirty iterations of ten candidates over all operators and five seeds, on generated documents."""
-    sets = [src.clean_corpus(spark, 60, seed, ("html",)) for seed in (7, 8, 9)]
+    """The three regimes from halved weights: thirty iterations of ten candidates over all operators and five seeds. A third of the documents is climbed on, a third accepts, a third guards."""
+    docs = src.documents(spark, sf_dir, "html")
+    sets = [docs.where(F.pmod(draw(0, F.col("doc_id"), "part"), F.lit(3)) == k) for k in range(3)]
     start = gates.HTML.with_params({k: w / 2 for k, w in gates.HTML.weights.items()})
     config = climb.ClimbConfig(iterations=30, population=10, step=0.12)
     done = [step for regime in ("naive_recall", "naive_f1", "verified") for step in climb.hillclimb(start, sets[0], "html", regime, config, sets[1], guard_docs=sets[2]).trajectory]
     return spark.createDataFrame(done, "regime string, iter int, recall_train double, f1_heldout double, guard_fpr double")
 
 
+def _generated(spark, sf_dir):
+    """A generated clean document for each given one, so that it grows with them."""
+    return src.clean_corpus(spark, src.table(spark, sf_dir, "documents").count())
+
+
 def clean_corpus(spark, sf_dir):
-    return src.clean_corpus(spark)
+    return _generated(spark, sf_dir)
 
 
 def benchmark_export(spark, sf_dir):
     """Clean, train-slice and held-out-slice rows of the generated corpus, with operator and slice."""
-    docs = src.clean_corpus(spark, 150)
+    docs = _generated(spark, sf_dir)
     out = docs.withColumns({"operator": F.lit("none"), "slice": F.lit("clean"), "seed": F.lit(7)})
     for kind in ("html", "ocr", "json"):
         for which in ("train", "heldout"):
