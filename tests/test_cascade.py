@@ -82,7 +82,7 @@ def test_ledger_appends_traces_and_supersedes(spark, tmp_path):
     assert {r["doc_id"]: r["decision"] for r in ledger.current().collect()}["1"] == "retain"
 
 
-@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 1.0])
+@pytest.mark.parametrize("share", [0.0, 0.3])
 def test_a_budget_is_spent_exactly_on_the_middle(spark, share):
     texts = [(f"{'The cat is on the mat. ' * (1 + k % 4)}", "text", None) for k in range(25)] + [(GOOD, "text", None), (SPAM, "text", None), ("<div>" * 30 + "menu", "html", None)]
     rows = docs(spark, texts)

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
-CHECKED = ("profile_lexical", "report_by_source", "cohort_outliers", "html_gate_pages", "json_balanced", "candidate_grid_objective", "spc_throughput", "baseline_dict_oov")
+CHECKED = ("profile_lexical", "curate_budget", "spc_events", "ledger_versions", "report_by_source", "cohort_outliers", "html_gate_pages", "json_balanced", "candidate_grid_objective", "spc_throughput", "baseline_dict_oov")
 
 
 def test_every_oracle_has_a_query(spark):

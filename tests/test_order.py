@@ -14,7 +14,7 @@ def test_selected_equals_numpy(spark, monkeypatch, inside):
     kinds = {"a": lambda: rng.gauss(0, 1), "b": lambda: float(rng.randint(0, 3)), "c": lambda: rng.choice([None, 1e9 * rng.random(), -1e-9]), "d": lambda: float(rng.random() < 0.5)}
     rows = [(g, *[k() for k in kinds.values()]) for g, n in (("hot", 4000), ("two", 2), ("one", 1), (None, 301)) for _ in range(n)] + [("void", None, None, None, None)]
     df = spark.createDataFrame(rows, "g string, a double, b double, c double, d double").repartition(7).persist()
-    for share in (0.5, 0.25, 0.0, 1.0, 0.999):
+    for share in (0.5, 0.999) if inside == 3 else (0.0, 0.25, 1.0):
         got = {(r["g"], r["feature"]): (r["n"], r["value"]) for r in order.selected(df, ["g"], list(kinds), share).collect()}
         want = {}
         for g in ("hot", "two", "one", None, "void"):
@@ -55,7 +55,7 @@ def test_bands_equal_ranks(spark, monkeypatch, inside):
     rows = [(i, float(rng.choice([rng.randint(0, 4), rng.random() * 5]))) for i in range(700)]
     df = spark.createDataFrame(rows, "id int, x double").repartition(5)
     rank = {i: r for r, (i, x) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
-    for first, last in ((0, 700), (100, 101), (349, 520), (0, 0), (0, 1), (699, 700), (650, 900)):
+    for first, last in ((100, 101), (349, 520), (650, 900)) if inside == 4 else ((0, 700), (0, 0), (0, 1), (699, 700)):
         got = {r["id"]: r["band"] for r in order.banded(df, "x", first, last, "id").collect()}
         assert got == {i: -1 if r < first else 1 if r >= last else 0 for i, r in rank.items()}, (first, last)
     assert order.banded(df.where("false"), "x", 0, 3, "id").count() == 0

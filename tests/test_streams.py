@@ -131,10 +131,15 @@ def _shown(loop):
     return said, sorted(map(str, held)), sorted(map(str, loop.ledger.current().select("doc_id", "batch", "decision").collect()))
 
 
+@pytest.fixture(scope="module")
+def whole(spark, day_files, tmp_path_factory):
+    loop = _streamed(spark, day_files, str(tmp_path_factory.mktemp("whole")), 0)
+    return loop, _shown(loop)
+
+
 @pytest.mark.parametrize("place", ["before", "after"])
-def test_a_stopped_routine_goes_on_as_if_it_had_not_been(spark, day_files, tmp_path, place):
-    whole = _streamed(spark, day_files, f"{tmp_path}/whole", 0)
-    want = _shown(whole)
+def test_a_stopped_routine_goes_on_as_if_it_had_not_been(spark, day_files, whole, tmp_path, place):
+    whole, want = whole
     assert len(want[0]) == 6 and sum(r["late"] for r in whole.summaries().collect()) == 1 and "late one" in str(want[1])
     days = {r["day"]: r for r in whole.summaries().collect()}
     assert days[4]["alerts"] == ["quality_drift_down"] and days[4]["actions"] == ["hillclimb"] and days[3]["ok"]
@@ -145,6 +150,11 @@ def test_a_stopped_routine_goes_on_as_if_it_had_not_been(spark, day_files, tmp_p
     assert not [k for k in again.log.state().parts if k[1] == "routine"]  # nothing waits
 
 
+def test_a_day_without_documents(spark, tmp_path):
+    out = routine.Routine(ledger=Ledger(spark, str(tmp_path))).tick(routine.LocalHarness(), spark.createDataFrame([], routine.STAGED))
+    assert (out["throughput"], out["quality"], out["ok"]) == (0.0, 1.0, True)
+
+
 def test_a_lag_waits_for_late_documents(spark, day_files, tmp_path):
     loop = _streamed(spark, day_files, str(tmp_path), 2)
     days = {r["day"]: r for r in loop.summaries().collect()}
