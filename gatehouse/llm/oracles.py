@@ -6,7 +6,7 @@ carrying the smallest id along links until none changes.
 
 from __future__ import annotations
 
-LENGTH = 400
+LENGTH, WORDS = 400, 50
 
 #: Windows are grouped by a hash of their bytes; documents are cut at every byte.
 _REPEATS = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
@@ -17,8 +17,13 @@ i AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM g),
 x AS (SELECT r, min(p) AS a, max(p) + {LENGTH - 1} AS z FROM i GROUP BY r, run),
 o AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM x),
 k AS (SELECT r, sum(z - a + 1) AS gone, count(*) AS n, max(z) AS last, string_agg(hex(b[before + 1:a - 1]), '' ORDER BY a) AS kept FROM o JOIN d USING (r) GROUP BY r)
+v AS (SELECT r, regexp_extract_all(decode(b), '[^\\x20\\x09-\\x0D]+') AS t FROM d),
+vw AS (SELECT r, p, md5(array_to_string(t[p:p + {WORDS - 1}], ' ')) AS h FROM (SELECT r, t, unnest(range(1, len(t) - {WORDS - 2})) AS p FROM v WHERE len(t) >= {WORDS})),
+vs AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS o FROM vw WHERE h IN (SELECT h FROM vw GROUP BY h HAVING count(*) > 1)),
+vk AS (SELECT r, sum(CASE WHEN o IS NULL THEN {WORDS} ELSE least(p - o, {WORDS}) END) AS said FROM vs GROUP BY r)
 SELECT doc_id, octet_length(b) AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans,
-  CASE WHEN n IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(b[last + 1:octet_length(b)]))) END AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+  CASE WHEN n IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(b[last + 1:octet_length(b)]))) END AS kept_sha256, coalesce(said, 0)::BIGINT AS n_repeated_words
+FROM d LEFT JOIN k USING (r) LEFT JOIN vk USING (r)"""
 
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

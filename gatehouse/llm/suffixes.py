@@ -1,5 +1,8 @@
 """Removal of repeated byte strings by suffix arrays and longest-previous-factor arrays, over shards of the corpus.
 
+A text is a string of symbols: its bytes, and on request also its words, runs without white space, each known by a 64-bit hash. Both
+go through the same steps, a region's anchor hash telling in its lowest bit which they are.
+
 A string of `length` bytes repeats if it also starts anywhere else. Windows of that length are brought together by their
 content: each window chooses the smallest-hashed `GRAM`-byte string in it (its anchor), so equal windows choose equal anchors
 at the same place. Consecutive windows with one anchor are a region, known by the hashes of its anchor and of its bytes.
@@ -15,8 +18,9 @@ at the same place. Consecutive windows with one anchor are a region, known by th
    first in runs of `RUN` windows by the bytes these share, then one by one where that repeats.
 
 keep "none" removes every byte of a repeated string, "first" keeps the string that comes first by (doc_id, text hash,
-position). Hashes are 64 bits of polynomial hashes, two for regions. Null texts count as empty; texts shorter than `length` lose
-nothing; rows with equal doc_id and text are copies of each other; extra columns are ignored; empty tables give no rows.
+position). Hashes are 64 bits of polynomial hashes; a region is known by two, its anchor's and its own. Null texts count as empty; texts
+shorter than `length` lose nothing; rows with equal doc_id and text, without doc_id too, count as copies, but are cut and spelled out
+once; a text longer than a pass is taken in ranges that overlap by `length` - 1; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,28 +36,69 @@ from pyspark.sql import functions as F
 from gatehouse.llm import common
 
 LENGTH, GRAM, HOT, RUN, SHARD_BYTES = 400, 128, 256, 16, 1_000_000
+WORDS, WORD_GRAM, LONG_WORD = 50, 8, 256
+BYTE_UNIT, WORD_UNIT = 0, 1
 _powers, _other = common.Powers(), common.Powers(0xD1342543DE82EF95)
 _TABLE = np.random.default_rng(42).integers(0, 1 << 63, 256, dtype=np.uint64)
+_SALT = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 class Hashes:
-    """Hashes of the spans of a byte array, by two bases."""
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        coded = _TABLE[data]
-        self.parts = []
-        for p in (_powers, _other):
-            up, down = p.reach(n + 1)
-            prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum(coded * up[:n], out=prefix[1:])
-            self.parts.append((prefix, down))
+    """Hashes of the spans of an array of 64-bit symbol codes, by two bases."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.parts = codes, {}
 
     def spans(self, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
+        if base not in self.parts:
+            n = len(self.codes)
+            up, down = (_powers, _other)[base].reach(n + 1)
+            prefix = np.zeros(n + 1, np.uint64)
+            np.cumsum(self.codes * up[:n], out=prefix[1:])
+            self.parts[base] = (prefix, down)
         prefix, down = self.parts[base]
         return common.mix64((prefix[ends] - prefix[starts]) * down[starts])
 
 
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of the texts that data holds, and the first word of each text (one more at the end)."""
+    inside, inner = ~_SPACE[data], offsets[(offsets > 0) & (offsets < len(data))]
+    begin, stop = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    stop[:-1] &= ~inside[1:]
+    begin[inner], stop[inner - 1] = inside[inner], inside[inner - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    codes, short = np.empty(len(starts), np.uint64), ends - starts <= LONG_WORD
+    for a in range(0, len(data), common.PASS_BYTES):
+        lo, hi = np.searchsorted(starts, [a, a + common.PASS_BYTES])
+        w = lo + np.flatnonzero(short[lo:hi])
+        codes[w] = Hashes(_TABLE[data[a : a + common.PASS_BYTES + LONG_WORD]]).spans(starts[w] - a, ends[w] - a)
+    for w in np.flatnonzero(~short).tolist():
+        codes[w] = int.from_bytes(hashlib.blake2b(data[starts[w] : ends[w]].tobytes(), digest_size=8).digest(), "little")
+    return codes, np.searchsorted(starts, offsets)
+
+
+def symbols_of(raw: bytes, unit: int) -> np.ndarray:
+    """Symbols of a cut-out region: its bytes, or its words' hashes."""
+    return np.frombuffer(raw, np.uint64 if unit else np.uint8)
+
+
+def _codes(raw: bytes, unit: int) -> np.ndarray:
+    return symbols_of(raw, unit) if unit else _TABLE[symbols_of(raw, unit)]
+
+
+def stretches(bounds: np.ndarray, length: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Texts (row, start, end) whose symbols lie together in a pass; of a text longer than that, ranges of it that hold each window once."""
+    for lo, hi in common.passes(bounds):
+        a, b = int(bounds[lo]), int(bounds[hi])
+        if hi == lo + 1 and b - a > common.PASS_BYTES:
+            for s in range(a, b - length + 1, common.PASS_BYTES):
+                yield [(lo, s, min(b, s + common.PASS_BYTES + length - 1))]
+        else:
+            yield [(i, int(bounds[i]), int(bounds[i + 1])) for i in range(lo, hi) if bounds[i + 1] - bounds[i] >= length]
+
+
 def anchors(grams: np.ndarray, windows: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The regions of one text from its gram hashes: each anchor's position, its first window and its last window."""
     m = len(grams)
@@ -71,50 +116,73 @@ def anchors(grams: np.ndarray, windows: int, width: int) -> tuple[np.ndarray, np
     return (least[change] & low).astype(np.int64), change, np.concatenate([change[1:], [windows]]) - 1
 
 
-REGIONS = "doc_id long, mark long, h long, r1 long, r2 long, first int, last int, before int"
+#: place: the first window << 32 | how many windows follow it << 16 | the windows before the anchor
+REGIONS = "doc_id long, mark long, h long, r long, place long"
 
 
-def _regions(length: int, gram: int):
+def _regions(units: list[tuple[int, int]]):
+    """units: the shortest repeat and the anchor's size, in bytes and, if asked for, in words."""
+
+    def found(codes, bounds: np.ndarray, unit: int) -> Iterator[tuple[np.ndarray, ...]]:
+        length, gram = units[unit]
+        for texts in stretches(bounds, length):
+            if not texts:
+                continue
+            origin = texts[0][1]
+            h = Hashes(codes(origin, texts[-1][2]))
+            grams = h.spans(np.arange(len(h.codes) - gram + 1), np.arange(gram, len(h.codes) + 1))
+            parts = []
+            for row, a, b in texts:
+                at, first, last = anchors(grams[a - origin : b - origin - gram + 1], b - a - length + 1, length - gram + 1)
+                places = (first + a - bounds[row] << 32) | (last - first << 16) | (at - first)
+                parts.append((np.full(len(at), row), at + a - origin, first + a - origin, last + a - origin, places))
+            row, at, s, e, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+            anchor = (h.spans(at, at + gram) & ~np.uint64(1)) | np.uint64(unit)
+            yield row, anchor, h.spans(s, e + length) + (at - s).astype(np.uint64) * _SALT, places
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = common.utf8(batch.column(2))
-            ids, marks = batch.column(0), batch.column(1)
             for lo, hi in common.passes(offsets):
-                whole = data[offsets[lo] : offsets[hi]]
-                h = Hashes(whole)
-                starts = np.arange(max(0, len(whole) - gram + 1))
-                grams = h.spans(starts, starts + gram)
-                parts, rows = [], []
-                for i in range(lo, hi):
-                    a, b = offsets[i] - offsets[lo], offsets[i + 1] - offsets[lo]
-                    if b - a < length:
-                        continue
-                    at, first, last = anchors(grams[a : b - gram + 1], b - a - length + 1, length - gram + 1)
-                    parts.append((at + a, first + a, last + a, first, last))
-                    rows.append(np.full(len(at), i))
-                if not parts:
-                    continue
-                at, s, e, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-                row = pa.array(np.concatenate(rows))
-                out = [h.spans(at, at + gram), h.spans(s, e + length) + (at - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), h.spans(s, e + length, 1)]
-                yield pa.RecordBatch.from_arrays([ids.take(row), marks.take(row), *(pa.array(x.view(np.int64)) for x in out), *(pa.array(x.astype(np.int32)) for x in (first, last, at - s))], names=[x.split()[0] for x in REGIONS.split(", ")])
+                whole, bounds = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                for unit in range(len(units)):
+                    if unit == BYTE_UNIT:
+                        made = found(lambda a, b, whole=whole: _TABLE[whole[a:b]], bounds, unit)
+                    else:
+                        words, firsts = word_codes(whole, bounds)
+                        made = found(lambda a, b, words=words: words[a:b], firsts, unit)
+                    for row, h, r, places in made:
+                        at = pa.array(row + lo)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), pa.array(places)], names=[x.split()[0] for x in REGIONS.split(", ")])
 
     return run
 
 
-def _slices(length: int):
-    """Cuts regions out of their texts. Rows: doc_id, mark, text, regions (h, first, last)."""
+SLICES = "h long, doc_id long, mark long, first int, bytes binary, before int, kinds long"
+
+
+def _slices(units: list[tuple[int, int]]):
+    """Cuts regions out of their texts. Rows: doc_id, mark, text, regions (h, place, kinds)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64())
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
+            data, offsets = common.utf8(batch.column(2))
+            for lo, hi in common.passes(offsets, common.PASS_BYTES >> 2):
+                whole, bounds = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                texts = [(whole, bounds)]
+                if len(units) > 1:
+                    texts.append(word_codes(whole, bounds))
                 rows = []
-                for doc_id, mark, text, regions in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True):
-                    raw = text.encode()
-                    rows += [(r["h"], doc_id, mark, r["first"], raw[r["first"] : r["last"] + length], r["before"], r["n"], r["kinds"]) for r in regions]
+                for i, (doc_id, mark, regions) in enumerate(zip(*(batch.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 1, 3)), strict=True)):
+                    for r in regions:
+                        unit, first = r["h"] & 1, r["place"] >> 32
+                        symbols, starts = texts[unit]
+                        a = starts[i] + first
+                        rows.append((r["h"], doc_id, mark, first, symbols[a : a + (r["place"] >> 16 & 0xFFFF) + units[unit][0]].tobytes(), r["place"] & 0xFFFF, r["kinds"]))
                 for k in range(0, len(rows), 4096):
                     cols = list(zip(*rows[k : k + 4096], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["h", "doc_id", "mark", "first", "bytes", "before", "n", "kinds"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in SLICES.split(", ")])
 
     return run
 
@@ -186,15 +254,16 @@ def longest_previous_factor(order: np.ndarray, lcp: np.ndarray, least: int) -> t
     return length, source
 
 
-def repeats(regions: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window start in the concatenated regions: whether it copies an earlier one, whether a later one copies it; and where regions start and end in it."""
+def repeats(regions: list, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window start in the concatenated regions (bytes, or arrays of symbols): whether it copies an earlier one, whether a later one copies it; and where regions start and end in it."""
     sizes = np.array([len(r) for r in regions])
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     symbols = np.empty(int(sizes.sum()) + len(regions), np.int64)
     text = np.ones(len(symbols), bool)
     text[starts + sizes] = False
-    symbols[text] = np.frombuffer(b"".join(regions), np.uint8)
-    symbols[~text] = 256 + np.arange(len(regions))
+    flat = np.concatenate([np.frombuffer(r, np.uint8) if isinstance(r, bytes) else r for r in regions])
+    symbols[text] = flat if flat.dtype == np.uint8 else np.unique(flat, return_inverse=True)[1]
+    symbols[~text] = (256 if flat.dtype == np.uint8 else len(flat)) + np.arange(len(regions))
     order, lcp = suffix_array(symbols, length)
     factor, source = longest_previous_factor(order, lcp, length)
     later = factor >= length
@@ -209,23 +278,27 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-SPANS = "doc_id long, mark long, first int, last int"
+SPANS = "doc_id long, mark long, unit int, first int, last int"
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "mark", "first", "last"])
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=[x.split()[0] for x in SPANS.split(", ")])
 
 
-def _shards(length: int, keep: str):
+def _shards(units: list[tuple[int, int]], keep: str):
     """Rows come by anchor, doc_id, mark, first. Shards are cut at anchors once they hold SHARD_BYTES."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        later, first, starts, sizes = repeats([r[4] for r in rows], length)
-        hit = later if keep == "first" else later | first
         out = []
-        for (_, doc_id, mark, at, _), s, n in zip(rows, starts.tolist(), sizes.tolist(), strict=True):
-            out += [(doc_id, mark, at + a, at + b) for a, b in _runs(hit[s : s + n - length + 1])]
+        for unit, (length, _) in enumerate(units):
+            own = [r for r in rows if r[0] & 1 == unit]
+            if not own:
+                continue
+            later, first, starts, sizes = repeats([symbols_of(r[4], unit) for r in own], length)
+            hit = later if keep == "first" else later | first
+            for (_, doc_id, mark, at, _), s, n in zip(own, starts.tolist(), sizes.tolist(), strict=True):
+                out += [(doc_id, mark, unit, at + a, at + b) for a, b in _runs(hit[s : s + n - length + 1])]
         return _spans(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,24 +316,26 @@ def _shards(length: int, keep: str):
     return run
 
 
-PIECES = "doc_id long, mark long, first int, core long, r1 long, r2 long, bytes binary"
-WINDOWS = "doc_id long, mark long, first int, w1 long, w2 long"
-_SALT = np.uint64(0x9E3779B97F4A7C15)
+PIECES = "doc_id long, mark long, unit int, first int, last int, core long, r1 long, r2 long, bytes binary"
+WINDOWS = "doc_id long, mark long, unit int, first int, w1 long, w2 long"
 
 
-def _pieces(length: int, run_of: int):
-    """Regions cut into runs of at most run_of windows by their distance from the anchor. The core is what all windows of a full run share.
+def _pieces(units: list[tuple[int, int]], most: int):
+    """Regions cut into runs of at most `most` windows, or half a repeat, by their distance from the anchor. The core is what all windows of a full run share.
 
     Rows: h, doc_id, mark, first, bytes, before."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 out = []
                 for h, doc_id, mark, first, raw, before in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
-                    hashes = Hashes(np.frombuffer(raw, np.uint8))
-                    windows = len(raw) - length + 1
+                    unit = h & 1
+                    length, size = units[unit][0], 8 if unit else 1
+                    run_of = min(most, max(1, length // 2))
+                    hashes = Hashes(_codes(raw, unit))
+                    windows = len(hashes.codes) - length + 1
                     cut = np.array(sorted({0, windows, *range((before + 1) % run_of, windows, run_of)}))
                     a, b = cut[:-1], cut[1:]
                     number = (before - a) // run_of
@@ -269,114 +344,141 @@ def _pieces(length: int, run_of: int):
                     core = hashes.spans(head, tail + length) + salt
                     r1 = hashes.spans(a, b - 1 + length) + (a - tail).astype(np.uint64) * _SALT
                     r2 = hashes.spans(a, b - 1 + length, 1)
-                    out += [(doc_id, mark, first + x, c, p, q, raw[x : y - 1 + length]) for x, y, c, p, q in zip(a.tolist(), b.tolist(), core.view(np.int64).tolist(), r1.view(np.int64).tolist(), r2.view(np.int64).tolist(), strict=True)]
+                    out += [(doc_id, mark, unit, first + x, first + y - 1, c, p, q, raw[x * size : (y - 1 + length) * size]) for x, y, c, p, q in zip(a.tolist(), b.tolist(), core.view(np.int64).tolist(), r1.view(np.int64).tolist(), r2.view(np.int64).tolist(), strict=True)]
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
     return run
 
 
-def _windows(length: int):
-    """Hashes of every window. Rows: doc_id, mark, first, bytes."""
+def _windows(units: list[tuple[int, int]]):
+    """Hashes of every window. Rows: doc_id, mark, unit, first, bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, mark, first, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = Hashes(np.frombuffer(raw, np.uint8))
-                at = np.arange(len(raw) - length + 1)
+            for doc_id, mark, unit, first, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h, length = Hashes(_codes(raw, unit)), units[unit][0]
+                at = np.arange(len(h.codes) - length + 1)
                 n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array([mark] * n, pa.int64()), pa.array((at + first).astype(np.int32)), pa.array(h.spans(at, at + length).view(np.int64)), pa.array(h.spans(at, at + length, 1).view(np.int64))], names=["doc_id", "mark", "first", "w1", "w2"])
+                hashes = [pa.array(h.spans(at, at + length, k).view(np.int64)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array([mark] * n, pa.int64()), pa.array([unit] * n, pa.int32()), pa.array((at + first).astype(np.int32)), *hashes], names=[x.split()[0] for x in WINDOWS.split(", ")])
 
     return run
 
 
-def _place(*more):
-    return F.struct("doc_id", "mark", "first", *more)
+def _place(at: str):
+    return F.struct("doc_id", "mark", at)
 
 
-def _by_windows(slices: DataFrame, length: int, keep: str) -> DataFrame:
+def _by_windows(slices: DataFrame, units: list[tuple[int, int]], keep: str) -> DataFrame:
     """Spans within regions of hot anchors, found by counts alone, so that no group meets in a task."""
-    pieces = common.cut(slices.select("h", "doc_id", "mark", "first", "bytes", "before").mapInArrow(_pieces(length, RUN), PIECES))
-    kinds = common.cut(pieces.groupBy("core", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("one")))
+    pieces = common.cut(slices.select("h", "doc_id", "mark", "first", "bytes", "before").mapInArrow(_pieces(units, RUN), PIECES))
+    kinds = common.cut(pieces.groupBy("core", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(_place("first")).alias("one")))
     many = common.cut(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
-    kept = common.cut(pieces.join(kinds, ["core", "r1", "r2"]).withColumn("rep", _place() == F.col("one")))
-    last = F.col("first") + F.length("bytes") - length
-    copies = kept.where("n > 1" if keep == "none" else "not rep").select("doc_id", "mark", "first", last.alias("last"))
-    windows = common.cut(kept.where("rep").join(many, "core").select("doc_id", "mark", "first", "bytes").mapInArrow(_windows(length), WINDOWS))
-    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("one")).where("n > 1")
+    kept = common.cut(pieces.join(kinds, ["core", "r1", "r2"]).withColumn("rep", _place("first") == F.col("one")))
+    copies = kept.where("n > 1" if keep == "none" else "not rep").select("doc_id", "mark", "unit", "first", "last")
+    windows = common.cut(kept.where("rep").join(many, "core").select("doc_id", "mark", "unit", "first", "bytes").mapInArrow(_windows(units), WINDOWS))
+    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(_place("first")).alias("one")).where("n > 1")
     found = windows.join(common.cut(again), ["w1", "w2"])
     if keep == "first":
-        found = found.where(_place() != F.col("one"))
-    return copies.unionByName(found.select("doc_id", "mark", "first", F.col("first").alias("last")))
+        found = found.where(_place("first") != F.col("one"))
+    return copies.unionByName(found.select("doc_id", "mark", "unit", "first", F.col("first").alias("last")))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first", gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Ranges first .. last of window starts whose strings repeat: doc_id, mark (a hash of the text), first, last."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first", gram: int = GRAM, hot: int = HOT, words: int | None = None) -> DataFrame:
+    """Ranges first .. last of window starts whose strings repeat: doc_id, mark (a hash of the text), unit, first, last.
+
+    unit 0 counts bytes, for repeats of `length` bytes; unit 1, only with `words`, counts words, for repeats of that many. Both are 65,536 at most.
+    A range may come more than once.
+    """
+    if max(length, words or 0) > 1 << 16:
+        raise ValueError("repeats are looked for up to a length of 65536")
     spark = docs.sparkSession
-    gram = min(gram, max(1, length // 2))
+    units = [(length, min(gram, max(1, length // 2)))]
+    if words:
+        units.append((words, min(WORD_GRAM, max(1, words // 2))))
     text = F.coalesce("text", F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    regions = common.cut(base.mapInArrow(_regions(length, gram), REGIONS))
-    kinds = common.cut(regions.groupBy("h", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(_place("last", "before")).alias("one")))
-    twice = kinds.where("n > 1").select("h", "r1", "r2", "one")
-    copies = regions.join(common.cut(twice), ["h", "r1", "r2"])
+    regions = common.written(base.mapInArrow(_regions(units), REGIONS), "regions")
+    kinds = common.written(regions.groupBy("h", "r").agg(F.count(F.lit(1)).alias("n"), F.min(_place("place")).alias("one")), "kinds")
+    copies = regions.join(kinds.where("n > 1").select("h", "r", "one"), ["h", "r"])
     if keep == "first":
-        copies = copies.where(_place("last", "before") != F.col("one"))
+        copies = copies.where(_place("place") != F.col("one"))
+    first, last = F.expr("CAST(place >> 32 AS int)"), F.expr("CAST((place >> 32) + (place >> 16 & 65535) AS int)")
+    copies = copies.select("doc_id", "mark", F.expr("CAST(h & 1 AS int)").alias("unit"), first.alias("first"), last.alias("last"))
     many = common.cut(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1"))
     mixed = kinds.join(many, "h")
     if keep == "none":  # anchors all of whose regions repeat are settled
         mixed = mixed.where("least = 1")
-    wanted = common.cut(mixed.select("one.doc_id", "one.mark", F.struct("h", F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.col("one.before").alias("before"), "n", "kinds").alias("r")).groupBy("doc_id", "mark").agg(F.collect_list("r").alias("regions")))
-    texts = base.join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (base["mark"] == wanted["mark"])).select("doc_id", base["mark"], "text", "regions")
-    slices = common.cut(texts.mapInArrow(_slices(length), "h long, doc_id long, mark long, first int, bytes binary, before int, n long, kinds long"))
+    # rows that repeat an id and its text are one text here, dropped before they are shuffled
+    key = ["id", "none", "mark"]
+    named = lambda id_: (F.coalesce(id_, F.lit(0)).alias("id"), F.isnull(id_).alias("none"))
+    wanted = common.cut(mixed.select(*named(F.col("one.doc_id")), "one.mark", F.struct("h", F.col("one.place").alias("place"), "kinds").alias("r")).groupBy(*key).agg(F.collect_list("r").alias("regions")))
+    texts = base.select(*named(F.col("doc_id")), "mark", "text").groupBy(*key).agg(F.first("text").alias("text")).join(wanted, key)
+    slices = common.cut(texts.select(F.expr("CASE WHEN NOT none THEN id END").alias("doc_id"), "mark", "text", "regions").mapInArrow(_slices(units), SLICES))
     dealt = slices.where(F.col("kinds") <= hot).select("h", "doc_id", "mark", "first", "bytes").repartition(common.partitions(spark), "h").sortWithinPartitions("h", "doc_id", "mark", "first")
-    spans = copies.select("doc_id", "mark", "first", "last").unionByName(dealt.mapInArrow(_shards(length, keep), SPANS))
+    spans = copies.unionByName(dealt.mapInArrow(_shards(units, keep), SPANS))
     large = slices.where(F.col("kinds") > hot)
     if large.limit(1).count():
-        spans = spans.unionByName(_by_windows(large, length, keep))
+        spans = spans.unionByName(_by_windows(large, units, keep))
     return spans
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def covered(spans: list | None, length: int, unit: int = BYTE_UNIT) -> list[list[int]]:
+    """The ranges start, end that repeated strings of `length` symbols cover, merged where they overlap or touch."""
+    out: list[list[int]] = []
+    for first, last in sorted((r["first"], r["last"]) for r in spans or [] if r["unit"] == unit):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], last + length)
+        else:
+            out.append([first, last + length])
+    return out
+
+
 def _removed(raw: bytes, spans: list, length: int) -> np.ndarray:
     """Which bytes a repeated string covers."""
-    edge = np.zeros(len(raw) + 1, np.int32)
-    if spans:
-        s = np.array([(r["first"], r["last"]) for r in spans])
-        np.add.at(edge, s[:, 0], 1)
-        np.add.at(edge, s[:, 1] + length, -1)
-    return np.cumsum(edge[:-1]) > 0
+    gone = np.zeros(len(raw), bool)
+    for a, b in covered(spans, length):
+        gone[a:b] = True
+    return gone
+
 
+def _digest(length: int, words: int | None = None):
+    """Per row what is left of a text; with `words` also how many words repeated passages of that many cover."""
 
-def _digest(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, names = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * bool(words), [x.split()[0] for x in OUT.split(", ")] + ["n_repeated_words"] * bool(words)
         for batch in batches:
+            data, offsets = common.utf8(batch.column(1))
             for lo in range(0, batch.num_rows, 256):
                 out = []
-                for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
-                    raw = text.encode()
-                    if not spans:
-                        out.append((doc_id, len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
-                        continue
-                    gone = _removed(raw, spans, length)
-                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    out.append((doc_id, len(raw), int(gone.sum()), len(_runs(gone)), hashlib.sha256(kept).hexdigest()))
+                for i, (doc_id, spans) in enumerate(zip(*(batch.column(c).slice(lo, 256).to_pylist() for c in (0, 2)), strict=True), lo):
+                    raw, gone = memoryview(data[offsets[i] : offsets[i + 1]]), covered(spans, length)
+                    kept, at = hashlib.sha256(), 0
+                    for a, b in [*gone, [len(raw), len(raw)]]:
+                        kept.update(raw[at:a])
+                        at = b
+                    row = (doc_id, len(raw), sum(b - a for a, b in gone), len(gone), kept.hexdigest())
+                    out.append((*row, sum(b - a for a, b in covered(spans, words, WORD_UNIT))) if words else row)
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 4 + (pa.string(),), strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return run
 
 
 def marked(docs: DataFrame, length: int = LENGTH, keep: str = "first", **options) -> DataFrame:
-    """doc_id, text and the spans of repeated strings in it, for every row."""
-    spans = common.cut(repeated_spans(docs, length, keep, **options).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_mark"))
-    by = spans.toDF("_id", "_m", "spans")
-    return base.join(by, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")), "left").select("doc_id", "text", "spans")
+    """doc_id, text and the spans (unit, first, last) of repeated strings in it, for every row; each distinct span once, however many rows are equal."""
+    key = ["id", "none", "mark"]
+    spans = repeated_spans(docs, length, keep, **options).select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("none"), "mark", F.struct("unit", "first", "last").alias("span"))
+    by = common.cut(spans.groupBy(*key).agg(F.collect_set("span").alias("spans")))
+    text, id_ = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    base = docs.select(F.coalesce(id_, F.lit(0)).alias("id"), F.isnull(id_).alias("none"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return base.join(by, key, "left").select(F.expr("CASE WHEN NOT none THEN id END").alias("doc_id"), "text", "spans")
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked(common.table(spark, sf_dir, "documents"), keep="none").mapInArrow(_digest(LENGTH), OUT)
+    """The contract's columns, by repeats of 400 bytes, and n_repeated_words, by repeats of 50 words whatever white space parts them."""
+    return marked(common.table(spark, sf_dir, "documents"), keep="none", words=WORDS).mapInArrow(_digest(LENGTH, WORDS), f"{OUT}, n_repeated_words long")

@@ -1,11 +1,13 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from gatehouse.llm import suffixes as sx
+from tests.llm.conftest import prose
 
 
 def test_suffix_array_lcp_and_longest_previous_factor():
@@ -66,3 +68,50 @@ def test_odd_and_empty_tables(spark, odd):
     got = {r["doc_id"]: r for r in sx.marked(odd, 100, "none").mapInArrow(sx._digest(100), sx.OUT).collect()}
     assert got[7]["n_removed"] == got[7]["n_bytes"] and got[-3]["n_bytes"] == 0 and got[None]["n_removed"] == 0
     assert sx.marked(odd.where("false"), 100, "none").count() == 0
+
+
+def words_brute(texts, n):
+    """How many words of each text lie in a run of n words that also starts anywhere else."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    count = Counter(tuple(w[k : k + n]) for w in split for k in range(len(w) - n + 1))
+    return [len({j for k in range(len(w) - n + 1) if count[tuple(w[k : k + n])] > 1 for j in range(k, k + n)}) for w in split]
+
+
+@pytest.mark.parametrize("words,hot", [(50, 256), (12, 256), (12, 1), (3, 2)])
+def test_repeated_words_equal_brute_force(spark, corpus, words, hot):
+    rng = random.Random(2)
+    passage = prose(rng, 55).split()  # fewer than 400 bytes, with other white space each time
+    more = ["  ".join([f"a{k}", *passage, "x" * 400]) if k % 2 else "\n".join([f"b{k}", *passage, f"c{k}\tend"]) for k in range(5)]
+    texts = [t for _, t, *_ in corpus] + more + ["w " * 130, "漢 字\u2003é " * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sx.marked(docs, 400, "none", hot=hot, words=words).mapInArrow(sx._digest(400, words), f"{sx.OUT}, n_repeated_words long").collect()}
+    assert [got[i]["n_repeated_words"] for i in range(len(texts))] == words_brute(texts, words)
+    assert [(got[i]["n_removed"], got[i]["kept_sha256"]) for i in range(len(texts))] == brute(texts, 400, "none")
+
+
+def test_rows_that_repeat_and_copies_without_id_take_linear_room(spark):
+    rng = random.Random(3)
+    text = prose(rng, 600)
+    other = prose(rng, 200) + text[500:1500] + prose(rng, 100)
+    rows = [(None, text)] * 2000 + [(7, text)] * 2000 + [(8, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole = sx.marked(docs, 400, "none", words=50).persist()
+    spans = [n for (n,) in whole.where("doc_id is null or doc_id = 7").selectExpr("size(spans)").collect()]
+    assert len(spans) == 4000 and max(spans) < 200
+    got = whole.mapInArrow(sx._digest(400, 50), f"{sx.OUT}, n_repeated_words long").distinct().collect()
+    assert {(r["doc_id"], r["n_removed"], r["n_bytes"]) for r in got if r["doc_id"] != 8} == {(i, len(text.encode()), len(text.encode())) for i in (None, 7)}
+    shared = len(text[500:1500].encode())
+    assert [shared <= r["n_removed"] < shared + 10 for r in got if r["doc_id"] == 8] == [True]
+
+
+def test_texts_longer_than_a_pass(spark):
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=n))
+    passage = "<" + make(998) + ">"
+    edge = 1 << 20
+    long = make(edge - 500) + "1" + passage + "2" + make(2 * edge) + "3" + passage + "4" + "q" * (edge + 5000) + make(300)
+    rows = [(1, long), (2, "5" + make(700) + "6" + passage + "7"), (3, make(2000))]
+    got = {r["doc_id"]: r for r in sx.marked(spark.createDataFrame(rows, "doc_id long, text string"), 400, "none", words=50).mapInArrow(sx._digest(400, 50), f"{sx.OUT}, n_repeated_words long").collect()}
+    assert got[1]["n_removed"] == 2000 + edge + 5000 and got[1]["n_spans"] == 3
+    assert (got[2]["n_removed"], got[2]["n_spans"], got[3]["n_removed"]) == (1000, 1, 0)
+    assert [got[i]["n_repeated_words"] for i in (1, 2, 3)] == words_brute([t for _, t in rows], 50)
