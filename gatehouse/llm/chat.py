@@ -10,7 +10,8 @@ after the first character of every control string, so no text holds one and unes
 
 Rows are ordered by (conv_id, turn, role, text), nulls first: ties and repeated rows are kept in that order. Null text or
 role counts as empty. conv_id null is a conversation of its own. An empty table gives no rows. A conversation of any length
-passes through its task as a stream: what is kept is hash states and one turn.
+passes through its task as a stream: what is kept is hash states and one turn. Turns are laid out in passes of about a megabyte; a longer
+turn is a pass of its own, whose segments are copied whole, so it needs a few times its own size.
 """
 
 from __future__ import annotations
@@ -28,16 +29,19 @@ from gatehouse.llm import common
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]")
 BEGIN, END = "<s>", "</s>"
-_ESCAPE = re.compile("|".join(map(re.escape, ("\\", *CONTROL))))
 _UNESCAPE = re.compile(r"\\(\\?)")
-_TURN = re.compile(r"\[ROLE\](.*?)\[/ROLE\](?:\[INST\](.*?)\[/INST\]|(.*?)</s>)", re.S)
 LEARNED = "assistant"
+#: What a turn counts for in a pass beside its role and text.
+TURN_BYTES = 64
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 TURNS = "conv_id long, turn long, role string, formatted string, loss_start int, loss_end int"
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
+    text = text.replace("\\", "\\\\")
+    for c in CONTROL:  # none of them begins within another
+        text = text.replace(c, f"{c[0]}\\{c[1:]}")
+    return text
 
 
 def unescape(text: str) -> str:
@@ -50,7 +54,19 @@ def _escaped(column: pa.Array) -> pa.Array:
 
     column = pc.fill_null(column, "")
     odd = pc.match_substring_regex(column, r"\\|<s>|</s>|\[/?INST\]|\[/?ROLE\]")
-    return pc.replace_with_mask(column, odd, pa.array([escape(x.as_py()) for x in pc.filter(column, odd)], column.type)) if pc.any(odd).as_py() else column
+    made = pa.array([escape(column[i].as_py()) for i in np.flatnonzero(odd).tolist()], column.type)
+    return made if len(made) == len(column) else pc.replace_with_mask(column, odd, made) if len(made) else column
+
+
+def parse(text: str) -> tuple[str, str, bool]:
+    """Role, text and whether it is learned, of a formatted turn; control strings stand nowhere but where the template has them."""
+    at = len(BEGIN) if text.startswith(BEGIN) else 0
+    role_end = text.index("[/ROLE]", at)
+    body, role = role_end + len("[/ROLE]"), text[at + len("[ROLE]") : role_end]
+    asked = text.startswith("[INST]", body)
+    if not text.startswith("[ROLE]", at) or not text.endswith("[/INST]" if asked else END):
+        raise ValueError("not a formatted turn")
+    return unescape(role), unescape(text[body + len("[INST]") : -len("[/INST]")] if asked else text[body : -len(END)]), not asked
 
 
 def assemble(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +76,10 @@ def assemble(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     starts = ends - lengths
     out = np.empty(int(ends[-1, -1]) if ends.size else 0, np.uint8)
     for k, (data, off) in enumerate(parts):
-        if len(data):
+        if len(data) > common.PASS_BYTES:  # few long segments: no index for each byte
+            for a, b, to in zip(off[:-1].tolist(), off[1:].tolist(), starts[:, k].tolist(), strict=True):
+                out[to : to + b - a] = data[a:b]
+        elif len(data):
             out[np.arange(len(data), dtype=np.int64) + np.repeat(starts[:, k] - off[:-1], lengths[:, k])] = data
     return out, np.concatenate([[0], ends[:, -1]]) if ends.size else np.zeros(1, np.int64), starts
 
@@ -97,8 +116,8 @@ def _format(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches come ordered by conversation."""
     before: object = _format
     for whole in batches:
-        for lo in range(0, whole.num_rows, 1024):
-            b = whole.slice(lo, 1024)
+        for lo, hi in common.passes(common.utf8(whole.column(2))[1] + common.utf8(whole.column(3))[1] + TURN_BYTES * np.arange(whole.num_rows + 1)):
+            b = whole.slice(lo, hi - lo)
             ids = b.column(0).to_pylist()
             first = np.array([x != y for x, y in zip(ids, [before, *ids], strict=False)], bool)
             before = ids[-1]
@@ -127,8 +146,9 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
     for b in batches:
-        for conv, text, lo, hi in zip(b.column(0).to_pylist(), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-            text = text.as_py()
+        for conv, scalar, lo, hi in zip(b.column(0).to_pylist(), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            raw = scalar.as_buffer()
+            text = str(raw, "utf-8", "surrogatepass")
             if text.startswith(BEGIN):
                 if state:
                     close()
@@ -136,15 +156,17 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield made()
                         out = []
                 now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            turn = _TURN.fullmatch(text, len(BEGIN) if text.startswith(BEGIN) else 0)
-            role, content = unescape(turn[1]), unescape(turn[2] if turn[2] is not None else turn[3])
+            state[4] += len(text)
+            role, text, said = parse(text)
             state[0] += 1
-            state[1].update(f"{role}\n{content}\n".encode("utf-8", "surrogatepass"))
-            if hi > lo or turn[2] is None:
-                learned = unescape(text.encode()[lo:hi].decode())
+            state[1].update(f"{role}\n".encode("utf-8", "surrogatepass"))
+            state[1].update(text.encode("utf-8", "surrogatepass"))
+            state[1].update(b"\n")
+            del text  # a turn may be long
+            if said:
+                learned = unescape(str(raw[lo:hi], "utf-8", "surrogatepass"))
                 state[2] += len(learned)
                 state[3].update(learned.encode("utf-8", "surrogatepass"))
-            state[4] += len(text)
     if state:
         close()
     if out:

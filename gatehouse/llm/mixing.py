@@ -118,16 +118,17 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, in partitions and files that follow the mixed order; columns of any name pass through.
 
-    Places are made for a hash of the whole row, so rows without an id are spread like others, and joined to the rows once. Rows that are
-    equal in every column are joined as one, which gets all their places.
+    Places are made for two 64-bit hashes of the whole row, so rows without an id are spread like others, and joined to the rows once. Rows that
+    are equal in every column are joined as one, which gets all their places.
     """
-    row, part = common.free_name(docs, "row"), common.free_name(docs, "place")
-    keyed = docs.withColumn(row, F.xxhash64(*[F.to_json(F.struct(c)) if "map" in t or "variant" in t else F.col(c) for c, t in docs.dtypes]))
-    places = common.cut(mix(keyed.select("doc_id", "source", row), ids=("doc_id", row), **options).select(row, F.col("position").alias(part)))
-    again = common.cut(places.groupBy(row).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(row))
+    row, more, part = (common.free_name(docs, x) for x in ("row", "more", "place"))
+    whole, key = [F.to_json(F.struct(c)) if "map" in t or "variant" in t else F.col(c) for c, t in docs.dtypes], [row, more]
+    keyed = docs.withColumns({row: F.xxhash64(*whole), more: F.xxhash64(F.lit(1), *whole)})
+    places = common.cut(mix(keyed.select("doc_id", "source", *key), ids=("doc_id", *key), **options).select(*key, F.col("position").alias(part)))
+    again = common.cut(places.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key))
     if again.limit(1).count():
-        keyed = keyed.join(again, row, "left_anti").unionByName(keyed.join(again, row, "left_semi").dropDuplicates([row]))
-    placed = keyed.join(places, row)
+        keyed = keyed.join(again, key, "left_anti").unionByName(keyed.join(again, key, "left_semi").dropDuplicates(key))
+    placed = keyed.join(places, key)
     return placed.repartitionByRange(common.partitions(docs.sparkSession), part).sortWithinPartitions(part).select(*docs.columns)
 
 

@@ -207,7 +207,7 @@ def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in common.passes(offsets):
             h, off, size = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], BEGINNINGS)
             bags = [np.unique(h[i:j], return_counts=True) for i, j in zip(off, off[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([x.tobytes() for x, _ in bags], pa.binary()), pa.array([np.minimum(n, 255).astype(np.uint8).tobytes() for _, n in bags], pa.binary()), pa.array(size)], names=["y", "doc_id", "words", "counts", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([x.tobytes() for x, _ in bags], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in bags], pa.binary()), pa.array(size)], names=["y", "doc_id", "words", "counts", "size"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, limit: int = FIT_ROWS) -> DataFrame:
@@ -218,7 +218,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, limit: int = FIT_R
 
 
 def _fit_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bags = [(y, np.frombuffer(w, np.uint64), np.frombuffer(n, np.uint8), k) for b in batches for y, w, n, k in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    bags = [(y, np.frombuffer(w, np.uint64), np.frombuffer(n, np.uint32).astype(np.int64), k) for b in batches for y, w, n, k in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     bags.sort(key=lambda r: (r[0], r[1].tobytes()))  # the same sums in any order of arrival
     m = fit(bags)
     yield pa.RecordBatch.from_arrays([pa.array([m.keys.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.thresholds.tobytes()], pa.binary())], names=["keys", "weights", "thresholds"])

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gatehouse.llm import quality, toxicity
@@ -174,3 +175,10 @@ def test_long_texts_repeated_ids_and_clashing_columns(spark):
     assert toxicity.score(df, model).count() == 405 and toxicity.filter_toxic(df, model).columns == df.columns
     net = quality.train(df, labels)
     assert quality.score(df, net).count() == 405
+
+
+def test_words_are_counted_whole_when_fitted():
+    text = "vile " * 1000 + "calm " * 300 + "once"
+    (bag,) = toxicity._bags([pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([text]), pa.array(["7"])], names=["y", "text", "doc_id"])])
+    counts = np.frombuffer(bag.column(3)[0].as_py(), np.uint32)
+    assert sorted(counts.tolist())[-1] == 1000 and 300 in counts and bag.column(4)[0].as_py() == 1301

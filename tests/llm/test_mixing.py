@@ -56,3 +56,16 @@ def test_mixed_keeps_rows_and_columns(spark, docs, odd):
     ordered = [r["doc_id"] for r in out.collect()]
     place = {r["doc_id"]: r["position"] for r in mixing.mix(docs, block=4).collect()}
     assert [place[i] for i in ordered] == sorted(place.values())
+
+
+def test_different_rows_with_one_64_bit_hash_are_both_kept(spark):
+    p1, p2, p5, mask = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5, 2**64 - 1
+    rotl = lambda x, r: ((x << r) | (x >> (64 - r))) & mask
+    seeds = [r["h"] & mask for r in spark.range(1, 3).selectExpr("xxhash64(id) AS h").collect()]
+    into = [(s + p5 + 8) & mask for s in seeds]
+    lane = into[0] ^ (rotl(5 * p2 & mask, 31) * p1 & mask) ^ into[1]  # what the second row must mix in to end where the first does
+    other = rotl(lane * pow(p1, -1, 1 << 64) & mask, 33) * pow(p2, -1, 1 << 64) & mask
+    rows = [(1, 5, None), (2, other - (1 << 64) if other >> 63 else other, None), (3, 7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, x long, source string")
+    assert df.selectExpr("xxhash64(doc_id, x, source) AS h").distinct().count() == 2
+    assert sorted(map(tuple, mixing.mixed(df).collect())) == rows
