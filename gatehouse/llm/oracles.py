@@ -16,7 +16,7 @@ g AS (SELECT r, p, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + {LENG
 i AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM g),
 x AS (SELECT r, min(p) AS a, max(p) + {LENGTH - 1} AS z FROM i GROUP BY r, run),
 o AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM x),
-k AS (SELECT r, sum(z - a + 1) AS gone, count(*) AS n, max(z) AS last, string_agg(hex(b[before + 1:a - 1]), '' ORDER BY a) AS kept FROM o JOIN d USING (r) GROUP BY r)
+k AS (SELECT r, sum(z - a + 1) AS gone, count(*) AS n, max(z) AS last, string_agg(hex(b[before + 1:a - 1]), '' ORDER BY a) AS kept FROM o JOIN d USING (r) GROUP BY r),
 v AS (SELECT r, regexp_extract_all(decode(b), '[^\\x20\\x09-\\x0D]+') AS t FROM d),
 vw AS (SELECT r, p, md5(array_to_string(t[p:p + {WORDS - 1}], ' ')) AS h FROM (SELECT r, t, unnest(range(1, len(t) - {WORDS - 2})) AS p FROM v WHERE len(t) >= {WORDS})),
 vs AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS o FROM vw WHERE h IN (SELECT h FROM vw GROUP BY h HAVING count(*) > 1)),
