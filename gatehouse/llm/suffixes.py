@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from gatehouse.llm import common
 
 LENGTH, GRAM, HOT, RUN, SHARD_BYTES = 400, 128, 256, 16, 1_000_000
-WORDS, WORD_GRAM, LONG_WORD = 50, 8, 256
+WORD_GRAM, LONG_WORD = 8, 256
 BYTE_UNIT, WORD_UNIT = 0, 1
 _powers, _other = common.Powers(), common.Powers(0xD1342543DE82EF95)
 _TABLE = np.random.default_rng(42).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -480,5 +480,4 @@ def marked(docs: DataFrame, length: int = LENGTH, keep: str = "first", **options
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, by repeats of 400 bytes, and n_repeated_words, by repeats of 50 words whatever white space parts them."""
-    return marked(common.table(spark, sf_dir, "documents"), keep="none", words=WORDS).mapInArrow(_digest(LENGTH, WORDS), f"{OUT}, n_repeated_words long")
+    return marked(common.table(spark, sf_dir, "documents"), keep="none").mapInArrow(_digest(LENGTH), OUT)
