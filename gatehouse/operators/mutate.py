@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,41 +49,109 @@ def _upto(n: Column) -> Column:
     return F.sequence(F.lit(1).cast("long"), n.cast("long"))
 
 
-def _insert(parts: Column, n: Column, items: Sequence[str], seed, key: Column, what: str) -> Column:
-    """parts with n drawn items, each before a drawn place; at one place by their counter."""
-    size = F.greatest(F.size(parts), F.lit(1))
-    own = F.transform(parts, lambda x, i: F.struct(i.cast("long").alias("at"), F.lit(1 << 40).cast("long").alias("k"), x.alias("x")))
-    new = F.transform(_upto(n), lambda k: F.struct(F.pmod(draw(seed, key, what + "@", k), size).cast("long").alias("at"), k.alias("k"), pick(items, draw(seed, key, what, k)).alias("x")))
-    return F.transform(F.array_sort(F.concat(own, new)), lambda s: s["x"])
+def _coin(seed: int, key: str, what: str, k: int) -> int:
+    return int(hashlib.md5(f"{seed}|{key}|{what}|{k}".encode()).hexdigest()[:8], 16)
+
+
+def _draws(seed: int, key: str | None, what: str, n: int) -> list[int]:
+    """draw() for the counters 1 to n; a null key is left out, as there."""
+    begin = hashlib.md5(("|".join([str(seed), *([] if key is None else [key]), what]) + "|").encode(), usedforsecurity=False)
+    out = []
+    for k in range(1, n + 1):
+        h = begin.copy()
+        h.update(str(k).encode())
+        out.append(int.from_bytes(h.digest()[:4], "big"))
+    return out
+
+
+def _places(size: int, n: int, items: Sequence[str], seed: int, key: str | None, at: str, what: str) -> list[tuple[int, str]]:
+    """n drawn items, each with a drawn place, in the order of places; at one place in that of their counters."""
+    drawn = zip(_draws(seed, key, at, n), _draws(seed, key, what, n), strict=True)
+    return sorted(((p % max(1, size), items[x % len(items)]) for p, x in drawn), key=lambda d: d[0])
+
+
+def _inserted(text: str, items: Sequence[str], least: int, each: int, seed: int, key: str | None, what: str) -> tuple[str, list[str]]:
+    """text with items before drawn words, at least so many and one for so many words, and the items."""
+    words = text.split(" ")
+    placed = _places(len(words), max(least, len(words) // each), items, seed, key, what + "@", what)
+    out, last = [], 0
+    for at, item in placed:
+        out += words[last:at]
+        out.append(item)
+        last = at
+    return " ".join(out + words[last:]), [item for _, item in placed]
+
+
+def tagged(text: str, seed: int, key: str | None) -> tuple[str, list[str]]:
+    return _inserted(text, X.INJECTED_TAGS, 3, 25, seed, key, "tag")
+
+
+def noised(text: str, seed: int, key: str | None) -> str:
+    return _inserted(text, X.INJECTED_GLYPHS, 8, 8, seed, key, "noise")[0]
+
+
+def misdecoded(text: str, seed: int, key: str | None) -> str:
+    """Fragments before drawn characters: the text is cut at the sorted places, so it is never split into characters."""
+    out, last = [], 0
+    for at, x in _places(len(text), max(6, len(text) // 80), X.MOJIBAKE, seed, key, "moji@", "moji"):
+        out += [text[last:at], x]
+        last = at
+    return "".join(out) + text[last:]
+
+
+def _by_text(one: Callable[[str, int, str | None], str], text: Column, seed, key: Column) -> Column:
+    """A Python function of text, seed and key as an Arrow function: a text is walked once, where an expression is interpreted for each word."""
+
+    @F.pandas_udf(StringType())
+    def run(text: pd.Series, seed: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else one(t, int(s), k) for t, s, k in zip(text, seed, key, strict=True)], dtype=object)
+
+    return run(text, (seed if isinstance(seed, Column) else F.lit(seed)).cast("long"), key.cast("string"))
 
 
 def tag_inject(text: Column, seed, key: Column, which: str) -> Column:
-    words = F.split(text, " ", -1)
-    return F.array_join(_insert(words, F.greatest(F.lit(3), F.floor(F.size(words) / 25)), X.INJECTED_TAGS, seed, key, "tag"), " ")
+    return _by_text(lambda t, s, k: tagged(t, s, k)[0], text, seed, key)
 
 
-def nav_boilerplate(text: Column, seed, key: Column, which: str) -> Column:
+def _nav_frame(seed, key: Column, which) -> tuple[Column, Column]:
     light = F.pmod(draw(seed, key, "light"), F.lit(10)) < 3
     n = F.when(light, F.pmod(draw(seed, key, "few"), F.lit(2)) + 1).otherwise(F.pmod(draw(seed, key, "many"), F.lit(5)) + 4)
     chrome = F.transform(_upto(n), lambda k: F.initcap(_from("boilerplate", which, draw(seed, key, "phrase", k))))
     half = F.floor(n / 2).cast("int")
     head = F.slice(chrome, F.lit(1), F.greatest(F.lit(1), half))
     tail = F.slice(chrome, half + 1, F.size(chrome))
-    return F.concat(F.array_join(head, "\n"), F.lit("\n"), text, F.lit("\n"), F.array_join(tail, "\n"))
+    return F.concat(F.array_join(head, "\n"), F.lit("\n")), F.concat(F.lit("\n"), F.array_join(tail, "\n"))
 
 
-def script_style(text: Column, seed, key: Column, which: str) -> Column:
-    return F.concat(F.lit(X.SCRIPT_BLOCK + "\n"), text)
+def _script_frame(seed, key: Column, which) -> tuple[Column, Column]:
+    return F.lit(X.SCRIPT_BLOCK + "\n"), F.lit("")
 
 
-def link_dump(text: Column, seed, key: Column, which: str) -> Column:
+def _link_frame(seed, key: Column, which) -> tuple[Column, Column]:
     n = F.pmod(draw(seed, key, "links"), F.lit(7)) + 6
     links = F.transform(_upto(n), lambda k: F.concat(F.lit("[link "), (k - 1).cast("string"), F.lit("](https://ads.example.com/"), F.pmod(draw(seed, key, "link", k), F.lit(10**5)).cast("string"), F.lit(")")))
-    return F.concat(text, F.lit("\n"), F.array_join(links, "\n"))
+    return F.lit(""), F.concat(F.lit("\n"), F.array_join(links, "\n"))
 
 
-def _coin(seed: int, key: str, what: str, k: int) -> int:
-    return int(hashlib.md5(f"{seed}|{key}|{what}|{k}".encode()).hexdigest()[:8], 16)
+#: Operators that put lines before and after a text: what these lines are.
+FRAMES = {"nav_boilerplate": _nav_frame, "script_style": _script_frame, "link_dump": _link_frame}
+
+
+def _framed(name: str, text: Column, seed, key: Column, which) -> Column:
+    head, tail = FRAMES[name](seed, key, which)
+    return F.concat(head, text, tail)
+
+
+def nav_boilerplate(text: Column, seed, key: Column, which: str) -> Column:
+    return _framed("nav_boilerplate", text, seed, key, which)
+
+
+def script_style(text: Column, seed, key: Column, which: str) -> Column:
+    return _framed("script_style", text, seed, key, which)
+
+
+def link_dump(text: Column, seed, key: Column, which: str) -> Column:
+    return _framed("link_dump", text, seed, key, which)
 
 
 def charsub(text: Column, seed, key: Column, which: str) -> Column:
@@ -114,18 +182,11 @@ def wordbreak(text: Column, seed, key: Column, which: str) -> Column:
 
 
 def mojibake(text: Column, seed, key: Column, which: str) -> Column:
-    """Fragments before drawn characters: the text is cut at the sorted places, so it is never split into characters."""
-    size = F.greatest(F.length(text), F.lit(1))
-    n = F.greatest(F.lit(6), F.floor(F.length(text) / 80))
-    new = F.array_sort(F.transform(_upto(n), lambda k: F.struct(F.pmod(draw(seed, key, "moji@", k), size).cast("int").alias("at"), k.alias("k"), pick(X.MOJIBAKE, draw(seed, key, "moji", k)).alias("x"))))
-    places = F.concat(F.array(F.lit(0)), F.transform(new, lambda s: s["at"]))
-    pieces = F.zip_with(F.slice(places, F.lit(1), F.size(new)), new, lambda before, s: F.concat(F.substring(text, before + 1, s["at"] - before), s["x"]))
-    return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(places, -1) + 1, F.length(text)))
+    return _by_text(misdecoded, text, seed, key)
 
 
 def linenoise(text: Column, seed, key: Column, which: str) -> Column:
-    words = F.split(text, " ", -1)
-    return F.array_join(_insert(words, F.greatest(F.lit(8), F.floor(F.size(words) / 8)), tuple(X.INJECTED_GLYPHS), seed, key, "noise"), " ")
+    return _by_text(noised, text, seed, key)
 
 
 def truncate(raw: Column, seed, key: Column, which: str) -> Column:
@@ -180,7 +241,7 @@ CORRUPTORS = {
     "json": {"truncate": truncate, "schema_break": schema_break, "delimiter": delimiter},
     "content": {"risk": risk, "contradiction": contradiction},
 }
-ARROW = (charsub, schema_break)
+ARROW = (tag_inject, charsub, mojibake, linenoise, schema_break)
 
 
 def _corrupted(rows: DataFrame, kind: str, seed, which, ops: Sequence[str] | None, hit: Column | None = None) -> DataFrame:
