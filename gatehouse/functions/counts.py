@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -65,18 +66,61 @@ def lines(text: str) -> tuple:
     return len(rows), len(full), len(set(full)), sum(x[:1] in {"-", "*", "•", "‣"} for x in full), sum(x.endswith(("...", "…")) for x in full), sum(len(x) < 12 for x in full)
 
 
-@_struct("tag_chars", "marks", "phrases", "links", "lines", "full", "menu", "words", "stop")
-def html(text: str) -> tuple:
-    """marks: entities and tokens of code; menu: lines of at most eight tokens without a closing mark and with few function words."""
-    low, rows = text.lower(), text.split("\n")
+def _surface(text: str, low: str) -> tuple:
+    """The counts of html() but words: what may change wherever something is put into a text."""
+    rows = text.split("\n")
     full = [y for x in rows if (y := x.strip())]
     menu = 0
     for x in full:
         if x[-1] not in ".?!:;" and len(t := x.split(None, 8)) <= 8:
             menu += sum(v.lower() in _HTML_STOP for v in t) / len(t) < 0.2
-    w = _WORD.findall(low)
     marks = len(_ENTITY.findall(text)) + sum(low.count(c) for c in _CODE)
-    return len(text) - len(_TAG.sub("", text)), marks, sum(low.count(p) for p in X.BOILERPLATE_TRAIN), len(_LINK.findall(text)), len(rows), len(full), menu, len(w), sum(map(_HTML_STOP.__contains__, w))
+    return len(text) - len(_TAG.sub("", text)), marks, sum(low.count(p) for p in X.BOILERPLATE_TRAIN), len(_LINK.findall(text)), len(rows), len(full), menu, len(text)
+
+
+def _worded(low: str) -> tuple:
+    w = _WORD.findall(low)
+    return len(w), sum(map(_HTML_STOP.__contains__, w))
+
+
+HTML = ("tag_chars", "marks", "phrases", "links", "lines", "full", "menu", "chars", "words", "stop")
+
+
+@_struct(*HTML)
+def html(text: str) -> tuple:
+    """marks: entities and tokens of code; menu: lines of at most eight tokens without a closing mark and with few function words."""
+    low = text.lower()
+    return *_surface(text, low), *_worded(low)
+
+
+@lru_cache(maxsize=10_000)
+def _html_of_lines(text: str) -> tuple:
+    return html.counts(text)
+
+
+@lru_cache(maxsize=1_000)
+def _item_words(item: str) -> tuple:
+    return _worded(item.lower())
+
+
+def html_framed(head: str, text: str, tail: str, own: tuple) -> tuple:
+    """html(head + text + tail), where own is html(text), for a head that ends in a line's end and a tail that begins with one, or that are empty.
+
+    Only tags and links may run over lines, so they alone are looked for anew; of all else the parts' counts add up.
+    """
+    whole = head + text + tail
+    out = [sum(x) for x in zip(_html_of_lines(head), own, _html_of_lines(tail), strict=True)]
+    out[0], out[3], out[4] = len(whole) - len(_TAG.sub("", whole)), len(_LINK.findall(whole)), out[4] - 2
+    return tuple(out)
+
+
+def html_inserted(text: str, items: Sequence[str], own: tuple) -> tuple:
+    """html(text), where text is one with the counts own that items were put into between spaces: words don't run over these."""
+    words, stop = own[-2:]
+    for item, n in Counter(items).items():
+        w, s = _item_words(item)
+        words, stop = words + n * w, stop + n * s
+    return *_surface(text, text.lower()), words, stop
 
 
 def garbage(token: str) -> bool:

@@ -72,7 +72,7 @@ def combine(qualities: list[Column]) -> Column:
 
 
 def _html(_: Gate) -> dict[str, Column]:
-    n, chars = F.col("_n"), F.greatest(F.length("text"), F.lit(1))
+    n, chars = F.col("_n"), F.greatest(F.col("_n")["chars"], F.lit(1))
     return {
         "markup_leak": n["tag_chars"] / chars * 6 + n["marks"] / n["lines"],
         "boilerplate_leak": n["phrases"] / n["lines"] * 2.0,

@@ -9,16 +9,22 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from gatehouse.functions import counts
 from gatehouse.functions import lexicon as X
 from gatehouse.sources.adapters import draw, pick
 
+#: Texts of a batch that are Python strings at once.
+HELD_TEXTS = 1_000
+
 SLICES = {
     "boilerplate": {"train": X.BOILERPLATE_TRAIN, "heldout": X.BOILERPLATE_HELDOUT},
     "ocr": {"train": X.OCR_TRAIN, "heldout": X.OCR_HELDOUT},
@@ -53,15 +59,26 @@ def _coin(seed: int, key: str, what: str, k: int) -> int:
     return int(hashlib.md5(f"{seed}|{key}|{what}|{k}".encode()).hexdigest()[:8], 16)
 
 
+def _begun(seed: int, key: str | None, what: str):
+    """The digest of what draw() has before its counter; a null key is left out, as there."""
+    return hashlib.md5(("|".join([str(seed), *([] if key is None else [key]), what]) + "|").encode(), usedforsecurity=False)
+
+
+def _drawn(begun, k: int) -> int:
+    h = begun.copy()
+    h.update(str(k).encode())
+    return int.from_bytes(h.digest()[:4], "big")
+
+
+def _draw(seed: int, key: str | None, what: str) -> int:
+    """draw() in Python."""
+    return _drawn(_begun(seed, key, what), 0)
+
+
 def _draws(seed: int, key: str | None, what: str, n: int) -> list[int]:
-    """draw() for the counters 1 to n; a null key is left out, as there."""
-    begin = hashlib.md5(("|".join([str(seed), *([] if key is None else [key]), what]) + "|").encode(), usedforsecurity=False)
-    out = []
-    for k in range(1, n + 1):
-        h = begin.copy()
-        h.update(str(k).encode())
-        out.append(int.from_bytes(h.digest()[:4], "big"))
-    return out
+    """draw() for the counters 1 to n."""
+    begun = _begun(seed, key, what)
+    return [_drawn(begun, k) for k in range(1, n + 1)]
 
 
 def _places(size: int, n: int, items: Sequence[str], seed: int, key: str | None, at: str, what: str) -> list[tuple[int, str]]:
@@ -86,11 +103,11 @@ def tagged(text: str, seed: int, key: str | None) -> tuple[str, list[str]]:
     return _inserted(text, X.INJECTED_TAGS, 3, 25, seed, key, "tag")
 
 
-def noised(text: str, seed: int, key: str | None) -> str:
+def noised(text: str, seed: int, key: str | None, which: str) -> str:
     return _inserted(text, X.INJECTED_GLYPHS, 8, 8, seed, key, "noise")[0]
 
 
-def misdecoded(text: str, seed: int, key: str | None) -> str:
+def misdecoded(text: str, seed: int, key: str | None, which: str) -> str:
     """Fragments before drawn characters: the text is cut at the sorted places, so it is never split into characters."""
     out, last = [], 0
     for at, x in _places(len(text), max(6, len(text) // 80), X.MOJIBAKE, seed, key, "moji@", "moji"):
@@ -99,59 +116,51 @@ def misdecoded(text: str, seed: int, key: str | None) -> str:
     return "".join(out) + text[last:]
 
 
-def _by_text(one: Callable[[str, int, str | None], str], text: Column, seed, key: Column) -> Column:
-    """A Python function of text, seed and key as an Arrow function: a text is walked once, where an expression is interpreted for each word."""
+def _by_text(one: Callable[[str, int, str | None, str], str], text: Column, seed, key: Column, which) -> Column:
+    """A Python function of text, seed, key and slice as an Arrow function: a text is walked once, where an expression is interpreted for each word."""
 
     @F.pandas_udf(StringType())
-    def run(text: pd.Series, seed: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else one(t, int(s), k) for t, s, k in zip(text, seed, key, strict=True)], dtype=object)
+    def run(text: pd.Series, seed: pd.Series, key: pd.Series, which: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else one(t, int(s), k, w) for t, s, k, w in zip(text, seed, key, which, strict=True)], dtype=object)
 
-    return run(text, (seed if isinstance(seed, Column) else F.lit(seed)).cast("long"), key.cast("string"))
+    return run(text, (seed if isinstance(seed, Column) else F.lit(seed)).cast("long"), key.cast("string"), _slice(which))
 
 
 def tag_inject(text: Column, seed, key: Column, which: str) -> Column:
-    return _by_text(lambda t, s, k: tagged(t, s, k)[0], text, seed, key)
+    return _by_text(lambda t, s, k, w: tagged(t, s, k)[0], text, seed, key, which)
 
 
-def _nav_frame(seed, key: Column, which) -> tuple[Column, Column]:
-    light = F.pmod(draw(seed, key, "light"), F.lit(10)) < 3
-    n = F.when(light, F.pmod(draw(seed, key, "few"), F.lit(2)) + 1).otherwise(F.pmod(draw(seed, key, "many"), F.lit(5)) + 4)
-    chrome = F.transform(_upto(n), lambda k: F.initcap(_from("boilerplate", which, draw(seed, key, "phrase", k))))
-    half = F.floor(n / 2).cast("int")
-    head = F.slice(chrome, F.lit(1), F.greatest(F.lit(1), half))
-    tail = F.slice(chrome, half + 1, F.size(chrome))
-    return F.concat(F.array_join(head, "\n"), F.lit("\n")), F.concat(F.lit("\n"), F.array_join(tail, "\n"))
+def _nav_frame(seed: int, key: str | None, which: str) -> tuple[str, str]:
+    light = _draw(seed, key, "light") % 10 < 3
+    n = _draw(seed, key, "few") % 2 + 1 if light else _draw(seed, key, "many") % 5 + 4
+    phrases = SLICES["boilerplate"][which]
+    chrome = [phrases[x % len(phrases)].title() for x in _draws(seed, key, "phrase", n)]
+    return "\n".join(chrome[: max(1, n // 2)]) + "\n", "\n" + "\n".join(chrome[n // 2 :])
 
 
-def _script_frame(seed, key: Column, which) -> tuple[Column, Column]:
-    return F.lit(X.SCRIPT_BLOCK + "\n"), F.lit("")
+def _script_frame(seed: int, key: str | None, which: str) -> tuple[str, str]:
+    return X.SCRIPT_BLOCK + "\n", ""
 
 
-def _link_frame(seed, key: Column, which) -> tuple[Column, Column]:
-    n = F.pmod(draw(seed, key, "links"), F.lit(7)) + 6
-    links = F.transform(_upto(n), lambda k: F.concat(F.lit("[link "), (k - 1).cast("string"), F.lit("](https://ads.example.com/"), F.pmod(draw(seed, key, "link", k), F.lit(10**5)).cast("string"), F.lit(")")))
-    return F.lit(""), F.concat(F.lit("\n"), F.array_join(links, "\n"))
+def _link_frame(seed: int, key: str | None, which: str) -> tuple[str, str]:
+    links = [f"[link {k}](https://ads.example.com/{x % 10**5})" for k, x in enumerate(_draws(seed, key, "link", _draw(seed, key, "links") % 7 + 6))]
+    return "", "\n" + "\n".join(links)
 
 
 #: Operators that put lines before and after a text: what these lines are.
 FRAMES = {"nav_boilerplate": _nav_frame, "script_style": _script_frame, "link_dump": _link_frame}
 
 
-def _framed(name: str, text: Column, seed, key: Column, which) -> Column:
-    head, tail = FRAMES[name](seed, key, which)
-    return F.concat(head, text, tail)
-
-
 def nav_boilerplate(text: Column, seed, key: Column, which: str) -> Column:
-    return _framed("nav_boilerplate", text, seed, key, which)
+    return _by_text(lambda t, s, k, w: t.join(_nav_frame(s, k, w)), text, seed, key, which)
 
 
 def script_style(text: Column, seed, key: Column, which: str) -> Column:
-    return _framed("script_style", text, seed, key, which)
+    return F.concat(F.lit(X.SCRIPT_BLOCK + "\n"), text)
 
 
 def link_dump(text: Column, seed, key: Column, which: str) -> Column:
-    return _framed("link_dump", text, seed, key, which)
+    return _by_text(lambda t, s, k, w: t.join(_link_frame(s, k, w)), text, seed, key, which)
 
 
 def charsub(text: Column, seed, key: Column, which: str) -> Column:
@@ -182,11 +191,11 @@ def wordbreak(text: Column, seed, key: Column, which: str) -> Column:
 
 
 def mojibake(text: Column, seed, key: Column, which: str) -> Column:
-    return _by_text(misdecoded, text, seed, key)
+    return _by_text(misdecoded, text, seed, key, which)
 
 
 def linenoise(text: Column, seed, key: Column, which: str) -> Column:
-    return _by_text(noised, text, seed, key)
+    return _by_text(noised, text, seed, key, which)
 
 
 def truncate(raw: Column, seed, key: Column, which: str) -> Column:
@@ -241,7 +250,7 @@ CORRUPTORS = {
     "json": {"truncate": truncate, "schema_break": schema_break, "delimiter": delimiter},
     "content": {"risk": risk, "contradiction": contradiction},
 }
-ARROW = (tag_inject, charsub, mojibake, linenoise, schema_break)
+ARROW = (tag_inject, nav_boilerplate, link_dump, charsub, mojibake, linenoise, schema_break)
 
 
 def _corrupted(rows: DataFrame, kind: str, seed, which, ops: Sequence[str] | None, hit: Column | None = None) -> DataFrame:
@@ -265,6 +274,52 @@ def corrupt(docs: DataFrame, kind: str, seed: int, which: str = "heldout", ops:
     return _corrupted(docs, kind, seed, which, ops).withColumns({"slice": F.lit(which), "seed": F.lit(seed)})
 
 
+def _html_counted(pairs: Sequence[tuple[int, str]], pool: Sequence[str]) -> Callable:
+    """The work of html_counted: a text's own counts once, for each mutation those of what it changes; equal mutations are counted once."""
+    seeds, names = [s for s, _ in pairs], [w for _, w in pairs]
+
+    def of(key: str | None, text: str) -> tuple[list[tuple], list[int]]:
+        """Counts, the clean ones first, and which of them each pair has."""
+        made, at, seen = [counts.html.counts(text)], [], {}
+        for seed, which in pairs:
+            op = pool[_draw(seed, key, "operator") % len(pool)]
+            mine = (seed,) if op == "tag_inject" else FRAMES[op](seed, key, which)
+            if mine not in seen:
+                seen[mine] = len(made)
+                made.append(counts.html_inserted(*tagged(text, seed, key), made[0]) if op == "tag_inject" else counts.html_framed(mine[0], text, mine[1], made[0]))
+            at.append(seen[mine])
+        return made, at
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, HELD_TEXTS):
+                b = whole.slice(lo, HELD_TEXTS)
+                made, at = [], []
+                for key, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    own, places = of(key, text or "")
+                    at += [len(made)] * len(pairs) + [len(made) + k for k in places]
+                    made += own
+                table, n = np.array(made, np.int64)[np.array(at, np.int64)], 2 * b.num_rows
+                fields = [pa.array(np.ascontiguousarray(table[:, k])) for k in range(table.shape[1])]
+                columns = [
+                    b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), 2 * len(pairs)))), pa.array(np.tile(np.array(seeds, np.int32), n)), pa.array(names * n),
+                    pa.array(np.tile(np.repeat(np.array([0, 1], np.int32), len(pairs)), b.num_rows)), pa.StructArray.from_arrays(fields, names=list(counts.HTML)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "seed", "slice", "defect", "_n"])
+
+    return run
+
+
+def html_counted(docs: DataFrame, seeds: Sequence[int], slices: Sequence[str] = ("heldout",), ops: Sequence[str] | None = None) -> DataFrame:
+    """doc_id, seed, slice, defect and _n, the counts of the HTML gate: what counting each text of mutation_set() gives, in one walk over docs.
+
+    A text goes to Python once. Lines before and after it and tags put into it change its counts by what they hold, so words aren't counted anew for each mutation.
+    """
+    pairs = [(int(s), w) for s in seeds for w in slices]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, seed int, slice string, defect int, _n struct<{', '.join(f'{k}: bigint' for k in counts.HTML)}>"
+    return docs.select("doc_id", F.col("doc_id").cast("string").alias("key"), "text").mapInArrow(_html_counted(pairs, list(ops or CORRUPTORS["html"])), schema)
+
+
 def mutation_set(docs: DataFrame, kind: str, seeds: Sequence[int], slices: Sequence[str] = ("heldout",), ops: Sequence[str] | None = None, clean: bool = True) -> DataFrame:
     """For every seed and slice each document corrupted (defect 1) and, if wanted, clean (defect 0), in one reading of docs."""
     wanted = [F.struct(F.lit(int(s)).alias("seed"), F.lit(w).alias("slice"), F.lit(d).alias("defect")) for s in seeds for w in slices for d in ((0, 1) if clean else (1,))]

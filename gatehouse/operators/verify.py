@@ -13,10 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.functions import counts
 from gatehouse.functions.text import clamp, share
 from gatehouse.operators.gates import Gate
 from gatehouse.operators.metrics import binary_prf, hits
-from gatehouse.operators.mutate import mutation_set
+from gatehouse.operators.mutate import html_counted, mutation_set
 
 # fixed values: multipliers of the standard error by number of pairs; 1.96 beyond
 T = {2: 12.706, 3: 4.303, 4: 3.182, 5: 2.776, 6: 2.571, 7: 2.447, 8: 2.365, 9: 2.306, 10: 2.262}
@@ -29,6 +30,8 @@ def t_multiplier(n: int) -> float:
 def signals(gate: Gate, docs: DataFrame, kind: str, seeds: Sequence[int], slices: Sequence[str] = ("heldout",), ops: Sequence[str] | None = None) -> DataFrame:
     """doc_id, seed, slice, defect and the gate's signals over the mutation set. Clean rows are scored once, not once for each seed."""
     cols = [f"s_{k}" for k in gate.weights]
+    if kind == "html" and gate.counts is counts.html and not gate.joined:
+        return html_counted(docs, seeds, slices, ops).select("doc_id", "seed", "slice", "defect", *[clamp(v).alias(f"s_{k}") for k, v in gate.signals(gate).items()])
     clean = gate.prepare(docs).select("doc_id", *cols)
     pairs = docs.sparkSession.createDataFrame([(int(s), w) for s in seeds for w in slices], "seed int, slice string")
     clean = clean.crossJoin(F.broadcast(pairs)).withColumn("defect", F.lit(0))  # seeds x slices rows
@@ -95,8 +98,9 @@ def misjudged(gate: Gate, docs: DataFrame, kind: str, seed: int, ops: Sequence[s
 def accept_rule(scores: DataFrame, incumbent: int, candidate: int, which: str = "heldout", delta: float = 0.005, eps: float = 0.005, guard: DataFrame | None = None) -> DataFrame:
     """One row: the paired gain over seeds, its lower bound, the change in false positives, and the verdict. guard: guard_rates() to hold false
     positives against instead of those of the scores."""
-    side = lambda c, p: scores.where((F.col("slice") == which) & (F.col("candidate_id") == c)).select("seed", F.col("f1").alias(f"f1_{p}"), F.col("fpr").alias(f"fpr_{p}"))
-    pair = side(incumbent, "a").join(side(candidate, "b"), "seed").withColumn("d", F.col("f1_b") - F.col("f1_a"))
+    side = lambda c, p: [F.max(F.when(F.col("candidate_id") == c, F.col(k))).alias(f"{k}_{p}") for k in ("f1", "fpr")]
+    both = scores.where((F.col("slice") == which) & F.col("candidate_id").isin(incumbent, candidate))  # in one reading, which makes the scores
+    pair = both.groupBy("seed").agg(*side(incumbent, "a"), *side(candidate, "b")).where("f1_a IS NOT NULL AND f1_b IS NOT NULL").withColumn("d", F.col("f1_b") - F.col("f1_a"))
     one = pair.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("d"), F.lit(0.0)).alias("delta_f1"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("sd"), F.coalesce(F.avg("fpr_b") - F.avg("fpr_a"), F.lit(0.0)).alias("delta_fpr"))
     if guard is not None:
         rate = lambda c: F.max(F.when(F.col("candidate_id") == c, F.col("guard_fpr")))

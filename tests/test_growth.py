@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from gatehouse.functions import counts
 from gatehouse.functions import lexicon as X
 from gatehouse.operators import mutate
 
@@ -36,3 +37,14 @@ def test_insertions_are_as_defined_and_linear(spark):
     for op in (mutate.tag_inject, mutate.linenoise, mutate.mojibake):
         assert long.select(F.length(op(F.col("text"), 1, F.col("id"), "heldout")).alias("n")).first()["n"] > 3_300_000
     assert time.time() - began < 30  # fragments were once cut out by counting characters from the beginning
+
+
+def test_counted_mutations_equal_counted_texts(spark):
+    odd = ["<a [x](y", "see [it](http", "cut <b \n off & so &am", "ΟΔΟΣ Σ\nSign in\n\n", "[a\nb](c", "privacy policy of the http://x www.y {}", None, *TEXTS]
+    docs = spark.createDataFrame([(str(k) if k else None, t) for k, t in enumerate(odd)], "doc_id string, text string").withColumn("raw", F.lit(None).cast("string"))
+    slices, at = ("heldout", "train"), ("doc_id", "seed", "slice", "defect")
+    plain = mutate.mutation_set(docs.fillna("", ["text"]), "html", range(6), slices).select(*at, counts.html(F.col("text")).alias("_n"))
+    made = mutate.html_counted(docs, range(6), slices)
+    shown = lambda df: sorted(map(str, df.select(*at, "_n.*").collect()))
+    assert shown(made) == shown(plain) and made.count() == len(odd) * 24
+    assert "Generate" not in made._jdf.queryExecution().toString()  # texts aren't copied for each seed and slice
