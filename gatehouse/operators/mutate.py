@@ -269,6 +269,15 @@ def _corrupted(rows: DataFrame, kind: str, seed, which, ops: Sequence[str] | Non
     return rows.withColumn(target, made)
 
 
+def corrupt_by_modality(rows: DataFrame, seed: int, which: Column, hit: Column) -> DataFrame:
+    """rows with an operator of their modality applied where `hit`, and its name, else `none`, as operator."""
+    out = rows.withColumn("_operator", F.lit("none"))
+    for kind in ("html", "ocr", "json"):
+        mine = hit & F.coalesce(F.col("modality") == kind, F.lit(False))
+        out = _corrupted(out, kind, seed, which, None, mine).withColumn("_operator", F.coalesce("operator", "_operator"))
+    return out.withColumn("operator", F.col("_operator")).drop("_operator")
+
+
 def corrupt(docs: DataFrame, kind: str, seed: int, which: str = "heldout", ops: Sequence[str] | None = None) -> DataFrame:
     """docs, each with one drawn operator applied (to raw for json, else to text), and operator, slice and seed."""
     return _corrupted(docs, kind, seed, which, ops).withColumns({"slice": F.lit(which), "seed": F.lit(seed)})

@@ -318,7 +318,8 @@ def hillclimb_trajectory(spark, sf_dir):
     sets = [docs.where(F.pmod(draw(0, F.col("doc_id"), "part"), F.lit(3)) == k) for k in range(3)]
     start = gates.HTML.with_params({k: w / 2 for k, w in gates.HTML.weights.items()})
     config = climb.ClimbConfig(iterations=30, population=10, step=0.12)
-    done = [step for regime in ("naive_recall", "naive_f1", "verified") for step in climb.hillclimb(start, sets[0], "html", regime, config, sets[1], guard_docs=sets[2]).trajectory]
+    seen = climb.measured(start, sets[0], "html", sets[1], guard_docs=sets[2])
+    done = [step for regime in ("naive_recall", "naive_f1", "verified") for step in climb.hillclimb(start, sets[0], "html", regime, config, sets[1], guard_docs=sets[2], seen_before=seen).trajectory]
     return spark.createDataFrame(done, "regime string, iter int, recall_train double, f1_heldout double, guard_fpr double")
 
 
@@ -334,11 +335,8 @@ def clean_corpus(spark, sf_dir):
 def benchmark_export(spark, sf_dir):
     """Clean, train-slice and held-out-slice rows of the generated corpus, with operator and slice."""
     docs = _generated(spark, sf_dir)
-    out = docs.withColumns({"operator": F.lit("none"), "slice": F.lit("clean"), "seed": F.lit(7)})
-    for kind in ("html", "ocr", "json"):
-        for which in ("train", "heldout"):
-            out = out.unionByName(mutate.corrupt(docs.where(F.col("modality") == kind), kind, 7, which))
-    return out
+    rows = docs.select("*", F.explode(F.array(F.lit("clean"), F.lit("train"), F.lit("heldout"))).alias("slice"))  # the corpus is made once
+    return mutate.corrupt_by_modality(rows, 7, F.col("slice"), F.col("slice") != "clean").select(*docs.columns, "operator", "slice", F.lit(7).alias("seed"))
 
 
 def naive_text(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.functions import counts
 from gatehouse.functions import lexicon as X
-from gatehouse.operators import mutate
+from gatehouse.operators import climb, gates, mutate, verify
 
 TEXTS = ["", " ", "one", "a  b\nc", "Ünïcode wörds \U0001f600 and " * 40, "The quick brown fox. " * 300]
 
@@ -48,3 +48,25 @@ def test_counted_mutations_equal_counted_texts(spark):
     shown = lambda df: sorted(map(str, df.select(*at, "_n.*").collect()))
     assert shown(made) == shown(plain) and made.count() == len(odd) * 24
     assert "Generate" not in made._jdf.queryExecution().toString()  # texts aren't copied for each seed and slice
+
+
+def test_tallied_scores_equal_scores_and_are_shared(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS * 2)], "doc_id long, text string").withColumn("raw", F.lit(None).cast("string")).persist()
+    pair = [gates.HTML, gates.HTML.with_params({"threshold": 0.9, "link_density": 0.0})]
+    matrix, cells = verify.signals(gates.HTML, docs, "html", range(3), ("train", "heldout")), [(w, s) for w in ("train", "heldout") for s in range(3)]
+    tally = verify.tallied(matrix, list(gates.HTML.weights), cells)
+    shown = lambda df: sorted(map(str, df.select("candidate_id", "slice", "seed", "precision", "recall", "f1", "fpr", "n").collect()))
+    assert shown(verify.score_tallied(tally, pair, cells)) == shown(verify.score(matrix, pair)) and tally.count() < matrix.count() / 3
+    config, seen = climb.ClimbConfig(iterations=1, population=2), climb.measured(gates.HTML, docs, "html", docs, (0,), (1,), guard_docs=docs)
+    alone = climb.hillclimb(gates.HTML, docs, "html", "verified", config, docs, (0,), (1,), guard_docs=docs).trajectory
+    assert climb.hillclimb(gates.HTML, docs, "html", "verified", config, docs, (0,), (1,), guard_docs=docs, seen_before=seen).trajectory == alone
+
+
+def test_the_generated_corpus_is_made_once(spark):
+    from gatehouse.plans.queries import benchmark_export
+
+    folder = "/root/testdata/sf0.001"
+    got = benchmark_export(spark, folder)
+    n = spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert {(r["slice"], r["count"]) for r in got.groupBy("slice").count().collect()} == {(s, n) for s in ("clean", "train", "heldout")}
