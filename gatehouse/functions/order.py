@@ -1,8 +1,8 @@
 """Ranks and exact quantiles of any number of rows, of which no task holds a group.
 
 ranked and quantiles deal rows, or counted values, to ranges in order and place ranges by their counts. selected finds quantiles of many
-columns and groups at once without a shuffle of the rows: mergeable sketches give brackets of values, a pass over the rows counts what lies
-below and in each bracket, and only what lies in the last, small ones is shuffled.
+columns and groups at once without a shuffle of the rows: a pass counts bins of values, the next one parts the bin that holds the quantile, and
+only what lies in the last, small bins is shuffled.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from gatehouse.checkpoints import cut, partitions
 
 #: Rows that a range holds at most, about.
 RANGE_ROWS = 1_000_000
-#: Rows strictly inside a bracket that are few enough to be sorted, for each group and column.
+#: Rows in a bin that are few enough to be sorted, for each group and column.
 INSIDE = 20_000
-#: Points of a sketch, and its accuracy: ranks are off by one in so many at most. A new bracket is MARGIN points wider on each side.
-POINTS, ACCURACY, MARGIN = 256, 5_000, 2
+#: Bins for each power of two, in a first pass; equal parts of a bin, in later ones; how often counts that don't agree are begun anew.
+OCTAVE, PARTS, AGAIN = 8, 1024, 3
 
 
 def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
@@ -62,95 +62,97 @@ def quantiles(tally: DataFrame, keys: Sequence[str], **shares: float) -> DataFra
     return rows.groupBy(*keys).agg(F.sum("n").alias("n"), *made)
 
 
-def _equal(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """a joined to b, which has the keys with a leading underscore."""
-    return a.join(b, _same(a, b, keys)).drop(*[f"_{k}" for k in keys])
+def _joined(values: DataFrame, state: DataFrame, keys: Sequence[str], small: int) -> DataFrame:
+    """values joined to brackets, which are broadcast if they are few."""
+    made = state.withColumnsRenamed({k: f"_{k}" for k in keys})
+    made = F.broadcast(made) if made.limit(small + 1).count() <= small else made
+    return values.join(made, _same(values, made, keys)).drop(*[f"_{k}" for k in keys])
 
 
-def _keyed(df: DataFrame, keys: Sequence[str], small: int) -> DataFrame:
-    """df for _equal, broadcast if it has few rows."""
-    made = df.withColumnsRenamed({k: f"_{k}" for k in keys})
-    return F.broadcast(made) if made.limit(small + 1).count() <= small else made
+def _place(n: Column, share: float | Callable[[Column], Column]) -> Column:
+    return share(n) if callable(share) else F.lit(float(share)) * (n - 1)
 
 
-def _points(x: Column) -> Column:
-    return F.percentile_approx(x, [k / POINTS for k in range(POINTS + 1)], ACCURACY).alias("points")
+def _octave(x: Column) -> Column:
+    """A number that grows with x, OCTAVE for each power of two; NaN is the largest."""
+    size = F.floor(F.least(F.log2(F.abs(x)), F.lit(1100.0)) * OCTAVE) + F.lit(2000 * OCTAVE)
+    return F.when(F.isnan(x), F.lit(4000 * OCTAVE)).when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("int")
 
 
-def _bracketed(df: DataFrame, keys: Sequence[str], names: Sequence[str], state: DataFrame | None, sketched: bool) -> DataFrame:
-    """keys and for each name a struct: n, the bracket's ends, how many values lie below and up to each end, and, if sketched, points of those strictly inside."""
-    if state is None:  # everything counts as inside
-        n = lambda x: F.count(x)
-        ends = lambda x: [F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), *[F.lit(0).cast("long").alias(k) for k in ("below_low", "to_low")], *[n(x).alias(k) for k in ("below_high", "to_high")]]
-        return df.groupBy(*keys).agg(*[F.struct(n(name).alias("n"), *ends(name), *([_points(F.col(name))] if sketched else [])).alias(name) for name in names])
-    made = []
-    for name in names:
-        x, low, high = F.col(name), F.col(f"_b_{name}.low"), F.col(f"_b_{name}.high")
-        counts = [F.count(F.when(c, 1)).alias(k) for k, c in (("below_low", x < low), ("to_low", x <= low), ("below_high", x < high), ("to_high", x <= high))]
-        points = [_points(F.when((x > low) & (x < high) & F.col(f"_b_{name}.open"), x))] if sketched else []
-        made.append(F.struct(F.count(x).alias("n"), F.first(low).alias("low"), F.first(high).alias("high"), *counts, *points).alias(name))
-    return _equal(df, state, keys).groupBy(*keys).agg(*made)
+def _part(x: Column, low: Column, high: Column) -> Column:
+    return F.least(F.floor((x - low) / (high - low) * PARTS), F.lit(PARTS - 1)).cast("int")
 
 
-def _place(n: Column, share: float | Callable[[Column], Column]) -> Column:
-    return share(n) if callable(share) else F.lit(float(share)) * (n - 1)
+def _binned(values: DataFrame, keys: Sequence[str], part: Column, *known: str) -> DataFrame:
+    """keys and at: n, and the bins that hold the two ranks next to the quantile's place, each with its ends, its size and how many values lie below."""
+    bins = values.groupBy(*keys, *known, part.alias("_part")).agg(F.sum("_k").alias("k"), F.min("value").alias("low"), F.max("value").alias("high"))
+    group = W.partitionBy(*keys)
+    inside = F.sum("k").over(group)
+    n, before = (F.col("_n"), F.col("_before")) if known else (inside, F.lit(0))
+    return bins.withColumns({"n": n, "inside": inside, "before": before + F.sum("k").over(group.orderBy("_part")) - F.col("k")})
 
 
-def _places(at: Column, share: float | Callable[[Column], Column]) -> tuple[Column, Column]:
-    """The two neighbours' ranks, from 0, between which a quantile of n values lies."""
-    place = _place(at["n"], share)
-    return F.floor(place), F.ceil(place)
+def _at(bins: DataFrame, keys: Sequence[str], share: float | Callable[[Column], Column]) -> DataFrame:
+    place = _place(F.col("n"), share)
+    bin_of = lambda r: F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("k")), F.struct("before", "k", "low", "high")))
+    held = bins.groupBy(*keys).agg(F.first("n").alias("n"), F.first("inside").alias("inside"), bin_of(F.floor(place)).alias("a"), bin_of(F.ceil(place)).alias("b"))
+    return held.select(*keys, F.struct("n", "inside", "a", "b").alias("at"))
 
 
-def _held(at: Column, share: float | Callable[[Column], Column]) -> Column:
-    first, last = _places(at, share)
-    return (at["below_low"] <= first) & (last < at["to_high"])
+def _narrower(at: Column, share: float | Callable[[Column], Column], inside: int) -> Column:
+    """The next bracket: the ends of the bin that holds both ranks, open if it has to be parted again. Ranks in two bins are the last and the first value there."""
+    one = at["a"]["before"] == at["b"]["before"]
+    low, high = F.when(one, at["a"]["low"]).otherwise(at["a"]["high"]), F.when(one, at["a"]["high"]).otherwise(at["b"]["low"])
+    return F.struct(low.alias("low"), high.alias("high"), (one & (low < high) & (at["a"]["k"] > inside)).alias("open"))
 
 
-def _narrower(at: Column, share: float | Callable[[Column], Column], margin: int) -> Column:
-    """The next bracket: of the points inside this one, those about the quantile's place. One that misses its quantile starts anew."""
-    first, last = _places(at, share)
-    inside, points = (at["below_high"] - at["to_low"]).cast("double"), at["points"]
-    i = F.floor((first - at["to_low"]) / inside * POINTS).cast("int") - margin
-    j = F.ceil((last - at["to_low"]) / inside * POINTS).cast("int") + margin
-    found = _held(at, share)
-    few = found & (at["below_high"] - at["to_low"] <= INSIDE)
-    low = F.when(few | ((first < at["to_low"]) | (i <= 0)) & found, at["low"]).when(found, F.get(points, i)).otherwise(F.lit(float("-inf")))
-    high = F.when(few | ((last >= at["below_high"]) | (j >= POINTS)) & found, at["high"]).when(found, F.get(points, j)).otherwise(F.lit(float("inf")))
-    return F.struct(low.alias("low"), high.alias("high"), (~few).alias("open"))
+def _brackets(held: DataFrame, keys: Sequence[str], share: float | Callable[[Column], Column]) -> DataFrame:
+    """keys, n, before, k, low, high, open, and few: whether what lies inside is to be sorted."""
+    at = F.col("at")
+    made = held.withColumn("to", _narrower(at, share, INSIDE))
+    one = (at["a"]["before"] == at["b"]["before"]) & (F.col("to.low") < F.col("to.high")) & ~F.col("to.open")
+    return made.select(*keys, at["n"].alias("n"), at["a"]["before"].alias("before"), at["a"]["k"].alias("k"), "to.*", one.alias("few"))
 
 
-def selected(df: DataFrame, keys: Sequence[str], names: Sequence[str], share: float | Callable[[Column], Column] = 0.5, small: int = 50_000) -> DataFrame:
-    """keys, feature, n, value: the exact quantile of each named column in each group, linear between neighbours; nulls don't count.
+def selected_counts(values: DataFrame, keys: Sequence[str], share: float | Callable[[Column], Column] = 0.5, count: str = "n", small: int = 50_000) -> DataFrame:
+    """keys, n, value: the exact quantile of each group of counted values (keys, value, count), linear between neighbours; nulls don't count.
 
-    share may be a function that makes a rank, from 0, of n. df is read a few times, so it should be a table or a checkpoint. Every pass shuffles counts and sketches, a row for each group and task; a
-    pass leaves about one in 60 of the rows inside a bracket, until INSIDE are left. These are counted by value, shuffled, and their ranks read
-    off. A bracket that turns out to miss its quantile is counted anew, so the result doesn't rest on the sketch. NaN and infinities take part
-    as the largest and outermost values.
+    A value may be in several rows. values is read a few times, so it should be a table or a checkpoint. Each pass counts bins, first by powers of two, then equal parts of the one bin that
+    holds the quantile, and shuffles a row for each bin and task; the ends of a bin are values that were seen. Once INSIDE are left in it they are sorted. A bin in which a later pass finds
+    other values than were counted is counted anew. NaN and infinities take part as the largest and outermost values.
     """
-    state, margin = None, MARGIN
-    seen = cut(_bracketed(df, keys, names, None, False))
-    while True:
-        few = [_held(F.col(n), share) & (F.col(f"{n}.below_high") - F.col(f"{n}.to_low") <= INSIDE) | (F.col(f"{n}.n") == 0) for n in names]
-        missed = [~_held(F.col(n), share) & (F.col(f"{n}.n") > 0) for n in names]
-        done, wrong = seen.agg(F.min(reduce(lambda a, b: a & b, few)), F.max(reduce(lambda a, b: a | b, missed)) if state is not None else F.lit(False)).first()
-        if done is None or done or margin > POINTS:
-            break
-        margin *= 4 if wrong else 1
-        if "points" not in seen.schema[names[0]].dataType.names:
-            seen = cut(_bracketed(df, keys, names, None, True))
-        state = _keyed(cut(seen.select(*keys, *[_narrower(F.col(n), share, margin).alias(f"_b_{n}") for n in names])), keys, small)
-        seen = cut(_bracketed(df, keys, names, state, True))
-    ends = _keyed(seen.select(*keys, *[F.struct(F.col(f"{n}.low").alias("low"), F.col(f"{n}.high").alias("high")).alias(f"_b_{n}") for n in names]), keys, small)
-    hits = [F.when((F.col(n) >= F.col(f"_b_{n}.low")) & (F.col(n) <= F.col(f"_b_{n}.high")), F.struct(F.lit(n).alias("feature"), F.col(n).alias("value"))) for n in names]
-    inside = _equal(df, ends, keys).select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("x")).select(*keys, "x.*").groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("_k"))
-    long = [*keys, "feature"]
-    sizes = seen.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"{n}.n").alias("n"), F.col(f"{n}.below_low").alias("_before")) for n in names])).alias("x")).select(*keys, "x.*").where("n > 0")
-    rows = _equal(inside, _keyed(sizes, long, small), long).withColumn("_to", F.col("_before") + F.sum("_k").over(W.partitionBy(*long).orderBy("value")))
-    place = _place(F.col("n"), share)
-    at = lambda r: F.max(F.when((F.col("_to") > r) & (F.col("_to") - F.col("_k") <= r), F.col("value")))
-    low, high = at(F.floor(place)), at(F.ceil(place))
-    return rows.groupBy(*long).agg(F.first("n").alias("n"), (low + (high - low) * F.first(place - F.floor(place))).alias("value"))
+    x = F.col("value")
+    values = values.select(*keys, x.cast("double").alias("value"), F.col(count).alias("_k")).where("value IS NOT NULL")
+    whole = lambda: cut(_brackets(_at(_binned(values, keys, _octave(x)), keys, share), keys, share))
+    state, again = whole(), 0
+    while state.where("open").limit(1).count():
+        held = _joined(values, state.where("open").select(*keys, F.col("n").alias("_n"), F.col("before").alias("_before"), F.col("k").alias("_all"), F.col("low").alias("_low"), F.col("high").alias("_high")), keys, small)
+        bins = _binned(held.where("value BETWEEN _low AND _high"), keys, _part(x, F.col("_low"), F.col("_high")), "_n", "_before", "_low", "_high")
+        parted = cut(_at(bins, keys, share))
+        expected = state.where("open").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("k").alias("_expected"))
+        wrong = expected.join(parted, _same(parted, expected, keys), "left").where("NOT (at.inside <=> _expected) OR at.a IS NULL OR at.b IS NULL")
+        if wrong.limit(1).count():
+            again += 1
+            if again > AGAIN:
+                raise RuntimeError("the values aren't the same each time they are read")
+            state = whole()
+            continue
+        state = cut(state.where("NOT open").unionByName(_brackets(parted, keys, share)))
+    frac = _place(F.col("n"), share)
+    between = lambda low, high: (low + (high - low) * (frac - F.floor(frac))).alias("value")
+    known = state.where("NOT few").select(*keys, "n", between(F.col("low"), F.col("high")))
+    inner = _joined(values, state.where("few").select(*keys, "n", F.col("before").alias("_before"), F.col("low").alias("_low"), F.col("high").alias("_high")), keys, small)
+    inner = inner.where("value BETWEEN _low AND _high").groupBy(*keys, "n", "_before", "value").agg(F.sum("_k").alias("_k"))
+    inner = inner.withColumn("_to", F.col("_before") + F.sum("_k").over(W.partitionBy(*keys).orderBy("value")))
+    at = lambda r: F.max(F.when((F.col("_to") > r) & (F.col("_to") - F.col("_k") <= r), x))
+    ends = inner.groupBy(*keys, "n").agg(at(F.floor(frac)).alias("low"), at(F.ceil(frac)).alias("high"))
+    return known.unionByName(ends.select(*keys, "n", between(F.col("low"), F.col("high"))))
+
+
+def selected(df: DataFrame, keys: Sequence[str], names: Sequence[str], share: float | Callable[[Column], Column] = 0.5, small: int = 50_000) -> DataFrame:
+    """keys, feature, n, value: the exact quantile of each named column in each group, as of selected_counts(); share may be a function that makes a rank, from 0, of n."""
+    values = df.select(*keys, *[F.col(n).cast("double").alias(n) for n in names]).unpivot(list(keys), list(names), "feature", "value").withColumn("n", F.lit(1).cast("long"))
+    return selected_counts(values, [*keys, "feature"], share, small=small)
 
 
 def banded(df: DataFrame, value: str, first: int, last: int, *ties: str, name: str = "band") -> DataFrame:

@@ -59,3 +59,32 @@ def test_bands_equal_ranks(spark, monkeypatch, inside):
         got = {r["id"]: r["band"] for r in order.banded(df, "x", first, last, "id").collect()}
         assert got == {i: -1 if r < first else 1 if r >= last else 0 for i, r in rank.items()}, (first, last)
     assert order.banded(df.where("false"), "x", 0, 3, "id").count() == 0
+
+
+def test_selection_counts_bins_and_reads_few_times(spark, monkeypatch):
+    """Sketches of each column and group in every task once took most of the time of the cohort statistics."""
+    plans, cut = [], order.cut
+    monkeypatch.setattr(order, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    df = cut(spark.range(400_000).select((F.col("id") % 2).alias("g"), F.log1p("id").alias("x"), (F.col("id") % 7 == 0).cast("double").alias("y")))
+    got = {(r["g"], r["feature"]): r["value"] for r in order.selected(df, ["g"], ["x", "y"]).collect()}
+    for g in (0, 1):
+        assert got[g, "x"] == pytest.approx(float(np.median(np.log1p(np.arange(g, 400_000, 2)))), rel=1e-12) and got[g, "y"] == 0.0
+    assert len(plans) <= 3 and not any("percentile" in p or "ObjectHashAggregate" in p for p in plans)
+
+
+@pytest.mark.parametrize("inside", [3, 20_000])
+def test_counted_values_in_several_rows_add_up(spark, monkeypatch, inside):
+    """Days of a window were once added up by value and dealt out in order for each version."""
+    monkeypatch.setattr(order, "INSIDE", inside)
+    rng = random.Random(9)
+    odd = [float("-inf"), -1e308, -2.5e-310, -0.0, 0.0, 5e-324, 1e308, float("inf"), float("nan")]
+    rows = [(g, rng.choice(odd) if g == "odd" else round(rng.gauss(0, 9), 1), rng.randint(1, 5)) for g in ("a", None, "odd") for _ in range(500)]
+    df = spark.createDataFrame(rows, "g string, value double, n long").repartition(5).persist()
+    for share in (0.0, 0.31, 0.5, 1.0):
+        got = {r["g"]: (r["n"], r["value"]) for r in order.selected_counts(df, ["g"], share).collect()}
+        for g in ("a", None, "odd"):
+            xs = np.sort(np.repeat([v for h, v, _ in rows if h == g], [n for h, _, n in rows if h == g]))
+            place = share * (len(xs) - 1)
+            low, high = xs[int(np.floor(place))], xs[int(np.ceil(place))]
+            assert got[g] == (len(xs), pytest.approx(low + (high - low) * (place - np.floor(place)), rel=1e-12, nan_ok=True)), (g, share)
+    df.unpersist()
