@@ -1,7 +1,7 @@
 """Cohort outliers by robust z over the text profile.
 
 A document is held against its cohort's median and MAD, or the pooled ones if its cohort was unseen or is smaller than min_cohort. Medians are
-exact and made of ranges of counted values, so that neither a hot cohort nor the pooled one meets in a task. The statistics are a small table
+exact and made of counted bins of values, so that neither a hot cohort nor the pooled one meets in a task. The statistics are a small table
 (cohorts x features) that can be kept and reused as a reference window; documents are scored row by row, without a shuffle of their own.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.checkpoints import cut
 from gatehouse.functions import lexicon as X
-from gatehouse.functions.order import quantiles, selected
+from gatehouse.functions.order import selected, selected_counts
 from gatehouse.functions.stats import robust_z, std
 
 Z, MIN_COHORT = 3.5, 12
@@ -52,15 +52,13 @@ def fit(features: DataFrame, names: Sequence[str] = X.FEATURES) -> DataFrame:
 
 
 def fit_counts(counts: DataFrame) -> DataFrame:
-    """The same from counted values (source, feature, value, n), which add up over any parts of a corpus."""
+    """The same from counted values (source, feature, value, n), which add up over any parts of a corpus. They are read a few times."""
     both = counts.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("pooled"), "source", "feature", F.col("value").cast("double").alias("value"), "n")
-    both = both.where("value IS NOT NULL").withColumn("source", F.when(~F.col("pooled"), F.col("source")))
-    tally = cut(both.groupBy(*_GROUP, "value").agg(F.sum("n").alias("n")))
-    meds = cut(quantiles(tally, _GROUP, med=0.5))
-    m = _small(meds.select(*[F.col(k).alias(f"_{k}") for k in _GROUP], F.col("n").alias("_n"), "med"))
-    held = tally.join(m, (F.col("pooled") == F.col("_pooled")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("feature") == F.col("_feature")))
-    deviations = held.groupBy(*_GROUP, F.abs(F.col("value") - F.col("med")).alias("value")).agg(F.sum("n").alias("n"))
-    mads = quantiles(deviations, _GROUP, mad=0.5).select(*[F.col(k).alias(f"_{k}") for k in _GROUP], "mad")
+    both = both.withColumn("source", F.when(~F.col("pooled"), F.col("source")))
+    meds = cut(selected_counts(both, _GROUP)).withColumnRenamed("value", "med")
+    m = _small(meds.select(*[F.col(k).alias(f"_{k}") for k in _GROUP], "med"))
+    held = both.join(m, (F.col("pooled") == F.col("_pooled")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("feature") == F.col("_feature")))
+    mads = selected_counts(held.select(*_GROUP, F.abs(F.col("value") - F.col("med")).alias("value"), "n"), _GROUP).select(*[F.col(k).alias(f"_{k}") for k in _GROUP], F.col("value").alias("mad"))
     same = (meds["pooled"] == F.col("_pooled")) & meds["source"].eqNullSafe(F.col("_source")) & (meds["feature"] == F.col("_feature"))
     return meds.join(mads, same).select(*_GROUP, "n", "med", "mad")
 

@@ -38,10 +38,9 @@ class Window:
         self._keep(outliers.counted(features.select("source", *[F.col(n).cast("double").alias(n) for n in self.names]), self.names).where("value IS NOT NULL"), "day", day)
 
     def counts(self, upto: int | None = None) -> DataFrame:
-        """The added counts of all days, or of those up to one."""
+        """The added counts of all days, or of those up to one; a value has a row for each day that has it."""
         paths = [p for d, p in self._parts(self.log.state(), "day").items() if upto is None or d <= upto]
-        rows = self.spark.read.schema(COUNTS).parquet(*paths) if paths else self.spark.createDataFrame([], COUNTS)
-        return rows.groupBy("source", "feature", "value").agg(F.sum("n").alias("n"))
+        return self.spark.read.schema(COUNTS).parquet(*paths) if paths else self.spark.createDataFrame([], COUNTS)
 
     def fit(self, upto: int | None = None) -> int:
         """Keeps the statistics of all days, or of those up to one, as a new version, and returns its number."""
