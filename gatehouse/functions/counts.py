@@ -10,6 +10,8 @@ import re
 from collections import Counter
 from collections.abc import Callable, Sequence
 from functools import lru_cache
+from itertools import islice
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,11 +45,22 @@ def _struct(*names: str) -> Callable:
     return of
 
 
+#: Bytes of an ASCII text: letters in lower case, and a space for all that parts words.
+_LETTERS = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalpha() else 32 for b in range(256))
+_STOP_BYTES = frozenset(x.encode() for x in _STOP)
+
+
 @_struct("tokens", "distinct", "repeats", "words", "word_chars", "stop")
 def words(text: str) -> tuple:
     """repeats: tokens equal to the one before."""
-    t, w = text.split(), _WORD.findall(text.lower())
-    return len(t), len(set(t)), sum(map(str.__eq__, t, t[1:])), len(w), sum(map(len, w)), sum(map(_STOP.__contains__, w))
+    t = text.split()
+    if text.isascii():
+        w, stops = text.encode().translate(_LETTERS).split(), _STOP_BYTES
+        chars = len(b"".join(w))
+    else:
+        w, stops = _WORD.findall(text.lower()), _STOP
+        chars = len("".join(w))
+    return len(t), len(set(t)), sum(map(eq, t, islice(t, 1, None))), len(w), chars, sum(map(stops.__contains__, w))
 
 
 @_struct("tokens", "top")

@@ -78,6 +78,7 @@ def expressions(text: str = "text") -> dict[str, Column]:
     """Feature name -> column, over the columns of counted()."""
     t, w, p, n = F.col(text), F.col("_words"), F.col("_pairs"), F.col("_lines")
     chars = F.length(t)
+    ascii = F.octet_length(t) == chars  # most texts, which have none of what the last two patterns look for
     alpha = chars - F.length(F.regexp_replace(t, r"\p{L}+", ""))  # runs, since letters are most of a text
     return {
         "char_length": chars.cast("double"),
@@ -93,13 +94,13 @@ def expressions(text: str = "text") -> dict[str, Column]:
         "digit_fraction": share(count(t, r"\p{Nd}"), chars),
         "punct_fraction": share(count(t, r"[^\p{L}\p{N}\p{IsWhite_Space}\x1c-\x1f]"), chars),
         "uppercase_fraction": share(count(t, r"\p{Lu}"), alpha),
-        "non_ascii_fraction": share(count(t, r"[^\x00-\x7F]"), chars),
+        "non_ascii_fraction": share(F.when(ascii, 0).otherwise(count(t, r"[^\x00-\x7F]")), chars),
         "symbol_word_ratio": share(occurrences(t, "#") + occurrences(t, "...") + occurrences(t, "…"), w["words"]),
         "bullet_line_fraction": share(n["bullets"], n["lines"]),
         "ellipsis_line_fraction": share(n["ellipses"], n["lines"]),
         "short_line_fraction": share(n["short"], n["lines"]),
         "mean_line_length": share(chars - (n["lines"] - 1), n["lines"]),
-        "mojibake_fraction": share(count(t, "|".join(X.MOJIBAKE_SIGNS)), F.greatest(w["words"], F.lit(1))),
+        "mojibake_fraction": share(F.when(ascii, 0).otherwise(count(t, "|".join(X.MOJIBAKE_SIGNS))), F.greatest(w["words"], F.lit(1))),
     }
 
 
