@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.checkpoints import cut
 from gatehouse.functions import counts
 from gatehouse.functions.text import clamp, count, share, split
 
@@ -48,7 +49,9 @@ class Gate:
         """df with the gate's signals as columns s_<name>."""
         cols = {f"s_{k}": clamp(v) for k, v in self.signals(self).items()}
         if self.name == "json":
-            return json_columns(df).withColumns(cols).drop("_raw", "_v", "_rest", "_fold")
+            rows = json_columns(df)
+            rows = _held(rows, self.schema) if self.schema else rows
+            return rows.withColumns(cols).drop("_raw", "_v", "_rest", "_fold", "_held")
         if self.joined:
             return self.joined(df).withColumns(cols).drop("_n")
         if self.counts:
@@ -111,7 +114,9 @@ def json_columns(df: DataFrame, raw: Column | None = None) -> DataFrame:
         n = s["n"] + 1
         return F.struct(depth.alias("depth"), F.least(s["low"], depth).alias("low"), n.alias("n"), F.when((s["closed"] == 0) & (depth == 0), n).otherwise(s["closed"]).alias("closed"))
 
-    return df.withColumn("_fold", F.aggregate(brackets, zero, step))
+    pair = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low"), F.lit(2).alias("n"), F.lit(2).alias("closed"))
+    only = F.regexp_replace("_rest", r"[^\[\]{}]+", "")  # a flat record's need no walk, which is interpreted
+    return df.withColumn("_fold", F.when(only == "", zero).when(only.isin("{}", "[]"), pair).otherwise(F.aggregate(brackets, zero, step)))
 
 
 def balanced() -> Column:
@@ -148,22 +153,28 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _fields(schema: Mapping[str, str]) -> Column:
-    """For each key of a schema its expected kind, whether the record has it, the schema of its value and the value as text."""
-    wanted = ", ".join(f"struct({_quoted(k)} AS key, {_quoted(v)} AS kind)" for k, v in schema.items())
-    value = _VALUE.format("s.key")
-    return F.expr(f"transform(array({wanted}), s -> struct(s.kind AS kind, array_contains(json_object_keys(_raw), s.key) AS there, schema_of_variant({value}) AS shape, to_json({value}) AS text))")
+#: Bits of each of the counts of keys that _held packs.
+_BITS = 20
+
+
+def _held(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
+    """Rows of json_columns() with _held: how many keys of a schema a record lacks, holds with another kind, and holds empty. Keys are columns of generated code, each judged once."""
+    df = df.withColumn("_keys", F.when(parses() & F.schema_of_variant("_v").startswith("OBJECT"), F.json_object_keys("_raw")))
+    value = {k: _VALUE.format(_quoted(k)) for k in schema}
+    df = df.withColumns({f"_t{i}": type_name(F.expr(f"schema_of_variant({v})")) for i, v in enumerate(value.values())})
+    held = F.lit(0).cast("long")
+    for i, (key, kind) in enumerate(schema.items()):
+        there, got = F.array_contains("_keys", key), F.col(f"_t{i}")
+        wrong = there & ~got.isin("null") & (got != kind) & ~(F.lit(kind == "float") & (got == "int"))
+        empty = there & ((got == "null") | F.expr(f"to_json({value[key]})").isin('""', "[]", "{}"))
+        for k, test in enumerate((~there, wrong, empty)):
+            held = held + F.when(test, F.lit(1 << _BITS * k).cast("long")).otherwise(F.lit(0).cast("long"))
+    return df.withColumn("_held", held).drop("_keys", *[f"_t{i}" for i in range(len(schema))])
 
 
 def _json(gate: Gate) -> dict[str, Column]:
     ok, whole = parses(), balanced()
-    missing = wrong = empty = F.lit(0)
-    if gate.schema:
-        held = F.when(ok & F.schema_of_variant("_v").startswith("OBJECT"), _fields(gate.schema))
-        number = lambda test: F.coalesce(F.nullif(F.size(F.filter(held, test)), F.lit(-1)), F.lit(0))
-        missing = number(lambda s: ~s["there"])
-        wrong = number(lambda s: s["there"] & ~type_name(s["shape"]).isin("null") & (type_name(s["shape"]) != s["kind"]) & ~((s["kind"] == "float") & (type_name(s["shape"]) == "int")))
-        empty = number(lambda s: s["there"] & ((type_name(s["shape"]) == "null") | s["text"].isin('""', "[]", "{}")))
+    missing, wrong, empty = (F.shiftright("_held", _BITS * k).bitwiseAND((1 << _BITS) - 1) if gate.schema else F.lit(0) for k in range(3))
     n = max(1, len(gate.schema))
     return {
         "parse_fail": F.when(ok, 0.0).otherwise(1.0),
@@ -177,12 +188,12 @@ def _json(gate: Gate) -> dict[str, Column]:
 def infer_schema(records: DataFrame, raw: str = "raw", order: str = "doc_id", required: float = 0.8) -> DataFrame:
     """key, kind: keys in at least `required` of the records that parse to objects, with their modal non-null type (the first seen wins ties)."""
     rows = json_columns(records.select(F.col(order).alias("_o"), raw), F.coalesce(F.col(raw), F.lit(""))).where(parses() & F.schema_of_variant("_v").startswith("OBJECT"))
-    n = rows.agg(F.count(F.lit(1)).alias("records"))
-    keys = rows.select("_o", "_v", F.explode(F.json_object_keys("_raw")).alias("key"))
-    typed = keys.select("_o", "key", type_name(F.expr(f"schema_of_variant({_VALUE.format('key')})")).alias("kind"))
+    keys = rows.select("_o", "_v", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.json_object_keys("_raw"), F.array().cast("array<string>")))).alias("key"))  # null: the record itself
+    typed = keys.select("_o", "key", F.when(F.col("key").isNotNull(), type_name(F.expr(f"schema_of_variant({_VALUE.format('key')})"))).alias("kind"))
     by = typed.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("first"))
-    best = by.groupBy("key").agg(F.sum("n").alias("n_records"), F.min_by("kind", F.when(F.col("kind") != "null", F.struct((-F.col("n")).alias("a"), F.col("first").alias("b")))).alias("kind"))
-    return best.crossJoin(F.broadcast(n)).where(F.col("n_records") >= F.lit(required) * F.greatest("records", F.lit(1))).select("key", F.coalesce("kind", F.lit("string")).alias("kind"), "n_records")
+    best = cut(by.groupBy("key").agg(F.sum("n").alias("n_records"), F.min_by("kind", F.when(F.col("kind") != "null", F.struct((-F.col("n")).alias("a"), F.col("first").alias("b")))).alias("kind")))
+    n = best.where("key IS NULL").select(F.col("n_records").alias("records"))
+    return best.where("key IS NOT NULL").crossJoin(F.broadcast(n)).where(F.col("n_records") >= F.lit(required) * F.greatest("records", F.lit(1))).select("key", F.coalesce("kind", F.lit("string")).alias("kind"), "n_records")
 
 
 HTML = Gate("html", {"markup_leak": 2.0, "boilerplate_leak": 1.6, "link_density": 1.6, "nonprose_lines": 1.4, "stopword_deficit": 0.8}, _html, counts=counts.html)

@@ -74,3 +74,23 @@ def test_quality_at_the_threshold_passes(spark):
     gate = gates.Gate("t", {"s": 1.0}, lambda _: {"s": F.lit(0.5)})
     got = evaluate(spark, gate, ["x"])[0]
     assert got["gate_passed"] and got["gate_flags"] == ["s"] and got["gate_quality"] == pytest.approx(0.5)
+
+
+def test_records_are_judged_once(spark):
+    """Keys were once judged by interpreted lambdas, three times a record, and records parsed twice to infer their schema."""
+    raws = ['{"a": 1, "b": ""}', '{"a": "x", "b": null}', '{"b": []}', "[]", "[}", "{]", "][", "{}", "{} {}", "[{}]", '{"a": {"b": [1]}}', '{"a": "{"}', '{"a": "}', "", "7", None]
+    df = spark.createDataFrame([(i, r, "") for i, r in enumerate(raws)], "doc_id int, raw string, text string")
+    got = {r["doc_id"]: r for r in gates.json_columns(df).select("doc_id", "_fold.*", "_rest").collect()}
+    for i, r in got.items():
+        depth = low = n = closed = 0
+        for c in r["_rest"]:
+            if c in "[]{}":
+                depth, n = depth + (1 if c in "[{" else -1), n + 1
+                low, closed = min(low, depth), closed or (n if depth == 0 else 0)
+        assert (r["depth"], r["low"], r["n"], r["closed"]) == (depth, low, n, closed), raws[i]
+    gate = gates.Gate("json", gates.JSON.weights, gates.JSON.signals, reads="raw", schema={"a": "int", "b": "string"})
+    made = gate.evaluate(df)
+    seen = {r["doc_id"]: (r["s_schema_missing"], r["s_type_mismatch"], r["s_empty_value"]) for r in made.collect()}
+    assert [seen[i] for i in (0, 1, 2, 3, 7, 15)] == [(0.0, 0.0, 0.5), (0.0, 0.6, 0.5), (0.6, 0.6, 0.5), (0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("jsonObjectKeys") == 1 and "transform(" not in plan
