@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import islice
 from operator import eq
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -22,6 +23,8 @@ from gatehouse.functions import lexicon as X
 
 #: Distinct tokens whose judgement a worker keeps; beyond that it starts anew, which changes only speed.
 KEPT = 1_000_000
+#: Texts of a batch that are strings at a time.
+HELD = 64
 
 _WORD, _NO_LETTERS, _RUN = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]+"), re.compile(r"([^\W\d_])\1{3}")
 _TAG, _ENTITY, _LINK = re.compile(X.TAG), re.compile(X.HTML_ENTITY), re.compile(X.LINK)
@@ -30,14 +33,23 @@ _VOWELS, _GLYPHS, _SHORT = frozenset(X.VOWELS), frozenset(X.NOISE_GLYPHS), froze
 _STOP, _HTML_STOP = frozenset(X.PROFILE_STOPWORDS), frozenset(X.HTML_STOPWORDS)
 
 
+def _texts(text: pa.Array) -> Iterator[str]:
+    """The texts of a batch, of which HELD at most are strings at a time; a null text is empty."""
+    for lo in range(0, len(text), HELD):
+        yield from (t or "" for t in text.slice(lo, HELD).to_pylist())
+
+
 def _struct(*names: str) -> Callable:
     """Makes an Arrow function of text from one that gives a tuple of counts; a null text counts as empty."""
     fields = StructType([StructField(n, LongType()) for n in names])
 
     def of(one: Callable[[str], tuple]) -> Callable[[Column], Column]:
-        @F.pandas_udf(fields)
-        def run(text: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([one(t or "") for t in text], columns=list(names), dtype="int64")
+        @F.arrow_udf(fields)
+        def run(text: pa.Array) -> pa.Array:
+            made = np.zeros((len(text), len(names)), np.int64)
+            for i, t in enumerate(_texts(text)):
+                made[i] = one(t)
+            return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(made[:, k])) for k in range(len(names))], names=list(names))
 
         run.counts = one
         return run

@@ -1,7 +1,9 @@
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,13 @@ def test_ascii_words_need_no_pattern(spark, monkeypatch):
     want = [(w := re.findall(r"[^\W\d_]+", t.lower()), (len(w), len("".join(w)), sum(x in X.PROFILE_STOPWORDS for x in w)))[1] for t in texts]
     monkeypatch.setattr(counts, "_WORD", None)
     assert [counts.words.counts(t)[3:] for t in texts] == want
+
+
+def test_few_texts_of_a_batch_are_strings_at_once():
+    """All texts of a batch were once made strings together, so a worker held a batch twice."""
+    batch = pa.array([None, *["x y " * 50_000] * 300])
+    tracemalloc.start()
+    got = [counts.words.counts(t)[0] if len(t) < 9 else len(t) for t in counts._texts(batch)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [0, *[200_000] * 300] and peak < 30_000_000
