@@ -4,7 +4,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gatehouse.llm import suffixes as sx
 from tests.llm.conftest import prose
@@ -115,3 +117,20 @@ def test_texts_longer_than_a_pass(spark):
     assert got[1]["n_removed"] == 2000 + edge + 5000 and got[1]["n_spans"] == 3
     assert (got[2]["n_removed"], got[2]["n_spans"], got[3]["n_removed"]) == (1000, 1, 0)
     assert [got[i]["n_repeated_words"] for i in (1, 2, 3)] == words_brute([t for _, t in rows], 50)
+
+
+def test_texts_are_shuffled_compressed(spark, docs, odd):
+    rows = odd.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    plain, packed = (sx.marked(rows, 60, "none", packed=p) for p in (False, True))
+    assert packed.agg(F.sum(F.length("text"))).first()[0] < 0.7 * plain.agg(F.sum(F.octet_length("text"))).first()[0]
+    got = [Counter(tuple(r) for r in m.mapInArrow(sx._digest(60), sx.OUT).collect()) for m in (plain, packed)]
+    assert got[0] == got[1] and sum(got[0].values()) == rows.count()
+
+
+def test_packed_texts_are_unpacked_a_pass_at_a_time():
+    texts = ["a" * (1 << 19), "", "é" * 9, "b" * (3 << 20), "c"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(15), pa.int64()), pa.array(range(15), pa.int64()), pa.array(texts)], names=["doc_id", "mark", "text"])
+    whole = pa.Table.from_batches(sx._pack([batch])).combine_chunks().to_batches()
+    made = list(sx.unpacked(whole, 2))
+    assert [x.decode() for b in made for x in b.column(2).to_pylist()] == texts and [i for b in made for i in b.column(0).to_pylist()] == list(range(15))
+    assert whole[0].nbytes < 10_000 and all(len(b) == 1 or b.nbytes < sx.common.PASS_BYTES + 10_000 for b in made)
